@@ -256,3 +256,21 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     out = joined.select("id", "text", "lines", numbers.alias("removed"), F.coalesce(F.size(split), F.lit(0)).alias("n_lines"), text.alias("kept"))
     n = F.when(F.col("text").isNull(), 0).otherwise(F.col("n_lines"))
     return out.select(F.col("id").alias(id_col), F.col("kept").alias(text_col), n.cast("int").alias("n_lines"), F.size("removed").alias("n_removed"), "removed")
+
+
+def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
+    """``docs`` (all columns, in order) without the lines that an earlier line matches.
+
+    Documents that lose lines and have no word left are dropped; documents without words before stay. Where there is a
+    column ``n_chars`` it gets the new number of characters.
+    """
+    gone = later_matches(docs, id_col, text_col, threshold).select(F.col("doc").alias("gone_doc"), F.col("lines").alias("gone_lines"))
+    joined = docs.join(gone, F.coalesce(docs[id_col].cast("long"), F.lit(_NO_ID)) == gone["gone_doc"], "left")
+    left = F.filter(F.split(docs[text_col], "\n", -1), lambda _, k: ~F.array_contains("gone_lines", k))
+    text = F.when(F.col("gone_lines").isNull(), docs[text_col]).otherwise(F.array_join(left, "\n"))
+    named = joined.withColumn("kept_text", text).where(F.col("gone_lines").isNull() | F.col("kept_text").rlike(r"[^\x20\x09-\x0D]"))
+    new = {text_col: F.col("kept_text")}
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        new["n_chars"] = F.when(F.col("gone_lines").isNull(), docs["n_chars"]).otherwise(F.length("kept_text").cast(kind))
+    return named.select(*[new[c].alias(c) if c in new else docs[c] for c in docs.columns])

@@ -97,3 +97,14 @@ def mix(
     joined = sized.join(final, sized["source"].eqNullSafe(final["s"]))
     copies = (F.col("passes") + (F.col("cell") < F.col("below")).cast("int")).cast("int")
     return joined.select(F.col("id").alias(id_col), "size", "source", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"))
+
+
+def take(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
+    """``docs`` (all columns) with every row as often as the mix takes its id: rows not taken go, repeats are repeated.
+
+    Rows of one id share their number of copies; null ids too.
+    """
+    copies = mix(docs.select(id_col, text_col, source_col), id_col, text_col, source_col, **how)
+    keys = copies.where("copies > 0").select(F.col(id_col).alias("take_id"), F.col(source_col if source_col in copies.columns else "source").alias("take_source"), "copies").distinct()
+    matched = docs[id_col].eqNullSafe(keys["take_id"]) & docs[source_col].eqNullSafe(keys["take_source"])
+    return docs.join(keys, matched).withColumn("take_copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*[docs[c] for c in docs.columns])

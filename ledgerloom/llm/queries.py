@@ -8,13 +8,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import line_dedup, media, mixing, near_dedup, token_counts
+from ledgerloom.llm import chat, id_files, line_dedup, media, mixing, near_dedup, packing, quality, token_counts, vector_dedup
 from ledgerloom.llm.store import Written
 
 #: Production parameters.
 VOCABULARY = "byte_bpe_50k.json"
 MAX_TOKENS = 1024
 SIMILARITY = 0.8
+COSINE = 0.93
+GOOD = 0.3
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,12 +45,42 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), threshold=SIMILARITY)
 
 
+def op6_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.vector_links(table(spark, sf_dir, "embeddings"), threshold=COSINE)
+
+
+def op7_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return id_files.read_ids(id_files.write_ids(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), end_id=2))
+
+
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    records = rows.unionByName(more).select("conv_id", chat.as_record("conv_id", "turn", "role", "text").alias("record"))
+    return chat.read_chats(chat.format_chats(chat.canonical_turns(records, "conv_id", "record"), "conv_id"), "conv_id")
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), capacity=MAX_TOKENS, end_id=0)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=GOOD)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_source_mix": op2_source_mix,
     "op3_media": op3_media,
     "op4_line_dedup": op4_line_dedup,
     "op5_near_dedup": op5_near_dedup,
+    "op6_vector_dedup": op6_vector_dedup,
+    "op7_id_files": op7_id_files,
+    "op8_chat": op8_chat,
+    "op9_packing": op9_packing,
+    "op10_quality": op10_quality,
 }
 
 ORACLE_SQL: dict[str, str] = {
