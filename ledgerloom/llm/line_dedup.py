@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,13 +11,17 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm.ragged import hash_spans, mix64, ranges, row_chunks, run_starts, utf8, word_spans
 from ledgerloom.llm.sketch import key_filter, passes, summed_cells
-from ledgerloom.llm.store import Written
+from ledgerloom.llm.store import Written, release
 
 #: Cells of the table of token counts by which tokens are ordered; a fixed size, the order only steers the work.
 CELLS = 1 << 18
 #: Rows of one prefix token that one task handles; a token that may have more is dealt to several tasks.
 HOT_ROWS = 20_000
+#: Occurrences from which a word is frequent: its rows are compared with the earliest one first.
+FREQUENT = 256
 _HASH_BITS = 40
+#: A line's place as one number, for the filter of wanted lines.
+_SPOT = "doc ^ shiftleft(cast(line as bigint), 40)"
 _NO_ID = (1 << 63) - 1
 
 
@@ -54,7 +58,7 @@ def _sets(batch: pa.RecordBatch, ranks: np.ndarray) -> Iterator[tuple[np.ndarray
     """By chunk of rows: (doc, line number, set key, number of tokens, tokens, first token of each line), for the lines
     that have a token."""
     flat, offsets = utf8(batch.column(1))
-    ids = batch.column(0).fill_null(_NO_ID).to_numpy()
+    ids = batch.column(0).to_numpy()
     for a, b in row_chunks(offsets):
         rows, numbers, words, line = _line_words(flat[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
         tokens, owner = _ordered_sets(words, line, len(rows), ranks)
@@ -78,36 +82,54 @@ def _binary(values: np.ndarray, heads: np.ndarray, sizes: np.ndarray) -> pa.Arra
     return pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(total.astype(np.int64).tobytes()), pa.py_buffer(data)]).cast(pa.binary())
 
 
-def _filters(threshold: float) -> Column:
-    """Length and positional filter of a pair of rows of one prefix token (sizes n, o_n; places pos, o_pos)."""
-    need = F.ceil(F.lit(threshold) / (1 + threshold) * (F.col("n") + F.col("o_n")) - 1e-9)
+def _near(threshold: float) -> Column:
+    """Length, positional and bitmap filter of two rows of one prefix token; none drops a pair over the threshold.
+
+    Of sizes n and o_n, need tokens must be shared; at places pos and o_pos no more than the rest can be; and each
+    token in one set only changes at most one bit of the sets' parities.
+    """
+    both = F.col("n") + F.col("o_n")
+    need = F.ceil(F.lit(threshold) / (1 + threshold) * both - 1e-9)
     reach = F.least(F.col("n") - F.col("pos"), F.col("o_n") - F.col("o_pos"))
     length = (F.col("n") >= F.lit(threshold) * F.col("o_n") - 1e-9) & (F.col("o_n") >= F.lit(threshold) * F.col("n") - 1e-9)
-    return length & (reach >= need)
+    return length & (reach >= need) & (F.bit_count(F.col("parity").bitwiseXOR(F.col("o_parity"))) <= both - 2 * need)
 
 
-def _similar(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """The keys of the pairs (key, o_key) whose Jaccard similarity reaches the threshold, without repeats."""
+def _similar(pairs: DataFrame, rows: DataFrame, ranks: np.ndarray, threshold: float) -> DataFrame:
+    """Of pairs (doc, line; o_doc, o_line) of first lines: the lines (doc, line) that are similar to their partner.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    The sets of the lines in pairs are read from the texts again: a filter of bounded size lets few others pass.
+    """
+    wanted = pairs.select("doc", "line").unionByName(pairs.select(F.col("o_doc").alias("doc"), F.col("o_line").alias("line"))).distinct()
+    wanted = Written(wanted.select("doc", "line", F.expr(_SPOT).alias("spot")), "line-wanted").df
+    bits = key_filter(wanted, "spot", wanted.count())
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc, number, _, sizes, tokens, heads in _sets(batch, ranks):
+                hit = np.flatnonzero(passes(bits, doc ^ (number.astype(np.int64) << 40)))
+                yield pa.RecordBatch.from_arrays([pa.array(doc[hit]), pa.array(number[hit].astype(np.int32)), _binary(tokens, heads[hit], sizes[hit])], names=["doc", "line", "tokens"])
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            left, l_off = _flat64(batch.column(1))
-            right, r_off = _flat64(batch.column(2))
+            left, l_off = _flat64(batch.column(2))
+            right, r_off = _flat64(batch.column(3))
             n, o = np.diff(l_off), np.diff(r_off)
             row = np.r_[np.repeat(np.arange(len(n)), n), np.repeat(np.arange(len(o)), o)].astype(np.int64)
             token = np.r_[left, right]
             order = np.lexsort((token, row))
             row, token = row[order], token[order]
             both = np.bincount(row[1:][(row[1:] == row[:-1]) & (token[1:] == token[:-1])], minlength=len(n))
-            good = both >= threshold * (n + o - both) - 1e-9
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(good))], names=["key"])
+            good = pa.array(both >= threshold * (n + o - both) - 1e-9)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(good), batch.column(1).filter(good)], names=["doc", "line"])
 
-    mine = sets.select("key", F.col("tokens").alias("mine"))
-    theirs = sets.select(F.col("key").alias("o_key"), F.col("tokens").alias("theirs"))
-    joined = pairs.join(mine, "key").join(theirs, "o_key").select("key", "mine", "theirs")
-    return joined.mapInArrow(run, "key long").distinct()
+    found = rows.mapInArrow(read, "doc long, line int, tokens binary").join(wanted, ["doc", "line"], "left_semi")
+    found = Written(found.dropDuplicates(["doc", "line"]), "line-found").df  # repeated ids: one of the rows
+    theirs = found.select(F.col("doc").alias("o_doc"), F.col("line").alias("o_line"), F.col("tokens").alias("theirs"))
+    joined = pairs.join(found, ["doc", "line"]).join(theirs, ["o_doc", "o_line"]).select("doc", "line", "tokens", "theirs")
+    return joined.mapInArrow(verify, "doc long, line int").distinct()
 
 
 def _flat64(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -124,13 +146,16 @@ def later_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     line is removed if the Jaccard similarity with any earlier line, removed or not, is at least ``threshold``. Lines
     without words are never removed and match nothing.
 
-    The join: equal sets are merged first. Words are ordered by rarity (a count table of fixed size over all rows);
-    sets that are similar share one of their first n - ceil(threshold n) + 1 words. Rows of one such word are compared
-    with its earliest row first, and only the rows that this does not remove with all earlier ones, under length and
-    positional filters; words that may be very frequent are dealt to several tasks. The candidates are verified on
-    their whole sets. Ids must be whole numbers; a null id counts as the largest one, repeated ids as one document.
+    The join: equal sets are merged first; a set stands where its first line does. Words are ordered by rarity (a
+    count table of fixed size over all rows); sets that are similar share one of their first n - ceil(threshold n) + 1
+    words. Rows that share such a word are compared under length, positional and bitmap filters, and what passes is
+    verified on the whole sets. Before that, words that may be frequent are dealt to tasks apart, where every row is
+    compared with the earliest one: a line that this removes needs no other comparison, so that a large group of
+    similar lines costs one comparison a line. Ids must be whole numbers; a null id counts as the largest one,
+    repeated ids as one document.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    spark = docs.sparkSession
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("id"), F.col(text_col).alias("text"))
 
     def count(batch: pa.RecordBatch, table: np.ndarray) -> None:
         flat, offsets = utf8(batch.column(1))
@@ -141,101 +166,97 @@ def later_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     cells = summed_cells(rows, CELLS, count)
     ranks = np.minimum(np.floor(8 * np.log2(cells + 1)), 511).astype(np.int64)
-    # what a token of this rank may have at most, in shares of HOT_ROWS: the number of tasks it is dealt to
+    # the tasks that the rows of a token of this rank are dealt to; 0: it is too rare to be looked at first
     spread = np.zeros(512, dtype=np.int64)
-    np.maximum.at(spread, ranks, cells // HOT_ROWS)
-    spread = np.minimum(spread, 1 << 10)
+    np.maximum.at(spread, ranks[cells >= FREQUENT], 1 + cells[cells >= FREQUENT] // HOT_ROWS)
 
-    def all_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def all_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for doc, number, key, sizes, tokens, heads in _sets(batch, ranks):
+                parity = np.bitwise_xor.reduceat(np.uint64(1) << (tokens.view(np.uint64) & np.uint64(63)), heads).view(np.int64)
                 prefix = _binary(tokens, heads, _prefix_sizes(sizes, threshold))
-                yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(number.astype(np.int32)), pa.array(key), pa.array(sizes.astype(np.int32)), prefix], names=["doc", "line", "key", "n", "prefix"])
-
-    lines = Written(rows.mapInArrow(all_lines, "doc long, line int, key long, n int, prefix binary"), "lines")
-    first = lines.df.groupBy("key").agg(F.min(F.struct("doc", "line")).alias("at"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    distinct = Written(first, "line-sets")
-
-    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            tokens, offsets = _flat64(batch.column(4))
-            sizes = np.diff(offsets)
-            row = np.repeat(np.arange(len(sizes)), sizes)
-            parts = spread[tokens >> _HASH_BITS]
-            part = np.where(parts > 1, 1 + batch.column(0).to_numpy()[row].view(np.uint64) % np.maximum(parts, 1).astype(np.uint64), 0)
-            take = pa.array(row)
-            yield pa.RecordBatch.from_arrays([pa.array(tokens), pa.array(part.astype(np.int32)), *[batch.column(k).take(take) for k in range(4)], pa.array((np.arange(len(row)) - offsets[:-1][row]).astype(np.int32))], names=["token", "part", "key", "doc", "line", "n", "pos"])
-
-    flat = distinct.df.select("key", "at.doc", "at.line", "n", "prefix")
-    fields = "token long, part int, key long, doc long, line int, n int, pos int"
-    dealt = flat.mapInArrow(entries, fields).repartition("token", "part").sortWithinPartitions("token", "part", "doc", "line")
-
-    def with_pivot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows of tokens with several rows (or several parts), each beside the first row of its group."""
-        held: pa.Table | None = None  # the first row of the group that the last batch ended in
-        owed = False  # whether that row is still to be given out
+                yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(number.astype(np.int32)), pa.array(key), pa.array(sizes.astype(np.int32)), pa.array(parity), prefix], names=["doc", "line", "key", "n", "parity", "prefix"])
+
+    found = rows.mapInArrow(all_sets, "doc long, line int, key long, n int, parity long, prefix binary")
+    first = found.groupBy("key").agg(F.min(F.struct("doc", "line")).alias("at"), F.first("n").alias("n"), F.first("parity").alias("parity"), F.first("prefix").alias("prefix"))
+    distinct = Written(first.select("key", "at.doc", "at.line", "n", "parity", "prefix"), "line-sets").df
+    del found, first
+    release(spark)
+
+    def entries(frequent: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                tokens, offsets = _flat64(batch.column(5))
+                sizes = np.diff(offsets)
+                row = np.repeat(np.arange(len(sizes)), sizes)
+                pos = np.arange(len(row)) - offsets[:-1][row]
+                parts = np.zeros(len(row), dtype=np.int64)
+                if frequent:
+                    tasks = spread[tokens >> _HASH_BITS]
+                    keep = tasks > 0
+                    tokens, row, pos, tasks = tokens[keep], row[keep], pos[keep], tasks[keep]
+                    mixed = mix64(tokens.view(np.uint64) + batch.column(0).to_numpy()[row].view(np.uint64))
+                    parts = (mixed % tasks.astype(np.uint64)).astype(np.int64)
+                taken = [batch.column(k).take(pa.array(row)) for k in range(5)]
+                yield pa.RecordBatch.from_arrays([pa.array(tokens), pa.array(parts[: len(tokens)].astype(np.int32)), *taken, pa.array(pos.astype(np.int32))], names=["token", "part", "doc", "line", "n", "parity", "bound", "pos"])
+
+        return run
+
+    fields = "token long, part int, doc long, line int, n int, parity long, bound long, pos int"
+    flat = distinct.select("doc", "line", "n", "parity", F.col("doc").alias("bound"), "prefix")
+    dealt = flat.mapInArrow(entries(True), fields).drop("bound").repartition("token", "part").sortWithinPartitions("token", "part", "doc", "line")
+    early = dealt.mapInArrow(_with_first(threshold), "doc long, line int, o_doc long, o_line int")
+    pairs = Written(early.distinct(), "line-pairs").df
+    removed = Written(_similar(pairs, rows, ranks, threshold), "line-matches").df
+    release(spark)
+    # all the others: a row whose line is removed already looks for no earlier ones (its bound is below all ids)
+    state = flat.drop("bound").join(removed.withColumn("gone", F.lit(True)), ["doc", "line"], "left")
+    flat = state.select("doc", "line", "n", "parity", F.when(F.col("gone"), F.lit(-(1 << 63))).otherwise(F.col("doc")).alias("bound"), "prefix")
+    mine = flat.mapInArrow(entries(False), fields).drop("part")
+    other = mine.select("token", *[F.col(c).alias(f"o_{c}") for c in ("doc", "line", "n", "parity", "pos")])
+    earlier = (F.col("o_doc") < F.col("bound")) | ((F.col("o_doc") == F.col("bound")) & (F.col("o_line") < F.col("line")))
+    pairs = Written(mine.join(other, "token").where(earlier & _near(threshold)).select("doc", "line", "o_doc", "o_line").distinct(), "line-pairs").df
+    if pairs.take(1):
+        removed = removed.unionByName(Written(_similar(pairs, rows, ranks, threshold), "line-matches").df)
+    del mine, other, dealt, early
+    release(spark)
+
+    def keys_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            table = pa.Table.from_batches([batch])
-            if held is not None:
-                table = pa.concat_tables([held, table])
-            token, part = table.column("token").to_numpy(), table.column("part").to_numpy()
-            heads = np.flatnonzero(np.r_[True, (token[1:] != token[:-1]) | (part[1:] != part[:-1])])
-            sizes = np.diff(np.r_[heads, len(token)])
-            pivot = np.repeat(heads, sizes)
-            keep = (np.repeat(sizes, sizes) > 1) | (part > 0)
-            carried = held is not None
-            if carried and not owed:
-                keep[0] = False
-            last = heads[-1]
-            if sizes[-1] == 1 and part[-1] == 0:
-                owed = True if last or not carried else owed
-            else:
-                owed = False
-            held = table.slice(last, 1)
-            if keep.any():
-                out = table.filter(pa.array(keep))
-                beside = table.take(pa.array(pivot[keep]))
-                for name in ("key", "doc", "line", "n", "pos"):
-                    out = out.append_column(f"o_{name}", beside.column(name))
-                yield from out.combine_chunks().to_batches()
-
-    grouped = Written(dealt.mapInArrow(with_pivot, fields + ", o_key long, o_doc long, o_line int, o_n int, o_pos int"), "line-groups")
-    pairs = grouped.df.where(F.col("key") != F.col("o_key")).where(_filters(threshold)).select("key", "o_key")
-    near = Written(pairs.distinct(), "line-pairs")
-    removed = Written(_similar(near.df, _token_sets(rows, distinct.df, near.df, ranks), threshold), "line-matches")
-    # what the earliest row of a token doesn't remove is compared with all the earlier rows of that token
-    rest = grouped.df.select("token", "key", "doc", "line", "n", "pos", F.col("o_key").alias("tried")).join(removed.df, "key", "left_anti")
-    other = grouped.df.select("token", *[F.col(c).alias(f"o_{c}") for c in ("key", "doc", "line", "n", "pos")])
-    earlier = F.struct("o_doc", "o_line") < F.struct("doc", "line")
-    pairs = rest.join(other, "token").where(earlier & (F.col("o_key") != F.col("tried")) & _filters(threshold)).select("key", "o_key")
-    more = Written(pairs.distinct().join(near.df, ["key", "o_key"], "left_anti"), "line-pairs")
-    gone = removed.df
-    if more.df.take(1):
-        gone = gone.unionByName(_similar(more.df, _token_sets(rows, distinct.df, more.df, ranks), threshold))
-    gone = gone.select("key", F.lit(True).alias("gone"))
-    state = distinct.df.select("key", F.col("at.doc").alias("f_doc"), F.col("at.line").alias("f_line")).join(gone, "key", "left")
-    occurrence = lines.df.select("doc", "line", "key").join(state, "key")
-    hit = occurrence.where("gone or doc <> f_doc or line <> f_line")
+            for doc, number, key, *_ in _sets(batch, ranks):
+                yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(number.astype(np.int32)), pa.array(key)], names=["doc", "line", "key"])
+
+    gone = distinct.select("key", F.col("doc").alias("f_doc"), F.col("line").alias("f_line"))
+    gone = gone.join(removed.select(F.col("doc").alias("f_doc"), F.col("line").alias("f_line"), F.lit(True).alias("gone")), ["f_doc", "f_line"], "left")
+    hit = rows.mapInArrow(keys_only, "doc long, line int, key long").join(gone, "key").where("gone or doc <> f_doc or line <> f_line")
     return hit.groupBy("doc").agg(F.sort_array(F.collect_set("line")).alias("lines"))
 
 
-def _token_sets(rows: DataFrame, distinct: DataFrame, pairs: DataFrame, ranks: np.ndarray) -> DataFrame:
-    """(key, tokens) of the sets that stand in a pair, read from the texts again at each set's first line."""
-    keys = pairs.select("key").unionByName(pairs.select(F.col("o_key").alias("key"))).distinct()
-    wanted = Written(distinct.join(keys, "key", "left_semi").select("key", "at.doc", "at.line"), "line-wanted").df
-    words = key_filter(wanted, "key", wanted.count())
+def _with_first(threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Over rows sorted by token, part and line: the pairs of a row and the first row of its group that pass the
+    filters. Only that first row is carried from batch to batch."""
+    names = ("token", "part", "doc", "line", "n", "parity", "pos")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, np.ndarray] | None = None
         for batch in batches:
-            for doc, number, key, sizes, tokens, heads in _sets(batch, ranks):
-                hit = np.flatnonzero(passes(words, key))
-                yield pa.RecordBatch.from_arrays([pa.array(doc[hit]), pa.array(number[hit].astype(np.int32)), pa.array(key[hit]), _binary(tokens, heads[hit], sizes[hit])], names=["doc", "line", "key", "tokens"])
-
-    found = rows.mapInArrow(run, "doc long, line int, key long, tokens binary")
-    # of repeated rows (the same id and line twice) one is kept
-    return found.join(wanted.select("key", "doc", "line"), ["key", "doc", "line"], "left_semi").select("key", "tokens").dropDuplicates(["key"])
+            if not batch.num_rows:
+                continue
+            now = {c: batch.column(c).to_numpy() for c in names}
+            if held is not None:
+                now = {c: np.r_[held[c], now[c]] for c in names}
+            heads = np.flatnonzero(np.r_[True, (now["token"][1:] != now["token"][:-1]) | (now["part"][1:] != now["part"][:-1])])
+            first = np.repeat(heads, np.diff(np.r_[heads, len(now["token"])]))
+            n, o = now["n"].astype(np.int64), now["n"][first].astype(np.int64)
+            need = np.ceil(threshold / (1 + threshold) * (n + o) - 1e-9)
+            bits = np.bitwise_count((now["parity"] ^ now["parity"][first]).view(np.uint64))
+            good = (np.arange(len(n)) > first) & (np.minimum(n - now["pos"], o - now["pos"][first]) >= need) & (np.minimum(n, o) >= need) & (bits <= n + o - 2 * need)
+            if good.any():
+                at, to = np.flatnonzero(good), first[good]
+                yield pa.RecordBatch.from_arrays([pa.array(now["doc"][at]), pa.array(now["line"][at]), pa.array(now["doc"][to]), pa.array(now["line"][to])], names=["doc", "line", "o_doc", "o_line"])
+            held = {c: now[c][heads[-1] : heads[-1] + 1] for c in names}
+
+    return run
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:

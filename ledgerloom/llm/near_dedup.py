@@ -18,6 +18,8 @@ from ledgerloom.llm.store import Written
 
 #: Words of a shingle, minima kept by a sketch, and sketches of a document.
 SHINGLE, MINIMA, SKETCHES = 5, 3, 20
+#: Cells of the parity table of a text.
+CELLS = 512
 _NO_ID = (1 << 63) - 1
 _ODD = mix64(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
 
@@ -49,9 +51,14 @@ def labelled(one: np.ndarray) -> np.ndarray:
     return out
 
 
-def order_sketches(one: np.ndarray) -> np.ndarray:
+def parities(marks: np.ndarray) -> bytes:
+    """Parity of the number of labelled shingles in each of CELLS cells, as 64-bit words."""
+    odd = np.bincount((marks & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def order_sketches(marks: np.ndarray) -> np.ndarray:
     """SKETCHES keys of a text: each of its MINIMA least labelled shingles under one hash, in the order of the text."""
-    marks = labelled(one)
     if len(marks) <= MINIMA:
         places = np.tile(np.arange(len(marks)), (SKETCHES, 1))
     else:
@@ -177,7 +184,8 @@ def text_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     hash, in text order. (A pair at similarity 0.8 shares none of the 20 with probability under 1e-4.) In a bucket
     every text is compared with two pivots first. Buckets whose texts then still lie in several components are
     resolved exactly: each text outside the bucket's largest component is compared with all texts of other components,
-    but for pairs that can't reach the threshold because too many of their shingles occur in no other text.
+    but for pairs that can't reach the threshold by their sizes and by the parities of their shingles in 512 cells (each
+    shingle of one text only changes at most one parity).
     """
     ids = F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID))
     rows = docs.select(ids.alias("doc"), F.col(text_col).alias("text"))
@@ -186,14 +194,14 @@ def text_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         for batch in batches:
             for a, b, words, at, keys in _words(batch.column(0), batch.column(1)):
                 found, bounds = shingles(words, at)
-                done: dict[int, bytes] = {}
-                out = []
+                done: dict[int, tuple[bytes, bytes]] = {}
                 for k, key in enumerate(keys.tolist()):
                     if key not in done:
-                        one = found[bounds[k] : bounds[k + 1]]
-                        done[key] = order_sketches(one).tobytes() if len(one) else b""
-                    out.append(done[key])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(keys.view(np.int64)), pa.array(np.diff(bounds)), pa.array(out, pa.binary())], names=["doc", "key", "n", "sketches"])
+                        marks = labelled(found[bounds[k] : bounds[k + 1]])
+                        done[key] = (order_sketches(marks).tobytes(), parities(marks)) if len(marks) else (b"", b"")
+                out = [done[key] for key in keys.tolist()]
+                both = [pa.array([x[k] for x in out], pa.binary()) for k in range(2)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(keys.view(np.int64)), pa.array(np.diff(bounds)), *both], names=["doc", "key", "n", "sketches", "parity"])
 
     def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -202,7 +210,7 @@ def text_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             row = np.repeat(np.arange(len(data)), size)
             yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(data), dtype="<i8")), *[batch.column(c).take(pa.array(row)) for c in ("key", "n")]], names=["bucket", "key", "n"])
 
-    read = Written(rows.mapInArrow(sketch, "doc long, key long, n long, sketches binary"), "near-sketches")
+    read = Written(rows.mapInArrow(sketch, "doc long, key long, n long, sketches binary, parity binary"), "near-sketches")
     texts = read.df.groupBy("key").agg(F.first("n").alias("n"), F.first("sketches").alias("sketches")).where("n > 0")
     dealt = texts.mapInArrow(buckets, "bucket long, key long, n long").distinct()
     sizes = dealt.groupBy("bucket").agg(F.count("*").alias("texts"), F.min("key").alias("p1"), F.max("key").alias("p2")).where("texts > 1")
@@ -218,11 +226,13 @@ def text_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     open_ = parts.groupBy("bucket").agg(F.count("*").alias("parts"), F.max(F.struct("n", "component")).alias("most")).where("parts > 1")
     contested = Written(placed.join(open_.select("bucket", F.col("most.component").alias("main")), "bucket"), "near-contested").df
     if contested.take(1):
-        alone = _lonely_shingles(rows, contested.select("key").distinct())
-        rated = contested.join(alone, "key", "left").select("bucket", "key", "n", "component", "main", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("reach"))
-        rated = Written(rated.where(F.col("reach") >= F.lit(threshold) * F.col("n") - 1e-9), "near-rated").df
-        other = rated.select("bucket", *[F.col(c).alias(f"o_{c}") for c in ("key", "n", "component", "reach")])
-        enough = F.least("reach", "o_reach") * (1 + F.lit(threshold)) >= F.lit(threshold) * (F.col("n") + F.col("o_n")) - 1e-9
+        words = CELLS // 64
+        marks = read.df.join(contested.select("key").distinct(), "key", "left_semi").select("key", "parity").dropDuplicates(["key"]).mapInArrow(_parity_words, "key long, " + ", ".join(f"p{k} long" for k in range(words)))
+        rated = Written(contested.join(marks, "key"), "near-rated").df
+        other = rated.select("bucket", *[F.col(c).alias(f"o_{c}") for c in ("key", "n", "component", *[f"p{k}" for k in range(words)])])
+        need = F.ceil(F.lit(threshold) / (1 + threshold) * (F.col("n") + F.col("o_n")) - 1e-9)
+        odd = sum((F.bit_count(F.col(f"p{k}").bitwiseXOR(F.col(f"o_p{k}"))) for k in range(1, words)), F.bit_count(F.col("p0").bitwiseXOR(F.col("o_p0"))))
+        enough = (F.least("n", "o_n") >= need) & (odd <= F.col("n") + F.col("o_n") - 2 * need)
         once = (F.col("o_component") == F.col("main")) | (F.col("key") < F.col("o_key"))
         pairs = rated.where("component <> main").join(other, "bucket").where((F.col("component") != F.col("o_component")) & once & enough)
         pairs = pairs.select(F.least("key", "o_key").alias("a"), F.greatest("key", "o_key").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
@@ -233,26 +243,10 @@ def text_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return read.df.select("doc", "key").join(grouped.withColumnRenamed("node", "key"), "key", "left").select("doc", "key", F.coalesce("component", "key").alias("component"))
 
 
-def _lonely_shingles(rows: DataFrame, keys: DataFrame) -> DataFrame:
-    """(key, alone): how many of a text's labelled shingles occur in no other of the given texts."""
-    keys = Written(keys, "near-pool").df
-    bits = key_filter(keys, "key", keys.count())
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, _, words, at, own in _words(batch.column(0), batch.column(1)):
-                own = own.view(np.int64)
-                hit = np.flatnonzero(passes(bits, own))
-                _, first = np.unique(own[hit], return_index=True)
-                hit = np.sort(hit[first])
-                found, bounds = shingles(words, at)
-                parts = [labelled(found[bounds[k] : bounds[k + 1]]) for k in hit.tolist()]
-                if parts:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own[hit], [len(p) for p in parts])), pa.array(np.concatenate(parts).view(np.int64))], names=["key", "shingle"])
-
-    found = rows.mapInArrow(run, "key long, shingle long").join(keys, "key", "left_semi")
-    seen = found.groupBy("shingle").agg(F.min("key").alias("key"), F.max("key").alias("last"))
-    return seen.where("key = last").groupBy("key").agg(F.count("*").alias("alone"))
+def _parity_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        words = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype="<i8").reshape(batch.num_rows, -1)
+        yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(np.ascontiguousarray(words[:, k])) for k in range(words.shape[1])]], names=["key", *[f"p{k}" for k in range(words.shape[1])]])
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:

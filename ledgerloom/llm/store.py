@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -34,3 +35,10 @@ class Written:
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write, then read."""
     return Written(df, name).df
+
+
+def release(spark: SparkSession) -> None:
+    """Free the shuffle files of finished jobs now: Spark does so when the driver's garbage is collected, which a busy
+    executor disk may not wait for."""
+    gc.collect()
+    spark._jvm.System.gc()
