@@ -25,16 +25,14 @@ _SPOT = "doc ^ shiftleft(cast(line as bigint), 40)"
 _NO_ID = (1 << 63) - 1
 
 
-def _line_words(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(row of each line, number of each line in its row, hash of each word, line of each word)."""
+def _line_spans(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, number in its row, start, end) of every line; an empty row is one empty line."""
     breaks = np.flatnonzero(flat == 10)
-    heads = np.sort(np.r_[offsets[:-1], breaks + 1])
-    # a break at the very end of a row begins an empty last line; a head equal to the next row's start is told apart
-    rows = np.repeat(np.arange(len(offsets) - 1), 1 + np.bincount(np.searchsorted(offsets, breaks, side="right") - 1, minlength=len(offsets) - 1))
-    first = np.searchsorted(rows, np.arange(len(offsets) - 1))
-    numbers = np.arange(len(rows)) - first[rows]
-    starts, ends, _ = word_spans(flat, offsets)
-    return rows, numbers, hash_spans(flat, starts, ends), np.searchsorted(heads, starts, side="right") - 1
+    count = 1 + np.bincount(np.searchsorted(offsets, breaks, side="right") - 1, minlength=len(offsets) - 1)
+    rows = np.repeat(np.arange(len(offsets) - 1), count)
+    starts = np.sort(np.r_[offsets[:-1], breaks + 1])
+    ends = np.sort(np.r_[offsets[1:], breaks])
+    return rows, np.arange(len(rows)) - (np.cumsum(count) - count)[rows], starts, ends
 
 
 def _ordered_sets(words: np.ndarray, line: np.ndarray, lines: int, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -54,20 +52,24 @@ def _ordered_sets(words: np.ndarray, line: np.ndarray, lines: int, ranks: np.nda
     return np.concatenate(tokens), np.concatenate(owners)
 
 
-def _sets(batch: pa.RecordBatch, ranks: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
-    """By chunk of rows: (doc, line number, set key, number of tokens, tokens, first token of each line), for the lines
-    that have a token."""
+def _lines(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
+    """By chunk of rows: (text bytes, doc, line number, start, end) of the lines."""
     flat, offsets = utf8(batch.column(1))
     ids = batch.column(0).to_numpy()
     for a, b in row_chunks(offsets):
-        rows, numbers, words, line = _line_words(flat[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-        tokens, owner = _ordered_sets(words, line, len(rows), ranks)
-        if not len(tokens):
-            continue
-        heads = run_starts(owner)
-        which, sizes = owner[heads], np.diff(np.r_[heads, len(owner)])
-        key = mix64(np.add.reduceat(mix64(tokens.view(np.uint64)), heads) + sizes.astype(np.uint64)).view(np.int64)
-        yield ids[a:b][rows[which]], numbers[which], key, sizes, tokens, heads
+        part = flat[offsets[a] : offsets[b]]
+        rows, numbers, starts, ends = _line_spans(part, offsets[a : b + 1] - offsets[a])
+        yield part, ids[a:b][rows], numbers, starts, ends
+
+
+def _sets(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(which of the lines have a word, number of tokens of each of these, all tokens, first token of each)."""
+    own = flat[ranges(starts, ends - starts)]
+    bounds = np.r_[0, np.cumsum(ends - starts)]
+    begin, stop, line = word_spans(own, bounds)
+    tokens, owner = _ordered_sets(hash_spans(own, begin, stop), line, len(starts), ranks)
+    heads = run_starts(owner)
+    return owner[heads], np.diff(np.r_[heads, len(owner)]), tokens, heads
 
 
 def _prefix_sizes(n: np.ndarray, threshold: float) -> np.ndarray:
@@ -95,20 +97,23 @@ def _near(threshold: float) -> Column:
     return length & (reach >= need) & (F.bit_count(F.col("parity").bitwiseXOR(F.col("o_parity"))) <= both - 2 * need)
 
 
-def _similar(pairs: DataFrame, rows: DataFrame, ranks: np.ndarray, threshold: float) -> DataFrame:
+def _similar(pairs: DataFrame, rows: DataFrame, ranks: np.ndarray, threshold: float) -> Written:
     """Of pairs (doc, line; o_doc, o_line) of first lines: the lines (doc, line) that are similar to their partner.
 
-    The sets of the lines in pairs are read from the texts again: a filter of bounded size lets few others pass.
+    The lines in pairs are read from the texts again: a filter of bounded size lets few others pass, and only those
+    that pass are split into words.
     """
     wanted = pairs.select("doc", "line").unionByName(pairs.select(F.col("o_doc").alias("doc"), F.col("o_line").alias("line"))).distinct()
-    wanted = Written(wanted.select("doc", "line", F.expr(_SPOT).alias("spot")), "line-wanted").df
-    bits = key_filter(wanted, "spot", wanted.count())
+    wanted = Written(wanted.select("doc", "line", F.expr(_SPOT).alias("spot")), "line-wanted")
+    bits = key_filter(wanted.df, "spot", wanted.df.count())
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc, number, _, sizes, tokens, heads in _sets(batch, ranks):
+            for flat, doc, number, starts, ends in _lines(batch):
                 hit = np.flatnonzero(passes(bits, doc ^ (number.astype(np.int64) << 40)))
-                yield pa.RecordBatch.from_arrays([pa.array(doc[hit]), pa.array(number[hit].astype(np.int32)), _binary(tokens, heads[hit], sizes[hit])], names=["doc", "line", "tokens"])
+                which, sizes, tokens, heads = _sets(flat, starts[hit], ends[hit], ranks)
+                hit = hit[which]
+                yield pa.RecordBatch.from_arrays([pa.array(doc[hit]), pa.array(number[hit].astype(np.int32)), _binary(tokens, heads, sizes)], names=["doc", "line", "tokens"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -125,11 +130,14 @@ def _similar(pairs: DataFrame, rows: DataFrame, ranks: np.ndarray, threshold: fl
             good = pa.array(both >= threshold * (n + o - both) - 1e-9)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(good), batch.column(1).filter(good)], names=["doc", "line"])
 
-    found = rows.mapInArrow(read, "doc long, line int, tokens binary").join(wanted, ["doc", "line"], "left_semi")
-    found = Written(found.dropDuplicates(["doc", "line"]), "line-found").df  # repeated ids: one of the rows
-    theirs = found.select(F.col("doc").alias("o_doc"), F.col("line").alias("o_line"), F.col("tokens").alias("theirs"))
-    joined = pairs.join(found, ["doc", "line"]).join(theirs, ["o_doc", "o_line"]).select("doc", "line", "tokens", "theirs")
-    return joined.mapInArrow(verify, "doc long, line int").distinct()
+    found = rows.mapInArrow(read, "doc long, line int, tokens binary").join(wanted.df, ["doc", "line"], "left_semi")
+    found = Written(found.dropDuplicates(["doc", "line"]), "line-found")  # repeated ids: one of the rows
+    theirs = found.df.select(F.col("doc").alias("o_doc"), F.col("line").alias("o_line"), F.col("tokens").alias("theirs"))
+    joined = pairs.join(found.df, ["doc", "line"]).join(theirs, ["o_doc", "o_line"]).select("doc", "line", "tokens", "theirs")
+    out = Written(joined.mapInArrow(verify, "doc long, line int").distinct(), "line-matches")
+    wanted.drop()
+    found.drop()
+    return out
 
 
 def _flat64(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -146,7 +154,7 @@ def later_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     line is removed if the Jaccard similarity with any earlier line, removed or not, is at least ``threshold``. Lines
     without words are never removed and match nothing.
 
-    The join: equal sets are merged first; a set stands where its first line does. Words are ordered by rarity (a
+    The join: equal lines are merged first, by a 64-bit hash of their text; they stand where the first one does. Words are ordered by rarity (a
     count table of fixed size over all rows); sets that are similar share one of their first n - ceil(threshold n) + 1
     words. Rows that share such a word are compared under length, positional and bitmap filters, and what passes is
     verified on the whole sets. Before that, words that may be frequent are dealt to tasks apart, where every row is
@@ -172,14 +180,21 @@ def later_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     def all_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc, number, key, sizes, tokens, heads in _sets(batch, ranks):
+            for part, doc, number, starts, ends in _lines(batch):
+                which, sizes, tokens, heads = _sets(part, starts, ends, ranks)
+                if not len(which):
+                    continue
+                text = hash_spans(part, starts[which], ends[which]).view(np.int64)
+                order = np.lexsort((number[which], doc[which], text))  # of equal lines of a chunk the earliest
+                text_first = order[run_starts(text[order])]
+                at = which[text_first]
                 parity = np.bitwise_xor.reduceat(np.uint64(1) << (tokens.view(np.uint64) & np.uint64(63)), heads).view(np.int64)
-                prefix = _binary(tokens, heads, _prefix_sizes(sizes, threshold))
-                yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(number.astype(np.int32)), pa.array(key), pa.array(sizes.astype(np.int32)), pa.array(parity), prefix], names=["doc", "line", "key", "n", "parity", "prefix"])
+                prefix = _binary(tokens, heads[text_first], _prefix_sizes(sizes[text_first], threshold))
+                yield pa.RecordBatch.from_arrays([pa.array(doc[at]), pa.array(number[at].astype(np.int32)), pa.array(text[text_first]), pa.array(sizes[text_first].astype(np.int32)), pa.array(parity[text_first]), prefix], names=["doc", "line", "key", "n", "parity", "prefix"])
 
     found = rows.mapInArrow(all_sets, "doc long, line int, key long, n int, parity long, prefix binary")
     first = found.groupBy("key").agg(F.min(F.struct("doc", "line")).alias("at"), F.first("n").alias("n"), F.first("parity").alias("parity"), F.first("prefix").alias("prefix"))
-    distinct = Written(first.select("key", "at.doc", "at.line", "n", "parity", "prefix"), "line-sets").df
+    distinct = Written(first.select("key", "at.doc", "at.line", "n", "parity", "prefix"), "line-texts")
     del found, first
     release(spark)
 
@@ -203,11 +218,13 @@ def later_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         return run
 
     fields = "token long, part int, doc long, line int, n int, parity long, bound long, pos int"
-    flat = distinct.select("doc", "line", "n", "parity", F.col("doc").alias("bound"), "prefix")
+    flat = distinct.df.select("doc", "line", "n", "parity", F.col("doc").alias("bound"), "prefix")
     dealt = flat.mapInArrow(entries(True), fields).drop("bound").repartition("token", "part").sortWithinPartitions("token", "part", "doc", "line")
     early = dealt.mapInArrow(_with_first(threshold), "doc long, line int, o_doc long, o_line int")
-    pairs = Written(early.distinct(), "line-pairs").df
-    removed = Written(_similar(pairs, rows, ranks, threshold), "line-matches").df
+    pairs = Written(early.distinct(), "line-pairs")
+    removed = _similar(pairs.df, rows, ranks, threshold).df
+    pairs.drop()
+    del dealt, early
     release(spark)
     # all the others: a row whose line is removed already looks for no earlier ones (its bound is below all ids)
     state = flat.drop("bound").join(removed.withColumn("gone", F.lit(True)), ["doc", "line"], "left")
@@ -215,20 +232,21 @@ def later_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     mine = flat.mapInArrow(entries(False), fields).drop("part")
     other = mine.select("token", *[F.col(c).alias(f"o_{c}") for c in ("doc", "line", "n", "parity", "pos")])
     earlier = (F.col("o_doc") < F.col("bound")) | ((F.col("o_doc") == F.col("bound")) & (F.col("o_line") < F.col("line")))
-    pairs = Written(mine.join(other, "token").where(earlier & _near(threshold)).select("doc", "line", "o_doc", "o_line").distinct(), "line-pairs").df
-    if pairs.take(1):
-        removed = removed.unionByName(Written(_similar(pairs, rows, ranks, threshold), "line-matches").df)
-    del mine, other, dealt, early
+    pairs = Written(mine.join(other, "token").where(earlier & _near(threshold)).select("doc", "line", "o_doc", "o_line").distinct(), "line-pairs")
+    if pairs.df.take(1):
+        removed = removed.unionByName(_similar(pairs.df, rows, ranks, threshold).df)
+    pairs.drop()
+    del mine, other, state, flat
     release(spark)
 
-    def keys_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def texts_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc, number, key, *_ in _sets(batch, ranks):
-                yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(number.astype(np.int32)), pa.array(key)], names=["doc", "line", "key"])
+            for part, doc, number, starts, ends in _lines(batch):
+                yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(number.astype(np.int32)), pa.array(hash_spans(part, starts, ends).view(np.int64))], names=["doc", "line", "key"])
 
-    gone = distinct.select("key", F.col("doc").alias("f_doc"), F.col("line").alias("f_line"))
-    gone = gone.join(removed.select(F.col("doc").alias("f_doc"), F.col("line").alias("f_line"), F.lit(True).alias("gone")), ["f_doc", "f_line"], "left")
-    hit = rows.mapInArrow(keys_only, "doc long, line int, key long").join(gone, "key").where("gone or doc <> f_doc or line <> f_line")
+    places = distinct.df.select("key", F.col("doc").alias("f_doc"), F.col("line").alias("f_line"))
+    gone = removed.select(F.col("doc").alias("f_doc"), F.col("line").alias("f_line"), F.lit(True).alias("gone"))
+    hit = rows.mapInArrow(texts_only, "doc long, line int, key long").join(places.join(gone, ["f_doc", "f_line"], "left"), "key").where("gone or doc <> f_doc or line <> f_line")
     return hit.groupBy("doc").agg(F.sort_array(F.collect_set("line")).alias("lines"))
 
 
