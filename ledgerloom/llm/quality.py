@@ -153,23 +153,31 @@ def _tree(g: np.ndarray, h: np.ndarray, depth: int = 2) -> np.ndarray:
 
 
 def _pair_tree(g: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """A tree over a grid: cut one side, then each half on the other side; the better order of sides."""
+    """A tree over a grid: cut one side, then each half on the other side. The first cut is the one after which the two
+    second cuts gain most, so that a pure interaction, which no single cut shows, is found; the better order of sides."""
     best, out = -1.0, np.zeros_like(g)
     for turned in (False, True):
         one, two = (g.T, h.T) if turned else (g, h)
-        cut = _split(one.sum(axis=1), two.sum(axis=1))
-        step = np.empty_like(one)
-        gain = 0.0
-        for part in ((slice(0, cut), slice(cut, None)) if cut else (slice(None),)):
-            a, b = one[part].sum(axis=0), two[part].sum(axis=0)
-            row = _tree(a, b, 1)
-            gain += float((a * row).sum())
-            step[part] = row
-        if gain > best:
-            best, out = gain, step.T if turned else step
+        top_g, top_h = np.cumsum(one, axis=0)[:-1], np.cumsum(two, axis=0)[:-1]
+        halves = ((top_g, top_h), (one.sum(axis=0) - top_g, two.sum(axis=0) - top_h))
+        gains = sum(_cut_gains(a, b).max(axis=1) for a, b in halves)
+        cut = int(gains.argmax()) + 1
+        if gains[cut - 1] > best:
+            best = float(gains[cut - 1])
+            step = np.empty_like(one)
+            step[:cut] = _tree(halves[0][0][cut - 1], halves[0][1][cut - 1], 1)
+            step[cut:] = _tree(halves[1][0][cut - 1], halves[1][1][cut - 1], 1)
+            out = step.T if turned else step
     return out
 
 
+def _cut_gains(g: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Gain of every cut of every row of bins."""
+    left_g, left_h = np.cumsum(g, axis=1)[:, :-1], np.cumsum(h, axis=1)[:, :-1]
+    right_g, right_h = g.sum(axis=1, keepdims=True) - left_g, h.sum(axis=1, keepdims=True) - left_h
+    return np.where((left_h < LEAF) | (right_h < LEAF), 0.0, left_g**2 / (left_h + 1) + right_g**2 / (right_h + 1))
+
+
 def fit(x: np.ndarray, y: np.ndarray) -> Model:
     """Cyclic boosting: round by round each feature in turn gets a shallow tree on the gradients of its bins; then the
     pairs whose grids explain most of what is left get trees in turn. Without rows of both labels: the prior alone."""

@@ -41,7 +41,7 @@ def passes_for(rows: int, threshold: float) -> int:
 def _unit(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(rows of the usable vectors, unit vectors in double precision) of one batch; all usable rows have one width."""
     sizes = column.value_lengths().fill_null(0).to_numpy()
-    return sizes, column.flatten().cast(pa.float64()).fill_null(float("nan")).to_numpy(zero_copy_only=False)
+    return sizes, column.flatten().cast(pa.float64()).fill_null(float("nan")).to_numpy(zero_copy_only=False).copy()
 
 
 def vector_links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = 0.93) -> DataFrame:
@@ -67,10 +67,10 @@ def vector_links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
             bounds = np.r_[0, np.cumsum(sizes)]
             row = np.repeat(np.arange(len(sizes)), sizes)
             norm2 = np.bincount(row, weights=flat * flat, minlength=len(sizes))
-            wide = np.isinf(norm2)  # squares beyond the range: scale first
-            for k in np.flatnonzero(wide).tolist():
+            far = np.isinf(norm2) | (norm2 < 1e-200)  # squares out of range: scale first
+            for k in np.flatnonzero(far).tolist():
                 own = flat[bounds[k] : bounds[k + 1]]
-                if np.isfinite(own).all():
+                if np.isfinite(own).all() and own.any():
                     flat[bounds[k] : bounds[k + 1]] = own / np.abs(own).max()
                     norm2[k] = (flat[bounds[k] : bounds[k + 1]] ** 2).sum()
             label = batch.column(2)
