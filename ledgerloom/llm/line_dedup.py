@@ -213,25 +213,26 @@ def later_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                     mixed = mix64(tokens.view(np.uint64) + batch.column(0).to_numpy()[row].view(np.uint64))
                     parts = (mixed % tasks.astype(np.uint64)).astype(np.int64)
                 taken = [batch.column(k).take(pa.array(row)) for k in range(5)]
-                yield pa.RecordBatch.from_arrays([pa.array(tokens), pa.array(parts[: len(tokens)].astype(np.int32)), *taken, pa.array(pos.astype(np.int32))], names=["token", "part", "doc", "line", "n", "parity", "bound", "pos"])
+                yield pa.RecordBatch.from_arrays([pa.array(tokens), pa.array(parts[: len(tokens)].astype(np.int32)), *taken, pa.array(pos.astype(np.int32))], names=["token", "part", "doc", "line", "n", "parity", "open", "pos"])
 
         return run
 
-    fields = "token long, part int, doc long, line int, n int, parity long, bound long, pos int"
-    flat = distinct.df.select("doc", "line", "n", "parity", F.col("doc").alias("bound"), "prefix")
-    dealt = flat.mapInArrow(entries(True), fields).drop("bound").repartition("token", "part").sortWithinPartitions("token", "part", "doc", "line")
+    fields = "token long, part int, doc long, line int, n int, parity long, open int, pos int"
+    flat = distinct.df.select("doc", "line", "n", "parity", F.lit(1).alias("open"), "prefix")
+    dealt = flat.mapInArrow(entries(True), fields).drop("open").repartition("token", "part").sortWithinPartitions("token", "part", "doc", "line")
     early = dealt.mapInArrow(_with_first(threshold), "doc long, line int, o_doc long, o_line int")
     pairs = Written(early.distinct(), "line-pairs")
     removed = _similar(pairs.df, rows, ranks, threshold).df
     pairs.drop()
     del dealt, early
     release(spark)
-    # all the others: a row whose line is removed already looks for no earlier ones (its bound is below all ids)
-    state = flat.drop("bound").join(removed.withColumn("gone", F.lit(True)), ["doc", "line"], "left")
-    flat = state.select("doc", "line", "n", "parity", F.when(F.col("gone"), F.lit(-(1 << 63))).otherwise(F.col("doc")).alias("bound"), "prefix")
+    # all the others: a line that is removed already looks for no earlier ones (open is 0), but others may find it. Both
+    # sides hold the same columns, and the condition reads all of them, so that they are dealt out once
+    state = flat.drop("open").join(removed.withColumn("gone", F.lit(True)), ["doc", "line"], "left")
+    flat = state.select("doc", "line", "n", "parity", F.when(F.col("gone"), 0).otherwise(1).alias("open"), "prefix")
     mine = flat.mapInArrow(entries(False), fields).drop("part")
-    other = mine.select("token", *[F.col(c).alias(f"o_{c}") for c in ("doc", "line", "n", "parity", "pos")])
-    earlier = (F.col("o_doc") < F.col("bound")) | ((F.col("o_doc") == F.col("bound")) & (F.col("o_line") < F.col("line")))
+    other = mine.select("token", *[F.col(c).alias(f"o_{c}") for c in ("doc", "line", "n", "parity", "open", "pos")])
+    earlier = ((F.col("o_doc") < F.col("doc")) | ((F.col("o_doc") == F.col("doc")) & (F.col("o_line") < F.col("line")))) & (F.col("open") * 2 + F.col("o_open") >= 2)
     pairs = Written(mine.join(other, "token").where(earlier & _near(threshold)).select("doc", "line", "o_doc", "o_line").distinct(), "line-pairs")
     if pairs.df.take(1):
         removed = removed.unionByName(_similar(pairs.df, rows, ranks, threshold).df)
