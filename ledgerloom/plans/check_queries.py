@@ -77,7 +77,7 @@ add("utc_partitions", lambda f: B.utc_partition(f(E)).groupBy("migration_id", "y
 SELECT migration_id, CAST(year(effective_at) AS BIGINT) AS year, CAST(month(effective_at) AS BIGINT) AS month, CAST(day(effective_at) AS BIGINT) AS day, year(effective_at) BETWEEN 2020 AND 2035 AS partition_ok, count(*) AS rows FROM ev GROUP BY ALL""")
 add("token_amounts", lambda f: f(A).where("template_id like '%Amulet'").select("contract_id", "snapshot_time", C.pick_owner(F.col("payload")).alias("owner"), C.pick_amount(F.col("payload")).alias("amount"), C.pick_locked_amount(F.col("payload")).alias("locked_amount"), C.to_coin(C.pick_amount(F.col("payload")) * 1_000_000).alias("coins")), f"""
 SELECT contract_id, {T("snapshot_time")}, {J("owner")} AS owner, {R("a", "amount")}, {R("b", "locked_amount")}, {R("a / 10000", "coins")} FROM (SELECT *, TRY_CAST({J("amount.initialAmount")} AS DOUBLE) AS a, TRY_CAST({J("amulet.amount.initialAmount")} AS DOUBLE) AS b FROM acs WHERE template_id LIKE '%Amulet')""")
-add("daml_times", lambda f: f("ledger_base").select("id", C.normal_time(F.expr("case id % 5 when 0 then date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss'Z'\") when 1 then cast(unix_seconds(ts) as string) when 2 then concat('{\"microsecondsSinceEpoch\":\"', cast(unix_micros(ts) as string), '\"}') when 3 then concat('{\"seconds\":', cast(unix_seconds(ts) as string), ',\"nanos\":0}') else concat('{\"unixtime\":\"', cast(unix_seconds(ts) as string), '\"}') end")).alias("at")),
+add("ledger_times", lambda f: f("ledger_base").select("id", C.normal_time(F.expr("case id % 5 when 0 then date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss'Z'\") when 1 then cast(unix_seconds(ts) as string) when 2 then concat('{\"microsecondsSinceEpoch\":\"', cast(unix_micros(ts) as string), '\"}') when 3 then concat('{\"seconds\":', cast(unix_seconds(ts) as string), ',\"nanos\":0}') else concat('{\"unixtime\":\"', cast(unix_seconds(ts) as string), '\"}') end")).alias("at")),
     f"SELECT id, {T('ts', 'at')} FROM base")
 
 # lookups

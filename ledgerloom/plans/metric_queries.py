@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.columns import json_text, money, pick_amount
+from ledgerloom.functions.columns import json_text, money
 from ledgerloom.operators import lifecycle as L
 from ledgerloom.operators import metrics as M
 from ledgerloom.operators.views import template_view
