@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -18,8 +20,8 @@ from ledgerloom.llm.store import Written
 
 #: Words of a shingle, minima kept by a sketch, and sketches of a document.
 SHINGLE, MINIMA, SKETCHES = 5, 3, 20
-#: Cells of the parity table of a text.
-CELLS = 512
+#: Cells of a parity table of a text, and tables (of different bits of the shingles' hashes).
+CELLS, TABLES = 512, 2
 _NO_ID = (1 << 63) - 1
 _ODD = mix64(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
 
@@ -52,9 +54,10 @@ def labelled(one: np.ndarray) -> np.ndarray:
 
 
 def parities(marks: np.ndarray) -> bytes:
-    """Parity of the number of labelled shingles in each of CELLS cells, as 64-bit words."""
-    odd = np.bincount((marks & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS) & 1
-    return np.packbits(odd.astype(np.uint8)).tobytes()
+    """Parity of the number of labelled shingles in each cell of each table, as 64-bit words."""
+    tables = [(marks >> np.uint64(20 * k)) & np.uint64(CELLS - 1) for k in range(TABLES)]
+    odd = [np.bincount(t.astype(np.int64), minlength=CELLS) & 1 for t in tables]
+    return np.packbits(np.concatenate(odd).astype(np.uint8)).tobytes()
 
 
 def order_sketches(marks: np.ndarray) -> np.ndarray:
@@ -184,8 +187,8 @@ def text_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     hash, in text order. (A pair at similarity 0.8 shares none of the 20 with probability under 1e-4.) In a bucket
     every text is compared with two pivots first. Buckets whose texts then still lie in several components are
     resolved exactly: each text outside the bucket's largest component is compared with all texts of other components,
-    but for pairs that can't reach the threshold by their sizes and by the parities of their shingles in 512 cells (each
-    shingle of one text only changes at most one parity).
+    but for pairs that can't reach the threshold by their sizes and by the parities of their shingles in two tables of 512 cells
+    (each shingle of one text only changes at most one parity).
     """
     ids = F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID))
     rows = docs.select(ids.alias("doc"), F.col(text_col).alias("text"))
@@ -226,13 +229,15 @@ def text_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     open_ = parts.groupBy("bucket").agg(F.count("*").alias("parts"), F.max(F.struct("n", "component")).alias("most")).where("parts > 1")
     contested = Written(placed.join(open_.select("bucket", F.col("most.component").alias("main")), "bucket"), "near-contested").df
     if contested.take(1):
-        words = CELLS // 64
+        words = TABLES * CELLS // 64
         marks = read.df.join(contested.select("key").distinct(), "key", "left_semi").select("key", "parity").dropDuplicates(["key"]).mapInArrow(_parity_words, "key long, " + ", ".join(f"p{k} long" for k in range(words)))
         rated = Written(contested.join(marks, "key"), "near-rated").df
         other = rated.select("bucket", *[F.col(c).alias(f"o_{c}") for c in ("key", "n", "component", *[f"p{k}" for k in range(words)])])
         need = F.ceil(F.lit(threshold) / (1 + threshold) * (F.col("n") + F.col("o_n")) - 1e-9)
-        odd = sum((F.bit_count(F.col(f"p{k}").bitwiseXOR(F.col(f"o_p{k}"))) for k in range(1, words)), F.bit_count(F.col("p0").bitwiseXOR(F.col("o_p0"))))
-        enough = (F.least("n", "o_n") >= need) & (odd <= F.col("n") + F.col("o_n") - 2 * need)
+        enough = F.least("n", "o_n") >= need
+        for k in range(TABLES):
+            at = range(k * CELLS // 64, (k + 1) * CELLS // 64)
+            enough &= reduce(add, [F.bit_count(F.col(f"p{w}").bitwiseXOR(F.col(f"o_p{w}"))) for w in at]) <= F.col("n") + F.col("o_n") - 2 * need
         once = (F.col("o_component") == F.col("main")) | (F.col("key") < F.col("o_key"))
         pairs = rated.where("component <> main").join(other, "bucket").where((F.col("component") != F.col("o_component")) & once & enough)
         pairs = pairs.select(F.least("key", "o_key").alias("a"), F.greatest("key", "o_key").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
