@@ -85,16 +85,15 @@ def _binary(values: np.ndarray, heads: np.ndarray, sizes: np.ndarray) -> pa.Arra
 
 
 def _near(threshold: float) -> Column:
-    """Length, positional and bitmap filter of two rows of one prefix token; none drops a pair over the threshold.
-
-    Of sizes n and o_n, need tokens must be shared; at places pos and o_pos no more than the rest can be; and each
-    token in one set only changes at most one bit of the sets' parities.
+    """Length, positional and bitmap filter of two rows (m_, o_) of one prefix token; none drops a pair over the
+    threshold. Of sizes n, need tokens must be shared; at places pos no more than the rest can be; and each token in one
+    set only changes at most one bit of the sets' parities.
     """
-    both = F.col("n") + F.col("o_n")
-    need = F.ceil(F.lit(threshold) / (1 + threshold) * both - 1e-9)
-    reach = F.least(F.col("n") - F.col("pos"), F.col("o_n") - F.col("o_pos"))
-    length = (F.col("n") >= F.lit(threshold) * F.col("o_n") - 1e-9) & (F.col("o_n") >= F.lit(threshold) * F.col("n") - 1e-9)
-    return length & (reach >= need) & (F.bit_count(F.col("parity").bitwiseXOR(F.col("o_parity"))) <= both - 2 * need)
+    n, o = F.col("m_n"), F.col("o_n")
+    need = F.ceil(F.lit(threshold) / (1 + threshold) * (n + o) - 1e-9)
+    reach = F.least(n - F.col("m_pos"), o - F.col("o_pos"))
+    length = F.least(n, o) >= F.lit(threshold) * F.greatest(n, o) - 1e-9
+    return length & (reach >= need) & (F.bit_count(F.col("m_parity").bitwiseXOR(F.col("o_parity"))) <= n + o - 2 * need)
 
 
 def _similar(pairs: DataFrame, rows: DataFrame, ranks: np.ndarray, threshold: float) -> Written:
@@ -227,17 +226,18 @@ def later_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     del dealt, early
     release(spark)
     # all the others: a line that is removed already looks for no earlier ones (open is 0), but others may find it. Both
-    # sides hold the same columns, and the condition reads all of them, so that they are dealt out once
+    # sides hold the same columns under new names and the condition reads all of them, so that rows are dealt out once
     state = flat.drop("open").join(removed.withColumn("gone", F.lit(True)), ["doc", "line"], "left")
     flat = state.select("doc", "line", "n", "parity", F.when(F.col("gone"), 0).otherwise(1).alias("open"), "prefix")
-    mine = flat.mapInArrow(entries(False), fields).drop("part")
-    other = mine.select("token", *[F.col(c).alias(f"o_{c}") for c in ("doc", "line", "n", "parity", "open", "pos")])
-    earlier = ((F.col("o_doc") < F.col("doc")) | ((F.col("o_doc") == F.col("doc")) & (F.col("o_line") < F.col("line")))) & (F.col("open") * 2 + F.col("o_open") >= 2)
-    pairs = Written(mine.join(other, "token").where(earlier & _near(threshold)).select("doc", "line", "o_doc", "o_line").distinct(), "line-pairs")
+    every = flat.mapInArrow(entries(False), fields).drop("part")
+    mine, other = (every.select(*[F.col(c).alias(side + c) for c in every.columns]) for side in ("m_", "o_"))
+    earlier = ((F.col("o_doc") < F.col("m_doc")) | ((F.col("o_doc") == F.col("m_doc")) & (F.col("o_line") < F.col("m_line")))) & (F.col("m_open") * 2 + F.col("o_open") >= 2)
+    found = mine.join(other, F.col("m_token") == F.col("o_token")).where(earlier & _near(threshold))
+    pairs = Written(found.select(F.col("m_doc").alias("doc"), F.col("m_line").alias("line"), "o_doc", "o_line").distinct(), "line-pairs")
     if pairs.df.take(1):
         removed = removed.unionByName(_similar(pairs.df, rows, ranks, threshold).df)
     pairs.drop()
-    del mine, other, state, flat
+    del every, mine, other, found, state, flat
     release(spark)
 
     def texts_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
