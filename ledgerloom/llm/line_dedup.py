@@ -19,6 +19,8 @@ CELLS = 1 << 18
 HOT_ROWS = 20_000
 #: Occurrences from which a word is frequent: its rows are compared with the earliest one first.
 FREQUENT = 256
+#: Frequent words of a line that it is tried under at first, before all its first words are compared.
+FIRST_TRIED = 2
 _HASH_BITS = 40
 #: A line's place as one number, for the filter of wanted lines.
 _SPOT = "doc ^ shiftleft(cast(line as bigint), 40)"
@@ -129,7 +131,7 @@ def _similar(pairs: DataFrame, rows: DataFrame, ranks: np.ndarray, threshold: fl
             good = pa.array(both >= threshold * (n + o - both) - 1e-9)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(good), batch.column(1).filter(good)], names=["doc", "line"])
 
-    found = rows.mapInArrow(read, "doc long, line int, tokens binary").join(wanted.df, ["doc", "line"], "left_semi")
+    found = rows.mapInArrow(read, "doc long, line int, tokens binary")
     found = Written(found.dropDuplicates(["doc", "line"]), "line-found")  # repeated ids: one of the rows
     theirs = found.df.select(F.col("doc").alias("o_doc"), F.col("line").alias("o_line"), F.col("tokens").alias("theirs"))
     joined = pairs.join(found.df, ["doc", "line"]).join(theirs, ["o_doc", "o_line"]).select("doc", "line", "tokens", "theirs")
@@ -157,7 +159,7 @@ def later_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     count table of fixed size over all rows); sets that are similar share one of their first n - ceil(threshold n) + 1
     words. Rows that share such a word are compared under length, positional and bitmap filters, and what passes is
     verified on the whole sets. Before that, words that may be frequent are dealt to tasks apart, where every row is
-    compared with the earliest one: a line that this removes needs no other comparison, so that a large group of
+    compared with the earliest one (a line is tried under its two rarest frequent words): a line that this removes needs no other comparison, so that a large group of
     similar lines costs one comparison a line. Ids must be whole numbers; a null id counts as the largest one,
     repeated ids as one document.
     """
@@ -208,6 +210,8 @@ def later_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 if frequent:
                     tasks = spread[tokens >> _HASH_BITS]
                     keep = tasks > 0
+                    so_far = np.cumsum(keep) - keep
+                    keep &= so_far - so_far[np.minimum(offsets[:-1], max(len(row) - 1, 0))][row] < FIRST_TRIED  # the rarest of them
                     tokens, row, pos, tasks = tokens[keep], row[keep], pos[keep], tasks[keep]
                     mixed = mix64(tokens.view(np.uint64) + batch.column(0).to_numpy()[row].view(np.uint64))
                     parts = (mixed % tasks.astype(np.uint64)).astype(np.int64)

@@ -39,6 +39,7 @@ def cut(df: DataFrame, name: str) -> DataFrame:
 
 def release(spark: SparkSession) -> None:
     """Free the shuffle files of finished jobs now: Spark does so when the driver's garbage is collected, which a busy
-    executor disk may not wait for."""
+    executor disk may not wait for. The session holds on to its last query, so an empty one follows first."""
+    spark.range(0).collect()
     gc.collect()
     spark._jvm.System.gc()
