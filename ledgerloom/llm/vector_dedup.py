@@ -1,4 +1,4 @@
-"""Near-duplicate embeddings by sorted projection passes, and exact link counts within the groups they find."""
+"""Near-duplicate embeddings by sorted projection passes, and an exact step over the blocks of a label."""
 
 from __future__ import annotations
 
@@ -19,8 +19,8 @@ from ledgerloom.llm.store import Written
 WINDOW, SIGNS, TOGETHER = 32, 60, 7
 #: Chance of missing a link in all passes that sets their number, and the seed of the projections.
 MISS, SEED = 1e-4, 20_231
-#: Vectors in one block of the exact count.
-BLOCK = 256
+#: Vectors in one block of the exact step, numbers in one tile of blocks, and tiles on one side of a task's cell.
+BLOCK, TILE, SIDE_TILES = 256, 1 << 17, 16
 
 
 def _signs(width: int, number: int) -> np.ndarray:
@@ -28,7 +28,8 @@ def _signs(width: int, number: int) -> np.ndarray:
 
 
 def passes_for(rows: int, threshold: float) -> int:
-    """Passes after which a pair at the threshold has been within a window with probability 1 - MISS.
+    """Passes after which a pair at the threshold has been within a window with probability 1 - MISS, if the vectors
+    spread evenly over the signs.
 
     Sorted among ``rows`` vectors, a pair meets in a window if it shares its first log2(rows / WINDOW) signs (or the
     keys differ later than that); each sign is equal with probability 1 - angle / pi.
@@ -52,8 +53,9 @@ def vector_links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     with nothing. Equal vectors of a label are one until the end. In a pass the vectors of a label are sorted by the
     signs of random projections, read as one word; each is compared with the WINDOW ones before it, across the
     partitions' borders too, and pairs over the threshold are united. The number of passes follows the largest label.
-    Links lie within components, so every vector's links are then counted exactly, block by block, in its component:
-    blocks whose radius and distance settle all their pairs at once are not multiplied.
+    The passes unite most vectors cheaply, but promise nothing where a label is dense. So all pairs of a label are then
+    settled exactly, block by block: that counts every vector's links and unites what no window held. Blocks whose
+    radius and distance settle all their pairs at once are not multiplied.
     component_id is the smallest id of a component; a null id counts as the largest one, and repeated rows as vectors
     of their own. An empty table gives an empty result. Other columns are not read.
     """
@@ -98,9 +100,15 @@ def vector_links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     if links is None:
         links = read.select(F.col("key").alias("a"), F.col("key").alias("b")).where("false")
     grouped = Written(components(links), "vector-components").df
-    counts = _counts(distinct.join(grouped.withColumnRenamed("node", "key"), "key"), threshold)
-    state = distinct.select("key", "copies", "least").join(grouped.withColumnRenamed("node", "key"), "key", "left").join(counts, "key", "left")
-    state = state.select("key", "copies", F.coalesce("component", "key").alias("component"), "least", F.coalesce("linked", "copies").alias("linked"))
+    members = distinct.join(grouped.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
+    pairs = _all_pairs(members, threshold)
+    counts = pairs.where("not edge").groupBy(F.col("a").alias("key")).agg(F.sum("b").alias("linked"))
+    edges = pairs.where("edge").select("a", "b")
+    state = members.select("key", "copies", "component", "least").join(counts, "key", "left")
+    if edges.take(1):
+        united = Written(components(edges), "vector-united").df.select(F.col("node").alias("component"), F.col("component").alias("whole"))
+        state = state.join(united, "component", "left").withColumn("component", F.coalesce("whole", "component"))
+    state = state.select("key", "component", "least", F.coalesce("linked", "copies").alias("linked"))
     least = state.groupBy("component").agg(F.min("least").alias("component_id"))
     state = Written(state.join(least, "component").select(F.col("key").alias("of"), "linked", "component_id"), "vector-state").df
     joined = read.join(state, (F.col("key") == F.col("of")) & (F.col("width") > 0), "left")
@@ -213,9 +221,14 @@ def _window_rows(table: pa.Table, threshold: float, fresh: int) -> tuple[np.ndar
     return np.concatenate(left), np.concatenate(right)
 
 
-def _counts(members: DataFrame, threshold: float) -> DataFrame:
-    """(key, linked): copies of all vectors of the same component at or over the threshold, itself included."""
-    signed = members.select("component", "key", "copies", "width", "vector", "label")
+def _all_pairs(members: DataFrame, threshold: float) -> DataFrame:
+    """(edge, a, b) from all pairs of a label and width: for edge false the copies b of all vectors at or over the
+    threshold of vector a, itself included (to be summed); for edge true two components a, b that a link unites.
+
+    Tiles of vectors that are neighbours in the order of the sign words are dealt to cells of a grid, so that no task
+    holds a whole label. Of two tiles, blocks whose balls settle all their pairs at once are not multiplied.
+    """
+    signed = members.select("label", "width", "key", "copies", "component", "vector")
 
     def word(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -225,54 +238,92 @@ def _counts(members: DataFrame, threshold: float) -> DataFrame:
                 bits = (_matrix(part) @ _signs(w, 1 << 20)) > 0
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(bits.astype(np.int64) @ (np.int64(1) << np.arange(SIGNS - 1, -1, -1, dtype=np.int64)))], names=[*part.schema.names, "word"])
 
-    fields = "component long, key long, copies long, width int, vector array<double>, label long"
-    placed = signed.mapInArrow(word, fields + ", word long")
-    # blocks of at most BLOCK members that lie close together: neighbours in the order of the sign words
-    order = ["component", "word", "key"]
-    ordered = placed.repartitionByRange(*order).sortWithinPartitions(*order)
+    fields = "label long, width int, key long, copies long, component long, vector array<double>"
+    order = ["label", "width", "word", "key"]
+    ordered = signed.mapInArrow(word, fields + ", word long").repartitionByRange(*order).sortWithinPartitions(*order)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, number = TaskContext.get().partitionId() << 32, 0
+        number = TaskContext.get().partitionId() << 32
         for batch in batches:
-            component = batch.column("component").to_numpy()
-            heads = np.r_[run_starts(component), len(component)]
-            out: dict[str, list] = {n: [] for n in ("component", "block", "width", "keys", "copies", "matrix")}
-            for a, b in zip(heads[:-1].tolist(), heads[1:].tolist(), strict=True):
-                for k in range(a, b, BLOCK):
-                    part = batch.slice(k, min(BLOCK, b - k))
-                    values = (component[k], task + number, part.column("width")[0].as_py(), part.column("key").to_numpy().tobytes(), part.column("copies").to_numpy().tobytes(), _matrix(part).tobytes())
+            label, width = batch.column("label").to_numpy(), batch.column("width").to_numpy()
+            heads = [*np.flatnonzero(np.r_[True, (label[1:] != label[:-1]) | (width[1:] != width[:-1])]).tolist(), len(label)] if len(label) else [0]
+            for a, b in zip(heads[:-1], heads[1:], strict=True):
+                size = _tile(int(width[a]))
+                for k in range(a, b, size):
+                    part = batch.slice(k, min(size, b - k))
+                    data = [part.column(c).to_numpy().tobytes() for c in ("key", "copies", "component")]
+                    yield pa.RecordBatch.from_pydict({"label": pa.array([label[a]]), "width": pa.array([width[a]], pa.int32()), "tile": pa.array([number], pa.int64()), "keys": [data[0]], "copies": [data[1]], "components": [data[2]], "matrix": [_matrix(part).tobytes()]})
                     number += 1
-                    for name, value in zip(out, values, strict=True):
-                        out[name].append(value)
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True)], names=list(out))
 
-    blocks = Written(ordered.mapInArrow(pack, "component long, block long, width int, keys binary, copies binary, matrix binary"), "vector-blocks").df
-    other = blocks.select("component", *[F.col(c).alias(f"o_{c}") for c in ("copies", "matrix")])
+    tiles = Written(ordered.mapInArrow(pack, "label long, width int, tile long, keys binary, copies binary, components binary, matrix binary"), "vector-tiles").df
+    # a grid of sides x sides cells for a label, of which those on and over the diagonal are needed
+    values = F.sum(F.length("matrix") / 8).alias("values")
+    sides = tiles.groupBy("label", "width").agg(values).select("label", "width", F.ceil(F.col("values") / (SIDE_TILES * TILE)).cast("int").alias("sides"))
+    placed = tiles.join(sides, ["label", "width"]).withColumn("place", F.pmod(F.xxhash64("tile"), F.col("sides")).cast("int"))
+    mine = placed.withColumn("o_place", F.explode(F.sequence("place", F.col("sides") - 1))).drop("sides")
+    other = placed.withColumn("at", F.explode(F.sequence(F.lit(0), "place"))).select("label", "width", F.col("at").alias("place"), F.col("place").alias("o_place"), *[F.col(c).alias(f"o_{c}") for c in ("tile", "keys", "copies", "components", "matrix")])
+    cell = ["label", "width", "place", "o_place"]
+    many = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    both = mine.repartition(many, *cell).join(other.repartition(many, *cell).hint("merge"), cell).where("place < o_place or tile <= o_tile")
     limit = math.acos(threshold)
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, linked = [], []
-            for row in batch.to_pylist():
-                a = np.frombuffer(row["matrix"]).reshape(-1, row["width"])
-                b = np.frombuffer(row["o_matrix"]).reshape(-1, row["width"])
-                copies = np.frombuffer(row["o_copies"], dtype=np.int64)
-                (one, wide), (two, far) = _ball(a), _ball(b)
-                apart = math.acos(min(1.0, max(-1.0, float(one @ two))))
-                if apart + wide + far < limit - 1e-9:
-                    n = np.full(len(a), copies.sum())
-                elif apart - wide - far > limit + 1e-9:
-                    continue
-                else:
-                    n = (a @ b.T >= threshold) @ copies
-                keys.append(np.frombuffer(row["keys"], dtype=np.int64))
-                linked.append(n)
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(linked))], names=["key", "linked"])
-
-    partial = blocks.join(other, "component").mapInArrow(multiply, "key long, linked long")
-    return partial.groupBy("key").agg(F.sum("linked").alias("linked"))
+            for k in range(batch.num_rows):
+                get = lambda c, kind: np.frombuffer(batch.column(c)[k].as_buffer(), dtype=kind)  # noqa: B023, E731
+                same, width = batch.column("tile")[k].as_py() == batch.column("o_tile")[k].as_py(), batch.column("width")[k].as_py()
+                keys, copies, group, one = get("keys", np.int64), get("copies", np.int64), get("components", np.int64), get("matrix", np.float64).reshape(-1, width)
+                o_keys, o_copies, o_group, two = get("o_keys", np.int64), get("o_copies", np.int64), get("o_components", np.int64), get("o_matrix", np.float64).reshape(-1, width)
+                linked, o_linked = np.zeros(len(keys), np.int64), np.zeros(len(o_keys), np.int64)
+                edges = [np.zeros((0, 2), np.int64)]
+                for a, b, hit in _block_hits(one, two, same, threshold, limit):
+                    linked[a] += hit @ o_copies[b] if hit is not None else o_copies[b].sum()
+                    if not same or a != b:
+                        o_linked[b] += copies[a] @ hit if hit is not None else copies[a].sum()
+                    if hit is None:
+                        ends = np.unique(np.r_[group[a], o_group[b]])
+                        edges.append(np.stack([np.full(len(ends) - 1, ends[0]), ends[1:]], axis=1))
+                    elif (apart := hit & (group[a][:, None] != o_group[b])).any():
+                        r, c = np.nonzero(apart)
+                        edges.append(np.unique(np.stack([group[a][r], o_group[b][c]], axis=1), axis=0))
+                found = np.unique(np.concatenate(edges), axis=0)
+                own, their = linked > 0, o_linked > 0
+                first, second = np.r_[keys[own], o_keys[their], found[:, 0]], np.r_[linked[own], o_linked[their], found[:, 1]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(first)) >= len(first) - len(found)), pa.array(first), pa.array(second)], names=["edge", "a", "b"])
+
+    return Written(both.mapInArrow(multiply, "edge boolean, a long, b long"), "vector-pairs").df
+
+
+def _tile(width: int) -> int:
+    return max(1, TILE // width)
+
+
+def _block_hits(one: np.ndarray, two: np.ndarray, same: bool, threshold: float, limit: float) -> Iterator[tuple[slice, slice, np.ndarray | None]]:
+    """(rows of one, rows of two, which pairs are links) by blocks that may hold one; None if all pairs are. Products are
+    in single precision, those too near to the threshold for it again in double. ``same``: two is one, each block pair
+    once."""
+    cut = lambda n: [slice(k, min(n, k + BLOCK)) for k in range(0, n, BLOCK)]
+    parts, o_parts = cut(len(one)), cut(len(two))
+    balls, o_balls = [_ball(one[s]) for s in parts], [_ball(two[s]) for s in o_parts]
+    low, o_low = one.astype(np.float32), two.astype(np.float32)
+    margin = (one.shape[1] + 8) * 2.0**-22
+    apart = np.arccos(np.clip(np.stack([c for c, _ in balls]) @ np.stack([c for c, _ in o_balls]).T, -1, 1))
+    for i, a in enumerate(parts):
+        for j in range(i if same else 0, len(o_parts)):
+            b, around = o_parts[j], balls[i][1] + o_balls[j][1]
+            if apart[i, j] - around > limit + 1e-9:
+                continue
+            if apart[i, j] + around < limit - 1e-9:
+                yield a, b, None
+                continue
+            product = low[a] @ o_low[b].T
+            if product.max() < threshold - margin:
+                continue
+            hit = product >= threshold
+            r, c = np.nonzero(np.abs(product - threshold) <= margin)
+            if len(r):
+                hit[r, c] = np.einsum("ij,ij->i", one[a][r], two[b][c]) >= threshold
+            yield a, b, hit
 
 
 def _ball(unit: np.ndarray) -> tuple[np.ndarray, float]:

@@ -175,6 +175,28 @@ def test_vectors_equal_brute_force(spark, monkeypatch):
     assert vector_dedup.vector_links(df.where("false")).count() == 0
 
 
+def test_vectors_links_of_a_dense_label(spark):
+    """Where all vectors of a label are alike, links that no window of any pass holds are found too."""
+    r = np.random.default_rng(5)
+    unit = lambda v: v / np.sqrt((v * v).sum(axis=1, keepdims=True))
+    base = unit(np.sqrt(0.85) * unit(r.normal(size=(1, 64))) + np.sqrt(0.15) * unit(r.normal(size=(6000, 64))))
+    far = r.normal(size=(300, 64))
+    far = unit(far - (far * base[:300]).sum(axis=1, keepdims=True) * base[:300])
+    vectors = unit(np.r_[base, 0.932 * base[:300] + np.sqrt(1 - 0.932**2) * far])
+    df = spark.createDataFrame([(k, v.tolist(), 0) for k, v in enumerate(vectors)], "vec_id long, embedding array<double>, label int")
+    got = {x["vec_id"]: (x["n_links"], x["component_id"]) for x in vector_dedup.vector_links(df).collect()}
+    link = vectors @ vectors.T >= 0.93
+    left, right = np.nonzero(link)
+    label = np.arange(len(vectors))
+    for _ in range(len(vectors)):
+        low = label.copy()
+        np.minimum.at(low, left, label[right])
+        if (low == label).all():
+            break
+        label = low
+    assert got == {k: (int(link[k].sum()) - 1, int(label[k])) for k in range(len(vectors))}
+
+
 def test_mixing_meets_targets(spark):
     rows = [(i, " ".join(["w"] * (1 + i % 50)), f"s{i % 4}" if i % 9 else None) for i in range(3000)] + [(5000, None, "empty"), (5001, "a b", "ü")]
     got = mixing.mix(frame(spark, rows)).collect()
