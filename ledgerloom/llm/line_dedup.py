@@ -22,9 +22,12 @@ FREQUENT = 256
 #: Frequent words of a line that it is tried under at first, before all its first words are compared.
 FIRST_TRIED = 2
 _HASH_BITS = 40
-#: A line's place as one number, for the filter of wanted lines.
-_SPOT = "doc ^ shiftleft(cast(line as bigint), 40)"
+#: The place of a line: id and hash of the text of its document, and its number; and as one number, for the filter.
+_PLACE = ("doc", "sub", "line")
+_SPOT = "doc ^ sub ^ shiftleft(cast(line as bigint), 40)"
 _NO_ID = (1 << 63) - 1
+#: What a text or line with a word holds.
+_WORD = r"[^\x20\x09-\x0D]"
 
 
 def _line_spans(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -55,13 +58,13 @@ def _ordered_sets(words: np.ndarray, line: np.ndarray, lines: int, ranks: np.nda
 
 
 def _lines(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
-    """By chunk of rows: (text bytes, doc, line number, start, end) of the lines."""
+    """By chunk of rows: (text bytes, doc, hash of its text, line number, start, end) of the lines."""
     flat, offsets = utf8(batch.column(1))
-    ids = batch.column(0).to_numpy()
+    ids, subs = batch.column(0).to_numpy(), batch.column(2).to_numpy()
     for a, b in row_chunks(offsets):
         part = flat[offsets[a] : offsets[b]]
         rows, numbers, starts, ends = _line_spans(part, offsets[a : b + 1] - offsets[a])
-        yield part, ids[a:b][rows], numbers, starts, ends
+        yield part, ids[a:b][rows], subs[a:b][rows], numbers, starts, ends
 
 
 def _sets(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -99,29 +102,29 @@ def _near(threshold: float) -> Column:
 
 
 def _similar(pairs: DataFrame, rows: DataFrame, ranks: np.ndarray, threshold: float) -> Written:
-    """Of pairs (doc, line; o_doc, o_line) of first lines: the lines (doc, line) that are similar to their partner.
+    """Of pairs (places and o_ places) of first lines: the places of the lines that are similar to their partner.
 
     The lines in pairs are read from the texts again: a filter of bounded size lets few others pass, and only those
     that pass are split into words.
     """
-    wanted = pairs.select("doc", "line").unionByName(pairs.select(F.col("o_doc").alias("doc"), F.col("o_line").alias("line"))).distinct()
-    wanted = Written(wanted.select("doc", "line", F.expr(_SPOT).alias("spot")), "line-wanted")
+    wanted = pairs.select(*_PLACE).unionByName(pairs.select(*[F.col(f"o_{c}").alias(c) for c in _PLACE])).distinct()
+    wanted = Written(wanted.select(*_PLACE, F.expr(_SPOT).alias("spot")), "line-wanted")
     bits = key_filter(wanted.df, "spot", wanted.df.count())
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for flat, doc, number, starts, ends in _lines(batch):
-                hit = np.flatnonzero(passes(bits, doc ^ (number.astype(np.int64) << 40)))
+            for flat, doc, sub, number, starts, ends in _lines(batch):
+                hit = np.flatnonzero(passes(bits, doc ^ sub ^ (number.astype(np.int64) << 40)))
                 which, sizes, tokens, heads = _sets(flat, starts[hit], ends[hit], ranks)
                 hit = hit[which]
-                yield pa.RecordBatch.from_arrays([pa.array(doc[hit]), pa.array(number[hit].astype(np.int32)), _binary(tokens, heads, sizes)], names=["doc", "line", "tokens"])
+                yield pa.RecordBatch.from_arrays([pa.array(doc[hit]), pa.array(sub[hit]), pa.array(number[hit].astype(np.int32)), _binary(tokens, heads, sizes)], names=[*_PLACE, "tokens"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            left, l_off = _flat64(batch.column(2))
-            right, r_off = _flat64(batch.column(3))
+            left, l_off = _flat64(batch.column(3))
+            right, r_off = _flat64(batch.column(4))
             n, o = np.diff(l_off), np.diff(r_off)
             row = np.r_[np.repeat(np.arange(len(n)), n), np.repeat(np.arange(len(o)), o)].astype(np.int64)
             token = np.r_[left, right]
@@ -129,13 +132,13 @@ def _similar(pairs: DataFrame, rows: DataFrame, ranks: np.ndarray, threshold: fl
             row, token = row[order], token[order]
             both = np.bincount(row[1:][(row[1:] == row[:-1]) & (token[1:] == token[:-1])], minlength=len(n))
             good = pa.array(both >= threshold * (n + o - both) - 1e-9)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(good), batch.column(1).filter(good)], names=["doc", "line"])
+            yield pa.RecordBatch.from_arrays([batch.column(k).filter(good) for k in range(3)], names=list(_PLACE))
 
-    found = rows.mapInArrow(read, "doc long, line int, tokens binary")
-    found = Written(found.dropDuplicates(["doc", "line"]), "line-found")  # repeated ids: one of the rows
-    theirs = found.df.select(F.col("doc").alias("o_doc"), F.col("line").alias("o_line"), F.col("tokens").alias("theirs"))
-    joined = pairs.join(found.df, ["doc", "line"]).join(theirs, ["o_doc", "o_line"]).select("doc", "line", "tokens", "theirs")
-    out = Written(joined.mapInArrow(verify, "doc long, line int").distinct(), "line-matches")
+    found = rows.mapInArrow(read, "doc long, sub long, line int, tokens binary")
+    found = Written(found.dropDuplicates([*_PLACE]), "line-found")  # rows equal in id and text: one of them
+    theirs = found.df.select(*[F.col(c).alias(f"o_{c}") for c in _PLACE], F.col("tokens").alias("theirs"))
+    joined = pairs.join(found.df, [*_PLACE]).join(theirs, [f"o_{c}" for c in _PLACE]).select(*_PLACE, "tokens", "theirs")
+    out = Written(joined.mapInArrow(verify, "doc long, sub long, line int").distinct(), "line-matches")
     wanted.drop()
     found.drop()
     return out
@@ -149,9 +152,11 @@ def _flat64(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def later_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
-    """(doc, lines): for each document that has them, the numbers (from 0) of the lines that an earlier line matches.
+    """(doc, sub, lines): for each document that has them, the numbers (from 0) of the lines that an earlier line matches.
 
-    A line is the set of its words (split at ASCII white space). Lines are ordered by (document id, line number); a
+    A document is known by its id (doc; a null id counts as the largest one) and the hash of its whole text (sub, see
+    ``_keyed``): of rows that share an id or have none, each text is a document of its own. Rows equal in both are one.
+    A line is the set of its words (split at ASCII white space). Lines are ordered by (id, hash, line number); a
     line is removed if the Jaccard similarity with any earlier line, removed or not, is at least ``threshold``. Lines
     without words are never removed and match nothing.
 
@@ -160,11 +165,11 @@ def later_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     words. Rows that share such a word are compared under length, positional and bitmap filters, and what passes is
     verified on the whole sets. Before that, words that may be frequent are dealt to tasks apart, where every row is
     compared with the earliest one (a line is tried under its two rarest frequent words): a line that this removes needs no other comparison, so that a large group of
-    similar lines costs one comparison a line. Ids must be whole numbers; a null id counts as the largest one,
-    repeated ids as one document.
+    similar lines costs one comparison a line. Ids must be whole numbers.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("id"), F.col(text_col).alias("text"))
+    doc, sub = _keyed(id_col, text_col)
+    rows = docs.select(doc.alias("id"), F.col(text_col).alias("text"), sub.alias("sub"))
 
     def count(batch: pa.RecordBatch, table: np.ndarray) -> None:
         flat, offsets = utf8(batch.column(1))
@@ -181,28 +186,28 @@ def later_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     def all_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, doc, number, starts, ends in _lines(batch):
+            for part, doc, sub, number, starts, ends in _lines(batch):
                 which, sizes, tokens, heads = _sets(part, starts, ends, ranks)
                 if not len(which):
                     continue
                 text = hash_spans(part, starts[which], ends[which]).view(np.int64)
-                order = np.lexsort((number[which], doc[which], text))  # of equal lines of a chunk the earliest
+                order = np.lexsort((number[which], sub[which], doc[which], text))  # of equal lines of a chunk the earliest
                 text_first = order[run_starts(text[order])]
                 at = which[text_first]
                 parity = np.bitwise_xor.reduceat(np.uint64(1) << (tokens.view(np.uint64) & np.uint64(63)), heads).view(np.int64)
                 prefix = _binary(tokens, heads[text_first], _prefix_sizes(sizes[text_first], threshold))
-                yield pa.RecordBatch.from_arrays([pa.array(doc[at]), pa.array(number[at].astype(np.int32)), pa.array(text[text_first]), pa.array(sizes[text_first].astype(np.int32)), pa.array(parity[text_first]), prefix], names=["doc", "line", "key", "n", "parity", "prefix"])
+                yield pa.RecordBatch.from_arrays([pa.array(doc[at]), pa.array(sub[at]), pa.array(number[at].astype(np.int32)), pa.array(text[text_first]), pa.array(sizes[text_first].astype(np.int32)), pa.array(parity[text_first]), prefix], names=[*_PLACE, "key", "n", "parity", "prefix"])
 
-    found = rows.mapInArrow(all_sets, "doc long, line int, key long, n int, parity long, prefix binary")
-    first = found.groupBy("key").agg(F.min(F.struct("doc", "line")).alias("at"), F.first("n").alias("n"), F.first("parity").alias("parity"), F.first("prefix").alias("prefix"))
-    distinct = Written(first.select("key", "at.doc", "at.line", "n", "parity", "prefix"), "line-texts")
+    found = rows.mapInArrow(all_sets, "doc long, sub long, line int, key long, n int, parity long, prefix binary")
+    first = found.groupBy("key").agg(F.min(F.struct(*_PLACE)).alias("at"), F.first("n").alias("n"), F.first("parity").alias("parity"), F.first("prefix").alias("prefix"))
+    distinct = Written(first.select("key", "at.*", "n", "parity", "prefix"), "line-texts")
     del found, first
     release(spark)
 
     def entries(frequent: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                tokens, offsets = _flat64(batch.column(5))
+                tokens, offsets = _flat64(batch.column(6))
                 sizes = np.diff(offsets)
                 row = np.repeat(np.arange(len(sizes)), sizes)
                 pos = np.arange(len(row)) - offsets[:-1][row]
@@ -213,17 +218,17 @@ def later_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                     so_far = np.cumsum(keep) - keep
                     keep &= so_far - so_far[np.minimum(offsets[:-1], max(len(row) - 1, 0))][row] < FIRST_TRIED  # the rarest of them
                     tokens, row, pos, tasks = tokens[keep], row[keep], pos[keep], tasks[keep]
-                    mixed = mix64(tokens.view(np.uint64) + batch.column(0).to_numpy()[row].view(np.uint64))
+                    mixed = mix64(tokens.view(np.uint64) + (batch.column(0).to_numpy() ^ batch.column(1).to_numpy())[row].view(np.uint64))
                     parts = (mixed % tasks.astype(np.uint64)).astype(np.int64)
-                taken = [batch.column(k).take(pa.array(row)) for k in range(5)]
-                yield pa.RecordBatch.from_arrays([pa.array(tokens), pa.array(parts[: len(tokens)].astype(np.int32)), *taken, pa.array(pos.astype(np.int32))], names=["token", "part", "doc", "line", "n", "parity", "open", "pos"])
+                taken = [batch.column(k).take(pa.array(row)) for k in range(6)]
+                yield pa.RecordBatch.from_arrays([pa.array(tokens), pa.array(parts[: len(tokens)].astype(np.int32)), *taken, pa.array(pos.astype(np.int32))], names=["token", "part", *_PLACE, "n", "parity", "open", "pos"])
 
         return run
 
-    fields = "token long, part int, doc long, line int, n int, parity long, open int, pos int"
-    flat = distinct.df.select("doc", "line", "n", "parity", F.lit(1).alias("open"), "prefix")
-    dealt = flat.mapInArrow(entries(True), fields).drop("open").repartition("token", "part").sortWithinPartitions("token", "part", "doc", "line")
-    early = dealt.mapInArrow(_with_first(threshold), "doc long, line int, o_doc long, o_line int")
+    fields = "token long, part int, doc long, sub long, line int, n int, parity long, open int, pos int"
+    flat = distinct.df.select(*_PLACE, "n", "parity", F.lit(1).alias("open"), "prefix")
+    dealt = flat.mapInArrow(entries(True), fields).drop("open").repartition("token", "part").sortWithinPartitions("token", "part", *_PLACE)
+    early = dealt.mapInArrow(_with_first(threshold), "doc long, sub long, line int, o_doc long, o_sub long, o_line int")
     pairs = Written(early.distinct(), "line-pairs")
     removed = _similar(pairs.df, rows, ranks, threshold).df
     pairs.drop()
@@ -231,13 +236,14 @@ def later_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     release(spark)
     # all the others: a line that is removed already looks for no earlier ones (open is 0), but others may find it. Both
     # sides hold the same columns under new names and the condition reads all of them, so that rows are dealt out once
-    state = flat.drop("open").join(removed.withColumn("gone", F.lit(True)), ["doc", "line"], "left")
-    flat = state.select("doc", "line", "n", "parity", F.when(F.col("gone"), 0).otherwise(1).alias("open"), "prefix")
+    state = flat.drop("open").join(removed.withColumn("gone", F.lit(True)), [*_PLACE], "left")
+    flat = state.select(*_PLACE, "n", "parity", F.when(F.col("gone"), 0).otherwise(1).alias("open"), "prefix")
     every = flat.mapInArrow(entries(False), fields).drop("part")
     mine, other = (every.select(*[F.col(c).alias(side + c) for c in every.columns]) for side in ("m_", "o_"))
-    earlier = ((F.col("o_doc") < F.col("m_doc")) | ((F.col("o_doc") == F.col("m_doc")) & (F.col("o_line") < F.col("m_line")))) & (F.col("m_open") * 2 + F.col("o_open") >= 2)
+    same_doc = (F.col("o_doc") == F.col("m_doc")) & ((F.col("o_sub") < F.col("m_sub")) | ((F.col("o_sub") == F.col("m_sub")) & (F.col("o_line") < F.col("m_line"))))
+    earlier = ((F.col("o_doc") < F.col("m_doc")) | same_doc) & (F.col("m_open") * 2 + F.col("o_open") >= 2)
     found = mine.join(other, F.col("m_token") == F.col("o_token")).where(earlier & _near(threshold))
-    pairs = Written(found.select(F.col("m_doc").alias("doc"), F.col("m_line").alias("line"), "o_doc", "o_line").distinct(), "line-pairs")
+    pairs = Written(found.select(*[F.col(f"m_{c}").alias(c) for c in _PLACE], *[f"o_{c}" for c in _PLACE]).distinct(), "line-pairs")
     if pairs.df.take(1):
         removed = removed.unionByName(_similar(pairs.df, rows, ranks, threshold).df)
     pairs.drop()
@@ -246,19 +252,25 @@ def later_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     def texts_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, doc, number, starts, ends in _lines(batch):
-                yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(number.astype(np.int32)), pa.array(hash_spans(part, starts, ends).view(np.int64))], names=["doc", "line", "key"])
+            for part, doc, sub, number, starts, ends in _lines(batch):
+                yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(sub), pa.array(number.astype(np.int32)), pa.array(hash_spans(part, starts, ends).view(np.int64))], names=[*_PLACE, "key"])
 
-    places = distinct.df.select("key", F.col("doc").alias("f_doc"), F.col("line").alias("f_line"))
-    gone = removed.select(F.col("doc").alias("f_doc"), F.col("line").alias("f_line"), F.lit(True).alias("gone"))
-    hit = rows.mapInArrow(texts_only, "doc long, line int, key long").join(places.join(gone, ["f_doc", "f_line"], "left"), "key").where("gone or doc <> f_doc or line <> f_line")
-    return hit.groupBy("doc").agg(F.sort_array(F.collect_set("line")).alias("lines"))
+    first_at = [F.col(c).alias(f"f_{c}") for c in _PLACE]
+    places = distinct.df.select("key", *first_at)
+    gone = removed.select(*first_at, F.lit(True).alias("gone"))
+    hit = rows.mapInArrow(texts_only, "doc long, sub long, line int, key long").join(places.join(gone, [f"f_{c}" for c in _PLACE], "left"), "key").where("gone or doc <> f_doc or sub <> f_sub or line <> f_line")
+    return hit.groupBy("doc", "sub").agg(F.sort_array(F.collect_set("line")).alias("lines"))
+
+
+def _keyed(id_col: str, text_col: str) -> tuple[Column, Column]:
+    """The key of a document: its id, a null one as the largest number, and the hash of its text."""
+    return F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)), F.xxhash64(F.col(text_col))
 
 
 def _with_first(threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Over rows sorted by token, part and line: the pairs of a row and the first row of its group that pass the
     filters. Only that first row is carried from batch to batch."""
-    names = ("token", "part", "doc", "line", "n", "parity", "pos")
+    names = ("token", "part", *_PLACE, "n", "parity", "pos")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] | None = None
@@ -276,7 +288,7 @@ def _with_first(threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterat
             good = (np.arange(len(n)) > first) & (np.minimum(n - now["pos"], o - now["pos"][first]) >= need) & (np.minimum(n, o) >= need) & (bits <= n + o - 2 * need)
             if good.any():
                 at, to = np.flatnonzero(good), first[good]
-                yield pa.RecordBatch.from_arrays([pa.array(now["doc"][at]), pa.array(now["line"][at]), pa.array(now["doc"][to]), pa.array(now["line"][to])], names=["doc", "line", "o_doc", "o_line"])
+                yield pa.RecordBatch.from_arrays([pa.array(now[c][k]) for k in (at, to) for c in _PLACE], names=[*_PLACE, *[f"o_{c}" for c in _PLACE]])
             held = {c: now[c][heads[-1] : heads[-1] + 1] for c in names}
 
     return run
@@ -287,13 +299,20 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Returns id_col, text (the kept lines joined by line breaks), n_lines int (before), n_removed int, removed
     array<int> (line numbers from 0). A null text stays null and counts 0 lines; an empty text is one line without
-    words. Of repeated ids each row keeps its own text, the line numbers are those of the id. Other columns of
-    ``docs`` are not read; an empty table gives an empty result.
+    words. Of rows with one id and different texts, or with none, each is judged by its own text; of equal rows without
+    an id, all but one lose every line that has words. Rows equal in id and text get the same decision. Other columns
+    of ``docs`` are not read; an empty table gives an empty result.
     """
     gone = later_matches(docs, id_col, text_col, threshold)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("doc"))
-    joined = rows.join(gone, "doc", "left")
-    numbers = F.coalesce("lines", F.array().cast("array<int>"))
+    doc, sub = _keyed(id_col, text_col)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), doc.alias("doc"), sub.alias("sub"))
+    # rows without an id: equal ones are numbered, by their count alone as they are the same
+    alike = rows.where("id is null").groupBy("doc", "sub").agg(F.first("id").alias("id"), F.first("text").alias("text"), F.count("*").alias("n"))
+    alike = alike.withColumn("number", F.explode(F.sequence(F.lit(1), F.col("n")))).select("id", "text", "doc", "sub", "number")
+    rows = rows.where("id is not null").withColumn("number", F.lit(1).cast("long")).unionByName(alike)
+    joined = rows.join(gone, ["doc", "sub"], "left")
+    every = F.filter(F.transform(F.split("text", "\n", -1), lambda x, k: F.when(x.rlike(_WORD), k)), lambda k: k.isNotNull())
+    numbers = F.coalesce(F.when(F.col("number") > 1, every).otherwise(F.col("lines")), F.array().cast("array<int>"))
     split = F.split("text", "\n", -1)
     left = F.filter(split, lambda _, k: ~F.array_contains(numbers, k))
     text = F.when(F.size(numbers) == 0, F.col("text")).otherwise(F.array_join(left, "\n"))
@@ -305,14 +324,18 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
     """``docs`` (all columns, in order) without the lines that an earlier line matches.
 
-    Documents that lose lines and have no word left are dropped; documents without words before stay. Where there is a
+    Documents that lose lines and have no word left are dropped, so that of equal rows without an id one is left;
+    documents without words before stay. Where there is a
     column ``n_chars`` it gets the new number of characters.
     """
-    gone = later_matches(docs, id_col, text_col, threshold).select(F.col("doc").alias("gone_doc"), F.col("lines").alias("gone_lines"))
-    joined = docs.join(gone, F.coalesce(docs[id_col].cast("long"), F.lit(_NO_ID)) == gone["gone_doc"], "left")
+    gone = later_matches(docs, id_col, text_col, threshold).select(F.col("doc").alias("gone_doc"), F.col("sub").alias("gone_sub"), F.col("lines").alias("gone_lines"))
+    alike = F.col(id_col).isNull() & F.coalesce(F.col(text_col).rlike(_WORD), F.lit(False))
+    docs = docs.where(~alike).unionByName(docs.where(alike).dropDuplicates([text_col]))
+    doc, sub = _keyed(id_col, text_col)
+    joined = docs.join(gone, (doc == gone["gone_doc"]) & (sub == gone["gone_sub"]), "left")
     left = F.filter(F.split(docs[text_col], "\n", -1), lambda _, k: ~F.array_contains("gone_lines", k))
     text = F.when(F.col("gone_lines").isNull(), docs[text_col]).otherwise(F.array_join(left, "\n"))
-    named = joined.withColumn("kept_text", text).where(F.col("gone_lines").isNull() | F.col("kept_text").rlike(r"[^\x20\x09-\x0D]"))
+    named = joined.withColumn("kept_text", text).where(F.col("gone_lines").isNull() | F.col("kept_text").rlike(_WORD))
     new = {text_col: F.col("kept_text")}
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType

@@ -94,7 +94,7 @@ def features(flat: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def feature_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, features array<double>) of every whole text; a null text is an empty one."""
+    """(id_col, text_hash long, features array<double>) of every whole text; a null text is an empty one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -102,11 +102,11 @@ def feature_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             for a, b in row_chunks(offsets):
                 found = features(flat[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 bounds = np.arange(b - a + 1) * len(FEATURES)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(found.ravel()))], names=["id", "features"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(found.ravel()))], names=["id", "text_hash", "features"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"id {kind}, features array<double>").withColumnRenamed("id", id_col)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("text_hash"))
+    return rows.mapInArrow(run, f"id {kind}, text_hash long, features array<double>").withColumnRenamed("id", id_col)
 
 
 @dataclass
@@ -248,6 +248,11 @@ def score_quality(
     null label or id don't train; an id labelled twice trains twice; without labels every score is 0.5. Null and empty
     texts are scored like any other (all features 0). An empty table gives an empty result.
     """
+    return _scored(docs, labels, id_col, text_col, label_col, threshold, sample_rows).drop("text_hash")
+
+
+def _scored(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, threshold: float, sample_rows: int) -> DataFrame:
+    """The columns of ``score_quality`` and text_hash, the xxhash64 of the row's text."""
     table = Written(feature_table(docs, id_col, text_col), "features").df
     marked = labels.select(F.col(id_col).alias("of"), F.col(label_col).cast("double").alias("y")).where(F.col("of").isNotNull() & F.col("y").isNotNull() & ~held_out("of"))
     rows = marked.count()
@@ -259,16 +264,25 @@ def score_quality(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = batch.column(1).flatten().to_numpy().reshape(-1, len(FEATURES))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(x))], names=["id", "score"])
+            x = batch.column(2).flatten().to_numpy().reshape(-1, len(FEATURES))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(model.score(x))], names=["id", "text_hash", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    scored = table.select(F.col(id_col).alias("id"), "features").mapInArrow(run, f"id {kind}, score double")
-    return scored.select(F.col("id").alias(id_col), held_out("id").alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    scored = table.select(F.col(id_col).alias("id"), "text_hash", "features").mapInArrow(run, f"id {kind}, text_hash long, score double")
+    return scored.select(F.col("id").alias(id_col), "text_hash", held_out("id").alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3, **how) -> DataFrame:
-    """The rows of ``docs`` (all columns) that the classifier does not reject. Rows are matched by id; of repeated ids
-    all rows stay if one is predicted good; rows with a null id are judged likewise, together."""
-    good = score_quality(docs, labels, id_col, text_col, threshold=threshold, **how).where("predicted = 1").select(F.col(id_col).alias("good_id")).distinct()
-    return docs.join(good, docs[id_col].eqNullSafe(good["good_id"]), "left_semi")
+def keep_good(
+    docs: DataFrame,
+    labels: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    label_col: str = "quality",
+    threshold: float = 0.3,
+    sample_rows: int = SAMPLE_ROWS,
+) -> DataFrame:
+    """The rows of ``docs`` (all columns) that the classifier does not reject. Rows are matched by id and the hash of
+    their text, so that each row of a repeated id, and each without an id, is judged by its own text."""
+    scored = _scored(docs, labels, id_col, text_col, label_col, threshold, sample_rows)
+    good = scored.where("predicted = 1").select(F.col(id_col).alias("good_id"), F.col("text_hash").alias("good_hash")).distinct()
+    return docs.join(good, docs[id_col].eqNullSafe(good["good_id"]) & (F.xxhash64(docs[text_col]) == good["good_hash"]), "left_semi")

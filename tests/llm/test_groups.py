@@ -76,6 +76,15 @@ def test_line_dedup_edges(spark):
     assert sorted(r["doc_id"] for r in kept) == [1, 3, 4] and set(kept[0].asDict()) == {"doc_id", "text", "lang", "source", "n_chars", "key"}
 
 
+def test_line_dedup_of_null_and_repeated_ids(spark):
+    """Every row without an id, and every text of a repeated id, is judged as a document of its own."""
+    texts = {"a b c\nd e f": None, "g h i\na b c": None, "j k l\nm n o": None, "p q r\na b c": 7, "s t u\nv w x": 7, "a b c": 1}
+    df = spark.createDataFrame([(i, t) for t, i in texts.items()] + [(None, "j k l\nm n o")], "doc_id long, text string")
+    want = sorted([("", 2), ("a b c", 0), ("d e f", 1), ("g h i", 1), ("j k l\nm n o", 0), ("p q r", 1), ("s t u\nv w x", 0)])
+    assert sorted((r["text"], r["n_removed"]) for r in line_dedup.dedup_lines(df).collect()) == want
+    assert sorted(r["text"] for r in line_dedup.drop_repeated_lines(df).collect()) == [t for t, _ in want if t]
+
+
 def brute_classes(rows, threshold=0.8):
     """doc -> least doc of its component; similarity by the longest common subsequence of five-word shingles."""
 
@@ -296,6 +305,16 @@ def test_quality_sees_no_held_out_labels(spark):
     assert one == two
 
 
+def test_quality_of_rows_without_an_id(spark):
+    docs, labels = labelled(spark, 200)
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    marks = {r["doc_id"]: r["quality"] for r in labels.collect()}
+    good, bad = (next(t for i, t in texts.items() if marks[i] == k) for k in (1, 0))
+    more = frame(spark, [(None, good, "s"), (None, bad, "s"), (9000, good, "s"), (9000, bad, "s")])
+    kept = quality.keep_good(docs.unionByName(more), labels).where("doc_id is null or doc_id = 9000").collect()
+    assert [r["text"] for r in kept] == [good, good]
+
+
 def test_quality_edges(spark):
     docs, labels = labelled(spark, 50)
     odd = docs.unionByName(frame(spark, [(None, None, None), (7000, "", "s"), (7001, " \n", "s"), (3, "again", "s")]))
