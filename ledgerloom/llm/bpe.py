@@ -7,18 +7,20 @@ where the tasks run.
 from __future__ import annotations
 
 import json
+import re
 from functools import lru_cache
 
 import numpy as np
 import regex
 from tokenizers import Tokenizer
 
-from ledgerloom.llm.ragged import HashMap64, hash_spans, ranges, run_starts
+from ledgerloom.llm.ragged import HashMap64, equal_spans, hash_spans, ranges, run_starts
 
 #: The classes of characters that byte-level pre-tokens are made of.
 SPACE, LETTER, NUMBER, OTHER = 0, 1, 2, 3
-#: Words of more bytes are handed to the library one by one: their merges come one after another in any case.
-LONG_WORD = 400
+#: A pre-token of more bytes is merged by the library: in one word merges follow one another, so that a round over all
+#: of its symbols for each of them would take squared time.
+LONG_WORD = 1 << 14
 #: Words remembered by a worker before it starts anew; a bound on memory only, never on results.
 MEMO_WORDS = 1 << 20
 _NEVER = np.int64(1) << 40
@@ -93,7 +95,12 @@ class Vocabulary:
         self.made = np.array([vocab[a + b] for a, b in merges], dtype=np.int64)
         self.pairs = HashMap64(len(merges) * 2)
         self.pairs.put((left << np.uint64(32)) | right, np.arange(len(merges)))
-        self.special = [t["content"] for t in model["added_tokens"]]
+        plain = all(not (t["single_word"] or t["lstrip"] or t["rstrip"]) for t in model["added_tokens"])
+        if not plain:
+            raise ValueError("special strings that take in their surroundings aren't supported")
+        self.special = {t["content"].encode(): t["id"] for t in model["added_tokens"]}
+        found = sorted(self.special, key=len, reverse=True)
+        self.special_pattern = re.compile(b"|".join(map(re.escape, found))) if found else None
 
     def merge(self, symbols: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Merge all words at once. symbols: ids; words: the word of each, ascending. Returns both after merging.
@@ -141,8 +148,22 @@ def library(path: str) -> Tokenizer:
     return Tokenizer.from_file(path)
 
 
+class _Grown:
+    """An array that doubles its space when it is full."""
+
+    def __init__(self, kind: type):
+        self.space, self.size = np.zeros(1 << 12, dtype=kind), 0
+
+    def add(self, values: np.ndarray) -> None:
+        while self.size + len(values) > len(self.space):
+            self.space = np.r_[self.space, np.zeros_like(self.space)]
+        self.space[self.size : self.size + len(values)] = values
+        self.size += len(values)
+
+
 class WordCodes:
-    """A bounded memo in one worker: hash of a pre-token to its ids (kept flat). by: 'arrays' or 'library'."""
+    """A bounded memo in one worker: pre-tokens, found by their hash and told apart by their bytes, and their ids (both
+    kept flat). by: 'arrays' or 'library'."""
 
     def __init__(self, path: str, by: str):
         self.path, self.by = path, by
@@ -150,28 +171,31 @@ class WordCodes:
 
     def clear(self) -> None:
         self.map = HashMap64(1 << 12)
-        self.bounds = np.zeros(1, dtype=np.int64)
-        self.ids = np.zeros(0, dtype=np.uint32)
-        self.spare_ids = np.zeros(1 << 14, dtype=np.uint32)
-        self.spare_bounds = np.zeros(1 << 12, dtype=np.int64)
-        self.n_ids = self.n_words = 0
-
-    def _append(self, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        while self.n_ids + len(ids) > len(self.spare_ids):
-            self.spare_ids = np.r_[self.spare_ids, np.zeros_like(self.spare_ids)]
-        while self.n_words + len(sizes) + 1 > len(self.spare_bounds):
-            self.spare_bounds = np.r_[self.spare_bounds, np.zeros_like(self.spare_bounds)]
-        self.spare_ids[self.n_ids : self.n_ids + len(ids)] = ids
-        new = self.n_ids + np.cumsum(sizes)
-        self.spare_bounds[self.n_words + 1 : self.n_words + 1 + len(sizes)] = new
-        rows = np.arange(self.n_words, self.n_words + len(sizes))
-        self.n_ids += len(ids)
-        self.n_words += len(sizes)
+        self.ids, self.bounds = _Grown(np.uint32), _Grown(np.int64)
+        self.text, self.text_bounds = _Grown(np.uint8), _Grown(np.int64)
+        self.bounds.add(np.zeros(1, np.int64))
+        self.text_bounds.add(np.zeros(1, np.int64))
+
+    @property
+    def n_words(self) -> int:
+        return self.bounds.size - 1
+
+    def _append(self, flat: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Encode these pre-tokens and keep them; their rows."""
+        text = flat[ranges(starts, ends - starts)]
+        bounds = np.r_[0, np.cumsum(ends - starts)]
+        ids, sizes = self._encode(text, bounds)
+        rows = np.arange(self.n_words, self.n_words + len(starts))
+        self.bounds.add(self.ids.size + np.cumsum(sizes))
+        self.ids.add(ids)
+        self.text_bounds.add(self.text.size + bounds[1:])
+        self.text.add(text)
         return rows
 
-    def rows(self, chars: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Memo rows of the given pre-tokens; unknown ones are encoded first."""
-        keys, inverse = np.unique(hash_spans(chars, starts, ends), return_inverse=True)
+    def rows(self, flat: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Memo rows of the given pre-tokens; unknown ones are encoded first. A pre-token whose hash belongs to other
+        bytes gets a row of its own, which no later one finds."""
+        keys, inverse = np.unique(hash_spans(flat, starts, ends), return_inverse=True)
         if self.n_words + len(keys) > MEMO_WORDS and self.n_words:
             self.clear()
         rows = self.map.get(keys)
@@ -180,32 +204,33 @@ class WordCodes:
             one = np.zeros(len(keys), dtype=np.int64)
             one[inverse] = np.arange(len(starts))  # some occurrence of each key
             one = one[new]
-            ids, sizes = self._encode(chars, starts[one], ends[one])
-            rows[new] = self._append(ids, sizes)
+            rows[new] = self._append(flat, starts[one], ends[one])
             self.map.put(keys[new], rows[new])
-        return rows[inverse]
-
-    def _encode(self, chars: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        size = ends - starts
-        text = chars[ranges(starts, size)].astype("<u4").tobytes().decode("utf-32-le")
-        bounds = np.r_[0, np.cumsum(size)]
+        got = rows[inverse]
+        bounds = self.text_bounds.space
+        odd = np.flatnonzero(~equal_spans(flat, starts, ends, self.text.space[: self.text.size], bounds[got], bounds[got + 1]))
+        if len(odd):
+            got[odd] = self._append(flat, starts[odd], ends[odd])
+        return got
+
+    def _encode(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words, number of each word) of the words with these bounds in ``data``."""
+        text = data.tobytes()
+        cut = lambda which: [text[at[k] : at[k + 1]].decode() for k in which]
         if self.by == "library":
-            return self._by_library([text[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)])
-        data = np.frombuffer(text.encode(), dtype=np.uint8)
-        char_at = np.flatnonzero((data & 0xC0) != 0x80)
-        at = np.r_[char_at, len(data)][bounds]
-        words = np.repeat(np.arange(len(size)), np.diff(at))
+            return self._by_library(cut(range(len(at) - 1)))
+        words = np.repeat(np.arange(len(at) - 1), np.diff(at))
         long = np.diff(at) > LONG_WORD
         short = ~long[words]
         vocab = vocabulary(self.path)
         symbols, owner = vocab.merge(vocab.byte_ids[data[short]], words[short])
         if long.any():
             which = np.flatnonzero(long)
-            more, sizes = self._by_library([text[bounds[k] : bounds[k + 1]] for k in which])
+            more, sizes = self._by_library(cut(which))
             symbols, owner = np.r_[symbols, more], np.r_[owner, np.repeat(which, sizes)]
             order = np.argsort(owner, kind="stable")
             symbols, owner = symbols[order], owner[order]
-        return symbols.astype(np.uint32), np.bincount(owner, minlength=len(size))
+        return symbols.astype(np.uint32), np.bincount(owner, minlength=len(at) - 1)
 
     def _by_library(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         ids, sizes = [np.zeros(0, dtype=np.uint32)], [np.zeros(0, dtype=np.int64)]
@@ -216,11 +241,11 @@ class WordCodes:
         return np.concatenate(ids), np.concatenate(sizes)
 
     def sizes(self, rows: np.ndarray) -> np.ndarray:
-        return self.spare_bounds[rows + 1] - self.spare_bounds[rows]
+        return self.bounds.space[rows + 1] - self.bounds.space[rows]
 
     def codes(self, rows: np.ndarray) -> np.ndarray:
         """The ids of the given memo rows, one after another."""
-        return self.spare_ids[ranges(self.spare_bounds[rows], self.sizes(rows))]
+        return self.ids.space[ranges(self.bounds.space[rows], self.sizes(rows))]
 
 
 @lru_cache(maxsize=4)
@@ -228,43 +253,40 @@ def word_codes(path: str, by: str) -> WordCodes:
     return WordCodes(path, by)
 
 
-def _plain(flat: np.ndarray, offsets: np.ndarray, specials: list[str]) -> np.ndarray:
-    """Rows that hold no special string; the others go to the library whole."""
-    data, plain = flat.tobytes(), np.ones(len(offsets) - 1, dtype=bool)
-    for special in specials:
-        word = special.encode()
-        at = data.find(word)
-        while at >= 0:
-            row = int(np.searchsorted(offsets, at, side="right")) - 1
-            if at + len(word) <= offsets[row + 1]:
-                plain[row] = False
-            at = data.find(word, at + 1)
-    return plain
+def _specials(flat: np.ndarray, offsets: np.ndarray, vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, ids) of the special strings inside the rows."""
+    found = [] if vocab.special_pattern is None else [(m.start(), m.end(), vocab.special[m.group()]) for m in vocab.special_pattern.finditer(flat.tobytes())]
+    if found:
+        row_end = offsets[np.searchsorted(offsets, [a for a, _, _ in found], side="right")]
+        if any(b > e for (_, b, _), e in zip(found, row_end.tolist(), strict=True)):  # one across two rows hides others: row by row
+            each = zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)
+            found = [(a + m.start(), a + m.end(), vocab.special[m.group()]) for a, b in each for m in vocab.special_pattern.finditer(flat[a:b].tobytes())]
+    table = np.array(found, dtype=np.int64).reshape(-1, 3)
+    return table[:, 0], table[:, 1], table[:, 2]
 
 
 def encode_rows(flat: np.ndarray, offsets: np.ndarray, path: str, by: str, with_ids: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """(ids of all rows one after another, number of each row). by: how unknown pre-tokens are encoded."""
-    counts = np.zeros(len(offsets) - 1, dtype=np.int64)
-    plain = _plain(flat, offsets, vocabulary(path).special)
+    """(ids of all rows one after another, number of each row). by: how unknown pre-tokens are encoded. A special string
+    is one id; what stands before and after it is encoded apart, as the library does by default."""
     codes = word_codes(path, by)
     chars = np.frombuffer(flat.tobytes().decode().encode("utf-32-le"), dtype="<u4")
-    first = np.r_[0, np.cumsum((flat & 0xC0) != 0x80)]
-    bounds = first[offsets]
-    starts = pretokens(chars, bounds)
-    row = np.searchsorted(bounds, starts, side="right") - 1
-    ends = np.r_[starts[1:], len(chars)][: len(starts)]
-    if not plain.all():
-        keep = plain[row]
-        starts, ends, row = starts[keep], ends[keep], row[keep]
-    got = codes.rows(chars, starts, ends)
-    sizes = codes.sizes(got)
-    counts += np.bincount(row, weights=sizes, minlength=len(counts)).astype(np.int64)
-    ids = codes.codes(got) if with_ids else np.zeros(0, dtype=np.uint32)
-    if not plain.all():
-        which = np.flatnonzero(~plain)
-        found = library(path).encode_batch([flat[offsets[k] : offsets[k + 1]].tobytes().decode() for k in which], add_special_tokens=False)
-        counts[which] = [len(e.ids) for e in found]
+    char_at = np.r_[np.flatnonzero((flat & 0xC0) != 0x80), len(flat)]
+    s_starts, s_ends, s_ids = _specials(flat, offsets, vocabulary(path))
+    cuts = np.unique(np.r_[offsets, s_starts, s_ends]) if len(s_starts) else offsets
+    starts = char_at[pretokens(chars, np.searchsorted(char_at, cuts))]
+    ends = np.r_[starts[1:], len(flat)][: len(starts)]
+    if len(s_starts):
+        before = np.searchsorted(s_starts, starts, side="right") - 1
+        keep = (before < 0) | (starts >= s_ends[before])
+        starts, ends = starts[keep], ends[keep]
+    got = codes.rows(flat, starts, ends)
+    sizes, ids = codes.sizes(got), codes.codes(got) if with_ids else np.zeros(0, dtype=np.uint32)
+    if len(s_starts):
+        order = np.argsort(np.r_[starts, s_starts], kind="stable")
+        all_sizes = np.r_[sizes, np.ones(len(s_starts), dtype=np.int64)]
         if with_ids:
-            order = np.argsort(np.r_[np.repeat(np.flatnonzero(plain), counts[plain]), np.repeat(which, counts[which])], kind="stable")
-            ids = np.r_[ids, np.array([i for e in found for i in e.ids], dtype=np.uint32)][order]
-    return ids, counts
+            first = np.cumsum(all_sizes) - all_sizes
+            ids = np.r_[ids, s_ids.astype(np.uint32)][ranges(first[order], all_sizes[order])]
+        starts, sizes = np.r_[starts, s_starts][order], all_sizes[order]
+    row = np.searchsorted(offsets, starts, side="right") - 1
+    return ids, np.bincount(row, weights=sizes, minlength=len(offsets) - 1).astype(np.int64)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -9,25 +10,30 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.ragged import hash_spans, mix64, ranges, row_chunks, run_starts, utf8, word_spans
+from ledgerloom.llm.ragged import HashMap64, equal_spans, hash_spans, mix64, ranges, row_chunks, run_starts, utf8, word_spans
 from ledgerloom.llm.sketch import key_filter, passes, summed_cells
-from ledgerloom.llm.store import Written, release
+from ledgerloom.llm.store import Written
 
 #: Cells of the table of token counts by which tokens are ordered; a fixed size, the order only steers the work.
-CELLS = 1 << 18
-#: Rows of one prefix token that one task handles; a token that may have more is dealt to several tasks.
-HOT_ROWS = 20_000
-#: Occurrences from which a word is frequent: its rows are compared with the earliest one first.
-FREQUENT = 256
-#: Frequent words of a line that it is tried under at first, before all its first words are compared.
-FIRST_TRIED = 2
-_HASH_BITS = 40
+CELLS = 1 << 19
+#: Rows of one prefix token that one task compares; a token that may have more is dealt to several tasks.
+HOT_ROWS = 8192
+#: Earlier lines under one prefix token that a line is verified against at first, and by how much that number grows for
+#: the lines that stay without a match.
+TRIED, GROWTH = 3, 16
+#: Places that a task remembers while it reads texts, and rows that are compared at once.
+SEEN, TOGETHER = 1 << 18, 1 << 19
+_HASH_BITS = 44
 #: The place of a line: id and hash of the text of its document, and its number; and as one number, for the filter.
 _PLACE = ("doc", "sub", "line")
+_PLACES = "doc long, sub long, line int"
 _SPOT = "doc ^ sub ^ shiftleft(cast(line as bigint), 40)"
 _NO_ID = (1 << 63) - 1
 #: What a text or line with a word holds.
 _WORD = r"[^\x20\x09-\x0D]"
+#: Marks of a row: not all rows of its token are in its task; it seeks no earlier line; no line may find it.
+_DEALT, _SILENT, _HIDDEN = 1 << 30, 1 << 29, 1 << 28
+_POS = (1 << 28) - 1
 
 
 def _line_spans(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -40,43 +46,34 @@ def _line_spans(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return rows, np.arange(len(rows)) - (np.cumsum(count) - count)[rows], starts, ends
 
 
+def _lines(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
+    """By chunk of rows: (text bytes, row bounds, doc, hash of its text, line number, start, end) of the lines."""
+    flat, offsets = utf8(batch.column(1))
+    ids, subs = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+    for a, b in row_chunks(offsets):
+        part, bounds = flat[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+        rows, numbers, starts, ends = _line_spans(part, bounds)
+        yield part, bounds, ids[a:b][rows], subs[a:b][rows], numbers, starts, ends
+
+
 def _ordered_sets(words: np.ndarray, line: np.ndarray, lines: int, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(tokens, line of each): the distinct tokens of every line, rarest first.
 
-    A token is the rank of its count cell above 40 bits of its hash, so that its number is its place in the order.
+    A token is the rank of its count cell above 44 bits of its hash, so that its number is its place in the order.
     """
     token = (ranks[(words & np.uint64(CELLS - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(_HASH_BITS)) | (words >> np.uint64(64 - _HASH_BITS))
     tokens, owners = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
-    step = 1 << 14  # lines in one sort, so that line and token fit into 64 bits
+    step = 1 << 11  # lines in one sort, so that line and token fit into 64 bits
     bounds = np.searchsorted(line, np.arange(0, lines + step, step))
     for k in range(len(bounds) - 1):
         a, b = bounds[k], bounds[k + 1]
-        key = np.unique(((line[a:b] - k * step).astype(np.uint64) << np.uint64(50)) | token[a:b])
-        tokens.append((key & np.uint64((1 << 50) - 1)).astype(np.int64))
-        owners.append((key >> np.uint64(50)).astype(np.int64) + k * step)
+        key = np.sort(((line[a:b] - k * step).astype(np.uint64) << np.uint64(53)) | token[a:b])
+        key = key[run_starts(key)]
+        tokens.append((key & np.uint64((1 << 53) - 1)).astype(np.int64))
+        owners.append((key >> np.uint64(53)).astype(np.int64) + k * step)
     return np.concatenate(tokens), np.concatenate(owners)
 
 
-def _lines(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
-    """By chunk of rows: (text bytes, doc, hash of its text, line number, start, end) of the lines."""
-    flat, offsets = utf8(batch.column(1))
-    ids, subs = batch.column(0).to_numpy(), batch.column(2).to_numpy()
-    for a, b in row_chunks(offsets):
-        part = flat[offsets[a] : offsets[b]]
-        rows, numbers, starts, ends = _line_spans(part, offsets[a : b + 1] - offsets[a])
-        yield part, ids[a:b][rows], subs[a:b][rows], numbers, starts, ends
-
-
-def _sets(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(which of the lines have a word, number of tokens of each of these, all tokens, first token of each)."""
-    own = flat[ranges(starts, ends - starts)]
-    bounds = np.r_[0, np.cumsum(ends - starts)]
-    begin, stop, line = word_spans(own, bounds)
-    tokens, owner = _ordered_sets(hash_spans(own, begin, stop), line, len(starts), ranks)
-    heads = run_starts(owner)
-    return owner[heads], np.diff(np.r_[heads, len(owner)]), tokens, heads
-
-
 def _prefix_sizes(n: np.ndarray, threshold: float) -> np.ndarray:
     """Tokens of a set of n that must hold one of any partner's first tokens."""
     return n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1
@@ -89,66 +86,369 @@ def _binary(values: np.ndarray, heads: np.ndarray, sizes: np.ndarray) -> pa.Arra
     return pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(total.astype(np.int64).tobytes()), pa.py_buffer(data)]).cast(pa.binary())
 
 
-def _near(threshold: float) -> Column:
-    """Length, positional and bitmap filter of two rows (m_, o_) of one prefix token; none drops a pair over the
-    threshold. Of sizes n, need tokens must be shared; at places pos no more than the rest can be; and each token in one
-    set only changes at most one bit of the sets' parities.
+def _flat64(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers, bounds) of a binary column of 64-bit numbers; null counts as none."""
+    column = column.fill_null(b"").cast(pa.large_binary())
+    offsets = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + len(column) + 1]
+    if not len(column) or offsets[0] == offsets[-1]:
+        return np.zeros(0, dtype=np.int64), np.zeros(len(column) + 1, dtype=np.int64)
+    data = np.frombuffer(column.buffers()[2], dtype=np.uint8)[offsets[0] : offsets[-1]]
+    return np.frombuffer(data.tobytes(), dtype="<i8"), (offsets - offsets[0]) // 8
+
+
+def _before(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...]) -> np.ndarray:
+    """Whether places a stand before places b."""
+    return (a[0] < b[0]) | ((a[0] == b[0]) & ((a[1] < b[1]) | ((a[1] == b[1]) & (a[2] < b[2]))))
+
+
+def _rarity(rows: DataFrame, seed: int) -> np.ndarray:
+    """The place in the order of rarity of each cell of word hashes, from counts over all texts."""
+
+    def count(batch: pa.RecordBatch, table: np.ndarray) -> None:
+        flat, offsets = utf8(batch.column(1))
+        for a, b in row_chunks(offsets):
+            part = flat[offsets[a] : offsets[b]]
+            starts, ends, _ = word_spans(part, offsets[a : b + 1] - offsets[a])
+            table += np.bincount((hash_spans(part, starts, ends, seed) & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
+
+    return np.minimum(np.floor(8 * np.log2(summed_cells(rows, CELLS, count) + 1)), 511).astype(np.uint16)
+
+
+_SETS = "k1 long, k2 long, " + _PLACES + ", n int, parity long, prefix binary"
+_NAMES = ["k1", "k2", *_PLACE, "n", "parity", "prefix"]
+
+
+def _first_places(rows: DataFrame, ranks: np.ndarray, threshold: float, seed: int) -> DataFrame:
+    """One row per line with words: of lines of the same words, the first one with its number of tokens, their parity
+    and its prefix; the others with a null prefix. Lines are told apart by 128 bits over their words.
+
+    A task remembers which lines it has read, so that few rows of a frequent one are dealt out.
     """
-    n, o = F.col("m_n"), F.col("o_n")
-    need = F.ceil(F.lit(threshold) / (1 + threshold) * (n + o) - 1e-9)
-    reach = F.least(n - F.col("m_pos"), o - F.col("o_pos"))
-    length = F.least(n, o) >= F.lit(threshold) * F.greatest(n, o) - 1e-9
-    return length & (reach >= need) & (F.bit_count(F.col("m_parity").bitwiseXOR(F.col("o_parity"))) <= n + o - 2 * need)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, stored = HashMap64(1 << 12), [np.zeros(0, dtype=np.int64)] * 4  # k2 and place of the lines in it
+        for batch in batches:
+            for part, bounds, doc, sub, number, starts, ends in _lines(batch):
+                begin, stop, _ = word_spans(part, bounds)
+                line = np.searchsorted(starts, begin, side="right") - 1
+                words = hash_spans(part, begin, stop, seed)
+                if not len(words):
+                    continue
+                heads = run_starts(line)
+                which = line[heads]
+                k1 = np.add.reduceat(mix64(words + np.uint64(seed)), heads).view(np.int64)
+                k2 = np.add.reduceat(mix64(words ^ np.uint64(seed)), heads).view(np.int64)
+                place = [doc[which], sub[which], number[which].astype(np.int64)]
+                order = np.lexsort((*place[::-1], k2, k1))
+                run = np.flatnonzero(np.r_[True, (k1[order][1:] != k1[order][:-1]) | (k2[order][1:] != k2[order][:-1])])
+                first = order[np.repeat(run, np.diff(np.r_[run, len(order)]))]
+                gone = np.zeros(len(which), dtype=bool)
+                gone[order] = _before([p[first] for p in place], [p[order] for p in place])
+                lead = order[run]
+                at = seen.get(k1[lead].view(np.uint64))
+                known = (at >= 0) & (stored[0][at] == k2[lead]) if len(stored[0]) else np.zeros(len(lead), dtype=bool)
+                old, mine = [p[at[known]] for p in stored[1:]], [p[lead[known]] for p in place]
+                later = ~_before(mine, old)
+                gone[lead[known][later]] = _before(old, mine)[later]
+                emit = np.ones(len(lead), dtype=bool)
+                emit[np.flatnonzero(known)[later]] = False
+                for p, now in zip(stored[1:], mine, strict=True):
+                    p[at[known][~later]] = now[~later]
+                fresh = lead[(at < 0)]
+                fresh = fresh[run_starts(k1[fresh])]
+                if seen.size + len(fresh) > SEEN:
+                    seen, stored = HashMap64(1 << 12), [np.zeros(0, dtype=np.int64)] * 4
+                if len(fresh) <= SEEN:
+                    seen.put(k1[fresh].view(np.uint64), len(stored[0]) + np.arange(len(fresh)))
+                    stored = [np.r_[p, now[fresh]] for p, now in zip(stored, (k2, *place), strict=True)]
+                lead = lead[emit]
+                tokens, owner = _ordered_sets(words, line, len(starts), ranks)
+                t_heads = run_starts(owner)  # every line of ``which`` has a token
+                sizes = np.diff(np.r_[t_heads, len(owner)])
+                parity = np.bitwise_xor.reduceat(np.uint64(1) << (tokens.view(np.uint64) & np.uint64(63)), t_heads).view(np.int64)
+                lead.sort()
+                out = [k1, k2, *place[:2], place[2].astype(np.int32), sizes.astype(np.int32), parity]
+                yield pa.RecordBatch.from_arrays([*[pa.array(c[lead]) for c in out], _binary(tokens, t_heads[lead], _prefix_sizes(sizes[lead], threshold))], names=_NAMES)
+                rest = np.flatnonzero(gone)
+                anywhere = mix64((place[0] ^ place[1] ^ (place[2] << 40))[rest].view(np.uint64)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(anywhere), *[pa.array(c[rest]) for c in out[1:]], pa.nulls(len(rest), pa.binary())], names=_NAMES)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Over rows sorted by k1: of each line its first place, the others without a prefix."""
+        held: pa.Table | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            table = table if held is None else pa.concat_tables([held, table]).combine_chunks()
+            now = {c: table.column(c).to_numpy() for c in ("k1", "k2", *_PLACE)}
+            open_ = table.column("prefix").is_valid().to_numpy()
+            order = np.lexsort((now["line"], now["sub"], now["doc"], now["k2"], ~open_, now["k1"]))
+            same = (now["k1"][order][1:] == now["k1"][order][:-1]) & (now["k2"][order][1:] == now["k2"][order][:-1]) & open_[order][1:]
+            lead = np.r_[True, ~same]
+            run = np.maximum.accumulate(np.where(lead, np.arange(len(order)), 0))
+            before = _before([now[c][order[run]] for c in _PLACE], [now[c][order] for c in _PLACE])
+            last = now["k1"][order] == now["k1"][order[-1]]  # of the last k1 more rows may come
+            first = open_[order] & lead
+            held = table.take(pa.array(order[first & last]))
+            yield from table.take(pa.array(order[first & ~last])).select([*_PLACE, "n", "parity", "prefix"]).to_batches()
+            others = table.take(pa.array(order[~first & (before | ~open_[order])])).select([*_PLACE, "n", "parity"])
+            yield from others.append_column("prefix", pa.nulls(others.num_rows, pa.binary())).to_batches()
+        if held is not None:
+            yield from held.select([*_PLACE, "n", "parity", "prefix"]).to_batches()
+
+    dealt = rows.mapInArrow(read, _SETS).repartition("k1").sortWithinPartitions("k1")
+    return dealt.mapInArrow(merge, _PLACES + ", n int, parity long, prefix binary")
+
+
+def _prefix_cells(sets: DataFrame) -> np.ndarray:
+    """Number of prefix tokens in each cell of their hash, over all rows of ``sets``."""
+
+    def count(batch: pa.RecordBatch, table: np.ndarray) -> None:
+        table += np.bincount(_flat64(batch.column(0))[0] & (CELLS - 1), minlength=CELLS)
+
+    return summed_cells(sets.select("prefix"), CELLS, count)
+
+
+def _blocks(cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(cells that hold more rows than one task compares, number of tasks for each)."""
+    hot = np.flatnonzero(cells > HOT_ROWS)
+    return hot, 1 + cells[hot] // HOT_ROWS
+
+
+def _of_hot(tokens: np.ndarray, blocks: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Number of tasks of each token."""
+    hot, number = blocks
+    out = np.ones(len(tokens), dtype=np.int64)
+    if len(hot):
+        cell = tokens & (CELLS - 1)
+        at = np.minimum(np.searchsorted(hot, cell), len(hot) - 1)
+        found = hot[at] == cell
+        out[found] = number[at[found]]
+    return out
+
+
+def _first_pairs(sets: DataFrame, threshold: float) -> DataFrame:
+    """Each line with the earliest ones that pass the filters under each token of its prefix (see ``_compared``). The
+    lines of a hot token are dealt to several tasks, each of which tries its own."""
+    blocks = _blocks(_prefix_cells(sets))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tokens, row, pos = _entries(batch)
+            number = _of_hot(tokens, blocks)
+            part = _part(batch, row) % number.astype(np.uint64)
+            yield _dealt(batch, np.where(number > 1, _mixed(tokens, part), tokens), row, np.where(number > 1, pos | _DEALT, pos))
+
+    return _compared(sets.select(*_PLACE, "n", "parity", "prefix").mapInArrow(run, _GROUPED), threshold, TRIED)
+
+
+def _rest_pairs(sets: DataFrame, open_lines: DataFrame, threshold: float, tried: int) -> DataFrame:
+    """As ``_first_pairs`` for ``open_lines`` alone, against all earlier lines: the rows of a hot token are dealt to a grid
+    of tasks, so that each open line meets each other line in one of them."""
+    own = Written(sets.join(open_lines.select(*_PLACE), [*_PLACE], "left_semi"), "line-open")
+    tokens = own.df.select("prefix").mapInArrow(_each_token, "token long").distinct()
+    bits = key_filter(tokens, "token", tokens.count())
+    theirs, mine = _blocks(_prefix_cells(sets)), _blocks(_prefix_cells(own.df))
+
+    def run(seeks: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                tokens, row, pos = _entries(batch)
+                keep = passes(bits, tokens)
+                tokens, row, pos = tokens[keep], row[keep], pos[keep]
+                number, other = _of_hot(tokens, mine if seeks else theirs), _of_hot(tokens, theirs if seeks else mine)
+                part = (_part(batch, row) % number.astype(np.uint64)).astype(np.int64)
+                copy = np.repeat(np.arange(len(tokens)), other)
+                across = np.arange(len(copy)) - np.repeat(np.cumsum(other) - other, other)
+                a, b = (part[copy], across) if seeks else (across, part[copy])
+                width = _of_hot(tokens, theirs)[copy]
+                whole = (number * other)[copy] == 1
+                group = np.where(whole, tokens[copy], _mixed(tokens[copy], (a * width + b).astype(np.uint64)))
+                yield _dealt(batch, group, row[copy], pos[copy] | (_HIDDEN if seeks else _SILENT))
+
+        return deal
+
+    columns = [*_PLACE, "n", "parity", "prefix"]
+    every = sets.select(*columns).mapInArrow(run(False), _GROUPED).unionByName(own.df.select(*columns).mapInArrow(run(True), _GROUPED))
+    return _compared(every, threshold, tried)
+
+
+_GROUPED = "token long, doc long, sub long, line int, at long, parity long"
+
+
+def _entries(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(token, row, place in the prefix) of all prefix tokens of a batch of sets."""
+    tokens, offsets = _flat64(batch.column(5))
+    sizes = np.diff(offsets)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    return tokens, row, np.arange(len(row)) - offsets[:-1][row]
+
+
+def _each_token(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array(np.unique(_flat64(batch.column(0))[0]))], names=["token"])
+
+
+def _part(batch: pa.RecordBatch, row: np.ndarray) -> np.ndarray:
+    return mix64((batch.column(0).to_numpy() ^ batch.column(1).to_numpy() ^ batch.column(2).to_numpy().astype(np.int64)).view(np.uint64))[row]
+
+
+def _mixed(tokens: np.ndarray, part: np.ndarray) -> np.ndarray:
+    """A key for a part of a token's rows; where it falls on another key, rows are compared in vain, never missed."""
+    return mix64(tokens.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + part).view(np.int64)
 
 
-def _similar(pairs: DataFrame, rows: DataFrame, ranks: np.ndarray, threshold: float) -> Written:
-    """Of pairs (places and o_ places) of first lines: the places of the lines that are similar to their partner.
+def _dealt(batch: pa.RecordBatch, tokens: np.ndarray, row: np.ndarray, pos: np.ndarray) -> pa.RecordBatch:
+    at = (batch.column(3).to_numpy().astype(np.int64)[row] << 32) | pos
+    taken = [batch.column(k).take(pa.array(row)) for k in (0, 1, 2)]
+    return pa.RecordBatch.from_arrays([pa.array(tokens), *taken, pa.array(at), batch.column(4).take(pa.array(row))], names=["token", *_PLACE, "at", "parity"])
 
-    The lines in pairs are read from the texts again: a filter of bounded size lets few others pass, and only those
-    that pass are split into words.
+
+_PAIRS = _PLACES + ", o_doc long, o_sub long, o_line int, more boolean"
+
+
+def _compared(grouped: DataFrame, threshold: float, tried: int) -> DataFrame:
+    """(place, o_ place, more): of the rows of one token, each line with up to ``tried`` of the earliest lines that pass
+    the length, positional and bitmap filters. ``more`` says that others may follow; such a row may have no o_ place.
+    """
+    names = ("token", *_PLACE, "at", "parity")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict[str, np.ndarray]] = []
+        rows = 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append({c: batch.column(c).to_numpy() for c in names})
+            rows += batch.num_rows
+            if rows < TOGETHER:
+                continue
+            now = {c: np.concatenate([h[c] for h in held]) for c in names}
+            last = int(np.searchsorted(now["token"], now["token"][-1])) if now["token"][0] != now["token"][-1] else 0
+            if last:
+                yield from _pairs_of({c: v[:last] for c, v in now.items()}, threshold, tried)
+            held, rows = [{c: v[last:] for c, v in now.items()}], len(now["token"]) - last
+        if held:
+            yield from _pairs_of({c: np.concatenate([h[c] for h in held]) for c in names}, threshold, tried)
+
+    return grouped.repartition("token").sortWithinPartitions("token").mapInArrow(run, _PAIRS).distinct()
+
+
+def _pairs_of(rows: dict[str, np.ndarray], threshold: float, tried: int) -> Iterator[pa.RecordBatch]:
+    """The pairs of whole groups of rows, which are sorted by token."""
+    group = np.cumsum(np.r_[True, rows["token"][1:] != rows["token"][:-1]]) - 1
+    several = (np.bincount(group) > 1)[group] | ((rows["at"] & _DEALT) > 0)
+    rows = {c: v[several] for c, v in rows.items()}
+    group = group[several]
+    if not len(group):
+        return
+    place = np.argsort(np.lexsort((rows["line"], rows["sub"], rows["doc"])), kind="stable")
+    # places equal in a group (a line that seeks and is found) get one number
+    n = rows["at"] >> 32
+    bucket = np.floor(np.log(n) / np.log(1 / threshold)).astype(np.int64) if threshold < 1 else n
+    key = group.astype(np.int64) * (1 << 20) + bucket + 1
+    order = np.lexsort((place, key))
+    rows = {c: v[order] for c, v in rows.items()}
+    key, place, n, mark = key[order], place[order], n[order], rows["at"] & 0xFFFFFFFF
+    pos, parity = mark & _POS, rows["parity"].view(np.uint64)
+    heads = run_starts(key)
+    ends = np.r_[heads[1:], len(key)]
+    width = np.int64(max(1, int(len(place)).bit_length()))
+    dense = np.searchsorted(key[heads], key)  # number of the run
+    sorted_at = (dense << width) | place
+    count = np.zeros(len(key), dtype=np.int64)
+    more = (mark & _DEALT) > 0
+    seeks = (mark & _SILENT) == 0
+    hidden = (mark & _HIDDEN) > 0
+    found: list[np.ndarray] = []
+    for step in (-1, 0, 1):  # lines of the sizes that a partner may have
+        to = np.minimum(np.searchsorted(key[heads], key + step), len(heads) - 1)
+        there = seeks & (key[heads][to] == key + step)
+        own = np.flatnonzero(there)
+        at = heads[to[own]]
+        until = np.searchsorted(sorted_at, (to[own] << width) | place[own]) if step else own
+        until = np.minimum(until, ends[to[own]])
+        on = at < until
+        own, at, until = own[on], at[on], until[on]
+        while len(own):
+            n1, n2 = n[own], n[at]
+            need = np.ceil(threshold / (1 + threshold) * (n1 + n2) - 1e-9)
+            good = (np.minimum(n1 - pos[own], n2 - pos[at]) >= need) & (np.minimum(n1, n2) >= need) & ~hidden[at]
+            good &= np.bitwise_count(parity[own] ^ parity[at]) <= n1 + n2 - 2 * need
+            if good.any():
+                hit, to_ = own[good], at[good]
+                differ = (rows["doc"][hit] != rows["doc"][to_]) | (rows["sub"][hit] != rows["sub"][to_]) | (rows["line"][hit] != rows["line"][to_])
+                hit, to_ = hit[differ], to_[differ]
+                found.append(np.stack([hit, to_]))
+                count[hit] += 1
+            at = at + 1
+            on = (at < until) & (count[own] < tried)
+            more[own[(at < until) & ~on]] = True
+            own, at, until = own[on], at[on], until[on]
+    own, at = np.concatenate(found, axis=1) if found else np.zeros((2, 0), dtype=np.int64)
+    alone = np.flatnonzero(more & seeks & (count == 0))
+    left, right = np.r_[own, alone], pa.array(np.r_[at, np.zeros(len(alone), dtype=np.int64)], mask=np.arange(len(own) + len(alone)) >= len(own))
+    columns = [pa.array(rows[c]) for c in _PLACE]
+    yield pa.RecordBatch.from_arrays([*[c.take(pa.array(left)) for c in columns], *[c.take(right) for c in columns], pa.array(more[left])], names=[*_PLACE, *[f"o_{c}" for c in _PLACE], "more"])
+
+
+def _similar(pairs: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
+    """The places of the lines of ``pairs`` that are similar to their partner.
+
+    The lines in pairs are read from the texts again: a filter of bounded size lets few others pass.
     """
-    wanted = pairs.select(*_PLACE).unionByName(pairs.select(*[F.col(f"o_{c}").alias(c) for c in _PLACE])).distinct()
-    wanted = Written(wanted.select(*_PLACE, F.expr(_SPOT).alias("spot")), "line-wanted")
+    theirs = pairs.select(*[F.col(f"o_{c}").alias(c) for c in _PLACE])
+    wanted = Written(pairs.select(*_PLACE).unionByName(theirs).distinct().withColumn("spot", F.expr(_SPOT)), "line-wanted")
     bits = key_filter(wanted.df, "spot", wanted.df.count())
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for flat, doc, sub, number, starts, ends in _lines(batch):
+            for part, _, doc, sub, number, starts, ends in _lines(batch):
                 hit = np.flatnonzero(passes(bits, doc ^ sub ^ (number.astype(np.int64) << 40)))
-                which, sizes, tokens, heads = _sets(flat, starts[hit], ends[hit], ranks)
-                hit = hit[which]
-                yield pa.RecordBatch.from_arrays([pa.array(doc[hit]), pa.array(sub[hit]), pa.array(number[hit].astype(np.int32)), _binary(tokens, heads, sizes)], names=[*_PLACE, "tokens"])
+                size = (ends - starts)[hit]
+                total = np.r_[0, np.cumsum(size)].astype(np.int64)
+                text = pa.Array.from_buffers(pa.large_binary(), len(hit), [None, pa.py_buffer(total.tobytes()), pa.py_buffer(part[ranges(starts[hit], size)].tobytes())])
+                yield pa.RecordBatch.from_arrays([pa.array(doc[hit]), pa.array(sub[hit]), pa.array(number[hit].astype(np.int32)), text.cast(pa.binary())], names=[*_PLACE, "text"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            left, l_off = _flat64(batch.column(3))
-            right, r_off = _flat64(batch.column(4))
-            n, o = np.diff(l_off), np.diff(r_off)
-            row = np.r_[np.repeat(np.arange(len(n)), n), np.repeat(np.arange(len(o)), o)].astype(np.int64)
-            token = np.r_[left, right]
-            order = np.lexsort((token, row))
-            row, token = row[order], token[order]
-            both = np.bincount(row[1:][(row[1:] == row[:-1]) & (token[1:] == token[:-1])], minlength=len(n))
-            good = pa.array(both >= threshold * (n + o - both) - 1e-9)
-            yield pa.RecordBatch.from_arrays([batch.column(k).filter(good) for k in range(3)], names=list(_PLACE))
-
-    found = rows.mapInArrow(read, "doc long, sub long, line int, tokens binary")
+            sizes = np.array([len(x.as_buffer()) + len(y.as_buffer()) for x, y in zip(batch.column(3), batch.column(4), strict=True)], dtype=np.int64)
+            for a, b in row_chunks(np.r_[0, np.cumsum(sizes)]):
+                part = batch.slice(a, b - a)
+                good = pa.array(_jaccard_reached(part.column(3), part.column(4), threshold))
+                yield pa.RecordBatch.from_arrays([part.column(k).filter(good) for k in range(3)], names=list(_PLACE))
+
+    found = rows.mapInArrow(read, _PLACES + ", text binary").join(wanted.df.select(*_PLACE), [*_PLACE], "left_semi")
     found = Written(found.dropDuplicates([*_PLACE]), "line-found")  # rows equal in id and text: one of them
-    theirs = found.df.select(*[F.col(c).alias(f"o_{c}") for c in _PLACE], F.col("tokens").alias("theirs"))
-    joined = pairs.join(found.df, [*_PLACE]).join(theirs, [f"o_{c}" for c in _PLACE]).select(*_PLACE, "tokens", "theirs")
-    out = Written(joined.mapInArrow(verify, "doc long, sub long, line int").distinct(), "line-matches")
+    other = found.df.select(*[F.col(c).alias(f"o_{c}") for c in _PLACE], F.col("text").alias("theirs"))
+    joined = pairs.join(found.df, [*_PLACE]).join(other, [f"o_{c}" for c in _PLACE]).select(*_PLACE, "text", "theirs")
+    out = Written(joined.mapInArrow(verify, _PLACES).distinct(), "line-matches")
     wanted.drop()
     found.drop()
-    return out
-
-
-def _flat64(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    column = column.cast(pa.large_binary())
-    offsets = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + len(column) + 1]
-    data = np.frombuffer(column.buffers()[2], dtype=np.uint8)[offsets[0] : offsets[-1]]
-    return np.frombuffer(data.tobytes(), dtype="<i8"), (offsets - offsets[0]) // 8
+    return out.df
+
+
+def _jaccard_reached(left: pa.Array, right: pa.Array, threshold: float) -> np.ndarray:
+    """Whether the word sets of two texts reach the threshold, row by row. Words are compared by bytes."""
+    rows = len(left)
+    both = b"".join([*left.to_pylist(), *right.to_pylist()])
+    sizes = np.array([len(x.as_buffer()) for c in (left, right) for x in c], dtype=np.int64)
+    flat, bounds = np.frombuffer(both, dtype=np.uint8), np.r_[0, np.cumsum(sizes)]
+    starts, ends, text = word_spans(flat, bounds)
+    row, side = text % rows if rows else text, text >= rows
+    words = hash_spans(flat, starts, ends)
+    order = np.lexsort((side, words, row))
+    starts, ends, row, side, words = (x[order] for x in (starts, ends, row, side, words))
+    same = (row[1:] == row[:-1]) & (words[1:] == words[:-1])
+    odd = np.unique(row[1:][same][~equal_spans(flat, starts[1:][same], ends[1:][same], flat, starts[:-1][same], ends[:-1][same])])
+    first = np.r_[True, ~(same & (side[1:] == side[:-1]))] if len(row) else np.zeros(0, dtype=bool)
+    shared = np.bincount(row[1:][same & (side[1:] != side[:-1])], minlength=rows)
+    total = np.bincount(row[first], minlength=rows) - shared
+    for k in odd.tolist():  # words of one hash and other bytes
+        one, two = (set(c[k].as_py().split()) for c in (left, right))
+        shared[k], total[k] = len(one & two), len(one | two)
+    return shared >= threshold * total - 1e-9
 
 
 def later_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
@@ -160,106 +460,35 @@ def later_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     line is removed if the Jaccard similarity with any earlier line, removed or not, is at least ``threshold``. Lines
     without words are never removed and match nothing.
 
-    The join: equal lines are merged first, by a 64-bit hash of their text; they stand where the first one does. Words are ordered by rarity (a
-    count table of fixed size over all rows); sets that are similar share one of their first n - ceil(threshold n) + 1
-    words. Rows that share such a word are compared under length, positional and bitmap filters, and what passes is
-    verified on the whole sets. Before that, words that may be frequent are dealt to tasks apart, where every row is
-    compared with the earliest one (a line is tried under its two rarest frequent words): a line that this removes needs no other comparison, so that a large group of
-    similar lines costs one comparison a line. Ids must be whole numbers.
+    The join: lines of the same words are merged first; they stand where the first one does. Words are ordered by rarity
+    (a count table of fixed size over all rows); sets that are similar share one of their first n - ceil(threshold n) + 1
+    words. Among the rows of such a word each line seeks earlier ones of a size that may match, the earliest first, and
+    goes on past those that fail the positional or bitmap filter; the first few that pass are verified on the texts.
+    So a large group of similar lines costs a few comparisons a line. Lines without a match that have more to try go
+    on with ever more of the others until none has. Rows of a word that has very many are dealt to several tasks.
+    Ids must be whole numbers. Words are compared byte by byte in the end; up to there by 53-bit numbers, which
+    make two words of a line one with a chance of 2^-44.
     """
-    spark = docs.sparkSession
+    seed = secrets.randbits(63)
     doc, sub = _keyed(id_col, text_col)
     rows = docs.select(doc.alias("id"), F.col(text_col).alias("text"), sub.alias("sub"))
-
-    def count(batch: pa.RecordBatch, table: np.ndarray) -> None:
-        flat, offsets = utf8(batch.column(1))
-        for a, b in row_chunks(offsets):
-            part, bounds = flat[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
-            starts, ends, _ = word_spans(part, bounds)
-            table += np.bincount((hash_spans(part, starts, ends) & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
-
-    cells = summed_cells(rows, CELLS, count)
-    ranks = np.minimum(np.floor(8 * np.log2(cells + 1)), 511).astype(np.int64)
-    # the tasks that the rows of a token of this rank are dealt to; 0: it is too rare to be looked at first
-    spread = np.zeros(512, dtype=np.int64)
-    np.maximum.at(spread, ranks[cells >= FREQUENT], 1 + cells[cells >= FREQUENT] // HOT_ROWS)
-
-    def all_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part, doc, sub, number, starts, ends in _lines(batch):
-                which, sizes, tokens, heads = _sets(part, starts, ends, ranks)
-                if not len(which):
-                    continue
-                text = hash_spans(part, starts[which], ends[which]).view(np.int64)
-                order = np.lexsort((number[which], sub[which], doc[which], text))  # of equal lines of a chunk the earliest
-                text_first = order[run_starts(text[order])]
-                at = which[text_first]
-                parity = np.bitwise_xor.reduceat(np.uint64(1) << (tokens.view(np.uint64) & np.uint64(63)), heads).view(np.int64)
-                prefix = _binary(tokens, heads[text_first], _prefix_sizes(sizes[text_first], threshold))
-                yield pa.RecordBatch.from_arrays([pa.array(doc[at]), pa.array(sub[at]), pa.array(number[at].astype(np.int32)), pa.array(text[text_first]), pa.array(sizes[text_first].astype(np.int32)), pa.array(parity[text_first]), prefix], names=[*_PLACE, "key", "n", "parity", "prefix"])
-
-    found = rows.mapInArrow(all_sets, "doc long, sub long, line int, key long, n int, parity long, prefix binary")
-    first = found.groupBy("key").agg(F.min(F.struct(*_PLACE)).alias("at"), F.first("n").alias("n"), F.first("parity").alias("parity"), F.first("prefix").alias("prefix"))
-    distinct = Written(first.select("key", "at.*", "n", "parity", "prefix"), "line-texts")
-    del found, first
-    release(spark)
-
-    def entries(frequent: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                tokens, offsets = _flat64(batch.column(6))
-                sizes = np.diff(offsets)
-                row = np.repeat(np.arange(len(sizes)), sizes)
-                pos = np.arange(len(row)) - offsets[:-1][row]
-                parts = np.zeros(len(row), dtype=np.int64)
-                if frequent:
-                    tasks = spread[tokens >> _HASH_BITS]
-                    keep = tasks > 0
-                    so_far = np.cumsum(keep) - keep
-                    keep &= so_far - so_far[np.minimum(offsets[:-1], max(len(row) - 1, 0))][row] < FIRST_TRIED  # the rarest of them
-                    tokens, row, pos, tasks = tokens[keep], row[keep], pos[keep], tasks[keep]
-                    mixed = mix64(tokens.view(np.uint64) + (batch.column(0).to_numpy() ^ batch.column(1).to_numpy())[row].view(np.uint64))
-                    parts = (mixed % tasks.astype(np.uint64)).astype(np.int64)
-                taken = [batch.column(k).take(pa.array(row)) for k in range(6)]
-                yield pa.RecordBatch.from_arrays([pa.array(tokens), pa.array(parts[: len(tokens)].astype(np.int32)), *taken, pa.array(pos.astype(np.int32))], names=["token", "part", *_PLACE, "n", "parity", "open", "pos"])
-
-        return run
-
-    fields = "token long, part int, doc long, sub long, line int, n int, parity long, open int, pos int"
-    flat = distinct.df.select(*_PLACE, "n", "parity", F.lit(1).alias("open"), "prefix")
-    dealt = flat.mapInArrow(entries(True), fields).drop("open").repartition("token", "part").sortWithinPartitions("token", "part", *_PLACE)
-    early = dealt.mapInArrow(_with_first(threshold), "doc long, sub long, line int, o_doc long, o_sub long, o_line int")
-    pairs = Written(early.distinct(), "line-pairs")
-    removed = _similar(pairs.df, rows, ranks, threshold).df
-    pairs.drop()
-    del dealt, early
-    release(spark)
-    # all the others: a line that is removed already looks for no earlier ones (open is 0), but others may find it. Both
-    # sides hold the same columns under new names and the condition reads all of them, so that rows are dealt out once
-    state = flat.drop("open").join(removed.withColumn("gone", F.lit(True)), [*_PLACE], "left")
-    flat = state.select(*_PLACE, "n", "parity", F.when(F.col("gone"), 0).otherwise(1).alias("open"), "prefix")
-    every = flat.mapInArrow(entries(False), fields).drop("part")
-    mine, other = (every.select(*[F.col(c).alias(side + c) for c in every.columns]) for side in ("m_", "o_"))
-    same_doc = (F.col("o_doc") == F.col("m_doc")) & ((F.col("o_sub") < F.col("m_sub")) | ((F.col("o_sub") == F.col("m_sub")) & (F.col("o_line") < F.col("m_line"))))
-    earlier = ((F.col("o_doc") < F.col("m_doc")) | same_doc) & (F.col("m_open") * 2 + F.col("o_open") >= 2)
-    found = mine.join(other, F.col("m_token") == F.col("o_token")).where(earlier & _near(threshold))
-    pairs = Written(found.select(*[F.col(f"m_{c}").alias(c) for c in _PLACE], *[f"o_{c}" for c in _PLACE]).distinct(), "line-pairs")
-    if pairs.df.take(1):
-        removed = removed.unionByName(_similar(pairs.df, rows, ranks, threshold).df)
-    pairs.drop()
-    del every, mine, other, found, state, flat
-    release(spark)
-
-    def texts_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part, doc, sub, number, starts, ends in _lines(batch):
-                yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(sub), pa.array(number.astype(np.int32)), pa.array(hash_spans(part, starts, ends).view(np.int64))], names=[*_PLACE, "key"])
-
-    first_at = [F.col(c).alias(f"f_{c}") for c in _PLACE]
-    places = distinct.df.select("key", *first_at)
-    gone = removed.select(*first_at, F.lit(True).alias("gone"))
-    hit = rows.mapInArrow(texts_only, "doc long, sub long, line int, key long").join(places.join(gone, [f"f_{c}" for c in _PLACE], "left"), "key").where("gone or doc <> f_doc or sub <> f_sub or line <> f_line")
-    return hit.groupBy("doc", "sub").agg(F.sort_array(F.collect_set("line")).alias("lines"))
+    places = Written(_first_places(rows, _rarity(rows, seed), threshold, seed), "line-sets")
+    sets = places.df.where("prefix is not null")
+    pairs, tried = Written(_first_pairs(sets, threshold), "line-pairs"), TRIED
+    removed = _similar(pairs.df.where("o_doc is not null"), rows, threshold)
+    while True:
+        open_lines = Written(pairs.df.where("more").select(*_PLACE).distinct().join(removed, [*_PLACE], "left_anti"), "line-open")
+        pairs.drop()
+        if not open_lines.df.take(1):
+            break
+        tried *= GROWTH
+        pairs = Written(_rest_pairs(sets, open_lines.df, threshold, tried), "line-pairs")
+        more = _similar(pairs.df.where("o_doc is not null"), rows, threshold)
+        removed = Written(removed.unionByName(more).distinct(), "line-matches").df
+        open_lines.drop()
+    gone = Written(places.df.where("prefix is null").select(*_PLACE).unionByName(removed), "line-gone").df
+    places.drop()
+    return gone.groupBy("doc", "sub").agg(F.sort_array(F.collect_set("line")).alias("lines"))
 
 
 def _keyed(id_col: str, text_col: str) -> tuple[Column, Column]:
@@ -267,33 +496,6 @@ def _keyed(id_col: str, text_col: str) -> tuple[Column, Column]:
     return F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)), F.xxhash64(F.col(text_col))
 
 
-def _with_first(threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Over rows sorted by token, part and line: the pairs of a row and the first row of its group that pass the
-    filters. Only that first row is carried from batch to batch."""
-    names = ("token", "part", *_PLACE, "n", "parity", "pos")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, np.ndarray] | None = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            now = {c: batch.column(c).to_numpy() for c in names}
-            if held is not None:
-                now = {c: np.r_[held[c], now[c]] for c in names}
-            heads = np.flatnonzero(np.r_[True, (now["token"][1:] != now["token"][:-1]) | (now["part"][1:] != now["part"][:-1])])
-            first = np.repeat(heads, np.diff(np.r_[heads, len(now["token"])]))
-            n, o = now["n"].astype(np.int64), now["n"][first].astype(np.int64)
-            need = np.ceil(threshold / (1 + threshold) * (n + o) - 1e-9)
-            bits = np.bitwise_count((now["parity"] ^ now["parity"][first]).view(np.uint64))
-            good = (np.arange(len(n)) > first) & (np.minimum(n - now["pos"], o - now["pos"][first]) >= need) & (np.minimum(n, o) >= need) & (bits <= n + o - 2 * need)
-            if good.any():
-                at, to = np.flatnonzero(good), first[good]
-                yield pa.RecordBatch.from_arrays([pa.array(now[c][k]) for k in (at, to) for c in _PLACE], names=[*_PLACE, *[f"o_{c}" for c in _PLACE]])
-            held = {c: now[c][heads[-1] : heads[-1] + 1] for c in names}
-
-    return run
-
-
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
     """Documents without the lines that an earlier line matches (see ``later_matches``).
 
@@ -328,16 +530,20 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     documents without words before stay. Where there is a
     column ``n_chars`` it gets the new number of characters.
     """
-    gone = later_matches(docs, id_col, text_col, threshold).select(F.col("doc").alias("gone_doc"), F.col("sub").alias("gone_sub"), F.col("lines").alias("gone_lines"))
+    free = "gone"
+    while any(c.lower().startswith(free) for c in docs.columns):
+        free = "_" + free
+    g_doc, g_sub, g_lines, kept = (f"{free}_{c}" for c in ("doc", "sub", "lines", "kept"))
+    gone = later_matches(docs.select(id_col, text_col), id_col, text_col, threshold).select(F.col("doc").alias(g_doc), F.col("sub").alias(g_sub), F.col("lines").alias(g_lines))
     alike = F.col(id_col).isNull() & F.coalesce(F.col(text_col).rlike(_WORD), F.lit(False))
     docs = docs.where(~alike).unionByName(docs.where(alike).dropDuplicates([text_col]))
     doc, sub = _keyed(id_col, text_col)
-    joined = docs.join(gone, (doc == gone["gone_doc"]) & (sub == gone["gone_sub"]), "left")
-    left = F.filter(F.split(docs[text_col], "\n", -1), lambda _, k: ~F.array_contains("gone_lines", k))
-    text = F.when(F.col("gone_lines").isNull(), docs[text_col]).otherwise(F.array_join(left, "\n"))
-    named = joined.withColumn("kept_text", text).where(F.col("gone_lines").isNull() | F.col("kept_text").rlike(_WORD))
-    new = {text_col: F.col("kept_text")}
+    joined = docs.join(gone, (doc == F.col(g_doc)) & (sub == F.col(g_sub)), "left")
+    left = F.filter(F.split(F.col(text_col), "\n", -1), lambda _, k: ~F.array_contains(g_lines, k))
+    text = F.when(F.col(g_lines).isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n"))
+    named = joined.withColumn(kept, text).where(F.col(g_lines).isNull() | F.col(kept).rlike(_WORD))
+    new = {text_col: F.col(kept)}
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        new["n_chars"] = F.when(F.col("gone_lines").isNull(), docs["n_chars"]).otherwise(F.length("kept_text").cast(kind))
-    return named.select(*[new[c].alias(c) if c in new else docs[c] for c in docs.columns])
+        new["n_chars"] = F.when(F.col(g_lines).isNull(), F.col("n_chars")).otherwise(F.length(kept).cast(kind))
+    return named.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])

@@ -13,10 +13,13 @@ import pyarrow as pa
 
 #: Characters handled at once; a longer single text is handled alone.
 CHUNK_CHARS = 1 << 20
-_BASE = np.uint64(0x9E3779B97F4A7C15)
+_ODD1 = np.uint64(0x9E3779B97F4A7C15)
 _MIX1 = np.uint64(0xFF51AFD7ED558CCD)
 _MIX2 = np.uint64(0xC4CEB9FE1A85EC53)
-_powers: dict[str, np.ndarray] = {}
+#: Bytes of a word of the hash that are kept, by number of bytes left in the span.
+_KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
+#: Values folded one after another; longer runs are folded as a tree of such groups.
+_FOLD = 16
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -30,26 +33,73 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers.get("up", ())) < n:
-        size = 1 << max(n - 1, 1).bit_length()
-        inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
-        for name, base in (("up", _BASE), ("down", inverse)):
-            steps = np.full(size, base, dtype=np.uint64)
-            steps[0] = 1
-            _powers[name] = np.multiply.accumulate(steps)
-    return _powers["up"], _powers["down"]
-
-
-def hash_spans(symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span [start, end) of ``symbols``; equal spans hash alike wherever they stand."""
+def hash_runs(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of each run [start, end) of 64-bit ``values``: a tree of groups of values, each folded by multiply
+    and mix, the length of the run mixed in. It is no polynomial, so no pattern of symbols collides by its form."""
+    if not len(starts):
+        return np.zeros(0, dtype=np.uint64)
+    size = np.asarray(ends - starts).astype(np.int64)
+    start = np.asarray(starts).astype(np.int64)
+    length, level = size, np.uint64(seed & 0xFFFFFFFFFFFFFFFF)
+    while True:
+        groups = np.maximum(1, -(-size // _FOLD))
+        owner = np.repeat(np.arange(len(size)), groups)
+        within = np.arange(len(owner)) - np.repeat(np.cumsum(groups) - groups, groups)
+        at = start[owner] + within * _FOLD
+        left = np.minimum(size[owner] - within * _FOLD, _FOLD)
+        level = mix64(np.array([level]) + _ODD1)[0]
+        out = np.full(len(owner), level, dtype=np.uint64)
+        for k in range(int(left.max())):
+            on = np.flatnonzero(left > k) if k else np.flatnonzero(left > 0)
+            out[on] = mix64(out[on] * _ODD1 + values[at[on] + k].astype(np.uint64) + np.uint64(1))
+        if len(out) == len(size):
+            return mix64(out ^ (length.astype(np.uint64) * _MIX2))
+        values, start, size = out, np.cumsum(groups) - groups, groups
+
+
+def hash_spans(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of each span [start, end) of bytes; equal spans hash alike wherever they stand. ``seed`` gives
+    another, independent one. Spans of up to 64 bytes are folded eight bytes at a time, longer ones as a tree."""
+    starts, ends = np.asarray(starts), np.asarray(ends)
     if not len(starts):
         return np.zeros(0, dtype=np.uint64)
-    up, down = _power_tables(len(symbols) + 1)
-    sums = np.zeros(len(symbols) + 1, dtype=np.uint64)
-    np.cumsum((symbols.astype(np.uint64) + np.uint64(1)) * up[: len(symbols)], out=sums[1:])
-    own = (sums[ends] - sums[starts]) * down[starts]
-    return mix64(own ^ (np.asarray(ends - starts).astype(np.uint64) * _MIX2))
+    padded = np.r_[np.ascontiguousarray(flat), np.zeros(8, dtype=np.uint8)]
+    eights = np.ndarray((len(flat) + 1,), dtype="<u8", buffer=padded, strides=(1,))  # the eight bytes from every place on
+    size = (ends - starts).astype(np.int64)
+    begin = mix64(np.array([seed & 0xFFFFFFFFFFFFFFFF], dtype=np.uint64) + _MIX2)[0]
+    out = mix64((eights[starts] & _KEEP[np.minimum(size, 8)]) ^ (size.astype(np.uint64) * _ODD1) ^ begin)
+    on = np.flatnonzero((size > 8) & (size <= 64))
+    k = 8
+    while len(on):
+        out[on] = mix64(out[on] * _ODD1 + (eights[starts[on] + k] & _KEEP[np.minimum(size[on] - k, 8)]))
+        k += 8
+        on = on[size[on] > k]
+    long = np.flatnonzero(size > 64)
+    if len(long):
+        n = -(-size[long] // 8)
+        owner = np.repeat(np.arange(len(long)), n)
+        step = 8 * (np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n))
+        blocks = eights[starts[long][owner] + step] & _KEEP[np.minimum(size[long][owner] - step, 8)]
+        out[long] = mix64(out[long] + hash_runs(blocks, np.cumsum(n) - n, np.cumsum(n), seed))
+    return out
+
+
+def equal_spans(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: np.ndarray, o_starts: np.ndarray, o_ends: np.ndarray) -> np.ndarray:
+    """Whether the spans hold the same bytes, pair by pair."""
+    size = ends - starts
+    same = size == o_ends - o_starts
+    views = [np.ndarray((len(x) + 1,), dtype="<u8", buffer=np.r_[np.ascontiguousarray(x), np.zeros(8, dtype=np.uint8)], strides=(1,)) for x in (flat, other)]
+    on, k = np.flatnonzero(same & (size > 0)), 0
+    while len(on) > 64 or (len(on) and k < 256):
+        keep = _KEEP[np.minimum(size[on] - k, 8)]
+        good = (views[0][starts[on] + k] & keep) == (views[1][o_starts[on] + k] & keep)
+        same[on[~good]] = False
+        k += 8
+        on = on[good]
+        on = on[size[on] > k]
+    for i in on.tolist():  # few long spans are left
+        same[i] = np.array_equal(flat[starts[i] + k : ends[i]], other[o_starts[i] + k : o_ends[i]])
+    return same
 
 
 def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -79,8 +129,10 @@ def row_chunks(offsets: np.ndarray, limit: int = CHUNK_CHARS) -> Iterator[tuple[
 
 #: The bytes that str.split() and SQL's white space share.
 WHITE = (9, 10, 11, 12, 13, 32)
-_is_white = np.zeros(256, dtype=bool)
-_is_white[list(WHITE)] = True
+
+
+def is_white(flat: np.ndarray) -> np.ndarray:
+    return (flat == 32) | ((flat - np.uint8(9)) < 5)
 
 
 def word_spans(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -88,7 +140,7 @@ def word_spans(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     if not len(flat):
         none = np.zeros(0, dtype=np.int64)
         return none, none, none
-    inside = ~_is_white[flat]
+    inside = ~is_white(flat)
     begin = inside.copy()
     begin[1:] &= ~inside[:-1]
     firsts = offsets[:-1][offsets[:-1] < offsets[1:]]
@@ -136,7 +188,7 @@ class HashMap64:
         self.size = 0
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys * _BASE) >> np.uint64(64 - self.bits)).astype(np.int64)
+        return ((keys * _ODD1) >> np.uint64(64 - self.bits)).astype(np.int64)
 
     def get(self, keys: np.ndarray) -> np.ndarray:
         """Row of each key, -1 where there is none."""

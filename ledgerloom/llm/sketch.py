@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.ragged import mix64
+from ledgerloom.llm.store import freed_shuffles
 
 #: Groups of partial tables in the first of two reducing steps.
 FAN_IN = 64
@@ -29,13 +30,15 @@ def summed_cells(df: DataFrame, cells: int, fill: Callable[[pa.RecordBatch, np.n
         for batch in batches:
             fill(batch, table)
         task = TaskContext.get().partitionId()
-        slices = [s.tobytes() for s in np.array_split(table, parts)]
+        small = table.astype(np.int32) if not either and table.max(initial=0) < 1 << 31 else table
+        slices = [s.tobytes() for s in np.array_split(small, parts)]
         yield pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int32()), pa.array([task] * parts, pa.int32()), pa.array(slices, pa.binary())], names=["slice", "part", "cells"])
 
     def reduce(key: tuple, table: pa.Table) -> pa.Table:
         total = np.zeros(0, dtype=np.int64)
+        size = -(-cells // parts)
         for data in table.column("cells").to_pylist():
-            own = np.frombuffer(data, dtype=np.int64)
+            own = np.frombuffer(data, dtype=np.int64) if len(data) > 4 * size else np.frombuffer(data, dtype=np.int32).astype(np.int64)
             total = own if not len(total) else total | own if either else total + own
         return pa.table({"slice": pa.array([key[0].as_py()], pa.int32()), "part": pa.array([key[1].as_py()], pa.int32()), "cells": pa.array([total.tobytes()], pa.binary())})
 
@@ -43,16 +46,18 @@ def summed_cells(df: DataFrame, cells: int, fill: Callable[[pa.RecordBatch, np.n
     partial = df.mapInArrow(local, schema)
     for groups in (FAN_IN, 1):
         partial = partial.withColumn("part", F.col("part") % groups).groupBy("slice", "part").applyInArrow(reduce, schema)
-    rows = {r["slice"]: np.frombuffer(r["cells"], dtype=np.int64) for r in partial.collect()}  # cells * 8 bytes
+    with freed_shuffles(df.sparkSession):
+        rows = {r["slice"]: np.frombuffer(r["cells"], dtype=np.int64) for r in partial.collect()}  # cells * 8 bytes
     sizes = [len(s) for s in np.array_split(np.zeros(cells, dtype=np.int8), parts)]
     return np.concatenate([rows.get(k, np.zeros(n, dtype=np.int64)) for k, n in enumerate(sizes)])
 
 
 def bit_positions(keys: np.ndarray, bits: int) -> list[np.ndarray]:
-    """Three bit numbers of each 64-bit key in a table of ``bits`` (a power of two) bits."""
+    """Three bit numbers of each 64-bit key in a table of ``bits`` (a power of two) bits: steps of one half of the key
+    from the other half."""
     keys = keys.astype(np.uint64)
-    mask = np.uint64(bits - 1)
-    return [((keys >> np.uint64(s)) & mask).astype(np.int64) for s in (0, 20, 40)]
+    step, mask = keys >> np.uint64(32) | np.uint64(1), np.uint64(bits - 1)
+    return [((keys + np.uint64(k) * step) & mask).astype(np.int64) for k in range(3)]
 
 
 def key_filter(keys: DataFrame, column: str, rows: int, most_bits: int = 1 << 26) -> np.ndarray:

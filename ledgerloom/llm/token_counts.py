@@ -18,8 +18,8 @@ def count_tokens(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
 
     Pre-tokens of a batch are held as one ragged array; each distinct one is merged once, all of them in step: in a
     round every word applies its own lowest-rank pair. The surviving symbols are counted and summed by document.
-    Special strings inside a text count as the library counts them by default (one token); texts that hold one, and
-    words of over 400 bytes, go to the library itself. A worker remembers a bounded number of words.
+    Special strings inside a text count as the library counts them by default (one token). A worker remembers a bounded
+    number of words; they are told apart by their bytes, not by a hash alone.
 
     Null and empty texts have 0 bytes and 0 tokens; ids are carried along as they are (null and repeated ones too);
     an empty table gives an empty result; other columns of ``docs`` are not read. One narrow map, no shuffle.

@@ -54,9 +54,10 @@ def brute_lines(rows):
 def test_line_dedup_equals_brute_force(spark, monkeypatch):
     rows = corpus()
     want = brute_lines(rows)
-    for frequent, hot in ((256, 20_000), (1, 3), (10**9, 1)):
-        monkeypatch.setattr(line_dedup, "FREQUENT", frequent)
+    for tried, hot, seen in ((3, 8192, 1 << 18), (1, 3, 4), (1, 8192, 1 << 18), (2, 1, 0)):
+        monkeypatch.setattr(line_dedup, "TRIED", tried)
         monkeypatch.setattr(line_dedup, "HOT_ROWS", hot)
+        monkeypatch.setattr(line_dedup, "SEEN", seen)
         got = line_dedup.dedup_lines(frame(spark, rows)).collect()
         assert len(got) == len(rows)
         for r in got:
@@ -76,6 +77,26 @@ def test_line_dedup_edges(spark):
     assert sorted(r["doc_id"] for r in kept) == [1, 3, 4] and set(kept[0].asDict()) == {"doc_id", "text", "lang", "source", "n_chars", "key"}
 
 
+def test_line_dedup_of_clashing_columns(spark):
+    rows = [(1, "a b c", 1, 2, 3), (2, "a b c\nd", 4, 5, 6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, gone_lines int, kept_text int, doc int")
+    got = line_dedup.drop_repeated_lines(df)
+    assert got.columns == df.columns and sorted(map(tuple, got.collect())) == [rows[0], (2, "d", 4, 5, 6)]
+    assert line_dedup.dedup_lines(df).count() == 2
+
+
+def test_lines_of_one_hash_pattern_and_of_one_long_text(spark):
+    """Words that polynomial hashes confuse stay apart; a text longer than one chunk is read whole."""
+    wave = "a"
+    while len(wave) < 4096:
+        wave += wave.translate(str.maketrans("az", "za"))
+    long = "\n".join(" ".join(f"x{(k * 7919 + j) % 90_001}" for j in range(12)) for k in range(16_000))
+    texts = [wave, wave.translate(str.maketrans("az", "za")), long, long + "\nnew line here\nnew line here", wave]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["n_removed"] for r in line_dedup.dedup_lines(df).collect()}
+    assert len(long) > 1 << 20 and got[0] == got[1] == 0 and got[4] == 1 and got[3] == got[2] + len(set(range(16_000))) - got[2] + 1
+
+
 def test_line_dedup_of_null_and_repeated_ids(spark):
     """Every row without an id, and every text of a repeated id, is judged as a document of its own."""
     texts = {"a b c\nd e f": None, "g h i\na b c": None, "j k l\nm n o": None, "p q r\na b c": 7, "s t u\nv w x": 7, "a b c": 1}
