@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.ragged import HashMap64, equal_spans, hash_spans, mix64, ranges, row_chunks, run_starts, utf8, word_spans
+from ledgerloom.llm.ragged import HashMap64, hash_spans, mix64, ranges, row_chunks, run_starts, utf8, word_spans
 from ledgerloom.llm.sketch import key_filter, passes, summed_cells
 from ledgerloom.llm.store import Written
 
@@ -31,6 +31,8 @@ _SPOT = "doc ^ sub ^ shiftleft(cast(line as bigint), 40)"
 _NO_ID = (1 << 63) - 1
 #: What a text or line with a word holds.
 _WORD = r"[^\x20\x09-\x0D]"
+#: Bits of the parity of a set: 64, and for sets of more than 64 or 512 tokens some more.
+_WIDE = ((512, 32), (64, 4))
 #: Marks of a row: not all rows of its token are in its task; it seeks no earlier line; no line may find it.
 _DEALT, _SILENT, _HIDDEN = 1 << 30, 1 << 29, 1 << 28
 _POS = (1 << 28) - 1
@@ -114,16 +116,27 @@ def _rarity(rows: DataFrame, seed: int) -> np.ndarray:
     return np.minimum(np.floor(8 * np.log2(summed_cells(rows, CELLS, count) + 1)), 511).astype(np.uint16)
 
 
-_SETS = "k1 long, k2 long, " + _PLACES + ", n int, parity long, prefix binary"
-_NAMES = ["k1", "k2", *_PLACE, "n", "parity", "prefix"]
+_SET = ("n", "parity", "wide", "prefix")
+_SETS = _PLACES + ", n int, parity long, wide binary, prefix binary"
+
+
+def _wide_parities(tokens: np.ndarray, heads: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """For each set of more than 64 tokens: the parity of the number of its tokens in each of 256 or 2048 cells."""
+    out = [None] * len(sizes)
+    for k in np.flatnonzero(sizes > 64).tolist():
+        bits = 64 * next(w for least, w in _WIDE if sizes[k] > least)
+        own = tokens[heads[k] : heads[k] + sizes[k]] & (bits - 1)
+        out[k] = np.packbits((np.bincount(own, minlength=bits) & 1).astype(np.uint8)).tobytes()
+    return pa.array(out, pa.binary())
 
 
 def _first_places(rows: DataFrame, ranks: np.ndarray, threshold: float, seed: int) -> DataFrame:
-    """One row per line with words: of lines of the same words, the first one with its number of tokens, their parity
+    """One row per line with words: of lines of the same words, the first one with its number of tokens, their parities
     and its prefix; the others with a null prefix. Lines are told apart by 128 bits over their words.
 
     A task remembers which lines it has read, so that few rows of a frequent one are dealt out.
     """
+    names = ["k1", "k2", *_PLACE, *_SET]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, stored = HashMap64(1 << 12), [np.zeros(0, dtype=np.int64)] * 4  # k2 and place of the lines in it
@@ -166,12 +179,13 @@ def _first_places(rows: DataFrame, ranks: np.ndarray, threshold: float, seed: in
                 t_heads = run_starts(owner)  # every line of ``which`` has a token
                 sizes = np.diff(np.r_[t_heads, len(owner)])
                 parity = np.bitwise_xor.reduceat(np.uint64(1) << (tokens.view(np.uint64) & np.uint64(63)), t_heads).view(np.int64)
+                parity[sizes > 64] = 0  # the wide one stands for it
                 lead.sort()
                 out = [k1, k2, *place[:2], place[2].astype(np.int32), sizes.astype(np.int32), parity]
-                yield pa.RecordBatch.from_arrays([*[pa.array(c[lead]) for c in out], _binary(tokens, t_heads[lead], _prefix_sizes(sizes[lead], threshold))], names=_NAMES)
+                yield pa.RecordBatch.from_arrays([*[pa.array(c[lead]) for c in out], _wide_parities(tokens, t_heads[lead], sizes[lead]), _binary(tokens, t_heads[lead], _prefix_sizes(sizes[lead], threshold))], names=names)
                 rest = np.flatnonzero(gone)
                 anywhere = mix64((place[0] ^ place[1] ^ (place[2] << 40))[rest].view(np.uint64)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(anywhere), *[pa.array(c[rest]) for c in out[1:]], pa.nulls(len(rest), pa.binary())], names=_NAMES)
+                yield pa.RecordBatch.from_arrays([pa.array(anywhere), *[pa.array(c[rest]) for c in out[1:]], *[pa.nulls(len(rest), pa.binary())] * 2], names=names)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Over rows sorted by k1: of each line its first place, the others without a prefix."""
@@ -191,14 +205,15 @@ def _first_places(rows: DataFrame, ranks: np.ndarray, threshold: float, seed: in
             last = now["k1"][order] == now["k1"][order[-1]]  # of the last k1 more rows may come
             first = open_[order] & lead
             held = table.take(pa.array(order[first & last]))
-            yield from table.take(pa.array(order[first & ~last])).select([*_PLACE, "n", "parity", "prefix"]).to_batches()
+            yield from table.take(pa.array(order[first & ~last])).select([*_PLACE, *_SET]).to_batches()
             others = table.take(pa.array(order[~first & (before | ~open_[order])])).select([*_PLACE, "n", "parity"])
-            yield from others.append_column("prefix", pa.nulls(others.num_rows, pa.binary())).to_batches()
+            none = pa.nulls(others.num_rows, pa.binary())
+            yield from others.append_column("wide", none).append_column("prefix", none).to_batches()
         if held is not None:
-            yield from held.select([*_PLACE, "n", "parity", "prefix"]).to_batches()
+            yield from held.select([*_PLACE, *_SET]).to_batches()
 
-    dealt = rows.mapInArrow(read, _SETS).repartition("k1").sortWithinPartitions("k1")
-    return dealt.mapInArrow(merge, _PLACES + ", n int, parity long, prefix binary")
+    dealt = rows.mapInArrow(read, "k1 long, k2 long, " + _SETS).repartition("k1").sortWithinPartitions("k1")
+    return dealt.mapInArrow(merge, _SETS)
 
 
 def _prefix_cells(sets: DataFrame) -> np.ndarray:
@@ -240,7 +255,7 @@ def _first_pairs(sets: DataFrame, threshold: float) -> DataFrame:
             part = _part(batch, row) % number.astype(np.uint64)
             yield _dealt(batch, np.where(number > 1, _mixed(tokens, part), tokens), row, np.where(number > 1, pos | _DEALT, pos))
 
-    return _compared(sets.select(*_PLACE, "n", "parity", "prefix").mapInArrow(run, _GROUPED), threshold, TRIED)
+    return _compared(sets.select(*_PLACE, *_SET).mapInArrow(run, _GROUPED), threshold, TRIED)
 
 
 def _rest_pairs(sets: DataFrame, open_lines: DataFrame, threshold: float, tried: int) -> DataFrame:
@@ -269,17 +284,17 @@ def _rest_pairs(sets: DataFrame, open_lines: DataFrame, threshold: float, tried:
 
         return deal
 
-    columns = [*_PLACE, "n", "parity", "prefix"]
+    columns = [*_PLACE, *_SET]
     every = sets.select(*columns).mapInArrow(run(False), _GROUPED).unionByName(own.df.select(*columns).mapInArrow(run(True), _GROUPED))
     return _compared(every, threshold, tried)
 
 
-_GROUPED = "token long, doc long, sub long, line int, at long, parity long"
+_GROUPED = "token long, doc long, sub long, line int, at long, parity long, wide binary"
 
 
 def _entries(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(token, row, place in the prefix) of all prefix tokens of a batch of sets."""
-    tokens, offsets = _flat64(batch.column(5))
+    tokens, offsets = _flat64(batch.column(6))
     sizes = np.diff(offsets)
     row = np.repeat(np.arange(len(sizes)), sizes)
     return tokens, row, np.arange(len(row)) - offsets[:-1][row]
@@ -302,7 +317,7 @@ def _mixed(tokens: np.ndarray, part: np.ndarray) -> np.ndarray:
 def _dealt(batch: pa.RecordBatch, tokens: np.ndarray, row: np.ndarray, pos: np.ndarray) -> pa.RecordBatch:
     at = (batch.column(3).to_numpy().astype(np.int64)[row] << 32) | pos
     taken = [batch.column(k).take(pa.array(row)) for k in (0, 1, 2)]
-    return pa.RecordBatch.from_arrays([pa.array(tokens), *taken, pa.array(at), batch.column(4).take(pa.array(row))], names=["token", *_PLACE, "at", "parity"])
+    return pa.RecordBatch.from_arrays([pa.array(tokens), *taken, pa.array(at), *[batch.column(k).take(pa.array(row)) for k in (4, 5)]], names=["token", *_PLACE, "at", "parity", "wide"])
 
 
 _PAIRS = _PLACES + ", o_doc long, o_sub long, o_line int, more boolean"
@@ -315,32 +330,62 @@ def _compared(grouped: DataFrame, threshold: float, tried: int) -> DataFrame:
     names = ("token", *_PLACE, "at", "parity")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[dict[str, np.ndarray]] = []
+        held: list[pa.RecordBatch] = []
         rows = 0
         for batch in batches:
             if not batch.num_rows:
                 continue
-            held.append({c: batch.column(c).to_numpy() for c in names})
-            rows += batch.num_rows
+            held.append(batch)
+            rows += batch.num_rows + batch.column("wide").nbytes // 64
             if rows < TOGETHER:
                 continue
-            now = {c: np.concatenate([h[c] for h in held]) for c in names}
-            last = int(np.searchsorted(now["token"], now["token"][-1])) if now["token"][0] != now["token"][-1] else 0
+            table = pa.Table.from_batches(held).combine_chunks()
+            token = table.column("token").to_numpy()
+            last = int(np.searchsorted(token, token[-1])) if token[0] != token[-1] else 0
             if last:
-                yield from _pairs_of({c: v[:last] for c, v in now.items()}, threshold, tried)
-            held, rows = [{c: v[last:] for c, v in now.items()}], len(now["token"]) - last
+                yield from _pairs_of({c: table.column(c).slice(0, last).to_numpy() for c in names}, table.column("wide").slice(0, last), threshold, tried)
+            held, rows = table.slice(last).to_batches(), table.num_rows - last
         if held:
-            yield from _pairs_of({c: np.concatenate([h[c] for h in held]) for c in names}, threshold, tried)
+            table = pa.Table.from_batches(held).combine_chunks()
+            yield from _pairs_of({c: table.column(c).to_numpy() for c in names}, table.column("wide"), threshold, tried)
 
     return grouped.repartition("token").sortWithinPartitions("token").mapInArrow(run, _PAIRS).distinct()
 
 
-def _pairs_of(rows: dict[str, np.ndarray], threshold: float, tried: int) -> Iterator[pa.RecordBatch]:
+class _Wide:
+    """The wide parities of some rows: 256 bits of each that has any, 2048 of the widest."""
+
+    def __init__(self, column: pa.ChunkedArray, order: np.ndarray):
+        values = column.combine_chunks().take(pa.array(order)).to_pylist() if column.null_count < len(column) else []
+        self.at = [np.full(len(order), -1, dtype=np.int64) for _ in _WIDE]
+        each: list[list[bytes]] = [[], []]
+        for k, value in enumerate(values):
+            if value is not None:
+                self.at[1][k] = len(each[1])
+                each[1].append(value)
+                if len(value) > 32:
+                    self.at[0][k] = len(each[0])
+                    each[0].append(value)
+        full = np.frombuffer(b"".join(each[0]), dtype=np.uint64).reshape(-1, 32)
+        folded = iter(np.bitwise_xor.reduce(full.reshape(-1, 8, 4), axis=1))
+        low = b"".join(v if len(v) == 32 else next(folded).tobytes() for v in each[1])
+        self.words = [full, np.frombuffer(low, dtype=np.uint64).reshape(-1, 4)]
+
+    def differ(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Bits in which two rows differ for sure: 0 where one has no wide parity."""
+        out = np.zeros(len(a), dtype=np.int64)
+        for at, words in zip(self.at[::-1], self.words[::-1], strict=True):
+            both = np.flatnonzero((at[a] >= 0) & (at[b] >= 0))
+            out[both] = np.bitwise_count(words[at[a[both]]] ^ words[at[b[both]]]).sum(axis=1)
+        return out
+
+
+def _pairs_of(rows: dict[str, np.ndarray], wide_column: pa.ChunkedArray, threshold: float, tried: int) -> Iterator[pa.RecordBatch]:
     """The pairs of whole groups of rows, which are sorted by token."""
     group = np.cumsum(np.r_[True, rows["token"][1:] != rows["token"][:-1]]) - 1
     several = (np.bincount(group) > 1)[group] | ((rows["at"] & _DEALT) > 0)
     rows = {c: v[several] for c, v in rows.items()}
-    group = group[several]
+    group, source = group[several], np.flatnonzero(several)
     if not len(group):
         return
     place = np.argsort(np.lexsort((rows["line"], rows["sub"], rows["doc"])), kind="stable")
@@ -350,6 +395,7 @@ def _pairs_of(rows: dict[str, np.ndarray], threshold: float, tried: int) -> Iter
     key = group.astype(np.int64) * (1 << 20) + bucket + 1
     order = np.lexsort((place, key))
     rows = {c: v[order] for c, v in rows.items()}
+    wide = _Wide(wide_column, source[order])
     key, place, n, mark = key[order], place[order], n[order], rows["at"] & 0xFFFFFFFF
     pos, parity = mark & _POS, rows["parity"].view(np.uint64)
     heads = run_starts(key)
@@ -375,10 +421,11 @@ def _pairs_of(rows: dict[str, np.ndarray], threshold: float, tried: int) -> Iter
             n1, n2 = n[own], n[at]
             need = np.ceil(threshold / (1 + threshold) * (n1 + n2) - 1e-9)
             good = (np.minimum(n1 - pos[own], n2 - pos[at]) >= need) & (np.minimum(n1, n2) >= need) & ~hidden[at]
-            good &= np.bitwise_count(parity[own] ^ parity[at]) <= n1 + n2 - 2 * need
+            good &= (np.bitwise_count(parity[own] ^ parity[at]) <= n1 + n2 - 2 * need) | (np.maximum(n1, n2) > 64)
             if good.any():
                 hit, to_ = own[good], at[good]
                 differ = (rows["doc"][hit] != rows["doc"][to_]) | (rows["sub"][hit] != rows["sub"][to_]) | (rows["line"][hit] != rows["line"][to_])
+                differ[differ] = wide.differ(hit[differ], to_[differ]) <= (n1 + n2 - 2 * need)[good][differ]
                 hit, to_ = hit[differ], to_[differ]
                 found.append(np.stack([hit, to_]))
                 count[hit] += 1
@@ -413,11 +460,8 @@ def _similar(pairs: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes = np.array([len(x.as_buffer()) + len(y.as_buffer()) for x, y in zip(batch.column(3), batch.column(4), strict=True)], dtype=np.int64)
-            for a, b in row_chunks(np.r_[0, np.cumsum(sizes)]):
-                part = batch.slice(a, b - a)
-                good = pa.array(_jaccard_reached(part.column(3), part.column(4), threshold))
-                yield pa.RecordBatch.from_arrays([part.column(k).filter(good) for k in range(3)], names=list(_PLACE))
+            good = pa.array([_reached(set(x.split()), set(y.split()), threshold) for x, y in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(k).filter(good) for k in range(3)], names=list(_PLACE))
 
     found = rows.mapInArrow(read, _PLACES + ", text binary").join(wanted.df.select(*_PLACE), [*_PLACE], "left_semi")
     found = Written(found.dropDuplicates([*_PLACE]), "line-found")  # rows equal in id and text: one of them
@@ -429,26 +473,9 @@ def _similar(pairs: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
     return out.df
 
 
-def _jaccard_reached(left: pa.Array, right: pa.Array, threshold: float) -> np.ndarray:
-    """Whether the word sets of two texts reach the threshold, row by row. Words are compared by bytes."""
-    rows = len(left)
-    both = b"".join([*left.to_pylist(), *right.to_pylist()])
-    sizes = np.array([len(x.as_buffer()) for c in (left, right) for x in c], dtype=np.int64)
-    flat, bounds = np.frombuffer(both, dtype=np.uint8), np.r_[0, np.cumsum(sizes)]
-    starts, ends, text = word_spans(flat, bounds)
-    row, side = text % rows if rows else text, text >= rows
-    words = hash_spans(flat, starts, ends)
-    order = np.lexsort((side, words, row))
-    starts, ends, row, side, words = (x[order] for x in (starts, ends, row, side, words))
-    same = (row[1:] == row[:-1]) & (words[1:] == words[:-1])
-    odd = np.unique(row[1:][same][~equal_spans(flat, starts[1:][same], ends[1:][same], flat, starts[:-1][same], ends[:-1][same])])
-    first = np.r_[True, ~(same & (side[1:] == side[:-1]))] if len(row) else np.zeros(0, dtype=bool)
-    shared = np.bincount(row[1:][same & (side[1:] != side[:-1])], minlength=rows)
-    total = np.bincount(row[first], minlength=rows) - shared
-    for k in odd.tolist():  # words of one hash and other bytes
-        one, two = (set(c[k].as_py().split()) for c in (left, right))
-        shared[k], total[k] = len(one & two), len(one | two)
-    return shared >= threshold * total - 1e-9
+def _reached(one: set[bytes], two: set[bytes], threshold: float) -> bool:
+    shared = len(one & two)
+    return shared >= threshold * (len(one) + len(two) - shared) - 1e-9
 
 
 def later_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
