@@ -20,7 +20,7 @@ CELLS = 1 << 19
 HOT_ROWS = 8192
 #: Earlier lines under one prefix token that a line is verified against at first, and by how much that number grows for
 #: the lines that stay without a match.
-TRIED, GROWTH = 3, 16
+TRIED, GROWTH = 8, 16
 #: Places that a task remembers while it reads texts, and rows that are compared at once.
 SEEN, TOGETHER = 1 << 18, 1 << 19
 _HASH_BITS = 44
@@ -31,8 +31,9 @@ _SPOT = "doc ^ sub ^ shiftleft(cast(line as bigint), 40)"
 _NO_ID = (1 << 63) - 1
 #: What a text or line with a word holds.
 _WORD = r"[^\x20\x09-\x0D]"
-#: Bits of the parity of a set: 64, and for sets of more than 64 or 512 tokens some more.
-_WIDE = ((512, 32), (64, 4))
+#: Sets of more tokens than this are compared by wider parities than 64 bits; those that may meet such
+#: sets have one of 256 bits, those of more than _WIDEST tokens one of 2048.
+_NARROW, _WIDEST = 64, 512
 #: Marks of a row: not all rows of its token are in its task; it seeks no earlier line; no line may find it.
 _DEALT, _SILENT, _HIDDEN = 1 << 30, 1 << 29, 1 << 28
 _POS = (1 << 28) - 1
@@ -120,11 +121,11 @@ _SET = ("n", "parity", "wide", "prefix")
 _SETS = _PLACES + ", n int, parity long, wide binary, prefix binary"
 
 
-def _wide_parities(tokens: np.ndarray, heads: np.ndarray, sizes: np.ndarray) -> pa.Array:
-    """For each set of more than 64 tokens: the parity of the number of its tokens in each of 256 or 2048 cells."""
+def _wide_parities(tokens: np.ndarray, heads: np.ndarray, sizes: np.ndarray, least: int) -> pa.Array:
+    """For each set of more than ``least`` tokens: the parity of the number of its tokens in each of 256 or 2048 cells."""
     out = [None] * len(sizes)
-    for k in np.flatnonzero(sizes > 64).tolist():
-        bits = 64 * next(w for least, w in _WIDE if sizes[k] > least)
+    for k in np.flatnonzero(sizes > least).tolist():
+        bits = 2048 if sizes[k] > _WIDEST else 256
         own = tokens[heads[k] : heads[k] + sizes[k]] & (bits - 1)
         out[k] = np.packbits((np.bincount(own, minlength=bits) & 1).astype(np.uint8)).tobytes()
     return pa.array(out, pa.binary())
@@ -137,6 +138,7 @@ def _first_places(rows: DataFrame, ranks: np.ndarray, threshold: float, seed: in
     A task remembers which lines it has read, so that few rows of a frequent one are dealt out.
     """
     names = ["k1", "k2", *_PLACE, *_SET]
+    least = min(_NARROW - 1, int(threshold * _NARROW))  # a partner of a set of over _NARROW tokens has a wide parity too
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, stored = HashMap64(1 << 12), [np.zeros(0, dtype=np.int64)] * 4  # k2 and place of the lines in it
@@ -179,10 +181,10 @@ def _first_places(rows: DataFrame, ranks: np.ndarray, threshold: float, seed: in
                 t_heads = run_starts(owner)  # every line of ``which`` has a token
                 sizes = np.diff(np.r_[t_heads, len(owner)])
                 parity = np.bitwise_xor.reduceat(np.uint64(1) << (tokens.view(np.uint64) & np.uint64(63)), t_heads).view(np.int64)
-                parity[sizes > 64] = 0  # the wide one stands for it
+                parity[sizes > _NARROW] = 0  # the wide one stands for it
                 lead.sort()
                 out = [k1, k2, *place[:2], place[2].astype(np.int32), sizes.astype(np.int32), parity]
-                yield pa.RecordBatch.from_arrays([*[pa.array(c[lead]) for c in out], _wide_parities(tokens, t_heads[lead], sizes[lead]), _binary(tokens, t_heads[lead], _prefix_sizes(sizes[lead], threshold))], names=names)
+                yield pa.RecordBatch.from_arrays([*[pa.array(c[lead]) for c in out], _wide_parities(tokens, t_heads[lead], sizes[lead], least), _binary(tokens, t_heads[lead], _prefix_sizes(sizes[lead], threshold))], names=names)
                 rest = np.flatnonzero(gone)
                 anywhere = mix64((place[0] ^ place[1] ^ (place[2] << 40))[rest].view(np.uint64)).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(anywhere), *[pa.array(c[rest]) for c in out[1:]], *[pa.nulls(len(rest), pa.binary())] * 2], names=names)
@@ -356,20 +358,23 @@ class _Wide:
     """The wide parities of some rows: 256 bits of each that has any, 2048 of the widest."""
 
     def __init__(self, column: pa.ChunkedArray, order: np.ndarray):
-        values = column.combine_chunks().take(pa.array(order)).to_pylist() if column.null_count < len(column) else []
-        self.at = [np.full(len(order), -1, dtype=np.int64) for _ in _WIDE]
-        each: list[list[bytes]] = [[], []]
-        for k, value in enumerate(values):
-            if value is not None:
-                self.at[1][k] = len(each[1])
-                each[1].append(value)
-                if len(value) > 32:
-                    self.at[0][k] = len(each[0])
-                    each[0].append(value)
-        full = np.frombuffer(b"".join(each[0]), dtype=np.uint64).reshape(-1, 32)
-        folded = iter(np.bitwise_xor.reduce(full.reshape(-1, 8, 4), axis=1))
-        low = b"".join(v if len(v) == 32 else next(folded).tobytes() for v in each[1])
-        self.words = [full, np.frombuffer(low, dtype=np.uint64).reshape(-1, 4)]
+        rows = np.flatnonzero(column.is_valid().to_numpy())
+        self.at = [np.full(len(column), -1, dtype=np.int64) for _ in range(2)]
+        self.words = [np.zeros((0, 32), dtype=np.uint64), np.zeros((0, 4), dtype=np.uint64)]
+        if len(rows):
+            values = column.take(pa.array(rows)).combine_chunks().cast(pa.large_binary())
+            bounds = np.frombuffer(values.buffers()[1], dtype=np.int64)[values.offset : values.offset + len(values) + 1]
+            data = np.frombuffer(values.buffers()[2], dtype=np.uint8)[bounds[0] : bounds[-1]].tobytes()
+            flat, size, start = np.frombuffer(data, dtype=np.uint64), np.diff(bounds) // 8, (bounds[:-1] - bounds[0]) // 8
+            full = size == 32
+            self.words[0] = flat[ranges(start[full], size[full])].reshape(-1, 32)
+            low = np.zeros((len(rows), 4), dtype=np.uint64)
+            low[~full] = flat[ranges(start[~full], size[~full])].reshape(-1, 4)
+            low[full] = np.bitwise_xor.reduce(self.words[0].reshape(-1, 8, 4), axis=1)
+            self.words[1] = low
+            self.at[0][rows[full]] = np.arange(full.sum())
+            self.at[1][rows] = np.arange(len(rows))
+        self.at = [at[order] for at in self.at]
 
     def differ(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Bits in which two rows differ for sure: 0 where one has no wide parity."""
@@ -380,6 +385,17 @@ class _Wide:
         return out
 
 
+def _place_order(doc: np.ndarray, sub: np.ndarray, line: np.ndarray) -> np.ndarray:
+    """The rows ordered by place. Where id and line fit into one number and no id has two texts, that is sorted."""
+    low = doc.min()
+    if int(doc.max()) - int(low) < 1 << 40 and line.max() < 1 << 22:
+        order = np.argsort(((doc - low) << 22) | line)
+        one = doc[order]
+        if not ((one[1:] == one[:-1]) & (sub[order][1:] != sub[order][:-1])).any():
+            return order
+    return np.lexsort((line, sub, doc))
+
+
 def _pairs_of(rows: dict[str, np.ndarray], wide_column: pa.ChunkedArray, threshold: float, tried: int) -> Iterator[pa.RecordBatch]:
     """The pairs of whole groups of rows, which are sorted by token."""
     group = np.cumsum(np.r_[True, rows["token"][1:] != rows["token"][:-1]]) - 1
@@ -388,50 +404,58 @@ def _pairs_of(rows: dict[str, np.ndarray], wide_column: pa.ChunkedArray, thresho
     group, source = group[several], np.flatnonzero(several)
     if not len(group):
         return
-    place = np.argsort(np.lexsort((rows["line"], rows["sub"], rows["doc"])), kind="stable")
-    # places equal in a group (a line that seeks and is found) get one number
+    by_place = _place_order(rows["doc"], rows["sub"], rows["line"].astype(np.int64))
     n = rows["at"] >> 32
     bucket = np.floor(np.log(n) / np.log(1 / threshold)).astype(np.int64) if threshold < 1 else n
-    key = group.astype(np.int64) * (1 << 20) + bucket + 1
-    order = np.lexsort((place, key))
+    runs, dense = np.unique(group.astype(np.int64) * (1 << 40) + bucket + 1, return_inverse=True)  # rows of one token and size class
+    width = np.int64(len(group)).item().bit_length()
+    rank = np.empty(len(group), dtype=np.int64)
+    rank[by_place] = np.arange(len(group))
+    sorted_at = np.sort((dense.astype(np.int64) << width) | rank)
+    place = sorted_at & ((1 << width) - 1)
+    order = by_place[place]
     rows = {c: v[order] for c, v in rows.items()}
     wide = _Wide(wide_column, source[order])
-    key, place, n, mark = key[order], place[order], n[order], rows["at"] & 0xFFFFFFFF
+    n, mark, dense = n[order], rows["at"] & 0xFFFFFFFF, sorted_at >> width
     pos, parity = mark & _POS, rows["parity"].view(np.uint64)
-    heads = run_starts(key)
-    ends = np.r_[heads[1:], len(key)]
-    width = np.int64(max(1, int(len(place)).bit_length()))
-    dense = np.searchsorted(key[heads], key)  # number of the run
-    sorted_at = (dense << width) | place
-    count = np.zeros(len(key), dtype=np.int64)
+    heads = run_starts(dense)
+    ends = np.r_[heads[1:], len(dense)]
+    count = np.zeros(len(dense), dtype=np.int64)
     more = (mark & _DEALT) > 0
     seeks = (mark & _SILENT) == 0
     hidden = (mark & _HIDDEN) > 0
+    some_hidden = hidden.any()
+    share = threshold / (1 + threshold)
     found: list[np.ndarray] = []
     for step in (-1, 0, 1):  # lines of the sizes that a partner may have
-        to = np.minimum(np.searchsorted(key[heads], key + step), len(heads) - 1)
-        there = seeks & (key[heads][to] == key + step)
-        own = np.flatnonzero(there)
-        at = heads[to[own]]
+        to = np.clip(dense + step, 0, len(runs) - 1)
+        own = np.flatnonzero(seeks & (runs[to] == runs[dense] + step))
         until = np.searchsorted(sorted_at, (to[own] << width) | place[own]) if step else own
-        until = np.minimum(until, ends[to[own]])
+        at, until = heads[to[own]], np.minimum(until, ends[to[own]])
         on = at < until
         own, at, until = own[on], at[on], until[on]
         while len(own):
             n1, n2 = n[own], n[at]
-            need = np.ceil(threshold / (1 + threshold) * (n1 + n2) - 1e-9)
-            good = (np.minimum(n1 - pos[own], n2 - pos[at]) >= need) & (np.minimum(n1, n2) >= need) & ~hidden[at]
-            good &= (np.bitwise_count(parity[own] ^ parity[at]) <= n1 + n2 - 2 * need) | (np.maximum(n1, n2) > 64)
-            if good.any():
+            need = np.ceil(share * (n1 + n2) - 1e-9)
+            good = np.flatnonzero(np.minimum(n1 - pos[own], n2 - pos[at]) >= need)
+            if len(good):
+                if some_hidden:
+                    good = good[~hidden[at[good]]]
                 hit, to_ = own[good], at[good]
-                differ = (rows["doc"][hit] != rows["doc"][to_]) | (rows["sub"][hit] != rows["sub"][to_]) | (rows["line"][hit] != rows["line"][to_])
-                differ[differ] = wide.differ(hit[differ], to_[differ]) <= (n1 + n2 - 2 * need)[good][differ]
-                hit, to_ = hit[differ], to_[differ]
-                found.append(np.stack([hit, to_]))
-                count[hit] += 1
+                n1, n2 = n1[good], n2[good]
+                slack = n1 + n2 - 2 * need[good]
+                keep = (np.bitwise_count(parity[hit] ^ parity[to_]) <= slack) | (np.maximum(n1, n2) > _NARROW)
+                keep &= (rows["doc"][hit] != rows["doc"][to_]) | (rows["sub"][hit] != rows["sub"][to_]) | (rows["line"][hit] != rows["line"][to_])
+                hit, to_, slack = hit[keep], to_[keep], slack[keep]
+                if len(hit):
+                    keep = wide.differ(hit, to_) <= slack
+                    hit, to_ = hit[keep], to_[keep]
+                    found.append(np.stack([hit, to_]))
+                    count[hit] += 1
             at = at + 1
-            on = (at < until) & (count[own] < tried)
-            more[own[(at < until) & ~on]] = True
+            rest = at < until
+            on = rest & (count[own] < tried)
+            more[own[rest & ~on]] = True
             own, at, until = own[on], at[on], until[on]
     own, at = np.concatenate(found, axis=1) if found else np.zeros((2, 0), dtype=np.int64)
     alone = np.flatnonzero(more & seeks & (count == 0))
