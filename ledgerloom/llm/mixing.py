@@ -104,7 +104,11 @@ def take(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
 
     Rows of one id share their number of copies; null ids too.
     """
-    copies = mix(docs.select(id_col, text_col, source_col), id_col, text_col, source_col, **how)
-    keys = copies.where("copies > 0").select(F.col(id_col).alias("take_id"), F.col(source_col if source_col in copies.columns else "source").alias("take_source"), "copies").distinct()
-    matched = docs[id_col].eqNullSafe(keys["take_id"]) & docs[source_col].eqNullSafe(keys["take_source"])
-    return docs.join(keys, matched).withColumn("take_copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*[docs[c] for c in docs.columns])
+    free = "take"
+    while any(c.lower().startswith(free) for c in docs.columns):
+        free = "_" + free
+    t_id, t_source, n, k = (f"{free}_{c}" for c in ("id", "source", "copies", "copy"))
+    copies = mix(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(source_col).alias("source")), "id", "text", "source", **how)
+    keys = copies.where("copies > 0").select(F.col("id").alias(t_id), F.col("source").alias(t_source), F.col("copies").alias(n)).distinct()
+    matched = F.col(id_col).eqNullSafe(F.col(t_id)) & F.col(source_col).eqNullSafe(F.col(t_source))
+    return docs.join(keys, matched).withColumn(k, F.explode(F.sequence(F.lit(1), n))).select(*[f"`{c}`" for c in docs.columns])

@@ -107,11 +107,8 @@ def test_line_dedup_of_null_and_repeated_ids(spark):
 
 
 def brute_classes(rows, threshold=0.8):
-    """doc -> least doc of its component; similarity by the longest common subsequence of five-word shingles."""
-
-    def cut(text):
-        words = (text or "").lower().split()
-        return [tuple(words[k : k + 5]) for k in range(len(words) - 4)] if len(words) >= 5 else ([tuple(words)] if words else [])
+    """doc -> least doc of its component; similarity by the longest common subsequence of words."""
+    cut = lambda text: (text or "").lower().split()
 
     def common(a, b):
         last = [0] * (len(b) + 1)
@@ -161,14 +158,28 @@ def test_near_dedup_edges(spark):
 
 
 def test_alignment_is_ordered_and_exact():
-    a = np.arange(100, dtype=np.uint64)
+    a = list(range(100))
     assert near_dedup.aligned(a, a, 0.8)
-    assert not near_dedup.aligned(a, np.r_[a[50:], a[:50]], 0.8)
+    assert not near_dedup.aligned(a, a[50:] + a[:50], 0.8)
     for cut in (10, 11, 12):
-        b = a.copy()
-        b[20 : 20 + cut] += 1000
+        b = [x + 1000 * (20 <= x < 20 + cut) for x in a]
         assert near_dedup.aligned(a, b, 0.8) == ((100 - cut) / (100 + cut) >= 0.8)
     assert near_dedup.aligned(a, a[:80], 0.8) and not near_dedup.aligned(a, a[:79], 0.8)
+    r = random.Random(2)
+    for _ in range(400):
+        a = [r.randrange(r.choice((3, 12, 200))) for _ in range(r.randint(1, 60))]
+        b = [x for x in a if r.random() > 0.08]
+        for _ in range(r.randint(0, 5)):
+            b.insert(r.randint(0, len(b)), r.randrange(9))
+        if not b:
+            continue
+        last = [0] * (len(b) + 1)
+        for x in a:
+            row = [0]
+            for j, y in enumerate(b):
+                row.append(last[j] + 1 if x == y else max(last[j + 1], row[j]))
+            last = row
+        assert near_dedup.aligned(a, b, 0.8) == (last[-1] >= 0.8 * (len(a) + len(b) - last[-1]) - 1e-9)
 
 
 def test_components_of_chains_and_hubs(spark):
@@ -258,6 +269,22 @@ def test_mixing_meets_targets(spark):
     assert mixing.mix(frame(spark, [])).count() == 0
 
 
+def test_mixing_of_clashing_columns_null_and_repeated_ids(spark):
+    rows = [(1, "a b", "s", 7), (1, "c", "s", 8), (None, "d e", "s", 9), (None, None, None, 1), (3, "x " * 9, None, 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, copies int")
+    copies = mixing.mix(df).collect()
+    assert len(copies) == 5
+    taken = mixing.take(df)
+    assert taken.columns == df.columns and taken.count() == sum(r["copies"] for r in copies)
+
+
+def test_mixing_of_sources_with_equal_ratios(spark):
+    """Ties of cap / weight: equal sizes and weights stop at the same level."""
+    df = spark.createDataFrame([(i, "w " * 10, f"s{i % 6}") for i in range(600)], "doc_id long, text string, source string")
+    got = {(r["source"], r["target"]) for r in mixing.mix(df).collect()}
+    assert got == {(f"s{k}", (2000.0, 1000.0, 1500.0)[k % 3]) for k in range(6)}
+
+
 LAYOUTS = [
     ({"prompt": "p", "completion": "c"}, [("user", "p"), ("assistant", "c")]),
     ({"instruction": "i", "input": "x", "output": "o", "id": 7}, [("user", "i\n\nx"), ("assistant", "o")]),
