@@ -54,7 +54,10 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages one after another over ``documents``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = Written(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-")).df
+        done = Written(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+        if last is not None:
+            last.drop()
+        docs, last = done.df, done
     return STAGES[-1][1](spark, docs, sf_dir)
