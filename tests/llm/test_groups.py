@@ -282,7 +282,7 @@ def test_mixing_of_sources_with_equal_ratios(spark):
     """Ties of cap / weight: equal sizes and weights stop at the same level."""
     df = spark.createDataFrame([(i, "w " * 10, f"s{i % 6}") for i in range(600)], "doc_id long, text string, source string")
     got = {(r["source"], r["target"]) for r in mixing.mix(df).collect()}
-    assert got == {(f"s{k}", (2000.0, 1000.0, 1500.0)[k % 3]) for k in range(6)}
+    assert got == {(f"s{k}", (2000.0, 833.333333, 1666.666667)[k % 3]) for k in range(6)}
 
 
 LAYOUTS = [
