@@ -3,6 +3,10 @@
 from __future__ import annotations
 
 import math
+import os
+import shutil
+import subprocess
+import sys
 import zlib
 
 import duckdb
@@ -44,3 +48,22 @@ def test_query_equals_sql(spark, db, name):
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_entry_without_the_training_data_folders(tmp_path):
+    """With the subpackage, or the subpackage and the pipeline, deleted the entry module imports and lists the rest."""
+    here = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    for gone in (("ledgerloom/llm",), ("ledgerloom/llm", "corpus_pipeline.py")):
+        copy = tmp_path / str(len(gone))
+        shutil.copytree(os.path.join(here, "ledgerloom"), copy / "ledgerloom", ignore=shutil.ignore_patterns("__pycache__"))
+        for name in ("__spark_entry__.py", "corpus_pipeline.py"):
+            if os.path.exists(os.path.join(here, name)):
+                shutil.copy(os.path.join(here, name), copy / name)
+        for name in gone:
+            if (copy / name).is_dir():
+                shutil.rmtree(copy / name)
+            elif (copy / name).exists():
+                (copy / name).unlink()
+        code = "import __spark_entry__ as e; assert len(e.queries()) > 200 and not any(q.startswith('op') and q[2].isdigit() for q in e.queries()); assert 'pipeline' not in e.queries(); e.oracle_sql()"
+        env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+        subprocess.run([sys.executable, "-c", code], cwd=copy, env=env, check=True, timeout=120)
