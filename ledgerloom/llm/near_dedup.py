@@ -21,7 +21,7 @@ from ledgerloom.llm.store import Written
 #: Words of a shingle, minima kept by a sketch, and sketches of a document.
 SHINGLE, MINIMA, SKETCHES = 5, 2, 40
 #: Cells of a parity table of a text, and tables (of different bits of the words' hashes).
-CELLS, TABLES = 512, 2
+CELLS, TABLES = 1024, 2
 _NO_ID = (1 << 63) - 1
 _ODD = mix64(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
 
@@ -192,7 +192,7 @@ def text_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     In a bucket every text is compared with one pivot first: the text with the most neighbours in all its buckets, so that
     a group of near copies is mostly joined through its middle. Buckets whose texts then still lie in several components
     are resolved: each text outside the bucket's largest component may link with all texts of other components that can
-    reach the threshold by their sizes and by the parities of their words in two tables of 512 cells (each word of one
+    reach the threshold by their sizes and by the parities of their words in two tables of 1024 cells (each word of one
     text only changes at most one parity). Of these the nearest one is verified first, then, for what is still apart, all.
     """
     ids = F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID))
@@ -215,11 +215,10 @@ def text_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 yield pa.RecordBatch.from_arrays([*own, pa.array(keys.view(np.int64)), pa.array(second.view(np.int64)), pa.array(np.diff(at)), *both], names=["doc", "sub", "key", "second", "n", "sketches", "parity"])
 
     def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data = batch.column("sketches").to_pylist()
-            size = np.array([len(x) // 8 for x in data], dtype=np.int64)
-            row = np.repeat(np.arange(len(data)), size)
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(data), dtype="<i8")), *[batch.column(c).take(pa.array(row)) for c in ("key", "n")]], names=["bucket", "key", "n"])
+        for batch in batches:  # every text with words has SKETCHES of them
+            data = np.frombuffer(b"".join(batch.column("sketches").to_pylist()), dtype="<i8")
+            row, at = np.divmod(np.arange(len(data)), SKETCHES)
+            yield pa.RecordBatch.from_arrays([pa.array(data), pa.array(at.astype(np.int32)), *[batch.column(c).take(pa.array(row)) for c in ("key", "n")]], names=["bucket", "place", "key", "n"])
 
     read = Written(rows.mapInArrow(sketch, "doc long, sub long, key long, second long, n long, sketches binary, parity binary"), "near-sketches").df
     twice = read.groupBy("key").agg(F.min("second").alias("least"), F.max("second").alias("most")).where("least <> most")
@@ -227,7 +226,7 @@ def text_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         read = Written(read.join(twice, "key", "left").withColumn("key", F.when(F.col("second") > F.col("least"), F.col("second")).otherwise(F.col("key"))).drop("least", "most"), "near-sketches").df
     texts = read.where("n > 0").groupBy("key").agg(F.first("n").alias("n"), F.first("sketches").alias("sketches"))
     nodes = read.where("n > 0").groupBy("key").agg(F.min(F.struct("doc", "sub")).alias("at")).select("key", "at.doc", "at.sub")
-    dealt = texts.select("key", "n", "sketches").mapInArrow(buckets, "bucket long, key long, n long")
+    dealt = texts.select("key", "n", "sketches").mapInArrow(buckets, "bucket long, place int, key long, n long")
     sizes = dealt.groupBy("bucket").agg(F.count("*").alias("texts")).where("texts > 1")
     shared = Written(dealt.join(sizes, "bucket"), "near-buckets")
     # step one: every text against the pivot of each of its buckets
@@ -256,20 +255,23 @@ def _sizes_fit(threshold: float, n: Column, o: Column) -> Column:
 def _open_pairs(shared: DataFrame, grouped: DataFrame, read: DataFrame, tried: DataFrame, threshold: float, nearest: bool) -> DataFrame:
     """(a, b): texts of one bucket and different components that may be linked and haven't been tried. nearest: for each
     text outside its bucket's largest component only the one with the fewest differing parities."""
-    placed = shared.select("bucket", "key", "n").join(grouped.withColumnRenamed("node", "key"), "key", "left").select("bucket", "key", "n", F.coalesce("component", "key").alias("component"))
+    placed = shared.select("bucket", "place", "key", "n").join(grouped.withColumnRenamed("node", "key"), "key", "left").select("bucket", "place", "key", "n", F.coalesce("component", "key").alias("component"))
     parts = placed.groupBy("bucket", "component").agg(F.count("*").alias("n"))
     open_ = parts.groupBy("bucket").agg(F.count("*").alias("parts"), F.max(F.struct("n", "component")).alias("most")).where("parts > 1")
     contested = placed.join(open_.select("bucket", F.col("most.component").alias("main")), "bucket")
     words = TABLES * CELLS // 64
     columns = [f"p{w}" for w in range(words)]
-    marks = read.select("key", "parity").where(F.length("parity") > 0).dropDuplicates(["key"]).mapInArrow(_parity_words, "key long, " + ", ".join(f"{c} long" for c in columns))
+    own = read.join(contested.select("key").distinct(), "key", "left_semi").select("key", "parity", "sketches").dropDuplicates(["key"])
+    marks = own.mapInArrow(_numbers, "key long, " + ", ".join(f"{c} long" for c in columns) + ", sketches array<long>")
     rated = Written(contested.join(marks, "key"), "near-contested").df
-    other = rated.select("bucket", *[F.col(c).alias(f"o_{c}") for c in ("key", "n", "component", *columns)])
+    other = rated.select("bucket", *[F.col(c).alias(f"o_{c}") for c in ("key", "n", "component", "sketches", *columns)])
     apart = [reduce(add, [F.bit_count(F.col(c).bitwiseXOR(F.col(f"o_{c}"))) for c in columns[k * words // TABLES : (k + 1) * words // TABLES]]) for k in range(TABLES)]
     need = F.ceil(F.lit(threshold) / (1 + threshold) * (F.col("n") + F.col("o_n")) - 1e-9)
     enough = (F.least("n", "o_n") >= need) & (F.greatest(*apart) <= F.col("n") + F.col("o_n") - 2 * need)
     once = (F.col("o_component") == F.col("main")) | (F.col("key") < F.col("o_key"))
-    found = rated.where("component <> main").join(other, "bucket").where((F.col("component") != F.col("o_component")) & once & enough)
+    # of the buckets that two texts share, the first one gives the pair
+    first = F.array_position(F.zip_with("sketches", "o_sketches", lambda x, y: x == y), True) == F.col("place") + 1
+    found = rated.where("component <> main").join(other, "bucket").where((F.col("component") != F.col("o_component")) & once & enough & first)
     pairs = found.select(F.least("key", "o_key").alias("a"), F.greatest("key", "o_key").alias("b"), F.col("key").alias("of"), F.greatest(*apart).alias("apart"))
     known = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     pairs = pairs.join(known.distinct(), ["a", "b"], "left_anti")
@@ -278,10 +280,14 @@ def _open_pairs(shared: DataFrame, grouped: DataFrame, read: DataFrame, tried: D
     return pairs.select("a", "b").distinct()
 
 
-def _parity_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The parities of texts as columns and their sketches as arrays."""
     for batch in batches:
-        words = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype="<i8").reshape(batch.num_rows, -1)
-        yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(np.ascontiguousarray(words[:, k])) for k in range(words.shape[1])]], names=["key", *[f"p{k}" for k in range(words.shape[1])]])
+        words, sketches = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype="<i8") for c in (1, 2))
+        words = words.reshape(batch.num_rows, -1)
+        bounds = np.arange(batch.num_rows + 1) * SKETCHES
+        listed = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(sketches))
+        yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(np.ascontiguousarray(words[:, k])) for k in range(words.shape[1])], listed], names=["key", *[f"p{k}" for k in range(words.shape[1])], "sketches"])
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
