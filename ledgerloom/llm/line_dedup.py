@@ -291,7 +291,8 @@ def _rest_pairs(sets: DataFrame, open_lines: DataFrame, threshold: float, tried:
     return _compared(every, threshold, tried)
 
 
-_GROUPED = "token long, doc long, sub long, line int, at long, parity long, wide binary"
+#: A row of a token: document, hash, line, parity, size and marks, and the wide parity, as 64-bit numbers.
+_GROUPED, _FIXED = "token long, row binary", 5
 
 
 def _entries(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -317,9 +318,15 @@ def _mixed(tokens: np.ndarray, part: np.ndarray) -> np.ndarray:
 
 
 def _dealt(batch: pa.RecordBatch, tokens: np.ndarray, row: np.ndarray, pos: np.ndarray) -> pa.RecordBatch:
-    at = (batch.column(3).to_numpy().astype(np.int64)[row] << 32) | pos
-    taken = [batch.column(k).take(pa.array(row)) for k in (0, 1, 2)]
-    return pa.RecordBatch.from_arrays([pa.array(tokens), *taken, pa.array(at), *[batch.column(k).take(pa.array(row)) for k in (4, 5)]], names=["token", *_PLACE, "at", "parity", "wide"])
+    values, bounds = _flat64(batch.column(5))
+    wide = np.diff(bounds)[row]
+    total = np.r_[0, np.cumsum(wide + _FIXED)]
+    out = np.zeros(total[-1], dtype=np.int64)
+    for k, c in enumerate((0, 1, 2, 4)):
+        out[total[:-1] + k] = batch.column(c).to_numpy()[row]
+    out[total[:-1] + 4] = (batch.column(3).to_numpy().astype(np.int64)[row] << 32) | pos
+    out[ranges(total[:-1] + _FIXED, wide)] = values[ranges(bounds[:-1][row], wide)]
+    return pa.RecordBatch.from_arrays([pa.array(tokens), _binary(out, total[:-1], wide + _FIXED)], names=["token", "row"])
 
 
 _PAIRS = _PLACES + ", o_doc long, o_sub long, o_line int, more boolean"
@@ -329,7 +336,6 @@ def _compared(grouped: DataFrame, threshold: float, tried: int) -> DataFrame:
     """(place, o_ place, more): of the rows of one token, each line with up to ``tried`` of the earliest lines that pass
     the length, positional and bitmap filters. ``more`` says that others may follow; such a row may have no o_ place.
     """
-    names = ("token", *_PLACE, "at", "parity")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -338,18 +344,19 @@ def _compared(grouped: DataFrame, threshold: float, tried: int) -> DataFrame:
             if not batch.num_rows:
                 continue
             held.append(batch)
-            rows += batch.num_rows + batch.column("wide").nbytes // 64
+            rows += batch.column("row").nbytes // 64
             if rows < TOGETHER:
                 continue
             table = pa.Table.from_batches(held).combine_chunks()
             token = table.column("token").to_numpy()
             last = int(np.searchsorted(token, token[-1])) if token[0] != token[-1] else 0
             if last:
-                yield from _pairs_of({c: table.column(c).slice(0, last).to_numpy() for c in names}, table.column("wide").slice(0, last), threshold, tried)
-            held, rows = table.slice(last).to_batches(), table.num_rows - last
+                yield from _pairs_of(token[:last], table.column("row").slice(0, last), threshold, tried)
+            held = table.slice(last).to_batches()
+            rows = sum(b.column("row").nbytes for b in held) // 64 if last else 0
         if held:
             table = pa.Table.from_batches(held).combine_chunks()
-            yield from _pairs_of({c: table.column(c).to_numpy() for c in names}, table.column("wide"), threshold, tried)
+            yield from _pairs_of(table.column("token").to_numpy(), table.column("row"), threshold, tried)
 
     return grouped.repartition("token").sortWithinPartitions("token").mapInArrow(run, _PAIRS).distinct()
 
@@ -357,24 +364,18 @@ def _compared(grouped: DataFrame, threshold: float, tried: int) -> DataFrame:
 class _Wide:
     """The wide parities of some rows: 256 bits of each that has any, 2048 of the widest."""
 
-    def __init__(self, column: pa.ChunkedArray, order: np.ndarray):
-        rows = np.flatnonzero(column.is_valid().to_numpy())
-        self.at = [np.full(len(column), -1, dtype=np.int64) for _ in range(2)]
-        self.words = [np.zeros((0, 32), dtype=np.uint64), np.zeros((0, 4), dtype=np.uint64)]
-        if len(rows):
-            values = column.take(pa.array(rows)).combine_chunks().cast(pa.large_binary())
-            bounds = np.frombuffer(values.buffers()[1], dtype=np.int64)[values.offset : values.offset + len(values) + 1]
-            data = np.frombuffer(values.buffers()[2], dtype=np.uint8)[bounds[0] : bounds[-1]].tobytes()
-            flat, size, start = np.frombuffer(data, dtype=np.uint64), np.diff(bounds) // 8, (bounds[:-1] - bounds[0]) // 8
-            full = size == 32
-            self.words[0] = flat[ranges(start[full], size[full])].reshape(-1, 32)
-            low = np.zeros((len(rows), 4), dtype=np.uint64)
-            low[~full] = flat[ranges(start[~full], size[~full])].reshape(-1, 4)
-            low[full] = np.bitwise_xor.reduce(self.words[0].reshape(-1, 8, 4), axis=1)
-            self.words[1] = low
-            self.at[0][rows[full]] = np.arange(full.sum())
-            self.at[1][rows] = np.arange(len(rows))
-        self.at = [at[order] for at in self.at]
+    def __init__(self, values: np.ndarray, start: np.ndarray, size: np.ndarray):
+        values = values.view(np.uint64)
+        rows = np.flatnonzero(size > 0)
+        full = size[rows] == 32
+        self.at = [np.full(len(size), -1, dtype=np.int64) for _ in range(2)]
+        self.at[0][rows[full]] = np.arange(full.sum())
+        self.at[1][rows] = np.arange(len(rows))
+        top = values[ranges(start[rows[full]], size[rows[full]])].reshape(-1, 32)
+        low = np.zeros((len(rows), 4), dtype=np.uint64)
+        low[~full] = values[ranges(start[rows[~full]], size[rows[~full]])].reshape(-1, 4)
+        low[full] = np.bitwise_xor.reduce(top.reshape(-1, 8, 4), axis=1)
+        self.words = [top, low]
 
     def differ(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Bits in which two rows differ for sure: 0 where one has no wide parity."""
@@ -396,26 +397,31 @@ def _place_order(doc: np.ndarray, sub: np.ndarray, line: np.ndarray) -> np.ndarr
     return np.lexsort((line, sub, doc))
 
 
-def _pairs_of(rows: dict[str, np.ndarray], wide_column: pa.ChunkedArray, threshold: float, tried: int) -> Iterator[pa.RecordBatch]:
+def _pairs_of(token: np.ndarray, column: pa.ChunkedArray, threshold: float, tried: int) -> Iterator[pa.RecordBatch]:
     """The pairs of whole groups of rows, which are sorted by token."""
-    group = np.cumsum(np.r_[True, rows["token"][1:] != rows["token"][:-1]]) - 1
-    several = (np.bincount(group) > 1)[group] | ((rows["at"] & _DEALT) > 0)
-    rows = {c: v[several] for c, v in rows.items()}
-    group, source = group[several], np.flatnonzero(several)
+    column = column.combine_chunks()
+    values, bounds = _flat64(pa.concat_arrays(column.chunks) if isinstance(column, pa.ChunkedArray) else column)
+    start, size = bounds[:-1], np.diff(bounds) - _FIXED
+    group = np.cumsum(np.r_[True, token[1:] != token[:-1]]) - 1
+    several = np.flatnonzero((np.bincount(group) > 1)[group] | ((values[start + 4] & _DEALT) > 0))
+    group, start, size = group[several], start[several], size[several]
     if not len(group):
         return
-    by_place = _place_order(rows["doc"], rows["sub"], rows["line"].astype(np.int64))
-    n = rows["at"] >> 32
+    doc, sub, line = (values[start + k] for k in range(3))
+    by_place = _place_order(doc, sub, line)
+    n = values[start + 4] >> 32
     bucket = np.floor(np.log(n) / np.log(1 / threshold)).astype(np.int64) if threshold < 1 else n
     runs, dense = np.unique(group.astype(np.int64) * (1 << 40) + bucket + 1, return_inverse=True)  # rows of one token and size class
-    width = np.int64(len(group)).item().bit_length()
+    width = len(group).bit_length()
     rank = np.empty(len(group), dtype=np.int64)
     rank[by_place] = np.arange(len(group))
     sorted_at = np.sort((dense.astype(np.int64) << width) | rank)
     place = sorted_at & ((1 << width) - 1)
     order = by_place[place]
-    rows = {c: v[order] for c, v in rows.items()}
-    wide = _Wide(wide_column, source[order])
+    start, size = start[order], size[order]
+    rows = {c: v[order] for c, v in zip(_PLACE, (doc, sub, line), strict=True)}
+    rows |= {"parity": values[start + 3], "at": values[start + 4]}
+    wide = _Wide(values, start + _FIXED, size)
     n, mark, dense = n[order], rows["at"] & 0xFFFFFFFF, sorted_at >> width
     pos, parity = mark & _POS, rows["parity"].view(np.uint64)
     heads = run_starts(dense)
@@ -460,7 +466,7 @@ def _pairs_of(rows: dict[str, np.ndarray], wide_column: pa.ChunkedArray, thresho
     own, at = np.concatenate(found, axis=1) if found else np.zeros((2, 0), dtype=np.int64)
     alone = np.flatnonzero(more & seeks & (count == 0))
     left, right = np.r_[own, alone], pa.array(np.r_[at, np.zeros(len(alone), dtype=np.int64)], mask=np.arange(len(own) + len(alone)) >= len(own))
-    columns = [pa.array(rows[c]) for c in _PLACE]
+    columns = [pa.array(rows[c] if c != "line" else rows[c].astype(np.int32)) for c in _PLACE]
     yield pa.RecordBatch.from_arrays([*[c.take(pa.array(left)) for c in columns], *[c.take(right) for c in columns], pa.array(more[left])], names=[*_PLACE, *[f"o_{c}" for c in _PLACE], "more"])
 
 
