@@ -111,22 +111,22 @@ def sv_weight_history(rewards: DataFrame, dedup_first: bool = True) -> DataFrame
 
 def unique_proposals(events: DataFrame, as_of: Column, threshold: int = 10) -> DataFrame:
     """One row per proposal (payload tracking id, else contract id): its latest request, votes for and against, number
-    of merged requests, and status: passed at the threshold; else, if archived or past its deadline, expired without
-    votes and failed with them; else pending."""
+    of merged requests, and status: passed at the threshold; expired if it is archived or past ``voteBefore`` without
+    any vote; failed else, open ones below the threshold too."""
     requests = events.where((F.col("event_type") == "created") & is_template(F.col("template_id"), "VoteRequest"))
     p = F.col("payload")
     votes = F.from_json(F.get_json_object(p, "$.votes"), "map<string,struct<accept:string>>")
     yes = F.size(F.filter(F.map_values(votes), lambda v: F.lower(v["accept"]) == "true"))
     rows = requests.select(
         F.coalesce(json_text(p, "trackingCid"), F.col("contract_id")).alias("proposal_id"), "contract_id", "effective_at", action_tag(p).alias("action_type"),
-        F.try_to_timestamp(json_text(p, "expiresAt")).alias("expires_at"), yes.alias("votes_for"), (F.size(F.map_values(votes)) - yes).alias("votes_against"),
+        F.try_to_timestamp(json_text(p, "voteBefore")).alias("vote_before"), yes.alias("votes_for"), (F.size(F.map_values(votes)) - yes).alias("votes_against"),
     )
     by = Window.partitionBy("proposal_id")
     last = by.orderBy(F.col("effective_at").desc(), F.col("contract_id").desc())
     latest = rows.select("*", F.row_number().over(last).alias("rank"), F.count("*").over(by).alias("merged")).where("rank = 1")
     joined = latest.join(first_archives(events, "VoteRequest"), "contract_id", "left")
-    over = F.col("archived_at").isNotNull() | (F.col("expires_at") < as_of)
-    status = F.when(F.col("votes_for") >= threshold, "passed").when(over & (F.col("votes_for") + F.col("votes_against") == 0), "expired").when(over, "failed").otherwise("pending")
+    over = F.col("archived_at").isNotNull() | F.coalesce(F.col("vote_before") < as_of, F.lit(False))
+    status = F.when(F.col("votes_for") >= threshold, "passed").when(over & (F.col("votes_for") + F.col("votes_against") == 0), "expired").otherwise("failed")
     return joined.select("proposal_id", "contract_id", "action_type", F.col("effective_at").alias("latest_at"), "votes_for", "votes_against", "merged", status.alias("status"))
 
 

@@ -265,26 +265,49 @@ def realtime_supply(acs: DataFrame, events: DataFrame) -> DataFrame:
     return supply_totals(now.join(gone, "contract_id", "left_anti"))
 
 
+#: The exercised choices that burn tokens.
+BURN_CHOICES = {
+    "AmuletRules_BuyMemberTraffic": "traffic", "AmuletRules_Transfer": "transfer",
+    "SubscriptionInitialPayment_Collect": "names", "AnsEntryContext_CollectRenewalEntryPayment": "names",
+    "AmuletRules_CreateTransferPreapproval": "preapproval", "AmuletRules_CreateExternalPartySetupProposal": "preapproval", "TransferPreapproval_Renew": "preapproval",
+}
+
+
 def burn_by_transaction(events: DataFrame) -> DataFrame:
-    """(update_id, event_date, traffic, transfer, names, preapproval, total) burned by exercised choices: fees of
-    transfers with the sum of their output fees, paid traffic with its fees, first name payments (the amount of the
-    token created in the same update, joined by update and contract), pre-approvals with all of these."""
-    used = events.where("event_type = 'exercised'")
+    """(update_id, event_date, traffic, transfer, names, preapproval, total) burned by exercised choices.
+
+    Traffic: the fees and the paid amount; transfers: the fees with all output fees; pre-approvals: the paid amount and
+    the fees of the transfer they hold (``transferResult``). Payments for names: the initial amount of the contract that
+    the result names as ``amulet``, created in the same update, and the fees of the transfers among the payment's child
+    events (which count as transfers too). Missing amounts are 0; a choice without its summary burns nothing.
+    """
     r = F.col("exercise_result")
     number = lambda path: F.coalesce(money(json_text(r, path)), F.lit(0)).cast("double")
-    outputs = F.aggregate(F.coalesce(F.from_json(json_text(r, "summary.outputFees"), "array<string>"), F.array().cast("array<string>")), F.lit(0.0), lambda a, x: a + F.coalesce(money(x), F.lit(0)).cast("double"))
-    fees = number("summary.holdingFees") + number("summary.senderChangeFee")
-    token = events.where((F.col("event_type") == "created") & is_template(F.col("template_id"), "Amulet")).select("update_id", "contract_id", F.coalesce(pick_amount(F.col("payload")), F.lit(0)).cast("double").alias("token_amount"))
-    joined = used.join(token, ["update_id", "contract_id"], "left")
-    c = F.col("choice")
-    kind = (
-        F.when(c.contains("BuyMemberTraffic"), "traffic").when(c.isin("AmuletRules_Transfer", "Transfer"), "transfer")
-        .when(c.contains("CollectInitialEntryPayment") | c.contains("CollectEntryRenewalPayment"), "names").when(c.contains("TransferPreapproval"), "preapproval")
+
+    def fees(at: str, outputs: bool = True) -> Column:
+        listed = F.coalesce(F.from_json(json_text(r, f"{at}.outputFees"), "array<string>"), F.array().cast("array<string>"))
+        paid = F.aggregate(listed, F.lit(0.0), lambda a, x: a + F.coalesce(money(x), F.lit(0)).cast("double"))
+        return number(f"{at}.holdingFees") + number(f"{at}.senderChangeFee") + (paid if outputs else F.lit(0.0))
+
+    kind = F.coalesce(*[F.when(F.col("choice") == c, k) for c, k in BURN_CHOICES.items()])
+    used = events.where("event_type = 'exercised'").withColumn("kind", kind).where("kind is not null")
+    has = lambda path: F.get_json_object(r, f"$.{path}").isNotNull()
+    amount = (
+        F.when((F.col("kind") == "traffic") & has("summary"), fees("summary", outputs=False) + number("amuletPaid"))
+        .when((F.col("kind") == "transfer") & has("summary"), fees("summary"))
+        .when((F.col("kind") == "preapproval") & has("transferResult.summary"), fees("transferResult.summary") + number("amuletPaid")).otherwise(F.lit(0.0))
     )
-    of = lambda name, value: F.sum(F.when(kind == name, value).otherwise(0.0)).alias(name)
-    sums = joined.where(kind.isNotNull()).groupBy("update_id", "event_date").agg(
-        of("traffic", fees + number("amuletPaid")), of("transfer", fees + outputs), of("names", F.coalesce("token_amount", F.lit(0.0))), of("preapproval", number("amuletPaid") + fees + outputs)
+    burned = used.select("update_id", "event_date", "event_id", "kind", amount.alias("amount"), json_text(r, "amulet").alias("amulet"), "child_event_ids")
+    payments = burned.where("kind = 'names'")
+    made = events.where("event_type = 'created'").select(
+        "update_id", F.explode(F.array_distinct(F.array("event_id", "contract_id"))).alias("amulet"), F.coalesce(money(json_text(F.col("payload"), "amount.initialAmount")), F.lit(0)).cast("double").alias("token")
     )
+    tokens = payments.join(made, ["update_id", "amulet"]).select("update_id", "event_date", "kind", F.col("token").alias("amount"))
+    moved = burned.where("kind = 'transfer'").select("update_id", F.col("event_id").alias("child"), F.col("amount").alias("fees"))
+    below = payments.select("update_id", "event_date", "kind", F.explode("child_event_ids").alias("child")).join(moved, ["update_id", "child"]).select("update_id", "event_date", "kind", F.col("fees").alias("amount"))
+    every = burned.select("update_id", "event_date", "kind", "amount").unionByName(tokens).unionByName(below)
+    of = lambda name: F.sum(F.when(F.col("kind") == name, F.col("amount")).otherwise(0.0)).alias(name)
+    sums = every.groupBy("update_id", "event_date").agg(*[of(k) for k in ("traffic", "transfer", "names", "preapproval")])
     return sums.withColumn("total", F.col("traffic") + F.col("transfer") + F.col("names") + F.col("preapproval"))
 
 

@@ -186,8 +186,8 @@ add("reward_totals", lambda f: M.reward_totals(M.reward_calculation(L.all_reward
 
 PROPOSALS = f"""proposals AS (
 SELECT proposal_id, contract_id, action_type, {T("effective_at", "latest_at")}, votes_for, votes_against, merged,
-  CASE WHEN votes_for >= 2 THEN 'passed' WHEN over AND votes_for + votes_against = 0 THEN 'expired' WHEN over THEN 'failed' ELSE 'pending' END AS status
-FROM (SELECT *, archived_at IS NOT NULL OR TRY_CAST({J("expiresAt")} AS TIMESTAMP) < {NOW} AS over, {J("action.value.dsoAction.tag")} AS action_type
+  CASE WHEN votes_for >= 2 THEN 'passed' WHEN over AND votes_for + votes_against = 0 THEN 'expired' ELSE 'failed' END AS status
+FROM (SELECT *, archived_at IS NOT NULL OR TRY_CAST({J("voteBefore")} AS TIMESTAMP) < {NOW} AS over, {J("action.value.dsoAction.tag")} AS action_type
       FROM (SELECT *, {J("trackingCid")} AS proposal_id, CAST(len(list_filter(json_extract_string(payload, '$.votes.*.accept'), lambda v: v = 'true')) AS BIGINT) AS votes_for,
                    CAST(len(list_filter(json_extract_string(payload, '$.votes.*.accept'), lambda v: v <> 'true')) AS BIGINT) AS votes_against FROM ev WHERE event_type = 'created' AND {IS("VoteRequest")})
       LEFT JOIN arch USING (contract_id)
@@ -204,7 +204,7 @@ WHERE kind IS NOT NULL QUALIFY row_number() OVER (PARTITION BY kind, contract_id
 
 def _both_origins(f: Callable[[str], DataFrame]) -> DataFrame:
     every = L.unique_proposals(f(E), as_of(), threshold=2).select("proposal_id", "status", "latest_at", "merged")
-    active, historical = every.where("status <> 'pending' or merged = 1"), every.where("status <> 'failed'")
+    active, historical = every, every.where("status <> 'failed'")
     return L.all_proposals(active.withColumn("origin", F.lit("active")), historical.withColumn("origin", F.lit("historical"))).drop("merged")
 
 
@@ -313,14 +313,27 @@ HELD_NOW = (
 add("realtime_supply", lambda f: M.realtime_supply(f(A).where("snapshot_time < timestamp '2024-01-25'"), f(E)), f"SELECT {R('sum(unlocked)', 'unlocked')}, {R('sum(locked)', 'locked')}, {R('sum(total)', 'total')}, count(*) AS holders FROM balances", *HELD_NOW, BALANCES)
 
 _N = lambda path: f"CAST(coalesce({MONEY(path, 'exercise_result')}, 0) AS DOUBLE)"
-_FEES = f"({_N('summary.holdingFees')} + {_N('summary.senderChangeFee')})"
-_OUT = "list_sum([coalesce(TRY_CAST(x AS DOUBLE), 0) FOR x IN json_extract_string(exercise_result, '$.summary.outputFees[*]')])"
-BURN = f"""burns AS (
-SELECT update_id, event_date, sum(CASE WHEN kind = 'traffic' THEN {_FEES} + {_N("amuletPaid")} ELSE 0 END) AS traffic, sum(CASE WHEN kind = 'transfer' THEN {_FEES} + {_OUT} ELSE 0 END) AS transfer,
-  sum(CASE WHEN kind = 'names' THEN coalesce(token_amount, 0) ELSE 0 END) AS names, sum(CASE WHEN kind = 'preapproval' THEN {_N("amuletPaid")} + {_FEES} + {_OUT} ELSE 0 END) AS preapproval
-FROM (SELECT *, CASE WHEN choice LIKE '%BuyMemberTraffic%' THEN 'traffic' WHEN choice IN ('AmuletRules_Transfer', 'Transfer') THEN 'transfer' WHEN choice LIKE '%CollectInitialEntryPayment%' THEN 'names' WHEN choice LIKE '%TransferPreapproval%' THEN 'preapproval' END AS kind FROM ev WHERE event_type = 'exercised') x
-LEFT JOIN (SELECT update_id AS t_update, contract_id AS t_contract, CAST(coalesce({MONEY("amount.initialAmount")}, 0) AS DOUBLE) AS token_amount FROM ev WHERE event_type = 'created' AND {IS("Amulet")}) ON t_update = update_id AND t_contract = contract_id
-WHERE kind IS NOT NULL GROUP BY update_id, event_date)"""
+_OUT = lambda at: f"coalesce(list_sum([coalesce(TRY_CAST(x AS DOUBLE), 0) FOR x IN json_extract_string(exercise_result, '$.{at}.outputFees[*]')]), 0)"
+_FEES = lambda at: f"({_N(at + '.holdingFees')} + {_N(at + '.senderChangeFee')})"
+BURN = f"""burnt AS (
+SELECT update_id, event_date, event_id, child_event_ids, json_extract_string(exercise_result, '$.amulet') AS amulet,
+  CASE WHEN choice = 'AmuletRules_BuyMemberTraffic' THEN 'traffic' WHEN choice = 'AmuletRules_Transfer' THEN 'transfer'
+       WHEN choice IN ('SubscriptionInitialPayment_Collect', 'AnsEntryContext_CollectRenewalEntryPayment') THEN 'names' ELSE 'preapproval' END AS kind,
+  CASE WHEN choice = 'AmuletRules_BuyMemberTraffic' THEN {_FEES("summary")} + {_N("amuletPaid")} WHEN choice = 'AmuletRules_Transfer' THEN {_FEES("summary")} + {_OUT("summary")}
+       WHEN choice IN ('SubscriptionInitialPayment_Collect', 'AnsEntryContext_CollectRenewalEntryPayment') THEN 0
+       ELSE {_N("amuletPaid")} + {_FEES("transferResult.summary")} + {_OUT("transferResult.summary")} END AS amount
+FROM ev WHERE event_type = 'exercised' AND choice IN ('AmuletRules_BuyMemberTraffic', 'AmuletRules_Transfer', 'SubscriptionInitialPayment_Collect',
+  'AnsEntryContext_CollectRenewalEntryPayment', 'AmuletRules_CreateTransferPreapproval', 'AmuletRules_CreateExternalPartySetupProposal', 'TransferPreapproval_Renew')),
+burnt_parts AS (
+SELECT update_id, event_date, kind, amount FROM burnt
+UNION ALL SELECT b.update_id, b.event_date, 'names', CAST(coalesce({MONEY("amount.initialAmount")}, 0) AS DOUBLE) FROM burnt b
+  JOIN ev e ON e.update_id = b.update_id AND e.event_type = 'created' AND (e.contract_id = b.amulet OR e.event_id = b.amulet) WHERE b.kind = 'names'
+UNION ALL SELECT b.update_id, b.event_date, 'names', t.amount FROM (SELECT *, unnest(child_event_ids) AS child FROM burnt WHERE kind = 'names') b
+  JOIN burnt t ON t.update_id = b.update_id AND t.event_id = b.child AND t.kind = 'transfer'),
+burns AS (
+SELECT update_id, event_date, coalesce(sum(amount) FILTER (kind = 'traffic'), 0) AS traffic, coalesce(sum(amount) FILTER (kind = 'transfer'), 0) AS transfer,
+  coalesce(sum(amount) FILTER (kind = 'names'), 0) AS names, coalesce(sum(amount) FILTER (kind = 'preapproval'), 0) AS preapproval
+FROM burnt_parts GROUP BY update_id, event_date)"""
 _TOTAL = "traffic + transfer + names + preapproval"
 add("burn_by_transaction", lambda f: M.burn_by_transaction(f(E)), f"SELECT update_id, {D('event_date')}, {R('traffic', 'traffic')}, {R('transfer', 'transfer')}, {R('names', 'names')}, {R('preapproval', 'preapproval')}, {R(_TOTAL, 'total')} FROM burns", BURN)
 add("burn_by_day", lambda f: M.burn_by_day(M.burn_by_transaction(f(E))), f"SELECT {D('event_date')}, {R('sum(traffic)', 'traffic')}, {R('sum(transfer)', 'transfer')}, {R('sum(names)', 'names')}, {R('sum(preapproval)', 'preapproval')}, {R(f'sum({_TOTAL})', 'total')} FROM burns GROUP BY event_date", BURN)

@@ -34,7 +34,7 @@ _PAYLOAD = " || ".join(
         """'","nonce":"' || k || '","nextNonce":"' || (k + 1) || '","epoch":"' || (k % 4) || '","migrationId":"' || m || '","trackingCid":"c' || (id - id % 2)""",
         f"""'","round":{{"number":"' || k || '"}},"issuingFor":{{"number":"' || (k + 1) || '"}},"amount":' || CASE WHEN t IN (2, 5) THEN '"' || {_AMOUNT} || '"' ELSE {_HELD} END""",
         f"""',"amuletPrice":"0.00' || (1 + k % 9) || '","totalTrafficPurchased":"' || cents || '","trafficAmount":"' || cents || '","opensAt":"' || {_iso("ts")}""",
-        f"""'","targetClosesAt":"' || {_iso("ts + INTERVAL 20 MINUTE")} || '","expiresAt":"' || {_iso("ts + to_days(CAST(k % 5 AS INTEGER))")}""",
+        f"""'","targetClosesAt":"' || {_iso("ts + INTERVAL 20 MINUTE")} || '","expiresAt":"' || {_iso("ts + to_days(CAST(k % 5 AS INTEGER))")} || '","voteBefore":"' || {_iso("ts + to_days(CAST(k % 7 AS INTEGER))")}""",
         f"""'","amulet":{{"owner":"p' || u || '","amount":' || {_HELD} || '}},"lock":{{"holders":["p' || u || '","p' || ((u + 2) % 150) || '"]'""",
         """CASE WHEN k % 2 = 0 THEN ',"expiresAt":{"number":"' || (k + 10) || '"}' ELSE '' END || '},"faucetState":{"tag":"FaucetState","value":{"numCouponsMissed":"' || (k % 6)""",
         """'","firstReceivedFor":{"number":"' || k || '"},"lastReceivedFor":{"number":"' || (k + cents % 50) || '"}}},"metadata":{"version":"0.' || (k % 5)""",
@@ -50,7 +50,13 @@ _PAYLOAD = " || ".join(
 )
 
 _RESULT = f"""'{{"round":{{"number":"' || k || '"}},"amuletPaid":"' || (cents % 700) || '.5","summary":{{"inputAmuletAmount":"' || {_AMOUNT} || '","outputAmuletAmount":"' || (cents // 200)
- || '.25","holdingFees":"0.' || (k % 10) || '","senderChangeFee":"0.0' || (k % 10) || '","amuletPrice":"0.00' || (1 + k % 9) || '","outputFees":["0.1","0.' || (k % 10) || '"],"balanceChanges":[{{"changeToInitialAmountAsOfRoundZero":"' || (cents // 100) || '"}}]}}}}'"""
+ || '.25","holdingFees":"0.' || (k % 10) || '","senderChangeFee":"0.0' || (k % 10) || '","amuletPrice":"0.00' || (1 + k % 9) || '","outputFees":["0.1","0.' || (k % 10) || '"],"balanceChanges":[{{"changeToInitialAmountAsOfRoundZero":"' || (cents // 100) || '"}}]}},"amulet":"c' || (id + 1)
+ || '","transferResult":{{"summary":{{"holdingFees":"0.' || (k % 7) || '","senderChangeFee":"0.0' || (k % 3) || '","outputFees":["0.2","0.' || (k % 5) || '"]}}}}}}'"""
+
+_TURN = f"(id // {5 * len(CHOICES)}) % 2"
+_AT = f"(id // 5) % {len(CHOICES)}"
+_INITIAL, _RENEWAL = (CHOICES.index(c) for c in ("SubscriptionInitialPayment_Collect", "AnsEntryContext_CollectRenewalEntryPayment"))
+_BELOW = f"CASE WHEN {_AT} = {_INITIAL} AND {_TURN} = 0 THEN ['e' || (id + 10) || ':2'] WHEN {_AT} = {_RENEWAL} AND {_TURN} = 1 THEN ['e' || (id + 5) || ':2'] ELSE CAST([] AS VARCHAR[]) END"
 
 #: CTEs: base, ev (events), up (updates), acs (snapshots). Put a query after ``WITH`` + this text.
 LEDGER = f"""
@@ -66,13 +72,13 @@ ev AS MATERIALIZED (
   SELECT 'e' || id || ':' || n AS event_id, 'u' || (id // 15) AS update_id, 'c' || id AS contract_id,
          CASE n WHEN 0 THEN 'created' WHEN 1 THEN 'archived' ELSE 'exercised' END AS event_type,
          '{PACKAGE}:' || ({_list(TEMPLATES)})[t + 1] AS template_id,
-         CASE WHEN n = 2 THEN ({_list(CHOICES)})[CAST((id // 5) % 10 AS INTEGER) + 1] END AS choice,
+         CASE WHEN n = 2 THEN ({_list(CHOICES)})[CAST((id // 5) % {len(CHOICES)} AS INTEGER) + 1] END AS choice,
          CASE WHEN n = 2 THEN id % 2 = 0 END AS consuming,
          CASE WHEN n = 2 AND id % 4 = 0 THEN 'iface:Splice.Api:Holding' END AS interface_id,
          eff AS effective_at, eff + INTERVAL 1 MINUTE AS recorded_at, CAST(eff AS DATE) AS event_date, m AS migration_id, 'sync' || (u % 3) AS synchronizer_id,
          ['p' || u, 'dso'] AS signatories, CASE WHEN k % 2 = 0 THEN ['p' || ((u + 1) % 50)] ELSE CAST([] AS VARCHAR[]) END AS observers,
          CASE WHEN n = 2 THEN ['p' || u] ELSE CAST([] AS VARCHAR[]) END AS acting_parties,
-         CASE WHEN n = 2 THEN ['e' || (id + x) || ':0' FOR x IN range(1, 2 + k % 3)] ELSE CAST([] AS VARCHAR[]) END AS child_event_ids,
+         CASE WHEN n = 2 THEN list_concat(['e' || (id + x) || ':0' FOR x IN range(1, 2 + k % 3)], {_BELOW}) ELSE CAST([] AS VARCHAR[]) END AS child_event_ids,
          CASE WHEN n = 1 THEN '{{}}' ELSE {_PAYLOAD} END AS payload,
          CASE WHEN n = 2 THEN {_RESULT} END AS exercise_result
   FROM numbered),

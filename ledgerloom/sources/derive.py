@@ -14,7 +14,8 @@ from ledgerloom.sources.schemas import TEMPLATES
 #: Choices that exercised events take in turn.
 CHOICES = (
     "AmuletRules_Transfer", "AmuletRules_BuyMemberTraffic", "DsoRules_CastVote", "Amulet_Lock", "AppRewardCoupon_Claim",
-    "DsoRules_RequestVote", "Transfer", "OpenMiningRound_Advance", "AnsEntryContext_CollectInitialEntryPayment", "AmuletRules_CreateTransferPreapproval",
+    "DsoRules_RequestVote", "Transfer", "OpenMiningRound_Advance", "AmuletRules_CreateTransferPreapproval",
+    "AmuletRules_CreateExternalPartySetupProposal", "SubscriptionInitialPayment_Collect", "AnsEntryContext_CollectRenewalEntryPayment",
 )
 PACKAGE = "a1b2c3"
 
@@ -55,7 +56,7 @@ def _payload() -> Column:
         '","nonce":"', _text("k"), '","nextNonce":"', _text("k + 1"), '","epoch":"', _text("k % 4"), '","migrationId":"', _text("m"), '","trackingCid":"c', _text("id - id % 2"),
         '","round":{"number":"', _text("k"), '"},"issuingFor":{"number":"', _text("k + 1"), '"},"amount":', F.when(plain, _say('"', _amount(), '"')).otherwise(held),
         ',"amuletPrice":"0.00', _text("1 + k % 9"), '","totalTrafficPurchased":"', _text("cents"), '","trafficAmount":"', _text("cents"), '","opensAt":"', _iso("ts"),
-        '","targetClosesAt":"', _iso("ts + make_interval(0, 0, 0, 0, 0, 20)"), '","expiresAt":"', _iso("ts + make_interval(0, 0, 0, k % 5, 0, 0)"),
+        '","targetClosesAt":"', _iso("ts + make_interval(0, 0, 0, 0, 0, 20)"), '","expiresAt":"', _iso("ts + make_interval(0, 0, 0, k % 5, 0, 0)"), '","voteBefore":"', _iso("ts + make_interval(0, 0, 0, k % 7, 0, 0)"),
         '","amulet":{"owner":"p', u, '","amount":', held, '},"lock":{"holders":["p', u, '","p', _text("(u + 2) % 150"), '"]',
         F.when(F.expr("k % 2 = 0"), _say(',"expiresAt":{"number":"', _text("k + 10"), '"}')).otherwise(""), '},"faucetState":{"tag":"FaucetState","value":{"numCouponsMissed":"', _text("k % 6"),
         '","firstReceivedFor":{"number":"', _text("k"), '"},"lastReceivedFor":{"number":"', _text("k + cents % 50"), '"}}},"metadata":{"version":"0.', _text("k % 5"),
@@ -72,10 +73,22 @@ def _payload() -> Column:
 def _result() -> Column:
     return _say(
         '{"round":{"number":"', _text("k"), '"},"amuletPaid":"', _text("cents % 700"), '.5","summary":{"inputAmuletAmount":"', _amount(), '","outputAmuletAmount":"', _text("cents div 200"),
-        '.25","holdingFees":"0.', _text("k % 10"), '","senderChangeFee":"0.0', _text("k % 10"), '","amuletPrice":"0.00', _text("1 + k % 9"), '","outputFees":["0.1","0.', _text("k % 10"), '"],"balanceChanges":[{"changeToInitialAmountAsOfRoundZero":"', _text("cents div 100"), '"}]}}',
+        '.25","holdingFees":"0.', _text("k % 10"), '","senderChangeFee":"0.0', _text("k % 10"), '","amuletPrice":"0.00', _text("1 + k % 9"), '","outputFees":["0.1","0.', _text("k % 10"), '"],"balanceChanges":[{"changeToInitialAmountAsOfRoundZero":"', _text("cents div 100"), '"}]},"amulet":"c', _text("id + 1"),
+        '","transferResult":{"summary":{"holdingFees":"0.', _text("k % 7"), '","senderChangeFee":"0.0', _text("k % 3"), '","outputFees":["0.2","0.', _text("k % 5"), '"]}}}',
     )
 
 
+def _transfers_below() -> Column:
+    """Payments for names hold the next transfer of their update, initial ones and renewals in turn."""
+    at = f"(id div 5) % {len(CHOICES)}"
+    turn = f"(id div {5 * len(CHOICES)}) % 2"
+    initial, renewal = CHOICES.index("SubscriptionInitialPayment_Collect"), CHOICES.index("AnsEntryContext_CollectRenewalEntryPayment")
+    return F.expr(
+        f"case when {at} = {initial} and {turn} = 0 then array(concat('e', cast(id + 10 as string), ':2'))"
+        f" when {at} = {renewal} and {turn} = 1 then array(concat('e', cast(id + 5 as string), ':2')) else cast(array() as array<string>) end"
+    )
+
+
 def _pick(names: tuple[str, ...], at: str) -> Column:
     return F.element_at(F.array(*[F.lit(n) for n in names]), F.expr(f"cast({at} as int) + 1"))
 
@@ -110,7 +123,7 @@ def ledger_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         _say("c", _text("id")).alias("contract_id"),
         kind.alias("event_type"),
         _say(PACKAGE + ":", _pick(TEMPLATES, "t")).alias("template_id"),
-        F.when(exercised, _pick(CHOICES, "(id div 5) % 10")).alias("choice"),
+        F.when(exercised, _pick(CHOICES, f"(id div 5) % {len(CHOICES)}")).alias("choice"),
         F.when(exercised, F.expr("id % 2 = 0")).alias("consuming"),
         F.when(exercised & F.expr("id % 4 = 0"), "iface:Splice.Api:Holding").alias("interface_id"),
         at.alias("effective_at"),
@@ -121,7 +134,7 @@ def ledger_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array(_say("p", _text("u")), F.lit("dso")).alias("signatories"),
         F.when(F.expr("k % 2 = 0"), F.array(_say("p", _text("(u + 1) % 50")))).otherwise(F.array().cast("array<string>")).alias("observers"),
         F.when(exercised, F.array(_say("p", _text("u")))).otherwise(F.array().cast("array<string>")).alias("acting_parties"),
-        F.when(exercised, F.expr("transform(sequence(1, cast(1 + k % 3 as int)), x -> concat('e', cast(id + x as string), ':0'))")).otherwise(F.array().cast("array<string>")).alias("child_event_ids"),
+        F.when(exercised, F.concat(F.expr("transform(sequence(1, cast(1 + k % 3 as int)), x -> concat('e', cast(id + x as string), ':0'))"), _transfers_below())).otherwise(F.array().cast("array<string>")).alias("child_event_ids"),
         F.when(F.col("n") == 1, F.lit("{}")).otherwise(_payload()).alias("payload"),
         F.when(exercised, _result()).alias("exercise_result"),
     )

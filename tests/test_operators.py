@@ -182,3 +182,44 @@ def test_as_of_join(spark):
     asks = spark.createDataFrame([("a", 4), ("b", 1), ("c", 3)], "party string, round long")
     got = {r["party"]: r["rewards_at_approval"] for r in lifecycle.as_of_rewards(asks, totals).collect()}
     assert got == {"a": 10.0, "b": 0.0, "c": 0.0}
+
+
+def test_burn_by_hand(spark):
+    """Every kind of burn, with a payment for a name that holds a transfer; amounts added up by hand."""
+    day = dt.date(2024, 1, 1)
+    kind = "event_id string, update_id string, contract_id string, event_type string, template_id string, choice string, event_date date, payload string, exercise_result string, child_event_ids array<string>"
+    made = lambda i, u, c, payload: (i, u, c, "created", "p:Splice.Amulet:Amulet", None, day, payload, None, [])
+    used = lambda i, u, choice, result, below=(): (i, u, "x" + i, "exercised", "p:a:b", choice, day, "{}", result, list(below))
+    moved = '{"summary":{"holdingFees":"0.5","senderChangeFee":"0.25","outputFees":["0.1","0.2"]}}'
+    rows = [
+        used("1", "a", "AmuletRules_BuyMemberTraffic", '{"amuletPaid":"10","summary":{"holdingFees":"1","senderChangeFee":"2","outputFees":["9"]}}'),
+        used("2", "b", "AmuletRules_Transfer", moved),
+        used("3", "b", "Transfer", moved),
+        used("4", "c", "SubscriptionInitialPayment_Collect", '{"amulet":"t"}', ["5", "6"]),
+        used("5", "c", "AmuletRules_Transfer", moved),
+        made("6", "c", "t", '{"amount":{"initialAmount":"7.5"}}'),
+        made("7", "d", "s", '{"amount":{"initialAmount":"100"}}'),
+        used("8", "e", "AnsEntryContext_CollectRenewalEntryPayment", '{"amulet":"s"}'),
+        used("9", "f", "AmuletRules_CreateExternalPartySetupProposal", '{"amuletPaid":"3","transferResult":' + moved + "}"),
+        used("10", "f", "TransferPreapproval_Renew", moved),
+        used("11", "g", "AmuletRules_BuyMemberTraffic", None),
+    ]
+    got = {r["update_id"]: [round(r[c], 6) for c in ("traffic", "transfer", "names", "preapproval", "total")] for r in metrics.burn_by_transaction(spark.createDataFrame(rows, kind)).collect()}
+    assert got == {"a": [13, 0, 0, 0, 13], "b": [0, 1.05, 0, 0, 1.05], "c": [0, 1.05, 8.55, 0, 9.6], "e": [0, 0, 0, 0, 0], "f": [0, 0, 0, 4.05, 4.05], "g": [0, 0, 0, 0, 0]}
+
+
+def test_proposal_status(spark):
+    """Passed at the threshold; expired when closed or past voteBefore without a vote; failed else, open ones too."""
+    vote = lambda **v: "{" + ",".join(f'"{k}":{{"accept":"{x}"}}' for k, x in v.items()) + "}"
+    ask = lambda n, votes, before: event(n, template="p:Splice.DsoRules:VoteRequest", payload=f'{{"votes":{votes},"voteBefore":"{before}","expiresAt":"2000-01-01T00:00:00Z"}}')
+    rows = [
+        ask(1, vote(a="true", b="true"), "2024-03-01T00:00:00Z"),
+        ask(2, vote(a="true"), "2024-03-01T00:00:00Z"),
+        ask(3, "{}", "2024-03-01T00:00:00Z"),
+        ask(4, "{}", "2024-01-15T00:00:00Z"),
+        ask(5, vote(a="false"), "2024-01-15T00:00:00Z"),
+        ask(6, "{}", "2024-03-01T00:00:00Z"),
+        event(7, kind="archived", template="p:Splice.DsoRules:VoteRequest", contract="c6"),
+    ]
+    got = {r["contract_id"]: r["status"] for r in lifecycle.unique_proposals(events(spark, *rows), F.lit(NOW), threshold=2).collect()}
+    assert got == {"c1": "passed", "c2": "failed", "c3": "failed", "c4": "expired", "c5": "failed", "c6": "expired"}
