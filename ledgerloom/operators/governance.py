@@ -126,8 +126,8 @@ def topic_similarity(pairs: DataFrame) -> DataFrame:
 
 def correlate_topics(identified: DataFrame) -> DataFrame:
     """(topic_id, item_id): topics grouped into items. Topics that share a CIP number, else a normalised entity name,
-    are a block; within it the newest unused topic claims all topics that match it. Only blocks meet, and they are as
-    small as one proposal's discussion; others stand alone."""
+    are one item, named by its newest topic; others stand alone. Names must be equal after normalisation: near or contained
+    names are scored by ``topic_similarity``, and no claim follows from that here."""
     block = F.coalesce(F.concat(F.lit("cip:"), "cip"), F.concat(F.lit("entity:"), normal_name(F.col("entity"))), F.concat(F.lit("topic:"), F.col("topic_id").cast("string")))
     rows = identified.select("topic_id", "date", block.alias("block"))
     newest = Window.partitionBy("block").orderBy(F.col("date").desc(), F.col("topic_id").desc())

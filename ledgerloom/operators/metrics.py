@@ -426,10 +426,16 @@ def wallet_immobility(classes: DataFrame, balances: DataFrame) -> DataFrame:
 
 
 def dev_fund_summary(coupons: DataFrame) -> DataFrame:
-    """Coupons (contract_id, effective_at, amount) ranked by amount, beside total and latest one."""
-    rank = F.row_number().over(Window.orderBy(F.col("amount").desc(), "contract_id"))
+    """Coupons (contract_id, effective_at, amount) ranked by amount, beside total and latest one. Ranks are counted within
+    ranges of amounts, cut at a hundred quantiles, and start after the rows of all higher ranges."""
+    cuts = coupons.agg(F.percentile_approx("amount", [k / 100 for k in range(1, 100)], 10_000).alias("cuts"))  # one row
+    placed = coupons.crossJoin(F.broadcast(cuts)).withColumn("range", F.size(F.filter(F.coalesce("cuts", F.array().cast("array<double>")), lambda c: c > F.coalesce("amount", F.lit(float("-inf")))))).drop("cuts")
+    sizes = placed.groupBy("range").agg(F.count("*").alias("rows"))  # a hundred rows at most
+    before = sizes.select("range", (F.sum("rows").over(Window.orderBy("range")) - F.col("rows")).alias("before"))
+    inside = F.row_number().over(Window.partitionBy("range").orderBy(F.col("amount").desc(), "contract_id"))
+    coupons = placed.withColumn("inside", inside).join(F.broadcast(before), "range").withColumn("rank", (F.col("inside") + F.col("before")).cast("int")).drop("range", "inside", "before")
     whole = coupons.agg(F.sum("amount").alias("total"), F.max(F.struct("effective_at", "contract_id"))["contract_id"].alias("latest_contract"))
-    return coupons.withColumn("rank", rank).crossJoin(whole)  # one row
+    return coupons.crossJoin(whole)  # one row
 
 
 def validator_cohorts(licences: DataFrame, super_validators: DataFrame, rounds_a_day: int = 144) -> DataFrame:

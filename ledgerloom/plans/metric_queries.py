@@ -235,11 +235,11 @@ SELECT id, elapsed, CASE WHEN elapsed >= {86_400 * 20} THEN 'steady' WHEN elapse
 FROM (SELECT id, {trunc_diff("second", "TIMESTAMP '2024-01-03 00:00:00'", "ts")} AS elapsed FROM base)""")
 
 add("prefix_lookup", lambda f: L.prefix_lookup(
-    f("ledger_base").where("id % 4 = 0").select(F.expr("concat('x', lpad(cast(id as string), 7, '0'))").alias("id"), F.expr("case when k < 50 then 'open' else 'closed' end").alias("status")),
-    f("ledger_base").where("id % 6 = 0").select(F.expr("concat('x', lpad(cast(id as string), 7, '0'))").alias("id"), F.expr("case when k < 40 then 'open' else 'closed' end").alias("status")), 7), """
+    f("ledger_base").where("id % 4 = 0").select(F.expr("concat('x', lpad(cast(id as string), 19, '0'))").alias("id"), F.expr("case when k < 50 then 'open' else 'closed' end").alias("status")),
+    f("ledger_base").where("id % 6 = 0").select(F.expr("concat('x', lpad(cast(id as string), 19, '0'))").alias("id"), F.expr("case when k < 40 then 'open' else 'closed' end").alias("status")), 19), """
 SELECT prefix, external_id, indexed_id, CASE WHEN external_id IS NULL THEN 'extra' WHEN indexed_id IS NULL THEN 'missing' WHEN ours = status THEN 'found' ELSE 'status_mismatch' END AS outcome
-FROM (SELECT left('x' || lpad(CAST(id AS VARCHAR), 7, '0'), 7) AS prefix, 'x' || lpad(CAST(id AS VARCHAR), 7, '0') AS external_id, CASE WHEN k < 50 THEN 'open' ELSE 'closed' END AS status FROM base WHERE id % 4 = 0) e
-FULL JOIN (SELECT left('x' || lpad(CAST(id AS VARCHAR), 7, '0'), 7) AS prefix, min('x' || lpad(CAST(id AS VARCHAR), 7, '0')) AS indexed_id,
+FROM (SELECT left('x' || lpad(CAST(id AS VARCHAR), 19, '0'), 19) AS prefix, 'x' || lpad(CAST(id AS VARCHAR), 19, '0') AS external_id, CASE WHEN k < 50 THEN 'open' ELSE 'closed' END AS status FROM base WHERE id % 4 = 0) e
+FULL JOIN (SELECT left('x' || lpad(CAST(id AS VARCHAR), 19, '0'), 19) AS prefix, min('x' || lpad(CAST(id AS VARCHAR), 19, '0')) AS indexed_id,
                   arg_min(CASE WHEN k < 40 THEN 'open' ELSE 'closed' END, id) AS ours FROM base WHERE id % 6 = 0 GROUP BY 1) i USING (prefix)""")
 
 add("updates_summary", lambda f: M.updates_summary(f(U)), f"""
@@ -392,7 +392,14 @@ SELECT party, {R("share", "locked_pct")}, {R("tier", "multiplier")}, CAST(round(
   SELECT 'p' || u AS party, CASE WHEN sum(cents) > 0 THEN sum(CASE WHEN id % 2 = 0 THEN cents ELSE 0 END) * 100.0::DOUBLE / sum(cents) ELSE 0 END AS share, sum(k) AS weight FROM base GROUP BY u))""")
 add("reward_distribution", lambda f: M.reward_distribution(f("ledger_base").groupBy((F.col("k") % 5).alias("stage")).agg((F.avg("k") / 400).alias("validator"), (F.avg("k") / 300).alias("app"))), f"""
 SELECT stage, {R("v * l", "validator_share")}, {R("a * l", "app_share")}, {R("(1 - v - a) * l", "sv_share")}, {R("CASE WHEN stage >= 2 THEN 0.05 ELSE 0 END", "dev_fund_share")} FROM (SELECT k % 5 AS stage, avg(k) / 400 AS v, avg(k) / 300 AS a, CASE WHEN k % 5 >= 2 THEN 0.95 ELSE 1.0 END AS l FROM base GROUP BY k % 5)""")
-add("beneficiary_weights", lambda f: M.beneficiary_weights(f("ledger_base").groupBy(F.concat(F.lit("op"), (F.col("u") % 40).cast("string")).alias("name")).agg((F.sum("k") + F.max("u") % 3).alias("reward_weight_bps"), F.collect_list(F.struct(F.expr("case when u % 3 = 0 then 'ghost-1' else concat('b', cast(u as string)) end").alias("beneficiary"), F.col("k").alias("weight"))).alias("beneficiaries"))), """
+def _operators(f: Callable[[str], DataFrame]) -> DataFrame:
+    """Operators with the summed weight of each of their beneficiaries, so that a list is as long as these are many."""
+    rows = f("ledger_base").select(F.concat(F.lit("op"), (F.col("u") % 40).cast("string")).alias("name"), F.expr("case when u % 3 = 0 then 'ghost-1' else concat('b', cast(u as string)) end").alias("beneficiary"), "k", "u")
+    each = rows.groupBy("name", "beneficiary").agg(F.sum("k").alias("weight"), F.max("u").alias("u"))
+    return each.groupBy("name").agg((F.sum("weight") + F.max("u") % 3).alias("reward_weight_bps"), F.collect_list(F.struct("beneficiary", "weight")).alias("beneficiaries"))
+
+
+add("beneficiary_weights", lambda f: M.beneficiary_weights(_operators(f)), """
 SELECT name, beneficiary, bps, CASE WHEN beneficiary LIKE 'ghost%' THEN 'escrowed' ELSE 'direct' END AS status, abs(sum(bps) OVER (PARTITION BY name) - total) <= 1 AS balanced
 FROM (SELECT 'op' || (u % 40) AS name, CASE WHEN u % 3 = 0 THEN 'ghost-1' ELSE 'b' || u END AS beneficiary, CAST(sum(k) AS BIGINT) AS bps FROM base GROUP BY 1, 2)
 JOIN (SELECT 'op' || (u % 40) AS name, sum(k) + max(u) % 3 AS total FROM base GROUP BY 1) USING (name)""")

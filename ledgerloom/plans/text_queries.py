@@ -62,16 +62,25 @@ add("pending_apps", lambda f: G.pending_apps(*_names(f)).select("id"), "SELECT i
 
 
 def _pairs(f: Callable[[str], DataFrame]) -> DataFrame:
-    own = _ident(f).select("topic_id", "cip", "entity", "is_app", "is_validator", "date")
+    """Pairs of classes of topics that share a CIP number or have equal or contained names. All that a score reads is equal
+    within a class; the smallest topic id stands for it, and a class of several topics meets itself too."""
+    known = _ident(f).where("cip is not null or entity is not null")
+    own = known.groupBy("cip", "entity", "is_app", "is_validator", "date").agg(F.min("topic_id").alias("topic_id"), F.count("*").alias("topics"))
     other = own.select(*[F.col(c).alias(f"o_{c}") for c in own.columns])
-    block = lambda p: F.coalesce(F.col(p + "cip"), F.col(p + "entity"))
-    return own.join(other, (block("") == block("o_")) & (F.col("o_topic_id") == F.col("topic_id") + 5 * 60))
-
-
-add("topic_similarity", lambda f: G.topic_similarity(_pairs(f)).select("topic_id", "o_topic_id", "score", "is_match"), """
-SELECT a.topic_id, b.topic_id AS o_topic_id, s AS score, s >= 70 AS is_match FROM (SELECT a, b, CAST(CASE WHEN a.cip = b.cip THEN 100 ELSE 0 END + CASE WHEN a.entity = b.entity THEN 100 ELSE 0 END + CASE WHEN a.entity = b.entity AND (a.is_app OR a.is_validator) THEN 50 ELSE 0 END
-  + CASE WHEN abs(date_diff('day', a.date, b.date)) <= 7 THEN 10 WHEN abs(date_diff('day', a.date, b.date)) <= 30 THEN 5 WHEN abs(date_diff('day', a.date, b.date)) <= 90 THEN 2 ELSE 0 END AS BIGINT) AS s
-FROM ident a JOIN ident b ON coalesce(a.cip, a.entity) = coalesce(b.cip, b.entity) AND b.topic_id = a.topic_id + 300)""", IDENTIFIED)
+    names = own.where("entity is not null").select(G.normal_name(F.col("entity")).alias("id")).distinct().withColumn("name", F.col("id"))
+    alike = G.match_entities(names, names).where("how in ('equal', 'contained')").select("left_id", "right_id")
+    by_name = own.join(alike, G.normal_name(F.col("entity")) == F.col("left_id")).join(other, G.normal_name(F.col("o_entity")) == F.col("right_id")).drop("left_id", "right_id")
+    both = own.join(other, F.col("cip") == F.col("o_cip")).unionByName(by_name).where("topic_id < o_topic_id or (topic_id = o_topic_id and topics > 1)")
+    return both.dropDuplicates(["topic_id", "o_topic_id"])
+
+
+_E, _OE = _NAME.format("a.entity"), _NAME.format("b.entity")
+CLASSED = "classed AS (SELECT cip, entity, is_app, is_validator, date, min(topic_id) AS topic_id, count(*) AS topics FROM ident WHERE cip IS NOT NULL OR entity IS NOT NULL GROUP BY cip, entity, is_app, is_validator, date)"
+add("topic_similarity", lambda f: G.topic_similarity(_pairs(f)).select("topic_id", "o_topic_id", "topics", "o_topics", "score", "is_match"), f"""
+SELECT topic_id, o_topic_id, topics, o_topics, s AS score, s >= 70 AS is_match FROM (SELECT *, CAST(c + n + CASE WHEN n > 0 AND kind THEN 50 ELSE 0 END + CASE WHEN days <= 7 THEN 10 WHEN days <= 30 THEN 5 WHEN days <= 90 THEN 2 ELSE 0 END AS BIGINT) AS s
+FROM (SELECT a.topic_id, b.topic_id AS o_topic_id, a.topics, b.topics AS o_topics, CASE WHEN a.cip = b.cip THEN 100 ELSE 0 END AS c, abs(date_diff('day', a.date, b.date)) AS days, (a.is_app AND b.is_app) OR (a.is_validator AND b.is_validator) AS kind,
+        CASE WHEN {_E} = {_OE} THEN 100 WHEN contains({_E}, {_OE}) OR contains({_OE}, {_E}) THEN 80 ELSE 0 END AS n
+      FROM classed a JOIN classed b ON a.topic_id < b.topic_id OR (a.topic_id = b.topic_id AND a.topics > 1)) WHERE c > 0 OR n > 0)""", IDENTIFIED, CLASSED)
 add("attach_votes", lambda f: G.attach_votes(
     template_view(f(E), "vote_request").select(F.col("contract_id").alias("vote_id"), F.expr("case when substring(contract_id, 2) % 3 = 0 then reason_url else 'none' end").alias("url"), F.expr("case when substring(contract_id, 2) % 5 = 0 then lpad(cast(substring(contract_id, 2) % 70 as string), 4, '0') end").alias("cip"), F.expr("case when substring(contract_id, 2) % 7 = 0 then concat('app', cast(substring(contract_id, 2) % 50 as string)) end").alias("entity")),
     _ident(f), G.extract_urls(f("topics"), "topic_id", "body")), f"""
