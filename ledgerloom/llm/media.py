@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 CHANNELS = {0: 1, 2: 3, 4: 2, 6: 4}
 WIDTH = 64
+#: Bytes of texts after which a batch of images is given out.
+BATCH_BYTES = 1 << 26
 
 
 def _chunk(kind: bytes, body: bytes) -> bytes:
@@ -124,13 +126,16 @@ def store_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, media = [], []
-            for text in batch.column(1).to_pylist():
-                data = (text or "").encode()
+            sizes, media, first, held = [], [], 0, 0
+            for k, text in enumerate(batch.column(1)):
+                data = (text.as_py() or "").encode()
                 rows = max(1, -(-len(data) // WIDTH))
                 sizes.append(len(data))
+                held += len(data)
                 media.append(write_png(np.frombuffer(data.ljust(rows * WIDTH, b"\0"), dtype=np.uint8).reshape(rows, WIDTH), level))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], names=["id", "n_bytes", "media"])
+                if k + 1 == batch.num_rows or held > BATCH_BYTES:  # so that one batch stays far below 2 GB
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, k + 1 - first), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], names=["id", "n_bytes", "media"])
+                    sizes, media, first, held = [], [], k + 1, 0
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
