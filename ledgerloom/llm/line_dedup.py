@@ -108,13 +108,13 @@ def _rarity(rows: DataFrame, seed: int) -> np.ndarray:
     """The place in the order of rarity of each cell of word hashes, from counts over all texts."""
 
     def count(batch: pa.RecordBatch, table: np.ndarray) -> None:
-        flat, offsets = utf8(batch.column(1))
+        flat, offsets = utf8(batch.column(0))
         for a, b in row_chunks(offsets):
             part = flat[offsets[a] : offsets[b]]
             starts, ends, _ = word_spans(part, offsets[a : b + 1] - offsets[a])
             table += np.bincount((hash_spans(part, starts, ends, seed) & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
 
-    return np.minimum(np.floor(8 * np.log2(summed_cells(rows, CELLS, count) + 1)), 511).astype(np.uint16)
+    return np.minimum(np.floor(8 * np.log2(summed_cells(rows.select("text"), CELLS, count) + 1)), 511).astype(np.uint16)
 
 
 _SET = ("n", "parity", "wide", "prefix")
@@ -575,7 +575,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     split = F.split("text", "\n", -1)
     left = F.filter(split, lambda _, k: ~F.array_contains(numbers, k))
     text = F.when(F.size(numbers) == 0, F.col("text")).otherwise(F.array_join(left, "\n"))
-    out = joined.select("id", "text", "lines", numbers.alias("removed"), F.coalesce(F.size(split), F.lit(0)).alias("n_lines"), text.alias("kept"))
+    out = joined.select("id", "text", "lines", numbers.alias("removed"), (F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).alias("n_lines"), text.alias("kept"))
     n = F.when(F.col("text").isNull(), 0).otherwise(F.col("n_lines"))
     return out.select(F.col("id").alias(id_col), F.col("kept").alias(text_col), n.cast("int").alias("n_lines"), F.size("removed").alias("n_removed"), "removed")
 
