@@ -24,6 +24,8 @@ TRIED, GROWTH = 8, 16
 #: Places that a task remembers while it reads texts, and rows that are compared at once.
 SEEN, TOGETHER = 1 << 18, 1 << 19
 _HASH_BITS = 44
+#: Bits of the table of documents that Spark tests before texts are handed to Python.
+DOC_BITS = 1 << 20
 #: The place of a line: id and hash of the text of its document, and its number; and as one number, for the filter.
 _PLACE = ("doc", "sub", "line")
 _PLACES = "doc long, sub long, line int"
@@ -478,6 +480,7 @@ def _similar(pairs: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
     theirs = pairs.select(*[F.col(f"o_{c}").alias(c) for c in _PLACE])
     wanted = Written(pairs.select(*_PLACE).unionByName(theirs).distinct().withColumn("spot", F.expr(_SPOT)), "line-wanted")
     bits = key_filter(wanted.df, "spot", wanted.df.count())
+    rows = rows.where(_in_documents(wanted.df))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -503,6 +506,21 @@ def _similar(pairs: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
     return out.df
 
 
+def _in_documents(wanted: DataFrame) -> Column:
+    """Whether a row (id, sub) may be one of the documents (doc, sub) in ``wanted``: a table of a fixed number of bits, as
+    one binary literal. Where very many documents are wanted, more of the others pass; none is lost."""
+
+    def mark(batch: pa.RecordBatch, table: np.ndarray) -> None:
+        at = batch.column(0).to_numpy()
+        np.bitwise_or.at(table.view(np.uint8), at >> 3, (1 << (at & 7)).astype(np.uint8))
+
+    place = lambda doc: F.xxhash64(doc, "sub").bitwiseAND(F.lit(DOC_BITS - 1))
+    table = summed_cells(wanted.select(place("doc").alias("at")), DOC_BITS // 64, mark, either=True).view(np.uint8).tobytes()
+    at = place("id")
+    byte = F.conv(F.hex(F.substring(F.lit(table), (F.shiftright(at, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return F.getbit(byte, at.bitwiseAND(F.lit(7)).cast("int")) == 1
+
+
 def _reached(one: set[bytes], two: set[bytes], threshold: float) -> bool:
     shared = len(one & two)
     return shared >= threshold * (len(one) + len(two) - shared) - 1e-9
