@@ -13,14 +13,14 @@ from pyspark.sql import functions as F
 from ledgerloom.llm.ragged import mix64
 from ledgerloom.llm.store import freed_shuffles
 
-#: Groups of partial tables in the first of two reducing steps.
-FAN_IN = 64
+#: Partial tables that one group of the first two of three reducing steps adds up.
+FAN_IN = 32
 
 
 def summed_cells(df: DataFrame, cells: int, fill: Callable[[pa.RecordBatch, np.ndarray], None], either: bool = False) -> np.ndarray:
     """Sum (or bitwise or, if ``either``) of one table of ``cells`` 64-bit numbers over all batches of ``df``.
 
-    Each task fills its own table; slices of the tables are then added by key in two steps. Only the result, of a
+    Each task fills its own table; slices of the tables are then added by key in three steps. Only the result, of a
     fixed size, reaches the driver.
     """
     parts = max(1, cells // 32768)
@@ -44,8 +44,8 @@ def summed_cells(df: DataFrame, cells: int, fill: Callable[[pa.RecordBatch, np.n
 
     schema = "slice int, part int, cells binary"
     partial = df.mapInArrow(local, schema)
-    for groups in (FAN_IN, 1):
-        partial = partial.withColumn("part", F.col("part") % groups).groupBy("slice", "part").applyInArrow(reduce, schema)
+    for group in (f"part div {FAN_IN}", f"part div {FAN_IN}", "0"):
+        partial = partial.withColumn("part", F.expr(f"cast({group} as int)")).groupBy("slice", "part").applyInArrow(reduce, schema)
     with freed_shuffles(df.sparkSession):
         rows = {r["slice"]: np.frombuffer(r["cells"], dtype=np.int64) for r in partial.collect()}  # cells * 8 bytes
     sizes = [len(s) for s in np.array_split(np.zeros(cells, dtype=np.int8), parts)]
