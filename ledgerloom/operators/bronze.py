@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -109,23 +111,40 @@ def normalize_event(extracted: DataFrame) -> DataFrame:
 def tree_order(events: DataFrame) -> DataFrame:
     """(update_id, event_id, ordinal): preorder place of every event in its update's tree. events: update_id, event_id,
     root_event_ids (of the update), child_event_ids. Events on a cycle are visited once; those that no root reaches
-    come last, by id. One update's events (some fifteen) are handled at a time."""
+    come last, by id. Rows are sorted by update; a task holds one update's ids (some fifteen) at a time."""
 
-    def order(group: pd.DataFrame) -> pd.DataFrame:
-        children = {k: list(v) if v is not None else [] for k, v in zip(group.event_id, group.child_event_ids, strict=True)}
-        roots = next((list(r) for r in group.root_event_ids if r is not None), [])
-        seen: dict[str, int] = {}
+    def order(children: dict[str, list[str]], roots: list[str]) -> list[str]:
+        seen: dict[str, None] = {}
         for start in [*roots, *sorted(children)]:
             stack = [start]
             while stack:
                 one = stack.pop()
                 if one in children and one not in seen:
-                    seen[one] = len(seen)
+                    seen[one] = None
                     stack.extend(reversed(children[one]))
-        return pd.DataFrame({"update_id": group.update_id.iloc[0], "event_id": list(seen), "ordinal": list(seen.values())})
-
-    rows = events.select("update_id", "event_id", "root_event_ids", "child_event_ids")
-    return rows.groupBy("update_id").applyInPandas(order, "update_id string, event_id string, ordinal long")
+        return list(seen)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        update, children, roots = None, {}, None
+        for batch in batches:
+            done: list[tuple[str | None, list[str]]] = []
+            for u, event, own, below in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if u != update and children:
+                    done.append((update, order(children, roots or [])))
+                    children, roots = {}, None
+                update, roots = u, own if roots is None else roots
+                children[event] = below or []
+            yield placed(done)
+        if children:
+            yield placed([(update, order(children, roots or []))])
+
+    def placed(done: list[tuple[str | None, list[str]]]) -> pa.RecordBatch:
+        updates = pa.array([u for u, ids in done for _ in ids], pa.string())
+        ids = pa.array([i for _, ids in done for i in ids], pa.string())
+        return pa.RecordBatch.from_arrays([updates, ids, pa.array([n for _, ids in done for n in range(len(ids))], pa.int64())], names=["update_id", "event_id", "ordinal"])
+
+    rows = events.where("event_id is not null").select("update_id", "event_id", "root_event_ids", "child_event_ids")
+    return rows.repartition("update_id").sortWithinPartitions("update_id").mapInArrow(run, "update_id string, event_id string, ordinal long")
 
 
 def normalize_acs_contract(raw: DataFrame) -> DataFrame:

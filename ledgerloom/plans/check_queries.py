@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ledgerloom.functions import columns as C
 from ledgerloom.operators import bronze as B
@@ -36,6 +37,12 @@ def _raw(events: DataFrame) -> DataFrame:
     return events.select("event_id", "update_id", "contract_id", "event_type", "template_id", "migration_id", at.alias("effective_at"), F.when(n % 17 == 0, "{broken").otherwise(F.col("payload")).alias("payload"), "signatories")
 
 
+def _schema_coverage(updates: DataFrame) -> DataFrame:
+    """A declared schema against the updates' columns, with the number of values in each."""
+    declared = StructType.fromDDL("update_id string, event_count long, offset string, root_event_ids array<string>, source_synchronizer string")
+    return Q.schema_diff(declared, updates).join(Q.column_population(updates).select("column", "filled"), "column", "left")
+
+
 _N = "CAST(substr(contract_id, 2) AS BIGINT)"
 add("parse_events", lambda f: B.parse_events(_raw(f(E))).withColumn("payload", F.get_json_object("payload", "$.owner")), f"""
 SELECT event_id, update_id, contract_id, event_type, template_id, migration_id, CASE WHEN {_N} % 13 <> 0 THEN strftime(effective_at, '%Y-%m-%d %H:%M:%S') END AS effective_at,
@@ -44,7 +51,7 @@ add("parse_updates", lambda f: B.parse_updates(f(U).drop("record_date").withColu
     f"SELECT update_id, {T('record_time')}, {T('effective_at')}, strftime(record_time, '%Y-%m-%d') AS record_date, event_count FROM up")
 
 
-def _raw_updates(f) -> DataFrame:
+def raw_updates(f) -> DataFrame:
     """Landed transactions: created (and exercised) events of fifteen contracts as nested JSON; every seventh is a reassignment."""
     ev = f(E).where("event_type <> 'archived'").select("update_id", "event_id", "contract_id", "template_id", "event_type", "choice", "effective_at", "synchronizer_id", "migration_id")
     iso = F.date_format("effective_at", "yyyy-MM-dd'T'HH:mm:ss'Z'")
@@ -59,16 +66,21 @@ def _raw_updates(f) -> DataFrame:
     return grouped.select(F.when(moved, re).otherwise(tx).alias("json"))
 
 
-add("normalize_updates", lambda f: B.split_unknown(B.normalize_update(_raw_updates(f)))[0].select("update_id", "update_type", "migration_id", "record_time", "event_count", "source_synchronizer", "reassignment_counter"), f"""
+add("schema_diff", lambda f: _schema_coverage(f(U).select("update_id", "event_count", "offset", "source_synchronizer", "record_date")), """
+SELECT s.*, CASE s."column" WHEN 'update_id' THEN n1 WHEN 'event_count' THEN n2 WHEN 'offset' THEN n3 WHEN 'source_synchronizer' THEN n4 WHEN 'record_date' THEN n5 END AS filled
+FROM (SELECT count(update_id) AS n1, count(event_count) AS n2, count("offset") AS n3, count(source_synchronizer) AS n4, count(record_date) AS n5 FROM up), (VALUES ('update_id', 'string', 'string', 'match'), ('event_count', 'bigint', 'bigint', 'match'),
+  ('offset', 'string', 'bigint', 'type'), ('root_event_ids', 'array<string>', NULL, 'missing'), ('source_synchronizer', 'string', 'string', 'match'), ('record_date', NULL, 'date', 'extra')) s("column", expected, actual, state)""")
+add("normalize_updates", lambda f: B.split_unknown(B.normalize_update(raw_updates(f)))[0].select("update_id", "update_type", "migration_id", "record_time", "event_count", "source_synchronizer", "reassignment_counter"), f"""
 SELECT update_id, CASE WHEN moved THEN 'reassignment' ELSE 'transaction' END AS update_type, m AS migration_id, {T("at_min", "record_time")}, CASE WHEN moved THEN 1 ELSE n END AS event_count, CASE WHEN moved THEN 'a' END AS source_synchronizer, CASE WHEN moved THEN 3::BIGINT END AS reassignment_counter
 FROM (SELECT update_id, CAST(substr(update_id, 2) AS BIGINT) % 7 = 0 AS moved, min(migration_id) AS m, min(effective_at) AS at_min, count(*) AS n FROM ev WHERE event_type <> 'archived' GROUP BY update_id)""")
-add("extract_events", lambda f: B.normalize_event(B.extract_events(B.normalize_update(_raw_updates(f)))).select("event_id", "update_id", "event_type", "contract_id", "package_name", "effective_at", "choice", "consuming"), f"""
+add("extract_events", lambda f: B.normalize_event(B.extract_events(B.normalize_update(raw_updates(f)))).select("event_id", "update_id", "event_type", "contract_id", "package_name", "effective_at", "choice", "consuming"), f"""
 SELECT event_id, update_id, event_type, contract_id, 'a1b2c3' AS package_name, {T("CASE WHEN event_type = 'created' THEN effective_at ELSE min(effective_at) OVER (PARTITION BY update_id) END", "effective_at")}, choice, CASE WHEN event_type = 'exercised' THEN true END AS consuming
 FROM ev WHERE event_type <> 'archived' AND CAST(substr(update_id, 2) AS BIGINT) % 7 <> 0
 UNION ALL SELECT update_id || ':r', update_id, 'reassign_create', 'x', 'p', strftime(min(effective_at), '%Y-%m-%d %H:%M:%S'), NULL, NULL FROM ev WHERE event_type <> 'archived' AND CAST(substr(update_id, 2) AS BIGINT) % 7 = 0 GROUP BY update_id""")
 add("tree_order", lambda f: B.tree_order(f("ledger_base").select(
     F.expr("concat('u', cast(id div 15 as string))").alias("update_id"), F.expr("concat('e', cast(id as string))").alias("event_id"), F.expr("array(concat('e', cast((id div 15) * 15 as string)))").alias("root_event_ids"),
-    F.expr("filter(array(concat('e', cast((id div 15) * 15 + (id % 15) * 2 + 1 as string)), concat('e', cast((id div 15) * 15 + (id % 15) * 2 + 2 as string))), x -> (id % 15) * 2 + 1 < 15)").alias("child_event_ids"))), None)
+    F.expr("filter(array(concat('e', cast((id div 15) * 15 + (id % 15) * 2 + 1 as string)), concat('e', cast((id div 15) * 15 + (id % 15) * 2 + 2 as string))), x -> (id % 15) * 2 + 1 < 15)").alias("child_event_ids"))),
+    "SELECT 'u' || (id // 15) AS update_id, 'e' || id AS event_id, row_number() OVER (PARTITION BY id // 15 ORDER BY bin(id % 15 + 1)) - 1 AS ordinal FROM base")
 add("normalize_acs", lambda f: B.normalize_acs_contract(f(A).withColumn("event_id", F.lit(None).cast("string")).withColumn("package_name", F.lit(None).cast("string")).withColumn("observers", F.col("signatories")).withColumn("raw", F.col("payload")).withColumn("record_time", F.col("record_time").cast("string")).withColumn("snapshot_time", F.col("snapshot_time").cast("string"))).select("contract_id", "package_name", "module_name", "entity_name", "record_time", "snapshot_time"), f"""
 SELECT contract_id, 'a1b2c3' AS package_name, split_part(template_id, ':', 2) AS module_name, split_part(template_id, ':', 3) AS entity_name, {T("record_time")}, {T("snapshot_time")} FROM acs""")
 add("template_parts", lambda f: f(E).select("template_id").distinct().select("template_id", C.package_of(F.col("template_id")).alias("package"), C.module_of(F.col("template_id")).alias("module"), C.entity_of(F.col("template_id")).alias("entity"), C.template_key(F.col("template_id")).alias("key"), C.template_format(F.col("template_id")).alias("format")), """

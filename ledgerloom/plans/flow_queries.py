@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import metrics as M
+from ledgerloom.plans.check_queries import raw_updates
 from ledgerloom.plans.digest import plain
 from ledgerloom.plans.metric_queries import NOW, D, R, T, as_of, trunc_diff
 from ledgerloom.plans.oracles import sql
@@ -91,6 +92,52 @@ def json_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return io.read_ledger(spark, path, "updates", rows.schema).select("update_id", "record_time")
 
 
+def listed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two files lists of different columns, united by name."""
+    path, rows = io.work_folder(spark), _updates(spark, sf_dir)
+    rows.where("offset % 2 = 0").drop("offset").write.parquet(f"{path}/a")
+    rows.where("offset % 2 = 1").write.parquet(f"{path}/b")
+    return io.read_files(spark, [f"{path}/a", f"{path}/b"]).select("update_id", "offset")
+
+
+def acs_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Snapshot contracts landed as Parquet and as JSON lines; those of the second migration lie in both."""
+    path, rows = io.work_folder(spark), derive.ledger_acs(spark, sf_dir).select("contract_id", "template_id", "migration_id", "snapshot_time")
+    rows.where("migration_id = 1 or substring(contract_id, 2) % 2 = 0").write.parquet(f"{path}/acs/a")
+    rows.where("migration_id = 1 or substring(contract_id, 2) % 2 = 1").write.option("compression", "gzip").json(f"{path}/acs/b")
+    return io.read_acs(spark, path, rows.schema)
+
+
+def _lines(spark: SparkSession, sf_dir: str, *parts: str) -> DataFrame:
+    """Updates landed as JSON lines of known length, one file in each partition of ``parts``; read back."""
+    path, rows = io.work_folder(spark), derive.ledger_updates(spark, sf_dir).withColumn("few", F.expr("offset % 5 = 0"))
+    rows.withColumnRenamed("migration_id", "migration").select("update_id", "update_type", "synchronizer_id", *parts).repartition(*parts).write.partitionBy(*parts).json(f"{path}/updates")
+    return spark.read.json(f"{path}/updates")
+
+
+def repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fourth update is landed under the day after its own, then the tree is repaired."""
+    root, target, rows = io.work_folder(spark), io.work_folder(spark), _updates(spark, sf_dir)
+    at = F.when(F.col("offset") % 4 == 0, F.expr("effective_at + interval 1 day")).otherwise(F.col("effective_at"))
+    landed = rows.select("*", F.col("migration_id").alias("migration"), F.year(at).alias("year"), F.month(at).alias("month"), F.dayofmonth(at).alias("day"))
+    landed.write.partitionBy(*io.PARTS).parquet(f"{root}/updates")
+    io.repair_partitions(spark, root, "updates", target, rows.schema)
+    return io.read_raw(spark, target, "updates", rows.drop("migration_id").schema).select("update_id", "migration", "year", "month", "day", "event_count")
+
+
+def stream_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw records as a stream, three files a batch, every thirteenth damaged: updates with the number of their events,
+    and one row with the number of dead letters."""
+    folder = io.work_folder(spark)
+    raw = raw_updates(lambda frame: getattr(derive, frame)(spark, sf_dir))
+    raw.select(F.when(F.regexp_extract("json", '"update_id":"u([0-9]+)"', 1).cast("long") % 13 == 0, "{broken").otherwise(F.col("json")).alias("json")).write.parquet(f"{folder}/raw")
+    jobs.start_normalize(jobs.stream_files(spark, f"{folder}/raw", raw.schema, files_per_batch=3), f"{folder}/out", f"{folder}/state").awaitTermination()
+    events = spark.read.parquet(f"{folder}/out/events").groupBy("update_id").agg(F.count("*").alias("events"))
+    good = spark.read.parquet(f"{folder}/out/updates").select("update_id", "update_type").join(events, "update_id", "left")
+    dead = spark.read.schema("update_data string, batch string").parquet(f"{folder}/out/dead").agg(F.count("*").alias("events"))
+    return good.unionByName(dead.select(F.lit("dead").alias("update_id"), F.lit(None).cast("string").alias("update_type"), "events"))
+
+
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stream over the benchmark's event files."""
     path = f"{sf_dir}/events.parquet"
@@ -104,8 +151,9 @@ def stream_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each batch gives out the types that it changed."""
     folder = io.work_folder(spark)
-    return jobs.run_to_table(jobs.type_counts(_stream(spark, sf_dir)), f"{folder}/out", f"{folder}/state")
+    return jobs.run_changes(jobs.type_counts(_stream(spark, sf_dir)), f"{folder}/out", f"{folder}/state", "event_type")
 
 
 def stream_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,7 +166,8 @@ def stream_freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.freshness(_updates(spark, sf_dir), "record_time", as_of(), "migration_id", "synchronizer_id")
 
 
-add("partitioned_read", partitioned_read, "SELECT update_id, migration_id AS migration, CAST(year(effective_at) AS BIGINT) AS year, CAST(month(effective_at) AS BIGINT) AS month, CAST(day(effective_at) AS BIGINT) AS day, event_count FROM up")
+_PLACED = "SELECT update_id, migration_id AS migration, CAST(year(effective_at) AS BIGINT) AS year, CAST(month(effective_at) AS BIGINT) AS month, CAST(day(effective_at) AS BIGINT) AS day, event_count FROM up"
+add("partitioned_read", partitioned_read, _PLACED)
 add("day_read", day_read, f"SELECT update_id, {T('effective_at')} FROM up WHERE CAST(effective_at AS DATE) = DATE '2024-01-12'")
 add("file_ranges", file_ranges, f"SELECT count(*) AS rows, {T('min(effective_at)', 'first')}, {T('max(effective_at)', 'last')} FROM up")
 add("batch_replay", batch_replay, 'SELECT CAST("offset" % 4 AS BIGINT) AS batch, count(*) AS rows, count(DISTINCT update_id) AS ids FROM up GROUP BY 1')
@@ -127,6 +176,17 @@ add("daily_load", daily_load, f"""SELECT update_id, {D("record_date")} FROM up W
 add("vote_upsert", vote_upsert, "SELECT id AS tracking_cid, CASE WHEN id % 3 = 0 THEN 'passed' ELSE 'open' END AS status, CASE WHEN id % 3 = 0 THEN k + 1 ELSE k END AS votes, CASE WHEN id % 2 = 0 THEN kind ELSE 'new' END AS note FROM base WHERE id % 2 = 0 OR id % 3 = 0")
 add("json_roundtrip", json_roundtrip, f"SELECT update_id, {T('effective_at')}, event_count FROM up")
 add("json_ledger", json_ledger, f"SELECT update_id, {T('record_time')} FROM up")
+_LINE = "len(update_id) + len(update_type) + len(synchronizer_id) + len('{\"update_id\":\"\",\"update_type\":\"\",\"synchronizer_id\":\"\"}') + 1"
+add("listed_files", listed_files, 'SELECT update_id, CASE WHEN "offset" % 2 = 1 THEN "offset" END AS "offset" FROM up')
+add("acs_formats", acs_formats, f"SELECT DISTINCT contract_id, template_id, migration_id, {T('snapshot_time')} FROM acs")
+add("tiny_files", lambda s, d: io.tiny_files(io.file_stats(_lines(s, d, "record_date", "few"), "record_date")).select("bytes", "rows", F.col("first").alias("day")), f"""
+SELECT CAST(sum({_LINE}) AS BIGINT) AS bytes, count(*) AS rows, {D("record_date", "day")} FROM up GROUP BY record_date, "offset" % 5 = 0 HAVING sum({_LINE}) < 1024""")
+add("archive_stats", lambda s, d: io.archive_stats(io.file_stats(_lines(s, d, "migration", "record_date"), "record_date")), f"""
+SELECT 'updates' AS kind, CAST(migration_id AS VARCHAR) AS migration, count(DISTINCT record_date) AS files, CAST(sum({_LINE}) AS BIGINT) AS bytes FROM up GROUP BY migration_id""")
+add("repaired_partitions", repaired, _PLACED)
+add("stream_normalized", stream_normalized, """
+SELECT update_id, CASE WHEN g % 7 = 0 THEN 'reassignment' ELSE 'transaction' END AS update_type, CASE WHEN g % 7 = 0 THEN 1 ELSE n END AS events FROM (SELECT update_id, CAST(substr(update_id, 2) AS BIGINT) AS g, count(*) AS n FROM ev WHERE event_type <> 'archived' GROUP BY update_id) WHERE g % 13 <> 0
+UNION ALL SELECT 'dead', NULL, count(DISTINCT update_id) FROM ev WHERE event_type <> 'archived' AND CAST(substr(update_id, 2) AS BIGINT) % 13 = 0""")
 add("stream_hourly", stream_hourly, f"SELECT {T('period')}, migration_id, rows FROM (SELECT CAST(date_trunc('hour', ts) AS TIMESTAMP) AS period, m AS migration_id, count(*) AS rows FROM base GROUP BY 1, 2)")
 add("stream_types", stream_types, "SELECT kind AS event_type, count(*) AS events FROM base GROUP BY kind")
 add("stream_distinct", stream_distinct, "SELECT id, kind AS event_type, strftime(ts, '%Y-%m-%d %H:%M:%S') AS \"at\" FROM base")

@@ -75,6 +75,20 @@ def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "com
     return rows.drop("batch")
 
 
+def run_changes(stream: DataFrame, path: str, checkpoint: str, *keys: str) -> DataFrame:
+    """Run an aggregating stream over all files there are in update mode: each batch adds only the groups that it changed,
+    and reading takes the newest row of each key. A replayed batch overwrites its own slice."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        write_batch_idempotent(batch, path, f"{batch_id:08d}")
+
+    stream.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    schema = T.StructType([*stream.schema.fields, T.StructField("batch", T.StringType())])
+    rest = [c for c in stream.columns if c not in keys]
+    newest = stream.sparkSession.read.schema(schema).parquet(path).groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("newest"))
+    return newest.select(*keys, "newest.*")
+
+
 def freshness(rows: DataFrame, at: str, as_of: Column, *keys: str) -> DataFrame:
     """Age of the latest record per key: live under a minute, idle under five, else stale. Migrations are keys of one
     query, each with an order of its own."""
