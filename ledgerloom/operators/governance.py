@@ -14,29 +14,87 @@ from ledgerloom.functions.columns import half_life
 #: Stages of a governance item in the order of its workflow, and the flow that shows each.
 STAGES = ("cip-discuss", "cip-vote", "cip-announce", "tokenomics", "sv-announce")
 #: Words that carry no meaning in subjects.
-STOPWORDS = ("the", "and", "for", "with", "from", "this", "that", "are", "was", "has", "have", "request", "proposal")
+STOPWORDS = (
+    "the", "and", "for", "this", "that", "with", "from", "featured", "validator", "tokenomics", "announcement", "announce", "proposal",
+    "vote", "request", "application", "listing", "onboarding", "supervalidator",
+)
+#: Patterns of subjects. What is cut off a subject first; a list of names; the signs of networks and types.
+REPLY, VOTE_END, SEVERAL = r"(?i)^(re:|fwd:|fw:)\s*", r"(?i)\s*-?\s*vote\s*(proposal)?\s*$", r"(?i),|\s+and\s+"
+NETWORK_START, BY_END = r"(?i)^(?:mainnet|testnet|main\s*net|test\s*net)[:\s]+", r"(?i)\s+by\s+.*$"
+BATCH = r"(?i)(?:validator\s*operators?|validators|featured\s*apps?)\s*approved[:\s-]+(.+?)$"
+NODE_SERVICE = r"(?i)^node\s+as\s+a\s+service\s+(?:reviewed\s+and\s+)?approved"
+VALIDATOR_APPROVED, APP_APPROVED = r"(?i)validator\s*(?:approved|operator\s+approved)[:\s-]+(.+?)$", r"(?i)featured\s*app\s*approved[:\s-]+(.+?)$"
+TESTNET, MAINNET, NETWORK_COLON = r"(?i)testnet|test\s*net|tn\b", r"(?i)mainnet|main\s*net|mn\b", r"(?i)(?:mainnet|testnet|main\s*net|test\s*net):"
+CIP_OPEN, CIP_NUMBER, CIP_ALONE = r"(?i)CIP\s*[-#]?\s*(TBD|00XX|XXXX|\?\?|unassigned)", r"(?i)CIP\s*[-#]?\s*(\d{2,})", r"^\s*0*(\d{4})\s+"
+CIP_TALK, CIP_VOTE = r"(?i)^\s*(?:re:\s*)?CIP[#\-\s]|^(?:re:\s*)?(?:new\s+)?CIP\s+(?:discuss|proposal|draft)", r"(?i)CIP[#\-\s]?\d+|CIP\s+(?:vote|voting|approval)"
+VOTE, APP_VOTE, VALIDATOR_VOTE = r"(?i)\bVote\s+Proposal\b", r"(?i)featured\s*app|featured\s*application|app\s+rights", r"(?i)validator\s+(?:operator|onboarding|license)"
+APP = r"(?i)featured\s*app|featured\s*application|app\s+(?:application|listing|request|tokenomics|vote|approved)|application\s+status\s+for"
+VALIDATOR = r"(?i)super\s*validator|validator\s+(?:approved|application|onboarding|license|candidate|operator\s+approved)|sv\s+(?:application|onboarding)|validator\s+operator|node\s+as\s+a\s+service"
+OUTCOME, VALIDATOR_WORK, VALIDATOR_DONE = r"(?i)\bTokenomics\s+Outcomes\b", r"(?i)\bValidator\s+Operations\b", r"(?i)validator.*approved|approved.*validator|validator\s*operator.*approved"
+UPGRADE = r"(?i)\b(?:synchronizer\s+migration|splice\s+\d+\.\d+|protocol\s+upgrade|network\s+upgrade|hard\s*fork|migration\s+to\s+splice)\b"
+#: Patterns of names in the order in which they are tried, the least length of a name, what is cut off it,
+#: and names that don't count.
+NAMES = (
+    (VALIDATOR_APPROVED, 2, (), None),
+    (APP_APPROVED, 2, (), None),
+    (r"(?i)to\s+feature\s+(?:the\s+)?([A-Za-z0-9][\w\s-]*?)$", 2, (BY_END,), None),
+    (r"(?i)(?:to\s+)?(?:implement|apply|for)\s+featured\s*(?:app(?:lication)?|application)\s+(?:status|rights)\s+for\s+([A-Za-z0-9][\w\s-]*?)$", 2, (), None),
+    (r"(?i)(?:mainnet|testnet|main\s*net|test\s*net)[:\s]+([^:]+?)(?:\s+by\s+.+)?$", 3, (BY_END,), None),
+    (r"(?i)(?:request|proposal|onboarding|tokenomics|announce|announcement|approved|vote\s*proposal)[:\s-]+(.+?)$", 3, (NETWORK_START, BY_END), r"(?i)^(the|this|new|our)$"),
+    (r"(?i)new\s+featured\s*app\s+request[:\s-]+(.+?)$", 3, (NETWORK_START, BY_END), None),
+    (r"(?i)^([A-Za-z][A-Za-z0-9\s-]{1,30}?)\s+(?:featured\s*app|super\s*validator|validator|tokenomics|onboarding)", 2, (), r"(?i)^(the|and|for|this|that|with|from|featured|app|vote|proposal|to)$"),
+    (r"\[([^\]]+)\]", 3, (), None),
+    (r"([A-Z][a-z]+(?:\s+[A-Z][a-z]+)+)", 1, (), r"(?i)^(featured app|super validator|vote proposal|new request|token economics|main net|test net)$"),
+    (r"for\s+([A-Z][A-Za-z0-9-]+)$", 2, (), r"(?i)^(the|this|that|it)$"),
+)
 #: Scores of topic similarity and the score from which two topics belong together.
 SAME_CIP, SAME_ENTITY, PART_ENTITY, SAME_KIND, MATCH = 100, 100, 80, 50, 70
 
 
 def extract_cip(text: Column) -> Column:
-    """Number of a CIP mentioned ('CIP-0042', 'CIP 42', 'cip#42'), as four digits; null without one."""
-    number = F.regexp_extract(text, r"(?i)\bCIP[-#\s]*0*([0-9]{1,4})\b", 1)
-    return F.when(number != "", F.lpad(number, 4, "0"))
+    """Number of a CIP mentioned ('CIP-0042', 'CIP 42', 'cip#42', or four digits at the start), of four digits at least;
+    00XX for one without a number yet; null without one."""
+    number = F.coalesce(F.nullif(F.regexp_extract(text, CIP_NUMBER, 1), F.lit("")), F.nullif(F.regexp_extract(text, CIP_ALONE, 1), F.lit("")))
+    return F.when(text.rlike(CIP_OPEN), "00XX").otherwise(F.when(F.length(number) < 4, F.lpad(number, 4, "0")).otherwise(number))
 
 
 def network_of(text: Column) -> Column:
-    low = F.lower(text)
-    return F.when(low.contains("testnet"), "testnet").when(low.contains("mainnet"), "mainnet").when(low.contains("devnet"), "devnet")
+    return F.when(text.rlike(TESTNET), "testnet").when(text.rlike(MAINNET), "mainnet")
+
+
+def _of_bare(subject: Column, found: Callable[[Column], Column]) -> Column:
+    """``found`` of a subject without its start and end. The long chains of patterns stand within a lambda, where the
+    subject is cut once and Spark evaluates them without generated code (which would pass the size of a method)."""
+    bare = F.trim(F.regexp_replace(F.regexp_replace(subject, REPLY, ""), VOTE_END, ""))
+    return F.get(F.transform(F.array(bare), found), F.lit(0))
+
+
+def _lists_names(bare: Column) -> Column:
+    lists = lambda pattern: F.regexp_extract(bare, pattern, 1).rlike(SEVERAL)
+    one = F.length(F.trim(F.regexp_extract(bare, VALIDATOR_APPROVED, 1))) > 1
+    return lists(BATCH) | (~bare.rlike(NODE_SERVICE) & (lists(VALIDATOR_APPROVED) | (~one & lists(APP_APPROVED))))
+
+
+def many_entities(subject: Column) -> Column:
+    """Whether an approval names several apps or validators, so that it has no single name."""
+    return _of_bare(subject, _lists_names)
 
 
 def entity_name(subject: Column) -> Column:
-    """Name of the app or validator that a subject is about: the first pattern that fits."""
-    patterns = (
-        r"(?i)featured app(?:lication)? request[:\s-]+([^:,(]+)", r"(?i)validator (?:approved|request|operator)[:\s-]+([^:,(]+)", r"(?i)(?:app|application)[:\s-]+([^:,(]+)",
-    )
-    found = [F.nullif(F.trim(F.regexp_extract(subject, p, 1)), F.lit("")) for p in patterns]
-    return F.coalesce(*found)
+    """Name of the app or validator that a subject is about: the first pattern that gives one; null for several names."""
+
+    def first_name(bare: Column) -> Column:
+        found = []
+        for pattern, least, cut, banned in NAMES:
+            name = F.regexp_extract(bare, pattern, 1)
+            for end in cut:
+                name = F.regexp_replace(name, end, "")
+            name = F.trim(name)
+            good = F.length(name) >= least
+            found.append(F.when(good if banned is None else good & ~name.rlike(banned), name))
+        return F.when(_lists_names(bare), None).when(bare.rlike(NODE_SERVICE), "Node as a Service").otherwise(F.coalesce(*found))
+
+    return _of_bare(subject, first_name)
 
 
 def normal_name(name: Column) -> Column:
@@ -53,12 +111,15 @@ def keywords(text: Column) -> Column:
 
 
 def extract_identifiers(topics: DataFrame) -> DataFrame:
-    """Topics with CIP number, entity name, network, flags and keywords of the subject."""
+    """Topics with CIP number, entity name, network, flags and keywords of the subject. An app or validator is one of
+    which the name is known and the flag is set (``is_app`` or ``is_validator`` beside ``entity``)."""
     s = F.col("subject")
-    low = F.lower(s)
+    vote, talk = s.rlike(VOTE), s.rlike(CIP_TALK)
+    app_vote, validator_vote = vote & (s.rlike(APP_VOTE) | s.rlike(NETWORK_COLON)), vote & s.rlike(VALIDATOR_VOTE)
     return topics.select(
-        "*", extract_cip(s).alias("cip"), entity_name(s).alias("entity"), network_of(s).alias("network"), low.rlike(r"\bvote\b").alias("is_vote"),
-        low.contains("featured app").alias("is_app"), low.rlike(r"\bvalidator\b").alias("is_validator"), keywords(s).alias("keywords"),
+        "*", extract_cip(s).alias("cip"), entity_name(s).alias("entity"), many_entities(s).alias("many_entities"), network_of(s).alias("network"), vote.alias("is_vote"),
+        talk.alias("is_cip_discussion"), (vote & s.rlike(CIP_VOTE)).alias("is_cip_vote"), app_vote.alias("is_app_vote"), validator_vote.alias("is_validator_vote"),
+        (~talk & (s.rlike(APP) | app_vote)).alias("is_app"), (s.rlike(VALIDATOR) | validator_vote).alias("is_validator"), keywords(s).alias("keywords"),
     )
 
 
@@ -68,13 +129,19 @@ def extract_urls(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col), F.explode(urls).alias("url"))
 
 
-def classify_topic(identified: DataFrame) -> DataFrame:
-    """Type by ordered rules on flow and flags."""
+def classify_topic(identified: DataFrame, learned: str | None = None) -> DataFrame:
+    """Type by ordered rules on subject, flow and flags; a learned type (a column's name) comes before all. Flows of CIPs
+    fall back to other, the announcements of tokenomics hold apps and approved validators, all else falls back to apps."""
+    s, flow = F.col("subject"), F.col("flow")
+    cip = F.col("is_cip_vote") | F.col("cip").isNotNull()
+    validator = F.col("is_validator_vote") | F.col("is_validator") | s.rlike(VALIDATOR_WORK)
+    app = F.col("is_app_vote") | F.col("is_app") & F.col("entity").isNotNull()
     kind = (
-        F.when(F.col("cip").isNotNull() | F.col("flow").startswith("cip-") & F.col("is_vote"), "cip").when(F.col("is_app"), "featured-app")
-        .when(F.col("is_validator"), "validator").when(F.col("flow") == "tokenomics", "tokenomics").when(F.col("is_vote"), "vote").otherwise("other")
+        F.when(s.rlike(OUTCOME), "outcome").when(s.rlike(UPGRADE), "protocol-upgrade")
+        .when(flow == "tokenomics-announce", F.when(s.rlike(VALIDATOR_DONE), "validator").otherwise("featured-app"))
+        .when(cip, "cip").when(validator, "validator").when(flow.startswith("cip-") & ~F.coalesce(app, F.lit(False)), "other").otherwise("featured-app")
     )
-    return identified.withColumn("topic_type", kind)
+    return identified.withColumn("topic_type", kind if learned is None else F.coalesce(F.col(learned), kind))
 
 
 def match_entities(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -112,16 +179,16 @@ def match_entities(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def topic_similarity(pairs: DataFrame) -> DataFrame:
-    """Score of topic pairs (columns with and without o_): same CIP 100; same entity 100, contained 80; both apps or
-    both validators 50; 10, 5 or 2 more for dates within 7, 30 or 90 days; a match from 70 on."""
-    a, b = normal_name(F.col("entity")), normal_name(F.col("o_entity"))
+    """Score of topic pairs (columns with and without o_): same CIP 100; same entity 100, contained 80; 50 for an app
+    of the same name and 50 for a validator of the same name; 10, 5 or 2 more for dates within 7, 30 or 90 days; a
+    match from 70 on."""
+    a, b = F.nullif(normal_name(F.col("entity")), F.lit("")), F.nullif(normal_name(F.col("o_entity")), F.lit(""))
     part = F.when(F.col("cip") == F.col("o_cip"), SAME_CIP).otherwise(0)
     name = F.when(a == b, SAME_ENTITY).when(F.contains(a, b) | F.contains(b, a), PART_ENTITY).otherwise(0)
-    kind = F.when(F.col("is_app") & F.col("o_is_app") & (F.coalesce(name, F.lit(0)) > 0), SAME_KIND).when(F.col("is_validator") & F.col("o_is_validator") & (F.coalesce(name, F.lit(0)) > 0), SAME_KIND).otherwise(0)
+    kinds = [F.when(F.col(k) & F.col(f"o_{k}") & (a == b), SAME_KIND).otherwise(0) for k in ("is_app", "is_validator")]
     days = F.abs(F.datediff("date", "o_date"))
     near = F.when(days <= 7, 10).when(days <= 30, 5).when(days <= 90, 2).otherwise(0)
-    score = part + F.coalesce(name, F.lit(0)) + kind + near
-    return pairs.withColumn("score", score).withColumn("is_match", F.col("score") >= MATCH)
+    return pairs.withColumn("score", part + name + kinds[0] + kinds[1] + near).withColumn("is_match", F.col("score") >= MATCH)
 
 
 def correlate_topics(identified: DataFrame) -> DataFrame:

@@ -108,7 +108,9 @@ topics AS (
   SELECT doc_id AS topic_id,
          CASE doc_id % 5 WHEN 0 THEN 'CIP-' || lpad(CAST(doc_id % 60 AS VARCHAR), 4, '0') || ' Discussion: change ' || (doc_id % 13)
               WHEN 1 THEN 'Featured App Request: App' || (doc_id % 40) WHEN 2 THEN 'Validator Approved: Node' || (doc_id % 30) || ' Ltd'
-              WHEN 3 THEN 'Vote Proposal: set fee to ' || (doc_id % 9) || ' on TestNet' ELSE 'Weekly notes ' || (doc_id % 50) END AS subject,
+              WHEN 3 THEN 'Vote Proposal: set fee to ' || (doc_id % 9) || ' on TestNet' ELSE (['Weekly notes ' || (doc_id % 50), 'Re: [Acme' || (doc_id % 50) || '] update', 'Swap' || (doc_id % 50) || ' Featured App Tokenomics', 'Validators Approved: A1, B2 and C3',
+                'Request to Feature the Wallet' || (doc_id % 50) || ' by Corp', 'Node as a Service approved', 'MainNet: Swap' || (doc_id % 50) || ' by Trade Co', 'Tokenomics Outcomes week ' || (doc_id % 50),
+                'Splice 0.' || (doc_id % 50) || ' upgrade notes', 'Vote Proposal: Validator onboarding for Bolt' || (doc_id % 50) || ' - Vote', 'CIP TBD discuss new fee ' || (doc_id % 50), 'Fwd: grant for Nova' || (doc_id % 50)])[CAST((doc_id // 5) % 12 AS INTEGER) + 1] END AS subject,
          'see https://forum/t/' || doc_id || ' and https://v/' || (doc_id % 10) || ' in ' || lang AS body,
          CAST(DATE '2024-01-01' + to_days(CAST(doc_id % 300 AS INTEGER)) AS DATE) AS date,
          (['cip-discuss', 'cip-vote', 'cip-announce', 'sv-announce', 'tokenomics'])[CAST((doc_id // 5) % 5 AS INTEGER) + 1] AS flow, source

@@ -28,16 +28,21 @@ def add(name: str, query: Callable[[Callable[[str], DataFrame]], DataFrame], tex
 
 _NAME = r"trim(regexp_replace(regexp_replace(regexp_replace(lower({}), '\b(ltd|inc|llc|gmbh|limited|corp|foundation)\b\.?', ' ', 'g'), '[^a-z0-9 ]', ' ', 'g'), '\s+', ' ', 'g'))"
 _KEYS = "list_sort(list_distinct(list_filter(string_split(trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g')), ' '), lambda w: len(w) >= 4 AND w NOT IN (" + ", ".join(f"'{w}'" for w in G.STOPWORDS) + "))))"
-IDENTIFIED = f"""ident AS (
-SELECT *, CASE WHEN regexp_extract(subject, 'CIP-0*([0-9]+)', 1) <> '' THEN lpad(regexp_extract(subject, 'CIP-0*([0-9]+)', 1), 4, '0') END AS cip,
-  coalesce(nullif(trim(regexp_extract(subject, 'Featured App Request: ([^:,(]+)', 1)), ''), nullif(trim(regexp_extract(subject, 'Validator Approved: ([^:,(]+)', 1)), '')) AS entity,
-  CASE WHEN subject LIKE '%TestNet%' THEN 'testnet' END AS network, subject LIKE 'Vote %' AS is_vote, subject LIKE 'Featured App%' AS is_app, subject LIKE 'Validator %' AS is_validator, {_KEYS.format("subject")} AS keywords FROM topics),
-typed AS (SELECT *, CASE WHEN cip IS NOT NULL OR flow LIKE 'cip-%' AND is_vote THEN 'cip' WHEN is_app THEN 'featured-app' WHEN is_validator THEN 'validator' WHEN flow = 'tokenomics' THEN 'tokenomics' WHEN is_vote THEN 'vote' ELSE 'other' END AS topic_type FROM ident),
+#: The identifiers follow from the kind of subject (c, and v of the varied ones), not from patterns.
+IDENTIFIED = f"""kinds AS (SELECT *, topic_id % 5 AS c, CASE WHEN topic_id % 5 = 4 THEN (topic_id // 5) % 12 END AS v, topic_id % 50 AS n FROM topics),
+ident AS (
+SELECT topic_id, subject, body, date, flow, source, CASE WHEN c = 0 THEN lpad(CAST(topic_id % 60 AS VARCHAR), 4, '0') WHEN v = 10 THEN '00XX' END AS cip,
+  CASE c WHEN 1 THEN 'App' || (topic_id % 40) WHEN 2 THEN 'Node' || (topic_id % 30) || ' Ltd' WHEN 3 THEN 'set fee to ' || (topic_id % 9) || ' on TestNet' WHEN 4 THEN
+    CASE v WHEN 1 THEN 'Acme' || n WHEN 2 THEN 'Swap' || n WHEN 4 THEN 'Wallet' || n WHEN 5 THEN 'Node as a Service' WHEN 6 THEN 'Swap' || n WHEN 7 THEN 'Outcomes week ' || n WHEN 9 THEN 'Validator onboarding for Bolt' || n WHEN 11 THEN 'Nova' || n END END AS entity,
+  coalesce(v = 3, false) AS many_entities, CASE WHEN c = 3 THEN 'testnet' WHEN v = 6 THEN 'mainnet' END AS network, c = 3 OR coalesce(v = 9, false) AS is_vote, c = 0 OR coalesce(v = 10, false) AS is_cip_discussion, false AS is_cip_vote, false AS is_app_vote,
+  coalesce(v = 9, false) AS is_validator_vote, c = 1 OR coalesce(v = 2, false) AS is_app, c = 2 OR coalesce(v IN (5, 9), false) AS is_validator, {_KEYS.format("subject")} AS keywords FROM kinds),
+typed AS (SELECT *, CASE WHEN subject LIKE 'Tokenomics Outcomes%' THEN 'outcome' WHEN subject LIKE 'Splice %' THEN 'protocol-upgrade' WHEN cip IS NOT NULL THEN 'cip' WHEN is_validator THEN 'validator'
+  WHEN flow LIKE 'cip-%' AND NOT is_app THEN 'other' ELSE 'featured-app' END AS topic_type FROM ident),
 corr AS (SELECT topic_id, first_value(topic_id) OVER (PARTITION BY coalesce('cip:' || cip, 'entity:' || {_NAME.format("entity")}, 'topic:' || topic_id) ORDER BY date DESC, topic_id DESC) AS item_id FROM typed)"""
 _ident = lambda f: G.extract_identifiers(f("topics"))
 _typed = lambda f: G.classify_topic(_ident(f))
 
-add("topic_identifiers", lambda f: _ident(f).drop("body", "source"), f"SELECT topic_id, subject, {D('date')}, flow, cip, entity, network, is_vote, is_app, is_validator, array_to_string(keywords, ',') AS keywords FROM ident", IDENTIFIED)
+add("topic_identifiers", lambda f: _ident(f).drop("body", "source"), f"SELECT topic_id, subject, {D('date')}, flow, cip, entity, many_entities, network, is_vote, is_cip_discussion, is_cip_vote, is_app_vote, is_validator_vote, is_app, is_validator, array_to_string(keywords, ',') AS keywords FROM ident", IDENTIFIED)
 add("topic_urls", lambda f: G.extract_urls(f("topics"), "topic_id", "body"), "SELECT topic_id, 'https://forum/t/' || topic_id AS url FROM topics UNION ALL SELECT topic_id, 'https://v/' || (topic_id % 10) FROM topics")
 add("topic_types", lambda f: _typed(f).select("topic_id", "topic_type"), "SELECT topic_id, topic_type FROM typed", IDENTIFIED)
 add("topic_correlation", lambda f: G.correlate_topics(_ident(f)), "SELECT * FROM corr", IDENTIFIED)
@@ -77,8 +82,8 @@ def _pairs(f: Callable[[str], DataFrame]) -> DataFrame:
 _E, _OE = _NAME.format("a.entity"), _NAME.format("b.entity")
 CLASSED = "classed AS (SELECT cip, entity, is_app, is_validator, date, min(topic_id) AS topic_id, count(*) AS topics FROM ident WHERE cip IS NOT NULL OR entity IS NOT NULL GROUP BY cip, entity, is_app, is_validator, date)"
 add("topic_similarity", lambda f: G.topic_similarity(_pairs(f)).select("topic_id", "o_topic_id", "topics", "o_topics", "score", "is_match"), f"""
-SELECT topic_id, o_topic_id, topics, o_topics, s AS score, s >= 70 AS is_match FROM (SELECT *, CAST(c + n + CASE WHEN n > 0 AND kind THEN 50 ELSE 0 END + CASE WHEN days <= 7 THEN 10 WHEN days <= 30 THEN 5 WHEN days <= 90 THEN 2 ELSE 0 END AS BIGINT) AS s
-FROM (SELECT a.topic_id, b.topic_id AS o_topic_id, a.topics, b.topics AS o_topics, CASE WHEN a.cip = b.cip THEN 100 ELSE 0 END AS c, abs(date_diff('day', a.date, b.date)) AS days, (a.is_app AND b.is_app) OR (a.is_validator AND b.is_validator) AS kind,
+SELECT topic_id, o_topic_id, topics, o_topics, s AS score, s >= 70 AS is_match FROM (SELECT *, CAST(c + n + CASE WHEN n = 100 THEN kind ELSE 0 END + CASE WHEN days <= 7 THEN 10 WHEN days <= 30 THEN 5 WHEN days <= 90 THEN 2 ELSE 0 END AS BIGINT) AS s
+FROM (SELECT a.topic_id, b.topic_id AS o_topic_id, a.topics, b.topics AS o_topics, CASE WHEN a.cip = b.cip THEN 100 ELSE 0 END AS c, abs(date_diff('day', a.date, b.date)) AS days, 50 * CAST(a.is_app AND b.is_app AS INTEGER) + 50 * CAST(a.is_validator AND b.is_validator AS INTEGER) AS kind,
         CASE WHEN {_E} = {_OE} THEN 100 WHEN contains({_E}, {_OE}) OR contains({_OE}, {_E}) THEN 80 ELSE 0 END AS n
       FROM classed a JOIN classed b ON a.topic_id < b.topic_id OR (a.topic_id = b.topic_id AND a.topics > 1)) WHERE c > 0 OR n > 0)""", IDENTIFIED, CLASSED)
 add("attach_votes", lambda f: G.attach_votes(

@@ -215,13 +215,17 @@ def transfers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Governance topics over ``documents``: subject, body, date, stage and flow follow from the id."""
-    docs = table(spark, sf_dir, "documents")
+    docs = table(spark, sf_dir, "documents").withColumn("n", F.expr("cast(doc_id % 50 as string)"))
     return docs.select(
         F.col("doc_id").cast("long").alias("topic_id"),
         F.expr(
             "case doc_id % 5 when 0 then concat('CIP-', lpad(cast(doc_id % 60 as string), 4, '0'), ' Discussion: change ', cast(doc_id % 13 as string))"
             " when 1 then concat('Featured App Request: App', cast(doc_id % 40 as string)) when 2 then concat('Validator Approved: Node', cast(doc_id % 30 as string), ' Ltd')"
-            " when 3 then concat('Vote Proposal: set fee to ', cast(doc_id % 9 as string), ' on TestNet') else concat('Weekly notes ', cast(doc_id % 50 as string)) end"
+            " when 3 then concat('Vote Proposal: set fee to ', cast(doc_id % 9 as string), ' on TestNet') else element_at(array("
+            "concat('Weekly notes ', n), concat('Re: [Acme', n, '] update'), concat('Swap', n, ' Featured App Tokenomics'), 'Validators Approved: A1, B2 and C3',"
+            " concat('Request to Feature the Wallet', n, ' by Corp'), 'Node as a Service approved', concat('MainNet: Swap', n, ' by Trade Co'), concat('Tokenomics Outcomes week ', n),"
+            " concat('Splice 0.', n, ' upgrade notes'), concat('Vote Proposal: Validator onboarding for Bolt', n, ' - Vote'), concat('CIP TBD discuss new fee ', n), concat('Fwd: grant for Nova', n)"
+            "), cast((doc_id div 5) % 12 as int) + 1) end"
         ).alias("subject"),
         F.concat(F.lit("see https://forum/t/"), F.col("doc_id").cast("string"), F.lit(" and https://v/"), (F.col("doc_id") % 10).cast("string"), F.lit(" in "), F.col("lang")).alias("body"),
         F.expr("date_add(date '2024-01-01', cast(doc_id % 300 as int))").alias("date"),

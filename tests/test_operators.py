@@ -170,11 +170,40 @@ def test_entity_matching_equals_all_pairs(spark):
 
 
 def test_identifiers(spark):
-    rows = [(1, "CIP-42: fees on MainNet", "cip-discuss"), (2, "cip 0007 vote", "cip-vote"), (3, "Featured App Request: Wallet, by X", "sv-announce"), (4, None, "tokenomics")]
+    rows = [(1, "CIP-42: fees on MainNet", "cip-discuss"), (2, "cip 0007 vote", "cip-vote"), (3, "Featured App Request: Wallet by X", "sv-announce"), (4, None, "tokenomics")]
     df = spark.createDataFrame(rows, "topic_id long, subject string, flow string")
     got = {r["topic_id"]: r for r in governance.classify_topic(governance.extract_identifiers(df)).collect()}
     assert got[1]["cip"] == "0042" and got[1]["network"] == "mainnet" and got[2]["cip"] == "0007"
-    assert got[3]["entity"] == "Wallet" and got[3]["topic_type"] == "featured-app" and got[4]["topic_type"] == "tokenomics"
+    assert got[3]["entity"] == "Wallet" and got[3]["topic_type"] == "featured-app" and got[4]["topic_type"] == "featured-app"
+
+
+def test_names_and_types_of_subjects(spark):
+    """One subject for each pattern: flow, name, several names, CIP number, type."""
+    rows = [
+        ("Validator Operators Approved: Ann, Bob and Cy", "tokenomics-announce", None, True, None, "validator"),
+        ("Validator Approved: Ann, Bob", "sv-announce", None, True, None, "validator"),
+        ("Node as a Service reviewed and approved", "sv-announce", "Node as a Service", False, None, "validator"),
+        ("Re: Validator Operator Approved - Blue Node", "cip-vote", "Blue Node", False, None, "validator"),
+        ("Featured App Approved: Swapper", "tokenomics-announce", "Swapper", False, None, "featured-app"),
+        ("Proposal to feature the Big Wallet", "tokenomics", "Big Wallet", False, None, "featured-app"),
+        ("Apply featured application status for Zed9", "cip-vote", "Zed9", False, None, "featured-app"),
+        ("TestNet: Lender by Loan Co", "cip-vote", "Lender", False, None, "other"),
+        ("New Featured App Request: MainNet: Lender by Loan Co", "sv-announce", "Lender", False, None, "featured-app"),
+        ("Rocket Super Validator", "tokenomics", "Rocket", False, None, "validator"),
+        ("[Kilo] hello", "tokenomics", "Kilo", False, None, "featured-app"),
+        ("hello from Grand Central today", "cip-discuss", "Grand Central", False, None, "other"),
+        ("money for Nova7", "cip-discuss", "Nova7", False, None, "other"),
+        ("about Vote Proposal", "cip-discuss", None, False, None, "other"),
+        ("Vote Proposal on CIP 12345", "tokenomics", "on CIP 12345", False, "12345", "cip"),
+        ("0031 on fees", "cip-discuss", None, False, "0031", "cip"),
+        ("CIP-TBD fees", "tokenomics", None, False, "00XX", "cip"),
+        ("Tokenomics Outcomes of May", "cip-vote", "Outcomes of May", False, None, "outcome"),
+        ("Hard fork in June", "cip-vote", None, False, None, "protocol-upgrade"),
+        ("", "cip-vote", None, False, None, "other"),
+    ]
+    df = spark.createDataFrame([(i, *r[:2]) for i, r in enumerate(rows)], "topic_id long, subject string, flow string")
+    got = governance.classify_topic(governance.extract_identifiers(df)).orderBy("topic_id").collect()
+    assert [(r["subject"], r["flow"], r["entity"], r["many_entities"], r["cip"], r["topic_type"]) for r in got] == rows
 
 
 def test_as_of_join(spark):
