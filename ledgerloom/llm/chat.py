@@ -109,10 +109,28 @@ def turns_of(value: object, layouts: tuple[Mapping, ...] = LAYOUTS) -> tuple[str
     return mapping.name, out, None
 
 
+def _read(data: str | None, layouts: tuple[Mapping, ...]) -> tuple[str, list[tuple[str, str]], int | None] | None:
+    """``turns_of`` a JSON text; None also for what is no JSON, nested beyond the interpreter's depth, no valid Unicode (lone
+    surrogates), or numbered by anything but a whole number of 64 bits."""
+    if data is None:
+        return None
+    try:
+        found = turns_of(json.loads(data), layouts)
+        if found is not None:
+            for said in found[1]:
+                "".join(said).encode()
+    except (ValueError, RecursionError):
+        return None
+    if found is not None and found[2] is not None and (type(found[2]) is not int or not -(1 << 63) <= found[2] < 1 << 63):
+        return None
+    return found
+
+
 def canonical_turns(records: DataFrame, id_col: str, json_col: str, layouts: tuple[Mapping, ...] = LAYOUTS) -> DataFrame:
     """(id_col, layout, turn long, role, text): the turns of JSON records of any known layout.
 
-    Records that are null, not JSON, or of no known layout give one row with a null layout, turn, role and text.
+    Records that are null, not JSON, nested too deeply, no valid Unicode, of a row layout whose number is no whole number, or
+    of no known layout give one row with a null layout, turn, role and text.
     ``turn`` is the place in the record, or the record's own number in a row layout (null if it has none).
     """
 
@@ -120,11 +138,7 @@ def canonical_turns(records: DataFrame, id_col: str, json_col: str, layouts: tup
         for batch in batches:
             row, layout, turn, role, text = [], [], [], [], []
             for k, data in enumerate(batch.column(1).to_pylist()):
-                try:
-                    found = turns_of(json.loads(data)) if layouts is LAYOUTS and data is not None else turns_of(json.loads(data), layouts) if data is not None else None
-                except ValueError:
-                    found = None
-                name, said, own = found or (None, [(None, None)], None)
+                name, said, own = _read(data, layouts) or (None, [(None, None)], None)
                 for j, (r, t) in enumerate(said):
                     row.append(k)
                     layout.append(name)

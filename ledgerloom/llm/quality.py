@@ -245,7 +245,8 @@ def score_quality(
     Features are counts and shares of the text's bytes, words and lines, nothing else. The model is fitted on labelled
     rows that aren't held out, on all of them up to ``sample_rows``, else on about that many chosen by a hash of the
     id; the fit itself is small and runs in the driver, scoring adds table entries by bins in the tasks. Rows with a
-    null label or id don't train; an id labelled twice trains twice; without labels every score is 0.5. Null and empty
+    null label or id don't train; an id trains once, with the mean of its labels and, of several texts, the one of the least
+    hash, so that what the driver holds is bounded however often an id repeats; without labels every score is 0.5. Null and empty
     texts are scored like any other (all features 0). An empty table gives an empty result.
     """
     return _scored(docs, labels, id_col, text_col, label_col, threshold, sample_rows).drop("text_hash")
@@ -255,10 +256,13 @@ def _scored(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, labe
     """The columns of ``score_quality`` and text_hash, the xxhash64 of the row's text."""
     table = Written(feature_table(docs, id_col, text_col), "features").df
     marked = labels.select(F.col(id_col).alias("of"), F.col(label_col).cast("double").alias("y")).where(F.col("of").isNotNull() & F.col("y").isNotNull() & ~held_out("of"))
+    marked = marked.groupBy("of").agg(F.avg("y").alias("y"))
     rows = marked.count()
     if rows > sample_rows:
         marked = marked.where(F.pmod(F.xxhash64("of"), F.lit(1 << 20)) < int(sample_rows / rows * (1 << 20)))
-    got = marked.join(table, F.col("of") == F.col(id_col)).select("of", "y", "features").collect()  # sample_rows at most, about
+    joined = marked.join(table, F.col("of") == F.col(id_col))
+    one = joined.groupBy("of").agg(F.min("y").alias("y"), F.min_by("features", "text_hash").alias("features"))
+    got = one.collect()  # one row an id: sample_rows at most, about
     got = sorted((r["of"], r["y"], r["features"]) for r in got)
     model = fit(np.array([g[2] for g in got]), np.array([g[1] for g in got])) if got else fit(np.zeros((0, len(FEATURES))), np.zeros(0))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import secrets
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.components import components
-from ledgerloom.llm.ragged import hash_spans, run_starts
+from ledgerloom.llm.ragged import hash_runs, mix64, run_starts
 from ledgerloom.llm.store import Written
 
 #: Vectors behind each one that a pass compares it with, random signs in a sort key, and passes sorted in one job.
@@ -59,8 +60,9 @@ def vector_links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     component_id is the smallest id of a component; a null id counts as the largest one, and repeated rows as vectors
     of their own. An empty table gives an empty result. Other columns are not read.
     """
-    kind = "row long, id long, label long, key long, width int, vector array<double>"
+    kind = "row long, id long, label long, hash long, check long, width int, vector array<double>"
     last = (1 << 63) - 1
+    seeds = (secrets.randbits(63), secrets.randbits(63))  # equal vectors of a label are known by 128 bits of hash over their own numbers
 
     def prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = TaskContext.get().partitionId() << 40
@@ -80,17 +82,19 @@ def vector_links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
             unit = flat / np.sqrt(np.where(fine, norm2, 1.0))[row]
             labels = label.fill_null(0).to_numpy()
             bits = (unit + 0.0).view(np.uint64)
-            key = hash_spans(np.r_[bits, np.zeros(1, np.uint64)], bounds[:-1], bounds[1:]) ^ (labels.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+            key, check = (hash_runs(bits, bounds[:-1], bounds[1:], seed) ^ mix64(labels.view(np.uint64) + np.uint64(seed)) for seed in seeds)
             listed = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(unit))
             width = np.where(fine, sizes, 0)
-            yield pa.RecordBatch.from_arrays([pa.array(first + np.arange(len(sizes))), batch.column(0), pa.array(labels), pa.array(key.view(np.int64)), pa.array(width.astype(np.int32)), listed], names=["row", "id", "label", "key", "width", "vector"])
+            yield pa.RecordBatch.from_arrays([pa.array(first + np.arange(len(sizes))), batch.column(0), pa.array(labels), pa.array(key.view(np.int64)), pa.array(check.view(np.int64)), pa.array(width.astype(np.int32)), listed], names=["row", "id", "label", "hash", "check", "width", "vector"])
             first += len(sizes)
 
     rows = vectors.select(F.coalesce(F.col(id_col).cast("long"), F.lit(last)).alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.col(label_col).cast("long").alias("label"))
     read = Written(rows.mapInArrow(prepare, kind), "vectors").df
-    own = read.where("width > 0").groupBy("key").agg(F.count("*").alias("copies"), F.min("id").alias("least"), F.first("label").alias("label"), F.first("width").alias("width"), F.first("vector").alias("vector"))
+    own = read.where("width > 0").groupBy("hash", "check").agg(F.min("row").alias("key"), F.count("*").alias("copies"), F.min("id").alias("least"), F.first("label").alias("label"), F.first("width").alias("width"), F.first("vector").alias("vector"))
     distinct = Written(own, "vector-keys").df
     largest = distinct.groupBy("label", "width").agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first()["n"]
+    keys = distinct.select(F.col("hash").alias("of"), F.col("check").alias("of_check"), F.col("key").alias("of_key"))
+    distinct = distinct.drop("hash", "check")
     links = None
     if largest:
         rounds = passes_for(largest, threshold)
@@ -98,7 +102,7 @@ def vector_links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
             found = _pass_links(distinct, range(k, min(rounds, k + TOGETHER)), threshold)
             links = found if links is None else links.unionByName(found)
     if links is None:
-        links = read.select(F.col("key").alias("a"), F.col("key").alias("b")).where("false")
+        links = read.select(F.col("row").alias("a"), F.col("row").alias("b")).where("false")
     grouped = Written(components(links), "vector-components").df
     members = distinct.join(grouped.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     pairs = _all_pairs(members, threshold)
@@ -110,8 +114,9 @@ def vector_links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
         state = state.join(united, "component", "left").withColumn("component", F.coalesce("whole", "component"))
     state = state.select("key", "component", "least", F.coalesce("linked", "copies").alias("linked"))
     least = state.groupBy("component").agg(F.min("least").alias("component_id"))
-    state = Written(state.join(least, "component").select(F.col("key").alias("of"), "linked", "component_id"), "vector-state").df
-    joined = read.join(state, (F.col("key") == F.col("of")) & (F.col("width") > 0), "left")
+    state = state.join(least, "component").join(keys, F.col("key") == F.col("of_key")).select("of", "of_check", "linked", "component_id")
+    state = Written(state, "vector-state").df
+    joined = read.join(state, (F.col("hash") == F.col("of")) & (F.col("check") == F.col("of_check")) & (F.col("width") > 0), "left")
     linked = F.coalesce(F.col("linked") - 1, F.lit(0)).cast("long")
     group = F.coalesce("component_id", "id")
     hide = lambda c: F.when(c < last, c)

@@ -411,3 +411,34 @@ def test_pipeline_stages(spark, tmp_path):
     assert Counter(r["doc_id"] for r in seen[3][2].collect()) == Counter({i: n for i, n in copies.items() if n})
     assert sum(r["length"] for r in seen[4][2].collect()) >= seen[4][1].count()
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == seen[4][2].count()
+
+
+def test_vectors_repeated_at_the_head_of_a_batch(spark):
+    """Equal vectors are one, and only they: repeats among the first rows of a batch link with their copies alone."""
+    r = np.random.default_rng(11)
+    vectors = r.normal(size=(64, 64))
+    vectors[1], vectors[17], vectors[18] = vectors[0], vectors[16], vectors[16] * 3.0
+    df = spark.createDataFrame([(k, v.tolist(), 0) for k, v in enumerate(vectors)], "vec_id long, embedding array<double>, label int").coalesce(1)
+    got = {x["vec_id"]: (x["n_links"], x["component_id"], x["kept"]) for x in vector_dedup.vector_links(df).collect()}
+    twins = {0: (1, 0, True), 1: (1, 0, False), 16: (2, 16, True), 17: (2, 16, False), 18: (2, 16, False)}
+    assert got == {k: twins.get(k, (0, k, True)) for k in range(64)}
+
+
+def test_chat_records_that_cannot_be_read(spark):
+    deep = '{"messages":' + "[" * 200_000 + "]" * 200_000 + "}"
+    bad = [None, "", "no json", deep, '{"prompt":"\\ud800","completion":"x"}', '{"conv_id":1,"turn":"two","role":"user","text":"x"}', '{"conv_id":1,"turn":1.5,"role":"user","text":"x"}', '{"conv_id":1,"turn":' + "9" * 30 + ',"role":"user","text":"x"}', "[1]", '{"other":1}']
+    good = '{"prompt":"a","completion":"b"}'
+    df = spark.createDataFrame([(k, t) for k, t in enumerate([*bad, good])], "conv_id long, record string")
+    rows = chat.canonical_turns(df, "conv_id", "record").collect()
+    assert sorted(tuple(x) for x in rows if x["conv_id"] < len(bad)) == [(k, None, None, None, None) for k in range(len(bad))]
+    assert sorted((x["layout"], x["turn"], x["role"], x["text"]) for x in rows if x["conv_id"] == len(bad)) == [("prompt-completion", 0, "user", "a"), ("prompt-completion", 1, "assistant", "b")]
+
+
+def test_quality_trains_once_on_an_id(spark):
+    """However often an id repeats in either table, it is one row for the fit."""
+    docs = spark.createDataFrame([(k % 4, f"text {k % 4} " * (k % 4 + 1)) for k in range(400)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k % 4, k % 2) for k in range(400)], "doc_id long, quality int")
+    once = quality.score_quality(docs.dropDuplicates(["doc_id"]), labels.dropDuplicates(["doc_id"]))
+    many = quality.score_quality(docs, labels)
+    want = {r["doc_id"]: r["score"] for r in once.collect()}
+    assert all(abs(r["score"] - want[r["doc_id"]]) < 1e-12 for r in many.collect()) and many.count() == 400
