@@ -10,9 +10,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.columns import half_life
-
-#: Stages of a governance item in the order of its workflow, and the flow that shows each.
-STAGES = ("cip-discuss", "cip-vote", "cip-announce", "tokenomics", "sv-announce")
+from ledgerloom.sources.scratch import cut
+
+#: The flow that each stage's forum group belongs to, and the stages of each type in the order of its workflow.
+FLOWS = {"cip-discuss": "cip", "cip-vote": "cip", "cip-announce": "cip", "tokenomics": "shared", "tokenomics-announce": "featured-app", "sv-announce": "shared"}
+WORKFLOWS = {
+    "cip": ("cip-discuss", "cip-vote", "cip-announce", "sv-announce"), "featured-app": ("tokenomics", "tokenomics-announce", "sv-announce"),
+    "validator": ("tokenomics", "sv-announce"), "protocol-upgrade": ("tokenomics", "sv-announce"), "outcome": ("sv-announce",), "other": ("tokenomics", "sv-announce"),
+}
+#: Legal forms and signs that don't count in names.
+LEGAL_FORMS, SIGNS = r"\b(llc|inc|corp|ltd|gmbh|ag|sa|bv|pty|co|company|limited|incorporated|corporation)\b\.?", r"[.,\-_'\"()]"
 #: Words that carry no meaning in subjects.
 STOPWORDS = (
     "the", "and", "for", "this", "that", "with", "from", "featured", "validator", "tokenomics", "announcement", "announce", "proposal",
@@ -98,9 +105,9 @@ def entity_name(subject: Column) -> Column:
 
 
 def normal_name(name: Column) -> Column:
-    """Lower case, legal forms and signs taken off, single blanks."""
-    bare = F.regexp_replace(F.lower(name), r"\b(ltd|inc|llc|gmbh|limited|corp|foundation)\b\.?", " ")
-    return F.trim(F.regexp_replace(F.regexp_replace(bare, r"[^a-z0-9 ]", " "), r"\s+", " "))
+    """Lower case, legal forms taken off, signs and white space as single blanks."""
+    bare = F.regexp_replace(F.lower(name), LEGAL_FORMS, "")
+    return F.trim(F.regexp_replace(F.regexp_replace(bare, SIGNS, " "), r"\s+", " "))
 
 
 def keywords(text: Column) -> Column:
@@ -130,52 +137,102 @@ def extract_urls(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def classify_topic(identified: DataFrame, learned: str | None = None) -> DataFrame:
-    """Type by ordered rules on subject, flow and flags; a learned type (a column's name) comes before all. Flows of CIPs
-    fall back to other, the announcements of tokenomics hold apps and approved validators, all else falls back to apps."""
-    s, flow = F.col("subject"), F.col("flow")
+    """Type by ordered rules on subject, flow of the stage and flags; a learned type (a column's name) comes before all.
+    The flow of CIPs falls back to other; announcements of tokenomics are apps and approved validators; the shared groups
+    and unknown stages fall back to apps."""
+    s = F.col("subject")
+    flow = F.create_map(*[F.lit(x) for pair in FLOWS.items() for x in pair])[F.col("stage")]
     cip = F.col("is_cip_vote") | F.col("cip").isNotNull()
     validator = F.col("is_validator_vote") | F.col("is_validator") | s.rlike(VALIDATOR_WORK)
     app = F.col("is_app_vote") | F.col("is_app") & F.col("entity").isNotNull()
     kind = (
         F.when(s.rlike(OUTCOME), "outcome").when(s.rlike(UPGRADE), "protocol-upgrade")
-        .when(flow == "tokenomics-announce", F.when(s.rlike(VALIDATOR_DONE), "validator").otherwise("featured-app"))
-        .when(cip, "cip").when(validator, "validator").when(flow.startswith("cip-") & ~F.coalesce(app, F.lit(False)), "other").otherwise("featured-app")
+        .when(flow == "featured-app", F.when(s.rlike(VALIDATOR_DONE), "validator").otherwise("featured-app")).when(flow.isNull(), "featured-app")
+        .when(cip, "cip").when(validator, "validator").when((flow == "cip") & ~F.coalesce(app, F.lit(False)), "other").otherwise("featured-app")
     )
     return identified.withColumn("topic_type", kind if learned is None else F.coalesce(F.col(learned), kind))
 
 
+#: Letters of the longest key of a contained name, and of the longest name whose edit keys tell place and length.
+WHOLE_KEY, SHORT_NAME = 64, 48
+NO_KEYS = "cast(array() as array<bigint>)"
+
+
+def _edits(n: str) -> str:
+    """Edits allowed where the longer name has n letters."""
+    return f"cast(greatest(2, floor({n} * 0.2D)) as int)"
+
+
+def _part(b: str, k: str, i: str) -> tuple[str, str]:
+    """(begin, letters) of the i-th of k + 1 even parts of b letters."""
+    plain, wide = f"{b} div ({k} + 1)", f"{k} + 1 - {b} % ({k} + 1)"
+    return f"({i} * ({plain}) + greatest(0, {i} - ({wide})))", f"({plain} + if({i} >= {wide}, 1, 0))"
+
+
+def _inside_key(tag: str) -> str:
+    return f"array(xxhash64('{tag}', least(n, {WHOLE_KEY}), left(name, {WHOLE_KEY})))"
+
+
+def _holder_keys(tag: str) -> str:
+    """All parts of a name, each once: a name that it contains is one of them."""
+    parts = f"flatten(transform(sequence(1, least(n, {WHOLE_KEY})), m -> transform(sequence(1, n - m + 1), p -> xxhash64('{tag}', m, substring(name, p, m)))))"
+    return f"array_distinct({parts})"
+
+
+def _segment_keys(tag: str) -> str:
+    """A name as the longer one of a pair: cut into one part more than edits are allowed, so that one part stays whole."""
+    begin, wide = _part("n", _edits("n"), "i")
+    letters = f"substring(name, {begin} + 1, {wide})"
+    return f"transform(sequence(0, {_edits('n')}), i -> if(n <= {SHORT_NAME}, xxhash64('{tag}', n, i, {letters}), xxhash64('{tag}', {letters})))"
+
+
+def _probe_keys(tag: str) -> str:
+    """A name as the shorter one: its parts that may be a whole part of a name of b letters. With i parts before it broken
+    at most i edits stand before, and at most k - i behind it; that bounds the places. Parts of long names (of four and
+    five letters) are sought at any place."""
+    lengths = f"filter(transform(sequence(n, greatest(n, least({SHORT_NAME}, n + n div 2 + 1))), b -> struct(b, {_edits('b')} as k)), y -> y.b <= {SHORT_NAME} and n >= y.b * 0.7D and y.b - n <= y.k)"
+    begin, wide = _part("y.b", "y.k", "i")
+    parts = f"flatten(transform({lengths}, y -> transform(sequence(0, y.k), i -> struct(y.b as b, y.k as k, i, {begin} as p, {wide} as w))))"
+    low, high = "greatest(0, z.p - z.i, z.p + n - z.b - z.k + z.i)", "least(n - z.w, z.p + z.i, z.p + n - z.b + z.k - z.i)"
+    short = f"flatten(transform({parts}, z -> if({low} > {high}, {NO_KEYS}, transform(sequence({low}, {high}), q -> xxhash64('{tag}', cast(z.b as int), z.i, substring(name, q + 1, z.w))))))"
+    long = f"if(n * 10 >= {SHORT_NAME} * 7, flatten(transform(array(4, 5), m -> transform(sequence(1, n - m + 1), p -> xxhash64('{tag}', substring(name, p, m))))), {NO_KEYS})"
+    return f"concat({short}, {long})"
+
+
 def match_entities(left: DataFrame, right: DataFrame) -> DataFrame:
     """(left_id, right_id, how) of entity names (id, name): equal, one contained in the other, equal without blanks, or
     within edit distance max(2, 20 % of the longer) if the shorter has at least 70 % of its length.
 
-    Every such pair shares a block: the name without blanks, or a piece of two to five letters (of a name with n
-    letters, max(2, n / 5) edits leave at least one run of letters whole). So the pairs come from an equi-join on
-    blocks and are made distinct before they are compared. Names without a shared piece can be within the distance
-    only if they have fewer than six letters; those share the block of short names.
+    Distinct names meet under keys that only names with much in common share, by one equi-join: a name is a key to
+    the names that contain it (all their parts are keys; beyond 64 letters its first 64); names without blanks are
+    keys; and for edits the longer name is cut into one part more than edits are allowed, keyed by its length, the
+    number of the part and its letters, while the shorter one asks for those of its parts that stand near enough. Of
+    names of over 48 letters the parts alone are keys. Names that begin alike in whole parts meet under those. Pairs of names are compared once, then joined with their ids.
+    Null and empty names match nothing.
     """
 
     def named(df: DataFrame) -> DataFrame:
-        own = df.select("id", normal_name(F.col("name")).alias("name")).where("name <> ''").distinct()
-        return own.withColumn("bare", F.replace("name", F.lit(" "), F.lit("")))
+        return df.select("id", normal_name(F.col("name")).alias("name")).where("name <> ''").distinct()
 
-    def blocks(df: DataFrame) -> DataFrame:
-        words = F.transform(F.split("name", " "), lambda w: F.concat(F.lit("w:"), w))
-        pieces = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(0), F.length("name") - 1), lambda i: F.transform(F.sequence(F.lit(2), F.lit(5)), lambda n: F.concat(F.lit("p:"), F.substring(F.col("name"), (i + 1).cast("int"), n.cast("int")))))))
-        return df.select("id", "name", "bare", F.explode(F.concat(words, F.array(F.concat(F.lit("b:"), "bare")), pieces, F.when(F.length("name") < 8, F.array(F.lit("short"))).otherwise(F.array().cast("array<string>")))).alias("block"))
+    def keyed(df: DataFrame, holder: str, inside: str, longer: str, shorter: str) -> DataFrame:
+        own = df.select("name").distinct().withColumn("n", F.length("name"))
+        keys = ", ".join([_holder_keys(holder), _inside_key(inside), _segment_keys(longer), _probe_keys(shorter), "array(xxhash64('bare', replace(name, ' ', '')))"])
+        return own.select("name", F.expr(f"explode(array_distinct(concat({keys})))").alias("key"))
 
     a, b = named(left), named(right)
-    pairs = blocks(a).select(F.col("id").alias("left_id"), F.col("name").alias("left_name"), F.col("bare").alias("left_bare"), "block").join(
-        blocks(b).select(F.col("id").alias("right_id"), F.col("name").alias("right_name"), F.col("bare").alias("right_bare"), "block"), "block"
-    )
-    pairs = pairs.drop("block").distinct()
-    longer, shorter = F.greatest(F.length("left_name"), F.length("right_name")), F.least(F.length("left_name"), F.length("right_name"))
-    limit = F.greatest(F.lit(2), F.floor(longer * 0.2))
-    close = (shorter >= longer * 0.7) & (F.levenshtein("left_name", "right_name") <= limit)
+    one = keyed(a, "h1", "h2", "e1", "e2").withColumnRenamed("name", "left_name")
+    two = keyed(b, "h2", "h1", "e2", "e1").withColumnRenamed("name", "right_name")
+    pairs = one.join(two, "key").select("left_name", "right_name").distinct()
+    size = F.greatest(F.length("left_name"), F.length("right_name"))
+    shorter = F.least(F.length("left_name"), F.length("right_name"))
+    close = (shorter >= size * 0.7) & (F.levenshtein("left_name", "right_name") <= F.greatest(F.lit(2), F.floor(size * 0.2)))
     how = (
         F.when(F.col("left_name") == F.col("right_name"), "equal").when(F.contains("left_name", "right_name") | F.contains("right_name", "left_name"), "contained")
-        .when(F.col("left_bare") == F.col("right_bare"), "spaces").when(close, "edit")
+        .when(F.replace("left_name", F.lit(" "), F.lit("")) == F.replace("right_name", F.lit(" "), F.lit("")), "spaces").when(close, "edit")
     )
-    return pairs.select("left_id", "right_id", how.alias("how")).where("how is not null")
+    alike = pairs.select("left_name", "right_name", how.alias("how")).where("how is not null")
+    with_left = alike.join(a.select(F.col("id").alias("left_id"), F.col("name").alias("left_name")), "left_name")
+    return with_left.join(b.select(F.col("id").alias("right_id"), F.col("name").alias("right_name")), "right_name").select("left_id", "right_id", "how")
 
 
 def topic_similarity(pairs: DataFrame) -> DataFrame:
@@ -191,23 +248,66 @@ def topic_similarity(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("score", part + name + kinds[0] + kinds[1] + near).withColumn("is_match", F.col("score") >= MATCH)
 
 
-def correlate_topics(identified: DataFrame) -> DataFrame:
-    """(topic_id, item_id): topics grouped into items. Topics that share a CIP number, else a normalised entity name,
-    are one item, named by its newest topic; others stand alone. Names must be equal after normalisation: near or contained
-    names are scored by ``topic_similarity``, and no claim follows from that here."""
-    block = F.coalesce(F.concat(F.lit("cip:"), "cip"), F.concat(F.lit("entity:"), normal_name(F.col("entity"))), F.concat(F.lit("topic:"), F.col("topic_id").cast("string")))
-    rows = identified.select("topic_id", "date", block.alias("block"))
-    newest = Window.partitionBy("block").orderBy(F.col("date").desc(), F.col("topic_id").desc())
-    return rows.select("topic_id", F.first("topic_id").over(newest).alias("item_id"))
+def correlate_topics(typed: DataFrame) -> DataFrame:
+    """(topic_id, item_id): topics grouped into items by greedy claims. From the newest topic on (of one date the largest
+    id first), a topic that is still open becomes the anchor of an item, which it names, and claims all open topics that
+    match it: a CIP those with its number; an app or validator those of its type whose names match (``match_entities``);
+    any other topic but an outcome those that score 70 or more with it (``topic_similarity``), which are those with its
+    number or an equal or contained name. Outcomes, and apps and validators without a single name, claim nothing; a topic
+    of several names is claimed by nothing. typed: identified topics with topic_type.
+
+    Topics alike in all that matters form one class, which its newest topic stands for. The claims of all classes are
+    settled in rounds: a class whose newest unclaimed possible claimer is an anchor is claimed by it, one without a newer
+    one is an anchor, others wait. Only the newest such class under each number or name is looked at, so that no
+    pairs of classes are made; each round is written to the shared folder.
+    """
+    name = F.nullif(normal_name(F.col("entity")), F.lit(""))
+    named = F.col("topic_type").isin("featured-app", "validator")
+    scored = ~F.col("topic_type").isin("cip", "outcome", "featured-app", "validator")
+    many = F.coalesce("many_entities", F.lit(False))
+    rows = typed.select("topic_id", "topic_type", "cip", name.alias("name"), many.alias("many"), F.struct("date", "topic_id").alias("top"))
+    claims = ((F.col("topic_type") == "cip") & F.col("cip").isNotNull()) | (named & F.col("name").isNotNull() & ~F.col("many")) | (scored & (F.col("cip").isNotNull() | F.col("name").isNotNull()))
+    one = claims & ~F.col("many")  # its own class is among what it claims, so that the class is settled as a whole
+    key = F.when(one, F.to_json(F.struct("topic_type", "cip", "name"))).otherwise(F.concat(F.lit("#"), F.col("topic_id").cast("string")))
+    rows = cut(rows.withColumn("claims", claims).withColumn("node", key))
+    nodes = rows.groupBy("node").agg(F.max("top").alias("top"), *[F.first(c).alias(c) for c in ("topic_type", "cip", "name", "many", "claims")])
+    names = rows.where("name is not null").select(F.col("name").alias("id"), "name").distinct()
+    alike = cut(match_entities(names, names).select("left_id", F.col("right_id").alias("o_name"), "how"))
+    # under which keys a class claims, and under which it is looked for
+    say = lambda tag, *cs: F.concat_ws(":", F.lit(tag), *cs)
+    number = say("cip", "cip")
+    under = [nodes.where(~named & F.col("cip").isNotNull()).select("node", number.alias("block")), nodes.where(named).select("node", say("type", "topic_type", "name").alias("block")), nodes.where(scored & F.col("name").isNotNull()).select("node", say("name", "name").alias("block"))]
+    claimers = under[0].unionByName(under[1]).unionByName(under[2]).join(nodes.where("claims").select("node"), "node", "left_semi")
+    near = nodes.where("name is not null and not many").join(alike, F.col("name") == F.col("left_id"))
+    sought = nodes.where("cip is not null and not many").select("node", number.alias("block"))
+    sought = sought.unionByName(near.where(named).select("node", say("type", "topic_type", "o_name").alias("block"))).unionByName(near.where("how in ('equal', 'contained')").select("node", say("name", "o_name").alias("block")))
+    claimers, sought = cut(claimers), cut(sought.join(claimers.select("block").distinct(), "block", "left_semi").distinct())
+    state = cut(nodes.select("node", "top", F.lit(None).cast("string").alias("state"), F.lit(None).cast("long").alias("item_id")))
+    while True:
+        standing = claimers.join(state.where("state is null or state = 'anchor'").select("node", "top", (F.col("state") == "anchor").alias("anchor")), "node")
+        newest = standing.groupBy("block").agg(F.max(F.struct("top", F.coalesce("anchor", F.lit(False)).alias("anchor"))).alias("newest"))
+        found = sought.join(state.where("state is null").select("node"), "node").join(newest, "block").groupBy("node").agg(F.max("newest").alias("newest"))
+        free = F.col("newest").isNull() | (F.col("newest.top") <= F.col("top"))
+        decided = F.when(F.col("state").isNotNull(), F.col("state")).when(free, "anchor").when(F.col("newest.anchor"), "claimed")
+        item = F.when(F.col("state").isNotNull(), F.col("item_id")).when(free, F.col("top.topic_id")).when(F.col("newest.anchor"), F.col("newest.top.topic_id"))
+        state = cut(state.join(found, "node", "left").select("node", "top", decided.alias("state"), item.alias("item_id")))
+        if not state.where("state is null").take(1):
+            break
+    return rows.select("topic_id", "node").join(state.select("node", "item_id"), "node").select("topic_id", "item_id")
 
 
 def lifecycle_items(topics: DataFrame, correlated: DataFrame) -> DataFrame:
-    """Per item: number of topics, first and last date, furthest stage in the workflow, type."""
-    place = F.array_position(F.array(*[F.lit(s) for s in STAGES]), F.col("flow"))
+    """Per item: number of topics, first and last date, the type of its anchor (the topic that names it), and the last stage
+    in that type's workflow that any of its topics shows, else the anchor's stage."""
     joined = topics.join(correlated, "topic_id")
-    return joined.groupBy("item_id").agg(
-        F.count("*").alias("topics"), F.min("date").alias("first_date"), F.max("date").alias("last_date"), F.max_by("flow", place).alias("stage"), F.min_by("topic_type", F.col("topic_id")).alias("topic_type")
-    )
+    own = F.col("topic_id") == F.col("item_id")
+    items = joined.groupBy("item_id").agg(
+        F.count("*").alias("topics"), F.min("date").alias("first_date"), F.max("date").alias("last_date"), F.max(F.when(own, F.col("topic_type"))).alias("topic_type"),
+        F.max(F.when(own, F.col("stage"))).alias("at_first"), F.collect_set("stage").alias("seen"),
+    )
+    order = F.create_map(*[x for kind, stages in WORKFLOWS.items() for x in (F.lit(kind), F.array(*[F.lit(s) for s in reversed(stages)]))])
+    stages = F.coalesce(order[F.col("topic_type")], order["other"])
+    return items.select("item_id", "topics", "first_date", "last_date", F.coalesce(F.get(F.filter(stages, lambda s: F.array_contains("seen", s)), F.lit(0)), "at_first").alias("stage"), "topic_type")
 
 
 def business_order(items: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerloom.sources.derive import CHOICES, PACKAGE
+from ledgerloom.sources.derive import CHOICES, PACKAGE, WORD
 from ledgerloom.sources.schemas import TEMPLATES
 
 
@@ -104,20 +104,21 @@ rounds AS (
   SELECT k AS closed_round, max(ts) AS closed_round_effective_at, sum(CASE WHEN id % 4 = 0 THEN -cents ELSE cents END) / 100.0::DOUBLE AS change_to_initial_amount FROM base GROUP BY k),
 transfers AS (
   SELECT CAST(ts AS DATE) AS date, 'p' || u AS sender, 'p' || ((u + 3) % 150) AS receiver, CASE WHEN k < 5 THEN 0.0::DOUBLE ELSE cents / 100.0::DOUBLE END AS amount FROM base WHERE kind IN ('purchase', 'click')),
-topics AS (
+topics AS MATERIALIZED (
   SELECT doc_id AS topic_id,
-         CASE doc_id % 5 WHEN 0 THEN 'CIP-' || lpad(CAST(doc_id % 60 AS VARCHAR), 4, '0') || ' Discussion: change ' || (doc_id % 13)
-              WHEN 1 THEN 'Featured App Request: App' || (doc_id % 40) WHEN 2 THEN 'Validator Approved: Node' || (doc_id % 30) || ' Ltd'
-              WHEN 3 THEN 'Vote Proposal: set fee to ' || (doc_id % 9) || ' on TestNet' ELSE (['Weekly notes ' || (doc_id % 50), 'Re: [Acme' || (doc_id % 50) || '] update', 'Swap' || (doc_id % 50) || ' Featured App Tokenomics', 'Validators Approved: A1, B2 and C3',
-                'Request to Feature the Wallet' || (doc_id % 50) || ' by Corp', 'Node as a Service approved', 'MainNet: Swap' || (doc_id % 50) || ' by Trade Co', 'Tokenomics Outcomes week ' || (doc_id % 50),
-                'Splice 0.' || (doc_id % 50) || ' upgrade notes', 'Vote Proposal: Validator onboarding for Bolt' || (doc_id % 50) || ' - Vote', 'CIP TBD discuss new fee ' || (doc_id % 50), 'Fwd: grant for Nova' || (doc_id % 50)])[CAST((doc_id // 5) % 12 AS INTEGER) + 1] END AS subject,
-         'see https://forum/t/' || doc_id || ' and https://v/' || (doc_id % 10) || ' in ' || lang AS body,
+         CASE doc_id % 5 WHEN 0 THEN 'CIP-' || lpad(CAST(doc_id // 50 AS VARCHAR), 4, '0') || ' Discussion: change ' || (doc_id % 13)
+              WHEN 1 THEN 'Featured App Request: App' || CASE (doc_id // 5) % 4 WHEN 1 THEN left(w, 4) || substr(w, 6) WHEN 2 THEN w || ' Wallet' ELSE w END
+              WHEN 2 THEN 'Validator Approved: Node' || w || ' Ltd'
+              WHEN 3 THEN 'Vote Proposal: set fee to ' || (doc_id % 9) || ' on TestNet' ELSE (['Weekly notes ' || (doc_id % 50), 'Re: [Acme' || x || '] update', 'Swap' || x || ' Featured App Tokenomics', 'Validators Approved: A1, B2 and C3',
+                'Request to Feature the Wallet' || x || ' by Corp', 'Node as a Service approved', 'MainNet: Swap' || x || ' by Trade Co', 'Tokenomics Outcomes week ' || (doc_id % 50),
+                'Splice 0.' || (doc_id % 50) || ' upgrade notes', 'Vote Proposal: Validator onboarding for Bolt' || x || ' - Vote', 'CIP TBD discuss new fee ' || (doc_id % 50), 'Fwd: grant for Nova' || x])[CAST((doc_id // 5) % 12 AS INTEGER) + 1] END AS subject,
+         'see https://forum/t/' || doc_id || ' and https://v/' || (doc_id % 10) || ' in ' || coalesce(lang, '') || chr(10) || coalesce(text, '') AS body,
          CAST(DATE '2024-01-01' + to_days(CAST(doc_id % 300 AS INTEGER)) AS DATE) AS date,
-         (['cip-discuss', 'cip-vote', 'cip-announce', 'sv-announce', 'tokenomics'])[CAST((doc_id // 5) % 5 AS INTEGER) + 1] AS flow, source
-  FROM documents)
+         (['cip-discuss', 'cip-vote', 'cip-announce', 'sv-announce', 'tokenomics', 'tokenomics-announce'])[CAST((doc_id // 5) % 6 AS INTEGER) + 1] AS stage, source, w, x
+  FROM (SELECT *, {WORD.format("doc_id // 40")} AS w, {WORD.format("doc_id // 300")} AS x FROM documents))
 """
 
 
 def sql(text: str, *more: str) -> str:
     """A query over the ledger CTEs, with further CTEs of its own before it."""
-    return "WITH " + ",\n".join([LEDGER.strip(), *more]) + "\n" + text.strip()
+    return "WITH RECURSIVE " + ",\n".join([LEDGER.strip(), *more]) + "\n" + text.strip()

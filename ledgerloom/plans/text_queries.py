@@ -14,6 +14,7 @@ from ledgerloom.plans.digest import plain
 from ledgerloom.plans.metric_queries import AS_OF_TEXT, D, IS, J, R, T
 from ledgerloom.plans.oracles import sql
 from ledgerloom.sources import derive
+from ledgerloom.sources.scratch import cut
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -26,41 +27,61 @@ def add(name: str, query: Callable[[Callable[[str], DataFrame]], DataFrame], tex
         ORACLE_SQL[name] = sql(text, *ctes)
 
 
-_NAME = r"trim(regexp_replace(regexp_replace(regexp_replace(lower({}), '\b(ltd|inc|llc|gmbh|limited|corp|foundation)\b\.?', ' ', 'g'), '[^a-z0-9 ]', ' ', 'g'), '\s+', ' ', 'g'))"
+_NAME = r"""trim(regexp_replace(regexp_replace(regexp_replace(lower({}), '\b(llc|inc|corp|ltd|gmbh|ag|sa|bv|pty|co|company|limited|incorporated|corporation)\b\.?', '', 'g'), '[.,\-_''"()]', ' ', 'g'), '\s+', ' ', 'g'))"""
 _KEYS = "list_sort(list_distinct(list_filter(string_split(trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g')), ' '), lambda w: len(w) >= 4 AND w NOT IN (" + ", ".join(f"'{w}'" for w in G.STOPWORDS) + "))))"
 #: The identifiers follow from the kind of subject (c, and v of the varied ones), not from patterns.
-IDENTIFIED = f"""kinds AS (SELECT *, topic_id % 5 AS c, CASE WHEN topic_id % 5 = 4 THEN (topic_id // 5) % 12 END AS v, topic_id % 50 AS n FROM topics),
-ident AS (
-SELECT topic_id, subject, body, date, flow, source, CASE WHEN c = 0 THEN lpad(CAST(topic_id % 60 AS VARCHAR), 4, '0') WHEN v = 10 THEN '00XX' END AS cip,
-  CASE c WHEN 1 THEN 'App' || (topic_id % 40) WHEN 2 THEN 'Node' || (topic_id % 30) || ' Ltd' WHEN 3 THEN 'set fee to ' || (topic_id % 9) || ' on TestNet' WHEN 4 THEN
-    CASE v WHEN 1 THEN 'Acme' || n WHEN 2 THEN 'Swap' || n WHEN 4 THEN 'Wallet' || n WHEN 5 THEN 'Node as a Service' WHEN 6 THEN 'Swap' || n WHEN 7 THEN 'Outcomes week ' || n WHEN 9 THEN 'Validator onboarding for Bolt' || n WHEN 11 THEN 'Nova' || n END END AS entity,
+IDENTIFIED = f"""kinds AS (SELECT *, topic_id % 5 AS c, CASE WHEN topic_id % 5 = 4 THEN (topic_id // 5) % 12 END AS v FROM topics),
+ident AS MATERIALIZED (
+SELECT topic_id, subject, body, date, stage, source, CASE WHEN c = 0 THEN lpad(CAST(topic_id // 50 AS VARCHAR), 4, '0') WHEN v = 10 THEN '00XX' END AS cip,
+  CASE c WHEN 1 THEN 'App' || CASE (topic_id // 5) % 4 WHEN 1 THEN left(w, 4) || substr(w, 6) WHEN 2 THEN w || ' Wallet' ELSE w END WHEN 2 THEN 'Node' || w || ' Ltd' WHEN 3 THEN 'set fee to ' || (topic_id % 9) || ' on TestNet' WHEN 4 THEN
+    CASE v WHEN 1 THEN 'Acme' || x WHEN 2 THEN 'Swap' || x WHEN 4 THEN 'Wallet' || x WHEN 5 THEN 'Node as a Service' WHEN 6 THEN 'Swap' || x WHEN 7 THEN 'Outcomes week ' || (topic_id % 50) WHEN 9 THEN 'Validator onboarding for Bolt' || x WHEN 11 THEN 'Nova' || x END END AS entity,
   coalesce(v = 3, false) AS many_entities, CASE WHEN c = 3 THEN 'testnet' WHEN v = 6 THEN 'mainnet' END AS network, c = 3 OR coalesce(v = 9, false) AS is_vote, c = 0 OR coalesce(v = 10, false) AS is_cip_discussion, false AS is_cip_vote, false AS is_app_vote,
   coalesce(v = 9, false) AS is_validator_vote, c = 1 OR coalesce(v = 2, false) AS is_app, c = 2 OR coalesce(v IN (5, 9), false) AS is_validator, {_KEYS.format("subject")} AS keywords FROM kinds),
-typed AS (SELECT *, CASE WHEN subject LIKE 'Tokenomics Outcomes%' THEN 'outcome' WHEN subject LIKE 'Splice %' THEN 'protocol-upgrade' WHEN cip IS NOT NULL THEN 'cip' WHEN is_validator THEN 'validator'
-  WHEN flow LIKE 'cip-%' AND NOT is_app THEN 'other' ELSE 'featured-app' END AS topic_type FROM ident),
-corr AS (SELECT topic_id, first_value(topic_id) OVER (PARTITION BY coalesce('cip:' || cip, 'entity:' || {_NAME.format("entity")}, 'topic:' || topic_id) ORDER BY date DESC, topic_id DESC) AS item_id FROM typed)"""
+typed AS MATERIALIZED (SELECT *, CASE WHEN subject LIKE 'Tokenomics Outcomes%' THEN 'outcome' WHEN subject LIKE 'Splice %' THEN 'protocol-upgrade' WHEN stage = 'tokenomics-announce' THEN CASE WHEN subject LIKE 'Validator Approved%' OR subject LIKE 'Validators Approved%' THEN 'validator' ELSE 'featured-app' END
+  WHEN cip IS NOT NULL THEN 'cip' WHEN is_validator THEN 'validator' WHEN stage LIKE 'cip-%' AND NOT is_app THEN 'other' ELSE 'featured-app' END AS topic_type FROM ident)"""
+#: The claims one topic after another, newest first: ``owner`` holds the place of the claimer of every topic, 0 if it is open.
+CLAIMS = f"""placed AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY date DESC, topic_id DESC) AS k, nullif({_NAME.format("entity")}, '') AS name FROM typed),
+reach AS MATERIALIZED (
+  SELECT a.k AS k, list(b.k) AS held FROM placed a JOIN placed b ON a.k <> b.k AND NOT b.many_entities AND CASE
+    WHEN a.topic_type = 'cip' THEN a.cip = b.cip WHEN a.topic_type = 'outcome' THEN false
+    WHEN a.topic_type IN ('featured-app', 'validator') THEN NOT a.many_entities AND a.topic_type = b.topic_type AND (contains(a.name, b.name) OR contains(b.name, a.name) OR replace(a.name, ' ', '') = replace(b.name, ' ', '')
+      OR (least(len(a.name), len(b.name)) >= greatest(len(a.name), len(b.name)) * 0.7 AND levenshtein(a.name, b.name) <= greatest(2, floor(greatest(len(a.name), len(b.name)) * 0.2))))
+    ELSE coalesce(a.cip = b.cip, false) OR coalesce(contains(a.name, b.name) OR contains(b.name, a.name), false) END
+  GROUP BY a.k),
+way AS (
+  SELECT CAST(0 AS BIGINT) AS k, (SELECT list_transform(range(count(*)), lambda x: CAST(0 AS BIGINT)) FROM placed) AS owner
+  UNION ALL
+  SELECT w.k + 1, CASE WHEN w.owner[w.k + 1] <> 0 THEN w.owner ELSE list_transform(w.owner, lambda o, j: CASE WHEN o <> 0 THEN o WHEN j = w.k + 1 OR list_contains(coalesce(r.held, []), j) THEN w.k + 1 ELSE 0 END) END
+  FROM way w LEFT JOIN reach r ON r.k = w.k + 1 WHERE w.k < len(w.owner)),
+owned AS (SELECT unnest(owner) AS anchor, unnest(range(1, len(owner) + 1)) AS k FROM way WHERE k = len(owner)),
+corr AS MATERIALIZED (SELECT p.topic_id, a.topic_id AS item_id FROM owned o JOIN placed p ON p.k = o.k JOIN placed a ON a.k = o.anchor)"""
 _ident = lambda f: G.extract_identifiers(f("topics"))
 _typed = lambda f: G.classify_topic(_ident(f))
 
-add("topic_identifiers", lambda f: _ident(f).drop("body", "source"), f"SELECT topic_id, subject, {D('date')}, flow, cip, entity, many_entities, network, is_vote, is_cip_discussion, is_cip_vote, is_app_vote, is_validator_vote, is_app, is_validator, array_to_string(keywords, ',') AS keywords FROM ident", IDENTIFIED)
-add("topic_urls", lambda f: G.extract_urls(f("topics"), "topic_id", "body"), "SELECT topic_id, 'https://forum/t/' || topic_id AS url FROM topics UNION ALL SELECT topic_id, 'https://v/' || (topic_id % 10) FROM topics")
+add("topic_identifiers", lambda f: _ident(f).drop("body", "source"), f"SELECT topic_id, subject, {D('date')}, stage, cip, entity, many_entities, network, is_vote, is_cip_discussion, is_cip_vote, is_app_vote, is_validator_vote, is_app, is_validator, array_to_string(keywords, ',') AS keywords FROM ident", IDENTIFIED)
+add("topic_urls", lambda f: G.extract_urls(f("topics"), "topic_id", "body"), r"""SELECT topic_id, unnest(list_distinct(regexp_extract_all(body, '(https?://[^\s<>"'')]+)', 1))) AS url FROM topics""")
 add("topic_types", lambda f: _typed(f).select("topic_id", "topic_type"), "SELECT topic_id, topic_type FROM typed", IDENTIFIED)
-add("topic_correlation", lambda f: G.correlate_topics(_ident(f)), "SELECT * FROM corr", IDENTIFIED)
-add("lifecycle_items", lambda f: G.lifecycle_items(_typed(f), G.correlate_topics(_ident(f))), f"""
-SELECT item_id, count(*) AS topics, {D("min(date)", "first_date")}, {D("max(date)", "last_date")}, arg_max(flow, list_position({list(G.STAGES)}, flow)) AS stage, arg_min(topic_type, topic_id) AS topic_type FROM typed JOIN corr USING (topic_id) GROUP BY item_id""", IDENTIFIED)
+add("topic_correlation", lambda f: G.correlate_topics(_typed(f)), "SELECT * FROM corr", IDENTIFIED, CLAIMS)
+_FLOWS = "MAP {" + ", ".join(f"'{kind}': {list(reversed(stages))}" for kind, stages in G.WORKFLOWS.items()) + "}"
+add("lifecycle_items", lambda f: G.lifecycle_items(_typed(f), G.correlate_topics(_typed(f))), f"""
+SELECT item_id, topics, {D("f", "first_date")}, {D("l", "last_date")}, coalesce(list_filter({_FLOWS}[a.topic_type], lambda s: list_contains(seen, s))[1], a.stage) AS stage, a.topic_type
+FROM (SELECT item_id, count(*) AS topics, min(date) AS f, max(date) AS l, list(stage) AS seen FROM typed JOIN corr USING (topic_id) GROUP BY item_id) i JOIN typed a ON a.topic_id = i.item_id""", IDENTIFIED, CLAIMS)
 add("business_order", lambda f: G.business_order(_ident(f)).select("topic_id", "cip"), "SELECT topic_id, cip FROM ident", IDENTIFIED)
 
 
+_PARTY = "case id % 4 when 0 then concat('App', {0}) when 1 then concat('Nodes', {0}) when 2 then concat('node ', {0}) else concat('Apq', {0}, ' Inc') end"
+
+
 def _names(f: Callable[[str], DataFrame]) -> tuple[DataFrame, DataFrame]:
-    """Distinct entity names of topics, and of benchmark parties with small spelling differences."""
+    """Distinct entity names of topics, and of all benchmark parties, some with small spelling differences."""
     left = _ident(f).where("entity is not null").groupBy(F.col("entity").alias("name")).agg(F.min("topic_id").alias("id")).select("id", "name")
-    right = f("ledger_base").select((F.col("u") % 60).alias("id")).distinct().select("id", F.expr("case id % 4 when 0 then concat('App', cast(id as string)) when 1 then concat('Nodes', cast(id div 2 as string)) when 2 then concat('node ', cast(id div 2 as string)) else concat('Apq', cast(id as string), ' Inc') end").alias("name"))
+    right = f("ledger_base").select(F.col("u").alias("id")).distinct().select("id", F.expr(_PARTY.format(derive.WORD.format("id"))).alias("name"))
     return left, right
 
 
-ENTITIES = f"""lefts AS (SELECT min(topic_id) AS id, {_NAME.format("entity")} AS name FROM ident WHERE entity IS NOT NULL GROUP BY entity),
-rights AS (SELECT id, {_NAME.format("CASE id % 4 WHEN 0 THEN 'App' || id WHEN 1 THEN 'Nodes' || (id // 2) WHEN 2 THEN 'node ' || (id // 2) ELSE 'Apq' || id || ' Inc' END")} AS name FROM (SELECT DISTINCT u % 60 AS id FROM base)),
-matched AS (SELECT * FROM (SELECT l.id AS left_id, r.id AS right_id, CASE WHEN l.name = r.name THEN 'equal' WHEN contains(l.name, r.name) OR contains(r.name, l.name) THEN 'contained' WHEN replace(l.name, ' ', '') = replace(r.name, ' ', '') THEN 'spaces'
+ENTITIES = f"""lefts AS MATERIALIZED (SELECT min(topic_id) AS id, {_NAME.format("entity")} AS name FROM ident WHERE entity IS NOT NULL GROUP BY entity),
+rights AS MATERIALIZED (SELECT id, {_NAME.format("(" + _PARTY.format(derive.WORD.format("id")) + ")")} AS name FROM (SELECT DISTINCT u AS id FROM base)),
+matched AS MATERIALIZED (SELECT * FROM (SELECT l.id AS left_id, r.id AS right_id, CASE WHEN l.name = r.name THEN 'equal' WHEN contains(l.name, r.name) OR contains(r.name, l.name) THEN 'contained' WHEN replace(l.name, ' ', '') = replace(r.name, ' ', '') THEN 'spaces'
   WHEN least(len(l.name), len(r.name)) >= greatest(len(l.name), len(r.name)) * 0.7 AND levenshtein(l.name, r.name) <= greatest(2, floor(greatest(len(l.name), len(r.name)) * 0.2)) THEN 'edit' END AS how FROM lefts l, rights r) WHERE how IS NOT NULL)"""
 add("entity_matches", lambda f: G.match_entities(*_names(f)), "SELECT * FROM matched", IDENTIFIED, ENTITIES)
 add("pending_apps", lambda f: G.pending_apps(*_names(f)).select("id"), "SELECT id FROM lefts WHERE id NOT IN (SELECT left_id FROM matched WHERE how IN ('equal', 'contained'))", IDENTIFIED, ENTITIES)
@@ -69,8 +90,8 @@ add("pending_apps", lambda f: G.pending_apps(*_names(f)).select("id"), "SELECT i
 def _pairs(f: Callable[[str], DataFrame]) -> DataFrame:
     """Pairs of classes of topics that share a CIP number or have equal or contained names. All that a score reads is equal
     within a class; the smallest topic id stands for it, and a class of several topics meets itself too."""
-    known = _ident(f).where("cip is not null or entity is not null")
-    own = known.groupBy("cip", "entity", "is_app", "is_validator", "date").agg(F.min("topic_id").alias("topic_id"), F.count("*").alias("topics"))
+    known = cut(_ident(f)).where("cip is not null or entity is not null")
+    own = cut(known.groupBy("cip", "entity", "is_app", "is_validator", "date").agg(F.min("topic_id").alias("topic_id"), F.count("*").alias("topics")))
     other = own.select(*[F.col(c).alias(f"o_{c}") for c in own.columns])
     names = own.where("entity is not null").select(G.normal_name(F.col("entity")).alias("id")).distinct().withColumn("name", F.col("id"))
     alike = G.match_entities(names, names).where("how in ('equal', 'contained')").select("left_id", "right_id")
@@ -87,10 +108,10 @@ FROM (SELECT a.topic_id, b.topic_id AS o_topic_id, a.topics, b.topics AS o_topic
         CASE WHEN {_E} = {_OE} THEN 100 WHEN contains({_E}, {_OE}) OR contains({_OE}, {_E}) THEN 80 ELSE 0 END AS n
       FROM classed a JOIN classed b ON a.topic_id < b.topic_id OR (a.topic_id = b.topic_id AND a.topics > 1)) WHERE c > 0 OR n > 0)""", IDENTIFIED, CLASSED)
 add("attach_votes", lambda f: G.attach_votes(
-    template_view(f(E), "vote_request").select(F.col("contract_id").alias("vote_id"), F.expr("case when substring(contract_id, 2) % 3 = 0 then reason_url else 'none' end").alias("url"), F.expr("case when substring(contract_id, 2) % 5 = 0 then lpad(cast(substring(contract_id, 2) % 70 as string), 4, '0') end").alias("cip"), F.expr("case when substring(contract_id, 2) % 7 = 0 then concat('app', cast(substring(contract_id, 2) % 50 as string)) end").alias("entity")),
+    template_view(f(E), "vote_request").select(F.col("contract_id").alias("vote_id"), F.expr("case when substring(contract_id, 2) % 3 = 0 then reason_url else 'none' end").alias("url"), F.expr("case when substring(contract_id, 2) % 5 = 0 then lpad(cast(substring(contract_id, 2) % 70 as string), 4, '0') end").alias("cip"), F.expr("case when substring(contract_id, 2) % 7 = 0 then concat('app', " + derive.WORD.format("substring(contract_id, 2) % 50") + ") end").alias("entity")),
     _ident(f), G.extract_urls(f("topics"), "topic_id", "body")), f"""
 SELECT vote_id, coalesce(t_url, t_cip, t_name) AS topic_id, CASE WHEN t_url IS NOT NULL THEN 'url' WHEN t_cip IS NOT NULL THEN 'cip' WHEN t_name IS NOT NULL THEN 'entity' ELSE 'synthetic' END AS how
-FROM (SELECT contract_id AS vote_id, CASE WHEN n % 3 = 0 THEN {J("reason.url")} ELSE 'none' END AS url, CASE WHEN n % 5 = 0 THEN lpad(CAST(n % 70 AS VARCHAR), 4, '0') END AS cip, CASE WHEN n % 7 = 0 THEN 'app' || (n % 50) END AS name FROM (SELECT *, CAST(substr(contract_id, 2) AS BIGINT) AS n FROM ev WHERE event_type = 'created' AND {IS("VoteRequest")}))
+FROM (SELECT contract_id AS vote_id, CASE WHEN n % 3 = 0 THEN {J("reason.url")} ELSE 'none' END AS url, CASE WHEN n % 5 = 0 THEN lpad(CAST(n % 70 AS VARCHAR), 4, '0') END AS cip, CASE WHEN n % 7 = 0 THEN 'app' || {derive.WORD.format('n % 50')} END AS name FROM (SELECT *, CAST(substr(contract_id, 2) AS BIGINT) AS n FROM ev WHERE event_type = 'created' AND {IS("VoteRequest")}))
 LEFT JOIN (SELECT 'https://v/' || (topic_id % 10) AS url, min(topic_id) AS t_url FROM topics GROUP BY 1) USING (url)
 LEFT JOIN (SELECT cip, min(topic_id) AS t_cip FROM ident WHERE cip IS NOT NULL GROUP BY 1) USING (cip)
 LEFT JOIN (SELECT {_NAME.format("entity")} AS name, min(topic_id) AS t_name FROM ident WHERE entity IS NOT NULL GROUP BY 1) USING (name)""", IDENTIFIED)
@@ -101,9 +122,9 @@ def _overrides(f: Callable[[str], DataFrame]) -> DataFrame:
     return rows.withColumn("value", F.expr("case action when 'reclassify' then 'outcome' when 'extract' then null else cast(topic_id + 1 as string) end"))
 
 
-add("apply_overrides", lambda f: G.apply_overrides(G.correlate_topics(_ident(f)).join(_typed(f).select("topic_id", "topic_type"), "topic_id"), _overrides(f)), """
+add("apply_overrides", lambda f: G.apply_overrides(G.correlate_topics(_typed(f)).join(_typed(f).select("topic_id", "topic_type"), "topic_id"), _overrides(f)), """
 SELECT topic_id, CASE WHEN topic_id % 11 = 0 AND (topic_id // 11) % 4 = 3 THEN topic_id WHEN topic_id % 11 = 0 AND (topic_id // 11) % 4 IN (1, 2) THEN topic_id + 1 ELSE item_id END AS item_id,
-  CASE WHEN topic_id % 11 = 0 AND (topic_id // 11) % 4 = 0 THEN 'outcome' ELSE topic_type END AS topic_type FROM typed JOIN corr USING (topic_id)""", IDENTIFIED)
+  CASE WHEN topic_id % 11 = 0 AND (topic_id // 11) % 4 = 0 THEN 'outcome' ELSE topic_type END AS topic_type FROM typed JOIN corr USING (topic_id)""", IDENTIFIED, CLAIMS)
 add("override_stats", lambda f: G.override_stats(_overrides(f).join(f("topics").select("topic_id", F.col("date").alias("at")), "topic_id")), "SELECT (['reclassify', 'move', 'merge', 'extract'])[CAST((topic_id // 11) % 4 AS INTEGER) + 1] AS action, strftime(date, '%Y-%m') AS month, count(*) AS entries FROM topics WHERE topic_id % 11 = 0 GROUP BY ALL")
 CORRECTIONS = """corrections AS (SELECT topic_id, subject AS label, topic_type AS original, CASE WHEN topic_id % 7 = 0 THEN 'vote' ELSE 'outcome' END AS corrected, keywords FROM typed WHERE topic_id % 3 = 0),
 words AS (SELECT original, corrected, word, count(*) AS count, count(*) / any_value(total) AS share FROM (SELECT original, corrected, unnest(keywords) AS word FROM corrections) JOIN (SELECT original, corrected, count(*) AS total FROM corrections GROUP BY ALL) USING (original, corrected) GROUP BY original, corrected, word HAVING count(*) >= 2 AND count(*) / any_value(total) >= 0.5)"""

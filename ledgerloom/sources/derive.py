@@ -213,22 +213,29 @@ def transfers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.to_date("ts").alias("date"), _say("p", _text("u")).alias("sender"), F.array(F.struct(_say("p", _text("(u + 3) % 150")).alias("party"), amount.alias("amount"))).alias("receivers"))
 
 
+#: A made-up word of nine letters for any value; the texts of both engines' SQL are the same.
+WORD = "translate(substr(md5(cast({} as string)), 1, 9), '0123456789', 'ghjkpqruvw')"
+
+
 def topics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Governance topics over ``documents``: subject, body, date, stage and flow follow from the id."""
+    """Governance topics over ``documents``: the body ends with the document's whole text; subject, date and stage follow
+    from the id. Names are made of words whose number grows with the table; some differ by a letter or a second word."""
     docs = table(spark, sf_dir, "documents").withColumn("n", F.expr("cast(doc_id % 50 as string)"))
+    docs = docs.withColumn("w", F.expr(WORD.format("doc_id div 40"))).withColumn("x", F.expr(WORD.format("doc_id div 300")))
     return docs.select(
         F.col("doc_id").cast("long").alias("topic_id"),
         F.expr(
-            "case doc_id % 5 when 0 then concat('CIP-', lpad(cast(doc_id % 60 as string), 4, '0'), ' Discussion: change ', cast(doc_id % 13 as string))"
-            " when 1 then concat('Featured App Request: App', cast(doc_id % 40 as string)) when 2 then concat('Validator Approved: Node', cast(doc_id % 30 as string), ' Ltd')"
+            "case doc_id % 5 when 0 then concat('CIP-', lpad(cast(doc_id div 50 as string), 4, '0'), ' Discussion: change ', cast(doc_id % 13 as string))"
+            " when 1 then concat('Featured App Request: App', case (doc_id div 5) % 4 when 1 then concat(left(w, 4), substr(w, 6)) when 2 then concat(w, ' Wallet') else w end)"
+            " when 2 then concat('Validator Approved: Node', w, ' Ltd')"
             " when 3 then concat('Vote Proposal: set fee to ', cast(doc_id % 9 as string), ' on TestNet') else element_at(array("
-            "concat('Weekly notes ', n), concat('Re: [Acme', n, '] update'), concat('Swap', n, ' Featured App Tokenomics'), 'Validators Approved: A1, B2 and C3',"
-            " concat('Request to Feature the Wallet', n, ' by Corp'), 'Node as a Service approved', concat('MainNet: Swap', n, ' by Trade Co'), concat('Tokenomics Outcomes week ', n),"
-            " concat('Splice 0.', n, ' upgrade notes'), concat('Vote Proposal: Validator onboarding for Bolt', n, ' - Vote'), concat('CIP TBD discuss new fee ', n), concat('Fwd: grant for Nova', n)"
+            "concat('Weekly notes ', n), concat('Re: [Acme', x, '] update'), concat('Swap', x, ' Featured App Tokenomics'), 'Validators Approved: A1, B2 and C3',"
+            " concat('Request to Feature the Wallet', x, ' by Corp'), 'Node as a Service approved', concat('MainNet: Swap', x, ' by Trade Co'), concat('Tokenomics Outcomes week ', n),"
+            " concat('Splice 0.', n, ' upgrade notes'), concat('Vote Proposal: Validator onboarding for Bolt', x, ' - Vote'), concat('CIP TBD discuss new fee ', n), concat('Fwd: grant for Nova', x)"
             "), cast((doc_id div 5) % 12 as int) + 1) end"
         ).alias("subject"),
-        F.concat(F.lit("see https://forum/t/"), F.col("doc_id").cast("string"), F.lit(" and https://v/"), (F.col("doc_id") % 10).cast("string"), F.lit(" in "), F.col("lang")).alias("body"),
+        F.concat(F.lit("see https://forum/t/"), F.col("doc_id").cast("string"), F.lit(" and https://v/"), (F.col("doc_id") % 10).cast("string"), F.lit(" in "), F.coalesce("lang", F.lit("")), F.lit("\n"), F.coalesce("text", F.lit(""))).alias("body"),
         F.expr("date_add(date '2024-01-01', cast(doc_id % 300 as int))").alias("date"),
-        F.expr("element_at(array('cip-discuss', 'cip-vote', 'cip-announce', 'sv-announce', 'tokenomics'), cast((doc_id div 5) % 5 as int) + 1)").alias("flow"),
+        F.expr("element_at(array('cip-discuss', 'cip-vote', 'cip-announce', 'sv-announce', 'tokenomics', 'tokenomics-announce'), cast((doc_id div 5) % 6 as int) + 1)").alias("stage"),
         F.col("source"),
     )

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
@@ -11,16 +10,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerloom.operators.bronze import utc_partition
+from ledgerloom.sources.scratch import work_folder as work_folder
 
 PARTS = ("migration", "year", "month", "day")
 
 
-def work_folder(spark: SparkSession) -> str:
-    """A new folder below the session's ``spark.checkpoint.dir``; only where that is unset, below the warehouse."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{root.rstrip('/')}/ledgerloom-{uuid.uuid4().hex}"
-
-
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether any file matches a path or glob of any file system that Spark reads."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -171,7 +171,7 @@ def test_entity_matching_equals_all_pairs(spark):
 
 def test_identifiers(spark):
     rows = [(1, "CIP-42: fees on MainNet", "cip-discuss"), (2, "cip 0007 vote", "cip-vote"), (3, "Featured App Request: Wallet by X", "sv-announce"), (4, None, "tokenomics")]
-    df = spark.createDataFrame(rows, "topic_id long, subject string, flow string")
+    df = spark.createDataFrame(rows, "topic_id long, subject string, stage string")
     got = {r["topic_id"]: r for r in governance.classify_topic(governance.extract_identifiers(df)).collect()}
     assert got[1]["cip"] == "0042" and got[1]["network"] == "mainnet" and got[2]["cip"] == "0007"
     assert got[3]["entity"] == "Wallet" and got[3]["topic_type"] == "featured-app" and got[4]["topic_type"] == "featured-app"
@@ -201,9 +201,9 @@ def test_names_and_types_of_subjects(spark):
         ("Hard fork in June", "cip-vote", None, False, None, "protocol-upgrade"),
         ("", "cip-vote", None, False, None, "other"),
     ]
-    df = spark.createDataFrame([(i, *r[:2]) for i, r in enumerate(rows)], "topic_id long, subject string, flow string")
+    df = spark.createDataFrame([(i, *r[:2]) for i, r in enumerate(rows)], "topic_id long, subject string, stage string")
     got = governance.classify_topic(governance.extract_identifiers(df)).orderBy("topic_id").collect()
-    assert [(r["subject"], r["flow"], r["entity"], r["many_entities"], r["cip"], r["topic_type"]) for r in got] == rows
+    assert [(r["subject"], r["stage"], r["entity"], r["many_entities"], r["cip"], r["topic_type"]) for r in got] == rows
 
 
 def test_as_of_join(spark):
