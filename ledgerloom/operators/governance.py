@@ -326,14 +326,73 @@ def attach_votes(votes: DataFrame, topics: DataFrame, urls: DataFrame) -> DataFr
     return joined.select("vote_id", F.coalesce("t_url", "t_cip", "t_name").alias("topic_id"), how.alias("how"))
 
 
-def apply_overrides(items: DataFrame, overrides: DataFrame) -> DataFrame:
-    """(topic_id, item_id, topic_type) after overrides (topic_id, action, value): reclassify sets the type, move and
-    merge set the item, extract makes the topic an item of its own. Of several of one kind the last (seq) holds."""
-    last = lambda action: F.max_by(F.when(F.col("action").isin(*action), F.col("value")), F.when(F.col("action").isin(*action), F.col("seq")))
-    per = overrides.groupBy("topic_id").agg(last(["reclassify"]).alias("new_type"), last(["move", "merge"]).alias("new_item"), F.max(F.when(F.col("action") == "extract", 1)).alias("alone"))
-    joined = items.join(per, "topic_id", "left")
-    item = F.when(F.col("alone") == 1, F.col("topic_id")).otherwise(F.coalesce(F.col("new_item").try_cast("long"), F.col("item_id")))
-    return joined.select("topic_id", item.alias("item_id"), F.coalesce("new_type", "topic_type").alias("topic_type"))
+def resolve_chains(edges: DataFrame) -> DataFrame:
+    """(id, root): where each id ends that is led on by edges (id, into, seq), one edge an id. Of the edges of a cycle the
+    last one (by seq) is void, as if they had been followed in their order and it had led back to its start.
+
+    Every round doubles the way that is known (pointer jumping); ids that end at no root lead into a cycle, and those on
+    which such ways land are the cycle itself. Both passes take as many rounds as the logarithm of the longest way.
+    """
+    edges = cut(edges.select(F.col("id").cast("long").alias("id"), F.col("into").cast("long").alias("into"), F.col("seq").cast("long").alias("seq")))
+
+    def jumped(own: DataFrame, rounds: int) -> DataFrame:
+        way = own.select("id", F.col("into").alias("at"), F.col("seq").alias("last"))
+        for _ in range(rounds):
+            on = way.select(F.col("id").alias("at"), F.col("at").alias("next"), F.col("last").alias("next_last"))
+            way = cut(way.join(on, "at", "left").select("id", F.coalesce("next", "at").alias("at"), F.greatest("last", "next_last").alias("last")))
+        return way
+
+    rounds = max(1, edges.count().bit_length())
+    ends = jumped(edges, rounds)
+    on_cycle = ends.join(edges.select(F.col("id").alias("at")), "at", "left_semi").select(F.col("at").alias("id")).distinct()
+    void = ends.join(on_cycle, "id", "left_semi").select("id", "last").join(edges, "id").where("seq = last").select("id")
+    good = edges.join(void, "id", "left_anti")
+    found = jumped(cut(good), rounds).select("id", F.col("at").alias("root"))
+    return found.unionByName(void.select("id", F.col("id").alias("root")))
+
+
+def apply_overrides(cards: DataFrame, overrides: DataFrame) -> DataFrame:
+    """(topic_id, card, topic_type) after manual overrides of lifecycle cards.
+
+    cards: (topic_id, item_id, item_type), one row a topic. overrides: (seq, level, key, action, value); of several of one
+    level, key and action the last (by seq) holds. In this order: ``type`` sets an item's type; ``merge`` puts an item
+    (level item) into another, chains being followed to their end and a merge that would close a cycle being void, or
+    a topic (level topic) into an item; ``move`` puts a topic into an item; ``reclassify`` gives a topic of another type a
+    card of its own (topic-reclassified-<id>); ``extract`` gives it one of its item's type (topic-extracted-<id>). Other
+    cards are lifecycle-<item>. Targets that are no item, and keys that are nothing, have no effect.
+    """
+    last = overrides.groupBy("level", "key", "action").agg(F.max_by("value", "seq").alias("value"), F.max("seq").alias("seq"))
+    last = cut(last.withColumn("key", F.col("key").cast("long")).withColumn("target", F.col("value").try_cast("long")))
+    items = cards.groupBy("item_id").agg(F.min("item_type").alias("item_type"))
+    known = items.select(F.col("item_id").alias("target"))
+    own = lambda level, action: last.where((F.col("level") == level) & (F.col("action") == action))
+    merges = own("item", "merge").join(known, "target", "left_semi").join(known.withColumnRenamed("target", "key"), "key", "left_semi").where("key <> target")
+    roots = cut(resolve_chains(merges.select(F.col("key").alias("id"), F.col("target").alias("into"), "seq")))
+    typed = items.join(own("item", "type").select(F.col("key").alias("item_id"), F.col("value").alias("new_type")), "item_id", "left")
+    typed = typed.select(F.col("item_id").alias("item"), F.coalesce("new_type", "item_type").alias("type"))
+
+    def placed(rows: DataFrame, column: str) -> DataFrame:
+        """``column`` led on to where its item was merged into."""
+        return rows.join(roots.select(F.col("id").alias(column), "root"), column, "left").withColumn(column, F.coalesce("root", column)).drop("root")
+
+    def target(action: str) -> DataFrame:
+        return placed(own("topic", action).join(known, "target", "left_semi").select(F.col("key").alias("topic_id"), F.col("target").alias(action)), action)
+
+    rows = placed(cards.select("topic_id", F.col("item_id").alias("item")), "item").join(target("merge"), "topic_id", "left").join(target("move"), "topic_id", "left")
+    rows = rows.select("topic_id", F.coalesce("move", "merge", "item").alias("item")).join(typed, "item", "left")
+    for action in ("reclassify", "extract"):
+        rows = rows.join(own("topic", action).select(F.col("key").alias("topic_id"), F.coalesce("value", F.lit("")).alias(action)), "topic_id", "left")
+    anew = F.col("reclassify").isNotNull() & ~F.col("reclassify").eqNullSafe(F.col("type"))
+    card = F.when(F.col("extract").isNotNull(), F.concat(F.lit("topic-extracted-"), "topic_id")).when(anew, F.concat(F.lit("topic-reclassified-"), "topic_id")).otherwise(F.concat(F.lit("lifecycle-"), "item"))
+    return rows.select("topic_id", card.alias("card"), F.when(anew, F.col("reclassify")).otherwise(F.col("type")).alias("topic_type"))
+
+
+def override_effects(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Cards (topics, type) after overrides with the number of topics that came from other items: before (topic_id, item_id),
+    after (topic_id, card, topic_type)."""
+    both = after.join(before, "topic_id")
+    strange = F.col("card") != F.concat(F.lit("lifecycle-"), F.col("item_id").cast("string"))
+    return both.groupBy("card").agg(F.count("*").alias("topics"), F.count_if(strange).alias("came"), F.min("topic_type").alias("topic_type"))
 
 
 def correction_words(corrections: DataFrame) -> DataFrame:

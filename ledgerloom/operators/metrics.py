@@ -182,10 +182,15 @@ def template_list(events: DataFrame) -> DataFrame:
     return events.groupBy("template_id").agg(F.count("*").alias("events"), F.count_distinct("contract_id").alias("contracts"), F.min("effective_at").alias("first_seen"), F.max("effective_at").alias("last_seen"))
 
 
+def newest_snapshot(acs: DataFrame) -> Column:
+    """The latest snapshot time as a scalar subquery: it is run first, and its value is a constant to what it filters, so
+    that of files partitioned by the snapshot time only those of one snapshot are read."""
+    return acs.agg(F.max("snapshot_time")).scalar()
+
+
 def latest_snapshot(acs: DataFrame) -> DataFrame:
     """Rows of the latest snapshot, one per contract: of repeats the one recorded last."""
-    newest = acs.agg(F.max("snapshot_time").alias("newest"))
-    rows = acs.join(F.broadcast(newest), F.col("snapshot_time") == F.col("newest")).drop("newest")  # a single value
+    rows = acs.where(F.col("snapshot_time") == newest_snapshot(acs))
     columns = [c for c in acs.columns if c != "contract_id"]
     best = rows.groupBy("contract_id").agg(F.max_by(F.struct(*columns), F.struct("record_time", "payload")).alias("row"))
     return best.select("contract_id", *[F.col(f"row.{c}").alias(c) for c in columns])
@@ -204,26 +209,41 @@ def retained_snapshots(acs: DataFrame, keep: int) -> DataFrame:
     return acs.join(kept, ["migration_id", "snapshot_time"], "left_semi")
 
 
-def holder_balances(acs: DataFrame) -> DataFrame:
-    """Owner: unlocked, locked and total amount over a snapshot's tokens; rows without an owner drop out."""
+def held_tokens(contracts: DataFrame) -> DataFrame:
+    """(contract_id, owner, is_locked, amount) of the tokens among contracts; those without an owner drop out."""
     locked, unlocked = is_template(F.col("template_id"), "LockedAmulet"), is_template(F.col("template_id"), "Amulet")
-    p = F.col("payload")
-    own = F.when(locked, F.coalesce(F.nullif(json_text(p, "amulet.owner"), F.lit("")), pick_owner(p))).otherwise(pick_owner(p))
-    amount = F.when(locked, pick_locked_amount(p)).otherwise(money(json_text(p, "amount.initialAmount")))
-    rows = acs.where(locked | unlocked).select(own.alias("owner"), locked.alias("is_locked"), amount.alias("amount")).where("owner is not null")
-    sums = rows.groupBy("owner").agg(_if(~F.col("is_locked"), F.col("amount")).alias("unlocked"), _if("is_locked", F.col("amount")).alias("locked"))
+
+    def read(p: Column) -> Column:  # within a lambda, where the paths are not expanded into one long generated method
+        own = F.when(locked, F.coalesce(F.nullif(json_text(p, "amulet.owner"), F.lit("")), pick_owner(p))).otherwise(pick_owner(p))
+        return F.struct(own.alias("owner"), F.when(locked, pick_locked_amount(p)).otherwise(money(json_text(p, "amount.initialAmount"))).alias("amount"))
+
+    held = F.get(F.transform(F.array("payload"), read), F.lit(0))
+    rows = contracts.where(locked | unlocked).select("contract_id", locked.alias("is_locked"), held.alias("held"))
+    return rows.select("contract_id", F.col("held.owner").alias("owner"), "is_locked", F.col("held.amount").alias("amount")).where("owner is not null")
+
+
+def _balances(tokens: DataFrame) -> DataFrame:
+    sums = tokens.groupBy("owner").agg(_if(~F.col("is_locked"), F.col("amount")).alias("unlocked"), _if("is_locked", F.col("amount")).alias("locked"))
     return sums.withColumn("total", F.col("unlocked") + F.col("locked"))
 
 
+def holder_balances(acs: DataFrame) -> DataFrame:
+    """Owner: unlocked, locked and total amount over a snapshot's tokens; rows without an owner drop out."""
+    return _balances(held_tokens(acs))
+
+
 def rich_list(balances: DataFrame, n: int) -> DataFrame:
     """The n richest owners, with supply and number of holders over all of them."""
     whole = balances.agg(F.sum("total").alias("supply"), F.count("*").alias("holders"))
     return balances.orderBy(F.col("total").desc(), "owner").limit(n).crossJoin(whole)  # one row
 
 
+def _supply(balances: DataFrame) -> DataFrame:
+    return balances.agg(F.sum("unlocked").alias("unlocked"), F.sum("locked").alias("locked"), F.sum("total").alias("total"), F.count("*").alias("holders"))
+
+
 def supply_totals(acs: DataFrame) -> DataFrame:
-    b = holder_balances(acs)
-    return b.agg(F.sum("unlocked").alias("unlocked"), F.sum("locked").alias("locked"), F.sum("total").alias("total"), F.count("*").alias("holders"))
+    return _supply(holder_balances(acs))
 
 
 def mining_rounds(acs: DataFrame) -> DataFrame:
@@ -257,12 +277,12 @@ def acs_stats(acs: DataFrame) -> DataFrame:
 
 
 def realtime_supply(acs: DataFrame, events: DataFrame) -> DataFrame:
-    """Balances of the latest snapshot with the tokens created after it, without those archived after it."""
-    newest = acs.agg(F.max("snapshot_time").alias("newest"))
-    since = events.join(F.broadcast(newest), F.col("effective_at") >= F.col("newest"))  # a single value
+    """Balances of the latest snapshot with the tokens created after it, without those archived after it. A snapshot holds
+    what was there at its own instant, so that only later events count. Amounts are read before the two are united."""
+    since = events.where(F.col("effective_at") > newest_snapshot(acs))
     gone = since.where("event_type = 'archived'").select("contract_id")
-    now = latest_snapshot(acs).select("contract_id", "template_id", "payload").unionByName(since.where("event_type = 'created'").select("contract_id", "template_id", "payload"))
-    return supply_totals(now.join(gone, "contract_id", "left_anti"))
+    now = held_tokens(latest_snapshot(acs)).unionByName(held_tokens(since.where("event_type = 'created'")))
+    return _supply(_balances(now.join(gone, "contract_id", "left_anti")))
 
 
 #: The exercised choices that burn tokens.

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerloom.functions.columns import entity_of, template_category, template_format, template_key
+from ledgerloom.sources.scratch import cut
 
 
 def finding(df: DataFrame, check: str, severity: str | Column, scope: Column, detail: Column, affected: Column, total: Column | None = None) -> DataFrame:
@@ -31,14 +34,29 @@ def coverage_by_day(df: DataFrame, keys: list[str], day: str) -> DataFrame:
     return _calendar(df, keys, day).join(df.groupBy(*keys, day).agg(F.count("*").alias("rows")), [*keys, day], "left").fillna(0, ["rows"])
 
 
+def running_max(rows: DataFrame, key: str, order: tuple[str, ...], value: str, out: str) -> DataFrame:
+    """The rows with the largest ``value`` among all earlier ones of their key (by ``order``) as ``out``, null for the first.
+
+    Rows are ranged by key and order into sorted parts and written once; the largest value of each part is carried over to the
+    parts of the key behind it, a table of one row a part and key. So no task holds a whole key.
+    """
+    parts = cut(rows.repartitionByRange(key, *order).withColumn("part", F.spark_partition_id()))
+    tops = parts.groupBy(key, "part").agg(F.max(value).alias("top"))
+    carried = F.max("top").over(Window.partitionBy(key).orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    before = F.max(value).over(Window.partitionBy(key, "part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    inside = parts.withColumn(out, before)
+    both = inside.join(tops.select(F.col(key).alias("of_key"), F.col("part").alias("of_part"), carried.alias("carried")), F.col(key).eqNullSafe(F.col("of_key")) & (F.col("part") == F.col("of_part")))
+    return both.withColumn(out, F.greatest(out, "carried")).drop("part", "of_key", "of_part", "carried")
+
+
 def time_gaps(ranges: DataFrame, key: str, threshold_seconds: int) -> DataFrame:
     """Gaps between consecutive ranges (key, start, end) of a key that exceed the threshold, with the key's total; a
-    range that an earlier one covers makes no gap."""
-    order = Window.partitionBy(key).orderBy("start", "end")
-    before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    ms = (F.unix_micros("start") - F.unix_micros("gap_start")) / 1000
-    gaps = ranges.withColumn("gap_start", before).where("gap_start is not null").select(key, "gap_start", F.col("start").alias("gap_end"), F.floor(ms).alias("gap_ms")).where(F.col("gap_ms") > threshold_seconds * 1000)
-    return gaps.withColumn("total_gap_ms", F.sum("gap_ms").over(Window.partitionBy(key)))
+    range that an earlier one covers makes no gap. The ends so far come from ``running_max``, so that a hot key is split."""
+    ms = F.floor((F.unix_micros("start") - F.unix_micros("gap_start")) / 1000)
+    found = running_max(ranges.select(key, "start", "end"), key, ("start", "end"), "end", "gap_start").where("gap_start is not null")
+    gaps = found.select(key, "gap_start", F.col("start").alias("gap_end"), ms.alias("gap_ms")).where(F.col("gap_ms") > threshold_seconds * 1000)
+    totals = gaps.groupBy(F.col(key).alias("of_key")).agg(F.sum("gap_ms").alias("total_gap_ms"))
+    return gaps.join(totals, F.col(key).eqNullSafe(F.col("of_key"))).drop("of_key")
 
 
 def intra_day_gaps(rows: DataFrame, key: str, at: str, threshold_seconds: int = 300) -> DataFrame:
@@ -93,16 +111,34 @@ def offset_duplicates(updates: DataFrame) -> DataFrame:
     return finding(own, "offset_duplicates", F.when(F.col("extra") > 0, "error").otherwise("ok"), F.col("migration_id"), F.lit("offset"), F.col("extra"), F.col("total"))
 
 
-def orphan_events(events: DataFrame, updates: DataFrame) -> DataFrame:
-    """Update ids of events that no update has, with their number of events (counted before the join)."""
-    counts = events.groupBy("update_id").agg(F.count("*").alias("n"))
-    return finding(counts.join(updates.select("update_id"), "update_id", "left_anti"), "orphan_events", "error", F.col("update_id"), F.lit("no update"), F.col("n"))
+def _within(df: DataFrame, day: str, days: tuple[str, str] | None, around: int = 0) -> DataFrame:
+    """The rows of a range of days (first, last) and of so many days around it. The bounds are constants on the day's own
+    column, so that of files partitioned by it only those days are listed."""
+    if days is None:
+        return df
+    first, last = (dt.date.fromisoformat(d) for d in days)
+    return df.where(F.col(day).between(F.lit(first - dt.timedelta(days=around)), F.lit(last + dt.timedelta(days=around))))
+
+
+def orphan_events(events: DataFrame, updates: DataFrame, days: tuple[str, str] | None = None) -> DataFrame:
+    """Update ids of a day's events that no update of the day before to the day after has, with their number of events.
+
+    Events are counted by id and day before the join, an anti-join on the id with the days as a further condition. days
+    (first, last): check the events of these days alone, against the updates of one day more on either side.
+    """
+    counts = _within(events, "event_date", days).groupBy("update_id", "event_date").agg(F.count("*").alias("n"))
+    known = _within(updates, "record_date", days, 1).select(F.col("update_id").alias("known_id"), "record_date")
+    near = (F.col("update_id") == F.col("known_id")) & F.col("record_date").between(F.date_sub("event_date", 1), F.date_add("event_date", 1))
+    return finding(counts.join(known, near, "left_anti"), "orphan_events", "error", F.col("update_id"), F.col("event_date"), F.col("n"))
 
 
-def event_count_mismatch(events: DataFrame, updates: DataFrame) -> DataFrame:
-    """Updates whose declared event count differs from the observed one."""
-    counts = events.groupBy("update_id").agg(F.count("*").alias("observed"))
-    both = updates.join(counts, "update_id").where("event_count <> observed")
+def event_count_mismatch(events: DataFrame, updates: DataFrame, days: tuple[str, str] | None = None) -> DataFrame:
+    """Updates whose declared event count differs from the number of their events from the day before to the day after;
+    those without any event there are left to other checks. days (first, last): the updates of these days alone."""
+    own = _within(updates, "record_date", days).where("event_count is not null").select("update_id", "record_date", "event_count")
+    counts = _within(events, "event_date", days, 1).groupBy(F.col("update_id").alias("of_id"), "event_date").agg(F.count("*").alias("n"))
+    near = (F.col("update_id") == F.col("of_id")) & F.col("event_date").between(F.date_sub("record_date", 1), F.date_add("record_date", 1))
+    both = own.join(counts, near).groupBy("update_id", "record_date", "event_count").agg(F.sum("n").alias("observed")).where("event_count <> observed")
     return finding(both, "event_count_mismatch", "error", F.col("update_id"), F.concat_ws(" observed, declared ", "observed", "event_count"), F.abs(F.col("observed") - F.col("event_count")))
 
 
@@ -134,11 +170,14 @@ def transform_verification(raw: DataFrame, typed: DataFrame, columns: tuple[str,
     return finding(rows, "transform_verification", F.when(F.col("n") != 0, "error").otherwise("ok"), F.lit("events"), F.col("what"), F.col("n"), F.col("raw_rows"))
 
 
-def completeness(expected: DataFrame, actual: DataFrame, id_col: str, day: str) -> DataFrame:
-    """Per day: expected and present distinct ids, drift in percent, missing ids."""
-    e = expected.select(id_col, F.col(day).alias("day")).distinct()
-    a = actual.select(id_col).distinct().withColumn("here", F.lit(1))
-    by = e.join(a, id_col, "left").groupBy("day").agg(F.count("*").alias("expected"), F.count("here").alias("present"))
+def completeness(expected: DataFrame, actual: DataFrame, id_col: str, day: str, days: tuple[str, str] | None = None) -> DataFrame:
+    """Per day: expected and present distinct ids, missing ids, drift in percent. An id is present if a row of the day before
+    to the day after has it. days (first, last): these days alone, read with one day more on either side."""
+    e = _within(expected, day, days).select(id_col, F.col(day).alias("day")).distinct()
+    a = _within(actual, day, days, 1).select(F.col(id_col).alias("of_id"), F.col(day).alias("of_day"))
+    near = (F.col(id_col) == F.col("of_id")) & F.col("of_day").between(F.date_sub("day", 1), F.date_add("day", 1))
+    here, gone = e.join(a, near, "left_semi").withColumn("here", F.lit(1)), e.join(a, near, "left_anti").withColumn("here", F.lit(0))
+    by = here.unionByName(gone).groupBy("day").agg(F.count("*").alias("expected"), F.sum("here").alias("present"))
     return by.select("day", "expected", "present", (F.col("expected") - F.col("present")).alias("missing"), ((F.col("expected") - F.col("present")) * 100.0 / F.col("expected")).alias("drift_pct"))
 
 

@@ -16,7 +16,7 @@ from ledgerloom.operators import quality as Q
 from ledgerloom.plans.digest import plain
 from ledgerloom.plans.metric_queries import D, IS, J, R, T, as_of, trunc_diff
 from ledgerloom.plans.oracles import sql
-from ledgerloom.sources import derive
+from ledgerloom.sources import derive, io
 from ledgerloom.sources.schemas import TEMPLATES
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -145,8 +145,26 @@ add("timestamp_sanity", lambda f: Q.timestamp_sanity(f(E).withColumn("recorded_a
 SELECT {F_("CASE WHEN n > 0 THEN 'warning' ELSE 'ok' END", "timestamp_sanity", "'effective_at'", "what", "n", "total")} FROM (SELECT 'recorded late' AS what, count(*) FILTER (event_type = 'exercised') AS n, count(*) AS total FROM ev UNION ALL SELECT 'year out of bounds', count(*) FILTER (year(effective_at) NOT BETWEEN 2020 AND 2035), count(*) FROM ev)""")
 add("offset_duplicates", lambda f: Q.offset_duplicates(f(U).withColumn("offset", F.expr("case when offset % 10 = 0 then null else offset div 2 end"))), f"""
 SELECT {F_("CASE WHEN count(o) > count(DISTINCT o) THEN 'error' ELSE 'ok' END", "offset_duplicates", "migration_id", "'offset'", "count(o) - count(DISTINCT o)", "count(*)")} FROM (SELECT migration_id, "offset" // 2 AS o FROM up WHERE "offset" % 10 <> 0) GROUP BY migration_id""")
-add("orphan_events", lambda f: Q.orphan_events(f(E), f(U).where("offset % 9 <> 0")), f"""SELECT {F_("'error'", "orphan_events", "update_id", "'no update'", "count(*)")} FROM ev WHERE update_id NOT IN (SELECT update_id FROM up WHERE "offset" % 9 <> 0) GROUP BY update_id""")
-add("event_count_mismatch", lambda f: Q.event_count_mismatch(f(E), f(U)), f"""SELECT {F_("'error'", "event_count_mismatch", "update_id", "n || ' observed, declared ' || event_count", "abs(n - event_count)")} FROM up JOIN (SELECT update_id, count(*) AS n FROM ev GROUP BY 1) USING (update_id) WHERE n <> event_count""")
+_ORPHANS = f"""SELECT {F_("'error'", "orphan_events", "update_id", "strftime(event_date, '%Y-%m-%d')", "count(*)")} FROM ev
+WHERE NOT EXISTS (SELECT 1 FROM up WHERE up.update_id = ev.update_id AND "offset" % 9 <> 0 AND abs(date_diff('day', up.record_date, ev.event_date)) <= 1)"""
+_MISCOUNTED = f"""SELECT {F_("'error'", "event_count_mismatch", "update_id", "n || ' observed, declared ' || event_count", "abs(n - event_count)")}
+FROM (SELECT up.update_id, event_count, record_date, count(*) AS n FROM up JOIN ev ON ev.update_id = up.update_id AND abs(date_diff('day', up.record_date, ev.event_date)) <= 1 GROUP BY ALL) WHERE n <> event_count"""
+add("orphan_events", lambda f: Q.orphan_events(f(E), f(U).where("offset % 9 <> 0")), _ORPHANS + " GROUP BY update_id, event_date")
+add("event_count_mismatch", lambda f: Q.event_count_mismatch(f(E), f(U)), _MISCOUNTED)
+
+
+def _by_day(df: DataFrame, day: str) -> DataFrame:
+    """The frame landed in files by day and read back."""
+    path = io.work_folder(df.sparkSession)
+    df.repartition(day).write.partitionBy(day).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: A range of days, as the daily job checks one; the files of no other days are read.
+DAYS = ("2024-01-10", "2024-01-12")
+_BETWEEN = f"BETWEEN DATE '{DAYS[0]}' AND DATE '{DAYS[1]}'"
+add("orphans_of_days", lambda f: Q.orphan_events(_by_day(f(E).select("update_id", "event_date"), "event_date"), _by_day(f(U).where("offset % 9 <> 0").select("update_id", "record_date"), "record_date"), DAYS), _ORPHANS + f" AND event_date {_BETWEEN} GROUP BY update_id, event_date")
+add("miscounted_of_days", lambda f: Q.event_count_mismatch(_by_day(f(E).select("update_id", "event_date"), "event_date"), _by_day(f(U).select("update_id", "event_count", "record_date"), "record_date"), DAYS), _MISCOUNTED + f" AND record_date {_BETWEEN}")
 add("boundary_overlap", lambda f: Q.boundary_overlap(f(U).where("record_time < timestamp '2024-01-16'"), f(U).where("record_time > timestamp '2024-01-14'"), "update_id"), f"SELECT {F_('CASE WHEN count(*) > 0 THEN ' + repr('warning') + ' ELSE ' + repr('ok') + ' END', 'boundary_overlap', repr('update_id'), repr('in both sources'), 'count(*)')} FROM up WHERE record_time > TIMESTAMP '2024-01-14' AND record_time < TIMESTAMP '2024-01-16'")
 add("missing_ids", lambda f: Q.missing_ids(f(U), f(U).where("offset % 8 <> 0"), "update_id"), 'SELECT update_id FROM up WHERE "offset" % 8 = 0')
 add("acs_checks", lambda f: Q.acs_checks(f(A).unionByName(f(A).where("template_id like '%:Amulet'")), f(A).where("complete").select("migration_id", "snapshot_time")), f"""
@@ -157,6 +175,8 @@ add("transform_verification", lambda f: Q.transform_verification(_raw(f(E)), B.p
 SELECT {F_("CASE WHEN n <> 0 THEN 'error' ELSE 'ok' END", "transform_verification", "'events'", "what", "n", "total")} FROM (SELECT 'row difference' AS what, 0 AS n, count(*) AS total FROM ev UNION ALL SELECT 'parse loss: effective_at', count(*) FILTER ({_N} % 13 = 0), count(*) FROM ev UNION ALL SELECT 'parse loss: payload', count(*) FILTER ({_N} % 17 = 0), count(*) FROM ev)""")
 add("completeness", lambda f: Q.completeness(f(U), f(U).where("offset % 8 <> 0"), "update_id", "record_date"), f"""
 SELECT {D("record_date", "day")}, count(*) AS expected, count(*) FILTER ("offset" % 8 <> 0) AS present, count(*) FILTER ("offset" % 8 = 0) AS missing, {R('count(*) FILTER ("offset" % 8 = 0) * 100.0 / count(*)', "drift_pct")} FROM up GROUP BY record_date""")
+add("completeness_of_days", lambda f: Q.completeness(_by_day(f(U).select("update_id", "record_date"), "record_date"), _by_day(f(U).where("offset % 8 <> 0").select("update_id", "record_date"), "record_date"), "update_id", "record_date", DAYS), f"""
+SELECT {D("record_date", "day")}, count(*) AS expected, count(*) FILTER ("offset" % 8 <> 0) AS present, count(*) FILTER ("offset" % 8 = 0) AS missing, {R('count(*) FILTER ("offset" % 8 = 0) * 100.0 / count(*)', "drift_pct")} FROM up WHERE record_date {_BETWEEN} GROUP BY record_date""")
 add("column_population", lambda f: Q.column_population(f(E).select("event_id", "choice", "interface_id", "consuming")), " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count({c}) AS filled, count(*) AS total, {R(f'count({c}) / count(*)', 'rate')} FROM ev" for c in ("event_id", "choice", "interface_id", "consuming")))
 
 

@@ -306,7 +306,7 @@ add("acs_templates", lambda f: M.acs_templates(M.latest_snapshot(f(A))), f"SELEC
 add("acs_stats", lambda f: M.acs_stats(f(A)), f"SELECT {T('snapshot_time')}, migration_id, count(*) AS contracts, count(DISTINCT template_id) AS templates, {T('max(record_time)', 'last_record')} FROM acs GROUP BY snapshot_time, migration_id")
 HELD_NOW = (
     "early AS (SELECT * FROM acs WHERE snapshot_time < TIMESTAMP '2024-01-25')",
-    "since AS (SELECT * FROM ev WHERE effective_at >= (SELECT max(snapshot_time) FROM early))",
+    "since AS (SELECT * FROM ev WHERE effective_at > (SELECT max(snapshot_time) FROM early))",
     "latest AS (SELECT * FROM (SELECT contract_id, template_id, payload FROM early WHERE snapshot_time = (SELECT max(snapshot_time) FROM early)"
     " UNION ALL SELECT contract_id, template_id, payload FROM since WHERE event_type = 'created') WHERE contract_id NOT IN (SELECT contract_id FROM since WHERE event_type = 'archived'))",
 )

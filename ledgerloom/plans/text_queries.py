@@ -117,15 +117,45 @@ LEFT JOIN (SELECT cip, min(topic_id) AS t_cip FROM ident WHERE cip IS NOT NULL G
 LEFT JOIN (SELECT {_NAME.format("entity")} AS name, min(topic_id) AS t_name FROM ident WHERE entity IS NOT NULL GROUP BY 1) USING (name)""", IDENTIFIED)
 
 
-def _overrides(f: Callable[[str], DataFrame]) -> DataFrame:
-    rows = f("topics").where("topic_id % 11 = 0").select("topic_id", F.expr("element_at(array('reclassify', 'move', 'merge', 'extract'), cast((topic_id div 11) % 4 as int) + 1)").alias("action"), F.col("topic_id").alias("seq"))
-    return rows.withColumn("value", F.expr("case action when 'reclassify' then 'outcome' when 'extract' then null else cast(topic_id + 1 as string) end"))
+#: Overrides of every kind, from topic ids: chains of merges of up to thirty items, a cycle in every fortieth, repeats of one key.
+_LOG = """SELECT id AS seq, 'item' AS level, id AS key, 'type' AS action, 'outcome' AS value FROM t WHERE id % 35 = 0
+UNION ALL SELECT id, 'item', id, 'merge', CAST(CASE WHEN {0} % 40 = 29 THEN id - 50 ELSE id + 5 END AS STRING) FROM t WHERE id % 5 = 0 AND {0} % 40 < 30 AND {0} % 7 <> 3
+UNION ALL SELECT id + 1, 'topic', id, 'merge', CAST(id - id % 5 + 15 AS STRING) FROM t WHERE id % 11 = 0
+UNION ALL SELECT id + 2, 'topic', id, 'move', CAST(id - id % 5 + 40 AS STRING) FROM t WHERE id % 22 = 0 OR id % 13 = 0
+UNION ALL SELECT id + 900, 'topic', id, 'move', CAST(id - id % 5 AS STRING) FROM t WHERE id % 26 = 0
+UNION ALL SELECT id, 'topic', id, 'reclassify', CASE WHEN id % 2 = 0 THEN 'cip' ELSE 'validator' END FROM t WHERE id % 17 = 0
+UNION ALL SELECT id, 'topic', id, 'extract', CAST(NULL AS STRING) FROM t WHERE id % 19 = 0
+UNION ALL SELECT id, 'topic', id, 'move', 'nowhere' FROM t WHERE id % 23 = 0 AND id % 13 <> 0 AND id % 22 <> 0"""
 
 
-add("apply_overrides", lambda f: G.apply_overrides(G.correlate_topics(_typed(f)).join(_typed(f).select("topic_id", "topic_type"), "topic_id"), _overrides(f)), """
-SELECT topic_id, CASE WHEN topic_id % 11 = 0 AND (topic_id // 11) % 4 = 3 THEN topic_id WHEN topic_id % 11 = 0 AND (topic_id // 11) % 4 IN (1, 2) THEN topic_id + 1 ELSE item_id END AS item_id,
-  CASE WHEN topic_id % 11 = 0 AND (topic_id // 11) % 4 = 0 THEN 'outcome' ELSE topic_type END AS topic_type FROM typed JOIN corr USING (topic_id)""", IDENTIFIED, CLAIMS)
-add("override_stats", lambda f: G.override_stats(_overrides(f).join(f("topics").select("topic_id", F.col("date").alias("at")), "topic_id")), "SELECT (['reclassify', 'move', 'merge', 'extract'])[CAST((topic_id // 11) % 4 AS INTEGER) + 1] AS action, strftime(date, '%Y-%m') AS month, count(*) AS entries FROM topics WHERE topic_id % 11 = 0 GROUP BY ALL")
+def _overrides(f: Callable[[str], DataFrame]) -> DataFrame:
+    return f("topics").sparkSession.sql(_LOG.format("(id div 5)").replace("FROM t ", "FROM {t} "), t=f("topics").select(F.col("topic_id").alias("id")))
+
+
+def _cards(f: Callable[[str], DataFrame]) -> DataFrame:
+    """Five topics in a row are one card of the first one's type."""
+    rows = _typed(f).select("topic_id", F.expr("topic_id - topic_id % 5").alias("item_id"), "topic_type")
+    return rows.withColumn("item_type", F.expr("case (item_id div 5) % 3 when 0 then 'cip' when 1 then 'featured-app' else 'other' end")).drop("topic_type")
+
+
+#: The log replayed: the last of each key; merges between items followed step by step, the last merge of a cycle left out.
+REPLAY = f"""olog AS MATERIALIZED (SELECT level, key, action, arg_max(coalesce(value, '-'), seq) AS value, max(seq) AS seq FROM ({_LOG.format("(id // 5)").replace("FROM t ", "FROM (SELECT topic_id AS id FROM topics) ")}) GROUP BY level, key, action),
+oitems AS MATERIALIZED (SELECT DISTINCT topic_id - topic_id % 5 AS item FROM topics),
+steps AS MATERIALIZED (SELECT key AS a, TRY_CAST(value AS BIGINT) AS b, seq FROM olog WHERE level = 'item' AND action = 'merge' AND key <> TRY_CAST(value AS BIGINT) AND key IN (SELECT item FROM oitems) AND TRY_CAST(value AS BIGINT) IN (SELECT item FROM oitems)),
+rounds_ AS (SELECT a AS start, b AS at, seq AS top, [a] AS seen FROM steps UNION ALL SELECT r.start, s.b, greatest(r.top, s.seq), list_append(r.seen, s.a) FROM rounds_ r JOIN steps s ON s.a = r.at WHERE NOT list_contains(r.seen, r.at)),
+voids AS MATERIALIZED (SELECT start AS a FROM rounds_ r JOIN steps s ON s.a = r.start WHERE r.at = r.start AND s.seq = r.top),
+goods AS MATERIALIZED (SELECT * FROM steps WHERE a NOT IN (SELECT a FROM voids)),
+led AS (SELECT a, b FROM goods UNION SELECT l.a, g.b FROM led l JOIN goods g ON g.a = l.b),
+oroots AS MATERIALIZED (SELECT item, coalesce((SELECT any_value(b) FROM led WHERE a = item AND b NOT IN (SELECT a FROM goods)), item) AS root FROM oitems),
+told AS (SELECT o.key, o.action, o.value, r.root FROM olog o LEFT JOIN oroots r ON CAST(r.item AS VARCHAR) = o.value WHERE o.level = 'topic'),
+otypes AS (SELECT item, coalesce(value, CASE (item // 5) % 3 WHEN 0 THEN 'cip' WHEN 1 THEN 'featured-app' ELSE 'other' END) AS type FROM oitems LEFT JOIN (SELECT key AS item, value FROM olog WHERE level = 'item' AND action = 'type') USING (item)),
+replayed AS MATERIALIZED (SELECT t.topic_id, coalesce(mv.root, mg.root, r.root) AS item, rc.value AS reclassify, ex.key IS NOT NULL AS extracted FROM topics t JOIN oroots r ON r.item = t.topic_id - t.topic_id % 5
+  LEFT JOIN told mv ON mv.key = t.topic_id AND mv.action = 'move' LEFT JOIN told mg ON mg.key = t.topic_id AND mg.action = 'merge' LEFT JOIN told rc ON rc.key = t.topic_id AND rc.action = 'reclassify' LEFT JOIN told ex ON ex.key = t.topic_id AND ex.action = 'extract'),
+carded AS MATERIALIZED (SELECT topic_id, CASE WHEN extracted THEN 'topic-extracted-' || topic_id WHEN reclassify IS NOT NULL AND reclassify <> type THEN 'topic-reclassified-' || topic_id ELSE 'lifecycle-' || item END AS card,
+  CASE WHEN reclassify IS NOT NULL AND reclassify <> type THEN reclassify ELSE type END AS topic_type FROM replayed JOIN otypes USING (item))"""
+add("apply_overrides", lambda f: G.apply_overrides(_cards(f), _overrides(f)), "SELECT topic_id, card, topic_type FROM carded", REPLAY)
+add("override_effects", lambda f: G.override_effects(_cards(f), G.apply_overrides(_cards(f), _overrides(f))), "SELECT card, count(*) AS topics, count(*) FILTER (card <> 'lifecycle-' || (topic_id - topic_id % 5)) AS came, min(topic_type) AS topic_type FROM carded GROUP BY card", REPLAY)
+add("override_stats", lambda f: G.override_stats(_overrides(f).join(f("topics").select(F.col("topic_id").alias("key"), F.col("date").alias("at")), "key")), f"SELECT action, strftime(date, '%Y-%m') AS month, count(*) AS entries FROM ({_LOG.format('(id // 5)').replace('FROM t ', 'FROM (SELECT topic_id AS id FROM topics) ')}) l JOIN topics ON topic_id = l.key GROUP BY ALL")
 CORRECTIONS = """corrections AS (SELECT topic_id, subject AS label, topic_type AS original, CASE WHEN topic_id % 7 = 0 THEN 'vote' ELSE 'outcome' END AS corrected, keywords FROM typed WHERE topic_id % 3 = 0),
 words AS (SELECT original, corrected, word, count(*) AS count, count(*) / any_value(total) AS share FROM (SELECT original, corrected, unnest(keywords) AS word FROM corrections) JOIN (SELECT original, corrected, count(*) AS total FROM corrections GROUP BY ALL) USING (original, corrected) GROUP BY original, corrected, word HAVING count(*) >= 2 AND count(*) / any_value(total) >= 0.5)"""
 _corrections = lambda f: _typed(f).where("topic_id % 3 = 0").select("topic_id", F.col("subject").alias("label"), F.col("topic_type").alias("original"), F.expr("case when topic_id % 7 = 0 then 'vote' else 'outcome' end").alias("corrected"))
