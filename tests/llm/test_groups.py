@@ -442,3 +442,35 @@ def test_quality_trains_once_on_an_id(spark):
     many = quality.score_quality(docs, labels)
     want = {r["doc_id"]: r["score"] for r in once.collect()}
     assert all(abs(r["score"] - want[r["doc_id"]]) < 1e-12 for r in many.collect()) and many.count() == 400
+
+
+def test_near_copies_of_every_length_are_linked(spark):
+    """Pairs at the threshold with single words replaced at even distance, the worst case for shingles."""
+    r = np.random.default_rng(8)
+    rows, many = [], 120
+    lengths = (9, 12, 18, 30, 47, 48, 55, 60, 61, 100, 200, 1000)
+    for n in lengths:
+        for _ in range(many):
+            words = [f"w{x}" for x in r.integers(0, 50_000, n)]
+            copy, edits = list(words), n // 9
+            for k in range(edits):
+                copy[min(n - 1, (2 * k + 1) * n // (2 * edits))] = f"x{r.integers(0, 50_000)}"
+            assert near_dedup.aligned(words, copy, 0.8)
+            rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join(copy))]
+    got = {x["doc_id"]: x["class_id"] for x in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, n in enumerate(lengths):
+        ids = range(2 * many * k, 2 * many * (k + 1), 2)
+        assert np.mean([got[i] == got[i + 1] for i in ids]) >= 0.95, n
+        assert len({got[i] for i in ids}) == many
+
+
+def test_texts_of_colliding_keys_are_told_apart(spark):
+    """Texts whose first keys are equal are one only if the second ones, of other word hashes under a secret seed, agree."""
+    real = near_dedup.hash_runs
+    try:
+        near_dedup.hash_runs = lambda values, starts, ends, seed=0: real(values, starts, ends, seed) if seed else np.full(len(starts), 7, dtype=np.uint64)
+        docs = spark.createDataFrame([(k, f"text {k} " * 12) for k in range(6)] + [(9, "text 3 " * 12)], "doc_id long, text string")
+        got = {x["doc_id"]: x["class_id"] for x in near_dedup.near_duplicates(docs).collect()}
+    finally:
+        near_dedup.hash_runs = real
+    assert got[9] == 3
