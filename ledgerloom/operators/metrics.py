@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.columns import action_tag, is_template, json_text, money, pick_amount, pick_locked_amount, pick_owner
 from ledgerloom.operators.views import template_view
+from ledgerloom.sources.scratch import cut
 
 
 def _if(condition: str | Column, value: Column | None = None) -> Column:
@@ -317,9 +318,10 @@ def burn_by_transaction(events: DataFrame) -> DataFrame:
         .when((F.col("kind") == "transfer") & has("summary"), fees("summary"))
         .when((F.col("kind") == "preapproval") & has("transferResult.summary"), fees("transferResult.summary") + number("amuletPaid")).otherwise(F.lit(0.0))
     )
-    burned = used.select("update_id", "event_date", "event_id", "kind", amount.alias("amount"), json_text(r, "amulet").alias("amulet"), "child_event_ids")
+    burned = cut(used.select("update_id", "event_date", "event_id", "kind", amount.alias("amount"), json_text(r, "amulet").alias("amulet"), "child_event_ids"))
     payments = burned.where("kind = 'names'")
-    made = events.where("event_type = 'created'").select(
+    # of the created events only those of a payment's update are unfolded
+    made = events.where("event_type = 'created'").join(payments.select("update_id").distinct(), "update_id", "left_semi").select(
         "update_id", F.explode(F.array_distinct(F.array("event_id", "contract_id"))).alias("amulet"), F.coalesce(money(json_text(F.col("payload"), "amount.initialAmount")), F.lit(0)).cast("double").alias("token")
     )
     tokens = payments.join(made, ["update_id", "amulet"]).select("update_id", "event_date", "kind", F.col("token").alias("amount"))

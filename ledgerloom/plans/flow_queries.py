@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerloom.operators import metrics as M
 from ledgerloom.plans.check_queries import raw_updates
 from ledgerloom.plans.digest import plain
-from ledgerloom.plans.metric_queries import NOW, D, R, T, as_of, trunc_diff
+from ledgerloom.plans.metric_queries import NOW, D, R, as_of, trunc_diff
+from ledgerloom.plans.metric_queries import T as text_of
 from ledgerloom.plans.oracles import sql
 from ledgerloom.sources import derive, io
 from ledgerloom.streaming import jobs
@@ -156,6 +158,23 @@ def stream_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.run_changes(jobs.type_counts(_stream(spark, sf_dir)), f"{folder}/out", f"{folder}/state", "event_type")
 
 
+def stream_migrations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every party's events, landed in two lots without any order; the stream ends after the first lot, and a new one goes on
+    from its checkpoint."""
+    folder = io.work_folder(spark)
+    order = Window.partitionBy("u", "m").orderBy("ts", "id")
+    rows = derive.ledger_base(spark, sf_dir).select("id", "u", "m", (F.row_number().over(order) - 1).cast("long").alias("place"), F.lead("id").over(order).isNull().alias("closing"))
+    first = F.min("m").over(Window.partitionBy("u"))
+    rows = rows.withColumn("after", F.when(F.col("m") > first, F.col("m") - 1)).select(F.concat(F.lit("p"), "u").alias("key"), F.col("m").alias("migration"), "after", "place", "closing", F.col("id").cast("string").alias("record"))
+    lots = rows.withColumn("lot", F.pmod(F.xxhash64("record"), F.lit(2)))
+    schema = T.StructType([f for f in lots.schema.fields if f.name != "lot"])
+    for lot in (1, 0):
+        lots.where(F.col("lot") == lot).drop("lot").repartition(3, F.xxhash64("record", "key")).write.mode("append").parquet(f"{folder}/in")
+        stream = jobs.ordered_migrations(jobs.stream_files(spark, f"{folder}/in", schema, files_per_batch=2))
+        found = jobs.run_to_table(stream, f"{folder}/out", f"{folder}/state", mode="append")
+    return found.select("key", "migration", "place", "position", F.col("record").cast("long").alias("id"))
+
+
 def stream_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = io.work_folder(spark)
     twice = _stream(spark, sf_dir).withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("copy")
@@ -168,17 +187,17 @@ def stream_freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _PLACED = "SELECT update_id, migration_id AS migration, CAST(year(effective_at) AS BIGINT) AS year, CAST(month(effective_at) AS BIGINT) AS month, CAST(day(effective_at) AS BIGINT) AS day, event_count FROM up"
 add("partitioned_read", partitioned_read, _PLACED)
-add("day_read", day_read, f"SELECT update_id, {T('effective_at')} FROM up WHERE CAST(effective_at AS DATE) = DATE '2024-01-12'")
-add("file_ranges", file_ranges, f"SELECT count(*) AS rows, {T('min(effective_at)', 'first')}, {T('max(effective_at)', 'last')} FROM up")
+add("day_read", day_read, f"SELECT update_id, {text_of('effective_at')} FROM up WHERE CAST(effective_at AS DATE) = DATE '2024-01-12'")
+add("file_ranges", file_ranges, f"SELECT count(*) AS rows, {text_of('min(effective_at)', 'first')}, {text_of('max(effective_at)', 'last')} FROM up")
 add("batch_replay", batch_replay, 'SELECT CAST("offset" % 4 AS BIGINT) AS batch, count(*) AS rows, count(DISTINCT update_id) AS ids FROM up GROUP BY 1')
 add("compacted", compacted, """SELECT update_id, strftime(CASE WHEN "offset" % 3 = 0 THEN record_time + INTERVAL 1 HOUR ELSE record_time END, '%Y-%m-%d %H:%M:%S') AS record_time FROM up""")
 add("daily_load", daily_load, f"""SELECT update_id, {D("record_date")} FROM up WHERE record_date BETWEEN (SELECT max(record_date) - 1 FROM up WHERE record_date < DATE '2024-01-15' AND "offset" % 5 <> 0) AND DATE '2024-01-19' AND NOT (record_date < DATE '2024-01-15' AND "offset" % 5 <> 0)""")
 add("vote_upsert", vote_upsert, "SELECT id AS tracking_cid, CASE WHEN id % 3 = 0 THEN 'passed' ELSE 'open' END AS status, CASE WHEN id % 3 = 0 THEN k + 1 ELSE k END AS votes, CASE WHEN id % 2 = 0 THEN kind ELSE 'new' END AS note FROM base WHERE id % 2 = 0 OR id % 3 = 0")
-add("json_roundtrip", json_roundtrip, f"SELECT update_id, {T('effective_at')}, event_count FROM up")
-add("json_ledger", json_ledger, f"SELECT update_id, {T('record_time')} FROM up")
+add("json_roundtrip", json_roundtrip, f"SELECT update_id, {text_of('effective_at')}, event_count FROM up")
+add("json_ledger", json_ledger, f"SELECT update_id, {text_of('record_time')} FROM up")
 _LINE = "len(update_id) + len(update_type) + len(synchronizer_id) + len('{\"update_id\":\"\",\"update_type\":\"\",\"synchronizer_id\":\"\"}') + 1"
 add("listed_files", listed_files, 'SELECT update_id, CASE WHEN "offset" % 2 = 1 THEN "offset" END AS "offset" FROM up')
-add("acs_formats", acs_formats, f"SELECT DISTINCT contract_id, template_id, migration_id, {T('snapshot_time')} FROM acs")
+add("acs_formats", acs_formats, f"SELECT DISTINCT contract_id, template_id, migration_id, {text_of('snapshot_time')} FROM acs")
 add("tiny_files", lambda s, d: io.tiny_files(io.file_stats(_lines(s, d, "record_date", "few"), "record_date")).select("bytes", "rows", F.col("first").alias("day")), f"""
 SELECT CAST(sum({_LINE}) AS BIGINT) AS bytes, count(*) AS rows, {D("record_date", "day")} FROM up GROUP BY record_date, "offset" % 5 = 0 HAVING sum({_LINE}) < 1024""")
 add("archive_stats", lambda s, d: io.archive_stats(io.file_stats(_lines(s, d, "migration", "record_date"), "record_date")), f"""
@@ -187,12 +206,13 @@ add("repaired_partitions", repaired, _PLACED)
 add("stream_normalized", stream_normalized, """
 SELECT update_id, CASE WHEN g % 7 = 0 THEN 'reassignment' ELSE 'transaction' END AS update_type, CASE WHEN g % 7 = 0 THEN 1 ELSE n END AS events FROM (SELECT update_id, CAST(substr(update_id, 2) AS BIGINT) AS g, count(*) AS n FROM ev WHERE event_type <> 'archived' GROUP BY update_id) WHERE g % 13 <> 0
 UNION ALL SELECT 'dead', NULL, count(DISTINCT update_id) FROM ev WHERE event_type <> 'archived' AND CAST(substr(update_id, 2) AS BIGINT) % 13 = 0""")
-add("stream_hourly", stream_hourly, f"SELECT {T('period')}, migration_id, rows FROM (SELECT CAST(date_trunc('hour', ts) AS TIMESTAMP) AS period, m AS migration_id, count(*) AS rows FROM base GROUP BY 1, 2)")
+add("stream_hourly", stream_hourly, f"SELECT {text_of('period')}, migration_id, rows FROM (SELECT CAST(date_trunc('hour', ts) AS TIMESTAMP) AS period, m AS migration_id, count(*) AS rows FROM base GROUP BY 1, 2)")
 add("stream_types", stream_types, "SELECT kind AS event_type, count(*) AS events FROM base GROUP BY kind")
 add("stream_distinct", stream_distinct, "SELECT id, kind AS event_type, strftime(ts, '%Y-%m-%d %H:%M:%S') AS \"at\" FROM base")
+add("stream_migrations", stream_migrations, "SELECT 'p' || u AS key, m AS migration, row_number() OVER (PARTITION BY u, m ORDER BY ts, id) - 1 AS place, row_number() OVER (PARTITION BY u ORDER BY m, ts, id) - 1 AS position, id FROM base")
 add("stream_freshness", stream_freshness, f"SELECT migration_id, synchronizer_id, n AS rows, a AS age_seconds, CASE WHEN a < 60 THEN 'live' WHEN a < 300 THEN 'idle' ELSE 'stale' END AS state FROM (SELECT migration_id, synchronizer_id, count(*) AS n, {trunc_diff('second', 'max(record_time)', NOW)} AS a FROM up GROUP BY 1, 2)")
 add("round_party_totals", lambda s, d: derive.round_party_totals(s, d), f"SELECT party, closed_round, {R('cumulative_app_rewards', 'cumulative_app_rewards')} FROM rpt")
-add("candles", lambda s, d: derive.candles(s, d), f"SELECT pair, {T('ts')}, {R('open', 'open')}, {R('high', 'high')}, {R('low', 'low')}, {R('close', 'close')}, {R('volume', 'volume')}, count FROM candles")
-add("ingestion_stats", lambda s, d: derive.ledger_updates(s, d).agg(F.count("*").alias("updates"), F.count_if(F.col("update_type") == "reassignment").alias("reassignments"), F.sum("event_count").alias("events"), F.max("record_time").alias("latest")), f"SELECT count(*) AS updates, count(*) FILTER (update_type = 'reassignment') AS reassignments, CAST(sum(event_count) AS BIGINT) AS events, {T('max(record_time)', 'latest')} FROM up")
+add("candles", lambda s, d: derive.candles(s, d), f"SELECT pair, {text_of('ts')}, {R('open', 'open')}, {R('high', 'high')}, {R('low', 'low')}, {R('close', 'close')}, {R('volume', 'volume')}, count FROM candles")
+add("ingestion_stats", lambda s, d: derive.ledger_updates(s, d).agg(F.count("*").alias("updates"), F.count_if(F.col("update_type") == "reassignment").alias("reassignments"), F.sum("event_count").alias("events"), F.max("record_time").alias("latest")), f"SELECT count(*) AS updates, count(*) FILTER (update_type = 'reassignment') AS reassignments, CAST(sum(event_count) AS BIGINT) AS events, {text_of('max(record_time)', 'latest')} FROM up")
 add("updates_by_type", lambda s, d: derive.ledger_updates(s, d).groupBy("update_type").agg(F.count("*").alias("updates")), "SELECT update_type, count(*) AS updates FROM up GROUP BY update_type")
 add("count_styles", lambda s, d: M.total_counts(derive.ledger_events(s, d), derive.ledger_updates(s, d)).select((F.col("events") + F.col("updates")).alias("both"), "events"), "SELECT (SELECT count(*) FROM ev) + (SELECT count(*) FROM up) AS both, (SELECT count(*) FROM ev) AS events")
