@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.sources.schemas import MONEY
@@ -67,6 +67,12 @@ def is_template(template_id: Column, entity: str) -> Column:
     return template_id.endswith(":" + entity)
 
 
+def of_entity(df: DataFrame, entity: str) -> Column:
+    """Whether a row's template is this entity: by the stored column ``entity`` where the frame has one (see ``store_events``),
+    so that the statistics of files and row groups decide what is read, else by the end of the template id."""
+    return F.col("entity") == entity if "entity" in df.columns else is_template(F.col("template_id"), entity)
+
+
 def json_text(payload: Column, path: str) -> Column:
     return F.get_json_object(payload, "$." + path)
 

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.columns import half_life
+from ledgerloom.functions.columns import half_life, of_entity
 from ledgerloom.sources.scratch import cut
 
 #: The flow that each stage's forum group belongs to, and the stages of each type in the order of its workflow.
@@ -465,6 +465,13 @@ def evaluate_classifier(gold: DataFrame, predicted: DataFrame, previous: DataFra
     return joined.rollup("truth").agg(F.count("*").alias("items"), F.avg(F.when(good, 1.0).otherwise(0.0)).alias("accuracy"), F.count_if(was & ~good).alias("regressions"), F.count_if(good & ~was).alias("improvements"))
 
 
+def accuracy_by_category(gold: DataFrame, predicted: DataFrame) -> DataFrame:
+    """Items and accuracy per category (null: standard) and over all (null). gold: (id, truth, category); predicted: (id, label)."""
+    joined = gold.withColumn("category", F.coalesce("category", F.lit("standard"))).join(predicted, "id", "left")
+    good = F.coalesce(F.col("label") == F.col("truth"), F.lit(False))
+    return joined.rollup("category").agg(F.count("*").alias("items"), F.count_if(good).alias("correct"), F.avg(F.when(good, 1.0).otherwise(0.0)).alias("accuracy"))
+
+
 def no_regression_gate(evaluation: DataFrame) -> DataFrame:
     """One row: whether any item regressed and the change is blocked."""
     return evaluation.where("truth is null").select((F.col("regressions") > 0).alias("blocked"), "regressions", "improvements")
@@ -481,11 +488,40 @@ def decision_stats(decisions: DataFrame) -> DataFrame:
     return decisions.groupBy("label", "source").agg(F.count("*").alias("decisions"), F.avg("confidence").alias("confidence"), F.count_if(F.col("confidence") < 0.5).alias("low"))
 
 
+def latest_decisions(traces: DataFrame) -> DataFrame:
+    """Of the decision traces (item_id, decided_at, ...) of each item the latest one."""
+    rest = [c for c in traces.columns if c != "item_id"]
+    return traces.groupBy("item_id").agg(F.max_by(F.struct(*rest), F.struct("decided_at", "trace_id")).alias("t")).select("item_id", "t.*")
+
+
+def query_decisions(
+    decisions: DataFrame, kind: str | None = None, since: str | None = None, until: str | None = None, consulted: bool | None = None, min_confidence: float | None = None, limit: int = 100,
+) -> DataFrame:
+    """Decisions newest first, ``limit`` of them: of one final type, decided between two times (both included), with or without
+    a model consulted, of a least confidence. A filter that is None holds for all."""
+    out = decisions
+    for value, holds in ((kind, F.col("final_type") == kind), (since, F.col("decided_at") >= F.lit(since).cast("timestamp")), (until, F.col("decided_at") <= F.lit(until).cast("timestamp")), (consulted, F.col("consulted") == F.lit(consulted)), (min_confidence, F.col("confidence") >= F.lit(min_confidence))):
+        out = out if value is None else out.where(holds)
+    return out.orderBy(F.col("decided_at").desc(), "item_id").limit(limit)
+
+
+def decision_totals(decisions: DataFrame) -> DataFrame:
+    """Items, those with a model consulted, and mean confidence, per final type and over all (null)."""
+    return decisions.rollup("final_type").agg(F.count("*").alias("items"), F.count_if("consulted").alias("consulted"), F.round(F.avg(F.when(F.col("confidence") > 0, F.col("confidence"))), 2).alias("confidence"))
+
+
 def direct_actions(events: DataFrame) -> DataFrame:
-    """Consuming rule exercises without a vote request in their update."""
-    used = events.where((F.col("event_type") == "exercised") & F.col("consuming") & F.col("template_id").endswith(":DsoRules"))
-    asked = events.where((F.col("event_type") == "created") & F.col("template_id").endswith(":VoteRequest")).select("update_id")
-    return used.join(asked, "update_id", "left_anti").select("event_id", "update_id", "choice", "effective_at")
+    """Consuming rule exercises without a vote request in their update; such actions count as executed."""
+    used = events.where((F.col("event_type") == "exercised") & F.col("consuming") & of_entity(events, "DsoRules"))
+    asked = events.where((F.col("event_type") == "created") & of_entity(events, "VoteRequest")).select("update_id")
+    subject = F.regexp_replace("choice", "^[A-Za-z]+_", "")
+    return used.join(asked, "update_id", "left_anti").select("event_id", "update_id", "contract_id", "choice", subject.alias("action_subject"), F.lit("executed").alias("status"), "effective_at")
+
+
+def status_breakdown(canonical: DataFrame) -> DataFrame:
+    """Proposals and requests by status, with their share in percent."""
+    by = canonical.groupBy("status").agg(F.count("*").alias("proposals"), F.sum("related").alias("requests"))
+    return by.select("status", "proposals", "requests", (F.col("proposals") * 100.0 / F.sum("proposals").over(Window.partitionBy())).alias("share"))  # a row a status
 
 
 def canonical_proposals(proposals: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.columns import action_tag, is_template, json_text, money
+from ledgerloom.functions.columns import action_tag, is_template, json_text, money, of_entity
 from ledgerloom.operators.views import template_view
 
 
@@ -130,6 +130,40 @@ def unique_proposals(events: DataFrame, as_of: Column, threshold: int = 10) -> D
     return joined.select("proposal_id", "contract_id", "action_type", F.col("effective_at").alias("latest_at"), "votes_for", "votes_against", "merged", status.alias("status"))
 
 
+def outcome_status(tag: Column) -> Column:
+    """Status of a closed vote by the tag of its outcome; without a known tag it has expired."""
+    return F.when(tag == "VRO_Accepted", "accepted").when(tag == "VRO_Rejected", "rejected").otherwise("expired")
+
+
+def closed_votes(results: DataFrame) -> DataFrame:
+    """(proposal_id, status, completed_at) of vote results (tracking_cid, contract_id, outcome_tag, completed_at): the latest
+    result of each proposal, which is its tracking id, else its contract."""
+    proposal = F.coalesce(F.nullif("tracking_cid", F.lit("")), F.col("contract_id"))
+    latest = results.groupBy(proposal.alias("proposal_id")).agg(F.max_by(F.struct("outcome_tag", "completed_at"), F.struct("completed_at", "contract_id")).alias("last"))
+    return latest.select("proposal_id", outcome_status(F.col("last.outcome_tag")).alias("status"), F.col("last.completed_at").alias("completed_at"))
+
+
+def proposal_states(events: DataFrame, closed: DataFrame, as_of: Column) -> DataFrame:
+    """(proposal_id, contract_id, status, is_closed, is_executed, is_human, requests) of every proposal, by its latest request.
+
+    The status is that of its closed vote where there is one, else expired once ``voteBefore`` has passed, else in progress.
+    It is executed if it was accepted and a consuming exercise of the rules followed in the update that archived it. It
+    is a human's unless it has neither a reason nor any vote.
+    """
+    requests = events.where((F.col("event_type") == "created") & of_entity(events, "VoteRequest"))
+    p = F.col("payload")
+    reason = F.coalesce(json_text(p, "reason.body"), json_text(p, "reason.url"), F.lit(""))
+    votes = F.coalesce(F.size(F.json_object_keys(json_text(p, "votes"))), F.lit(0))
+    rows = requests.select(F.coalesce(F.nullif(json_text(p, "trackingCid"), F.lit("")), F.col("contract_id")).alias("proposal_id"), "contract_id", "effective_at", F.try_to_timestamp(json_text(p, "voteBefore")).alias("until"), ((reason != "") | (votes > 0)).alias("is_human"))
+    latest = rows.groupBy("proposal_id").agg(F.max_by(F.struct("contract_id", "until", "is_human"), F.struct("effective_at", "contract_id")).alias("r"), F.count("*").alias("requests")).select("proposal_id", "r.*", "requests")
+    ended = events.where((F.col("event_type") == "archived") & of_entity(events, "VoteRequest")).select("contract_id", F.col("update_id").alias("ended_in")).groupBy("contract_id").agg(F.min("ended_in").alias("ended_in"))
+    ruled = events.where((F.col("event_type") == "exercised") & F.col("consuming") & of_entity(events, "DsoRules")).select(F.col("update_id").alias("ended_in"), F.lit(True).alias("ruled")).distinct()
+    joined = latest.join(closed.select("proposal_id", F.col("status").alias("closed_status")), "proposal_id", "left").join(ended, "contract_id", "left").join(ruled, "ended_in", "left")
+    over = F.coalesce(F.col("until") < as_of, F.lit(False))
+    status = F.coalesce("closed_status", F.when(over, "expired").otherwise("in_progress"))
+    return joined.select("proposal_id", "contract_id", status.alias("status"), (status != "in_progress").alias("is_closed"), ((status == "accepted") & F.coalesce("ruled", F.lit(False))).alias("is_executed"), "is_human", "requests")
+
+
 def first_actions(events: DataFrame) -> DataFrame:
     """First event per contract and kind of governance action: vote request, rule change, confirmation."""
     kind = (

@@ -381,6 +381,12 @@ def update_mix(updates: DataFrame, as_of: Column) -> DataFrame:
     return by.select("update_type", "updates", (F.col("updates") * 100.0 / F.sum("updates").over(Window.partitionBy())).alias("share"), age.alias("age_seconds"), state.alias("state"))
 
 
+def top_templates(events: DataFrame, n: int = 5) -> DataFrame:
+    """The n entities with most events (of equal ones the first by name)."""
+    counts = events.groupBy(F.element_at(F.split("template_id", ":"), -1).alias("template")).agg(F.count("*").alias("events"))
+    return counts.where("template <> ''").orderBy(F.col("events").desc(), "template").limit(n)
+
+
 def typical_price() -> Column:
     return (F.col("open") + F.col("high") + F.col("low") + F.col("close")) / 4
 
@@ -440,24 +446,41 @@ def transaction_classes(events: DataFrame, wallets: DataFrame) -> DataFrame:
     return rows.groupBy("party").agg(_if(kind == "outbound").alias("outbound"), _if(kind == "inbound").alias("inbound"), _if(kind == "other").alias("other"))
 
 
-def wallet_immobility(classes: DataFrame, balances: DataFrame) -> DataFrame:
-    """A wallet is immobile without outbound events; alert if it holds an unlocked balance then."""
-    joined = classes.join(balances.select(F.col("owner").alias("party"), "unlocked"), "party", "left")
-    still = F.col("outbound") == 0
-    return joined.select("party", "outbound", F.when(still, "immobile").otherwise("mobile").alias("verdict"), (still & (F.coalesce("unlocked", F.lit(0)) > 0)).alias("alert"))
+def transfer_activity(events: DataFrame) -> DataFrame:
+    """(party): parties of events whose template is a transfer's or whose choice is Transfer."""
+    moved = F.col("template_id").contains("Transfer") | F.coalesce(F.col("choice") == "Transfer", F.lit(False))
+    return party_events(events.where(moved)).select("party").distinct()
+
+
+def wallet_immobility(classes: DataFrame, balances: DataFrame, active: DataFrame) -> DataFrame:
+    """A wallet is immobile without outbound events and without any transfer activity (``active``: party); alert if it holds
+    an unlocked balance then."""
+    joined = classes.join(balances.select(F.col("owner").alias("party"), "unlocked"), "party", "left").join(active.select("party", F.lit(True).alias("active")), "party", "left")
+    still = (F.col("outbound") == 0) & F.col("active").isNull()
+    return joined.select("party", "outbound", F.coalesce("active", F.lit(False)).alias("transfers"), F.when(still, "immobile").otherwise("mobile").alias("verdict"), (still & (F.coalesce("unlocked", F.lit(0)) > 0)).alias("alert"))
+
+
+def numbered(rows: DataFrame, *order: Column, out: str = "rank") -> DataFrame:
+    """The rows with their number from 1 on in an order over all of them.
+
+    Rows are ranged by the whole order into sorted parts and written once; every part starts after the rows of those before it,
+    a table of one row a part. With a unique column in the order, equal values are split over parts too.
+    """
+    keys = [f"__order_{k}" for k in range(len(order))]
+    placed = rows.select("*", *[c.alias(k) for k, c in zip(keys, order, strict=True)])
+    parts = cut(placed.repartitionByRange(*keys).withColumn("__part", F.spark_partition_id()))
+    sizes = parts.groupBy("__part").agg(F.count("*").alias("__rows"))
+    before = sizes.select("__part", (F.sum("__rows").over(Window.orderBy("__part")) - F.col("__rows")).alias("__before"))  # one row a part
+    inside = F.row_number().over(Window.partitionBy("__part").orderBy(*keys))
+    found = parts.withColumn("__inside", inside).join(before, "__part")
+    return found.withColumn(out, F.col("__inside") + F.col("__before")).drop("__part", "__inside", "__before", *keys)
 
 
 def dev_fund_summary(coupons: DataFrame) -> DataFrame:
-    """Coupons (contract_id, effective_at, amount) ranked by amount, beside total and latest one. Ranks are counted within
-    ranges of amounts, cut at a hundred quantiles, and start after the rows of all higher ranges."""
-    cuts = coupons.agg(F.percentile_approx("amount", [k / 100 for k in range(1, 100)], 10_000).alias("cuts"))  # one row
-    placed = coupons.crossJoin(F.broadcast(cuts)).withColumn("range", F.size(F.filter(F.coalesce("cuts", F.array().cast("array<double>")), lambda c: c > F.coalesce("amount", F.lit(float("-inf")))))).drop("cuts")
-    sizes = placed.groupBy("range").agg(F.count("*").alias("rows"))  # a hundred rows at most
-    before = sizes.select("range", (F.sum("rows").over(Window.orderBy("range")) - F.col("rows")).alias("before"))
-    inside = F.row_number().over(Window.partitionBy("range").orderBy(F.col("amount").desc(), "contract_id"))
-    coupons = placed.withColumn("inside", inside).join(F.broadcast(before), "range").withColumn("rank", (F.col("inside") + F.col("before")).cast("int")).drop("range", "inside", "before")
+    """Coupons (contract_id, effective_at, amount) ranked by amount (of equal ones by id), beside total and latest one."""
+    ranked = numbered(coupons, -F.coalesce(F.col("amount").cast("decimal(38,10)"), F.lit("-1e20").cast("decimal(38,10)")), F.col("contract_id")).withColumn("rank", F.col("rank").cast("int"))
     whole = coupons.agg(F.sum("amount").alias("total"), F.max(F.struct("effective_at", "contract_id"))["contract_id"].alias("latest_contract"))
-    return coupons.crossJoin(whole)  # one row
+    return ranked.crossJoin(whole)  # one row
 
 
 def validator_cohorts(licences: DataFrame, super_validators: DataFrame, rounds_a_day: int = 144) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerloom.functions.columns import of_entity
 from ledgerloom.sources.schemas import MONEY
 
 #: Type names of view columns: text, long (through decimal, so that "1.0" is 1), money, bool, time, list (of text),
@@ -273,7 +274,7 @@ def template_view(events: DataFrame, name: str) -> DataFrame:
     view = VIEWS[name]
     rows = events.where(F.col("event_type").isin(*view.events))
     if view.entity:
-        rows = rows.where(F.col("template_id").endswith(":" + view.entity))
+        rows = rows.where(of_entity(events, view.entity))
     if view.where:
         rows = rows.where(view.where)
     kept = [F.expr(DERIVED[c]).cast("long" if c == "child_event_count" else "string").alias(c) if c in DERIVED else F.col(c) for c in view.keep]

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerloom.operators import metrics as M
+from ledgerloom.operators import views
 from ledgerloom.plans.check_queries import raw_updates
 from ledgerloom.plans.digest import plain
 from ledgerloom.plans.metric_queries import NOW, D, R, as_of, trunc_diff
@@ -52,6 +54,37 @@ def file_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return io.file_stats(io.read_raw(spark, root, "updates", rows.drop("migration_id").schema), "effective_at").agg(F.sum("rows").alias("rows"), F.min("first").alias("first"), F.max("last").alias("last"))
 
 
+def file_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows and times of every file, by the day that its path names (one file a day and migration here)."""
+    root, rows = _landed(spark, sf_dir)
+    stats = io.file_stats(io.read_raw(spark, root, "updates", rows.drop("migration_id").schema), "effective_at")
+    part = lambda name: F.regexp_extract("file", f"/{name}=([^/]+)/", 1)
+    return stats.select(F.concat_ws("/", *[part(p) for p in io.PARTS]).alias("path"), "rows", "first", "last", (F.col("bytes") > 0).alias("filled"))
+
+
+def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, rows = io.work_folder(spark), _updates(spark, sf_dir)
+    io.export(rows, path, "csv")
+    return io.read_csv(spark, path, rows.schema).select("update_id", "update_type", "effective_at", "event_count")
+
+
+def candle_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candles landed as JSON lines, every seventh with its time in milliseconds, and read back."""
+    path, rows = io.work_folder(spark), derive.candles(spark, sf_dir)
+    at = F.when(F.unix_seconds(F.col("ts").cast("timestamp")) % 7 == 0, F.unix_millis(F.col("ts").cast("timestamp")).cast("string")).otherwise(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+    io.export(rows.withColumn("ts", at), path, "json")
+    return io.read_candles(spark, path).select("pair", "ts", "open", "price", "volume", "count")
+
+
+def stored_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events stored by entity and day; rows of every view of one entity, read by the stored column."""
+    path, events = io.work_folder(spark), derive.ledger_events(spark, sf_dir)
+    io.store_events(events, path)
+    stored = spark.read.parquet(path)
+    found = [views.template_view(stored, name).agg(F.count("*").alias("rows")).select(F.lit(name).alias("view"), "rows") for name in ("amulet", "vote_request", "validator_license", "dso_rules", "open_mining_round")]
+    return reduce(DataFrame.unionByName, found)
+
+
 def batch_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four batches by offset, the third written twice: the replay leaves one copy."""
     path, rows = io.work_folder(spark), _updates(spark, sf_dir)
@@ -210,6 +243,10 @@ add("stream_hourly", stream_hourly, f"SELECT {text_of('period')}, migration_id,
 add("stream_types", stream_types, "SELECT kind AS event_type, count(*) AS events FROM base GROUP BY kind")
 add("stream_distinct", stream_distinct, "SELECT id, kind AS event_type, strftime(ts, '%Y-%m-%d %H:%M:%S') AS \"at\" FROM base")
 add("stream_migrations", stream_migrations, "SELECT 'p' || u AS key, m AS migration, row_number() OVER (PARTITION BY u, m ORDER BY ts, id) - 1 AS place, row_number() OVER (PARTITION BY u ORDER BY m, ts, id) - 1 AS position, id FROM base")
+add("file_report", file_report, f"SELECT migration_id || '/' || year(effective_at) || '/' || month(effective_at) || '/' || day(effective_at) AS path, count(*) AS rows, {text_of('min(effective_at)', 'first')}, {text_of('max(effective_at)', 'last')}, true AS filled FROM up GROUP BY 1")
+add("csv_roundtrip", csv_roundtrip, f"SELECT update_id, update_type, {text_of('effective_at')}, event_count FROM up")
+add("candle_files", candle_files, f"SELECT pair, {text_of('ts')}, {R('open', 'open')}, {R('close', 'price')}, {R('volume', 'volume')}, count FROM candles")
+add("stored_views", stored_views, " UNION ALL ".join(f"SELECT '{name}' AS view, count(*) AS rows FROM ev WHERE event_type IN ({', '.join(repr(e) for e in views.VIEWS[name].events)}) AND template_id LIKE '%:{views.VIEWS[name].entity}'" for name in ("amulet", "vote_request", "validator_license", "dso_rules", "open_mining_round")))
 add("stream_freshness", stream_freshness, f"SELECT migration_id, synchronizer_id, n AS rows, a AS age_seconds, CASE WHEN a < 60 THEN 'live' WHEN a < 300 THEN 'idle' ELSE 'stale' END AS state FROM (SELECT migration_id, synchronizer_id, count(*) AS n, {trunc_diff('second', 'max(record_time)', NOW)} AS a FROM up GROUP BY 1, 2)")
 add("round_party_totals", lambda s, d: derive.round_party_totals(s, d), f"SELECT party, closed_round, {R('cumulative_app_rewards', 'cumulative_app_rewards')} FROM rpt")
 add("candles", lambda s, d: derive.candles(s, d), f"SELECT pair, {text_of('ts')}, {R('open', 'open')}, {R('high', 'high')}, {R('low', 'low')}, {R('close', 'close')}, {R('volume', 'volume')}, count FROM candles")

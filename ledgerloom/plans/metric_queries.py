@@ -379,8 +379,10 @@ SELECT party, count(*) FILTER (k = 'outbound') AS outbound, count(*) FILTER (k =
 WHERE party IN (SELECT 'p' || u FROM base WHERE id % 7 = 0) GROUP BY party)"""
 _wallets = lambda f: f("ledger_base").where("id % 7 = 0").select(F.concat(F.lit("p"), F.col("u").cast("string")).alias("wallet")).distinct()
 add("transaction_classes", lambda f: M.transaction_classes(f(E), _wallets(f)), "SELECT * FROM classes", CLASSES)
-add("wallet_immobility", lambda f: M.wallet_immobility(M.transaction_classes(f(E), _wallets(f)), M.holder_balances(M.latest_snapshot(f(A)))), """
-SELECT party, outbound, CASE WHEN outbound = 0 THEN 'immobile' ELSE 'mobile' END AS verdict, outbound = 0 AND coalesce(unlocked, 0) > 0 AS alert FROM classes LEFT JOIN balances ON owner = party""", CLASSES, LATEST, BALANCES)
+add("wallet_immobility", lambda f: M.wallet_immobility(M.transaction_classes(f(E), _wallets(f)), M.holder_balances(M.latest_snapshot(f(A))), M.transfer_activity(f(E).where("substring(contract_id, 2) % 10 = 0"))), """
+SELECT party, outbound, moved IS NOT NULL AS transfers, CASE WHEN outbound = 0 AND moved IS NULL THEN 'immobile' ELSE 'mobile' END AS verdict, outbound = 0 AND moved IS NULL AND coalesce(unlocked, 0) > 0 AS alert FROM classes LEFT JOIN balances ON owner = party
+LEFT JOIN (SELECT DISTINCT unnest(list_concat(signatories, observers)) AS moved FROM ev WHERE CAST(substr(contract_id, 2) AS BIGINT) % 10 = 0 AND (contains(template_id, 'Transfer') OR choice = 'Transfer')) ON moved = party""", CLASSES, LATEST, BALANCES)
+add("top_templates", lambda f: M.top_templates(f(E).where("event_type <> 'archived'")), "SELECT substr(template_id, strpos(template_id, ':') + 1) AS t, count(*) AS n FROM ev WHERE event_type <> 'archived' GROUP BY 1 ORDER BY 2 DESC".replace("SELECT substr", "SELECT list_last(string_split(t, ':')) AS template, n AS events FROM (SELECT substr") + ") ORDER BY n DESC, template LIMIT 5")
 add("dev_fund_summary", lambda f: M.dev_fund_summary(M.latest_snapshot(f(A)).where(F.col("template_id").endswith(":UnclaimedReward")).select("contract_id", F.col("record_time").alias("effective_at"), money(json_text(F.col("payload"), "amount")).alias("amount"))), f"""
 SELECT contract_id, {T("record_time", "effective_at")}, {R("amount", "amount")}, row_number() OVER (ORDER BY d.amount DESC, contract_id) AS rank, {R("sum(d.amount) OVER ()", "total")}, (SELECT arg_max(contract_id, {{'a': record_time, 'b': contract_id}}) FROM latest WHERE {IS("UnclaimedReward")}) AS latest_contract
 FROM (SELECT *, {MONEY("amount")} AS amount FROM latest WHERE {IS("UnclaimedReward")}) d""", LATEST)

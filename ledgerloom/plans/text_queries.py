@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.columns import action_tag, action_title
 from ledgerloom.operators import governance as G
+from ledgerloom.operators import lifecycle as L
 from ledgerloom.operators.views import template_view
 from ledgerloom.plans.digest import plain
 from ledgerloom.plans.metric_queries import AS_OF_TEXT, D, IS, J, R, T
@@ -185,10 +186,36 @@ FROM (SELECT CASE WHEN before = now THEN 'u' WHEN now = truth AND before <> trut
 add("audit_disagreements", lambda f: G.audit_disagreements(_gold(f).select(F.col("id").alias("topic_id"), F.col("truth").alias("rule_type")), _label(f, 6, "vote").select(F.col("id").alias("topic_id"), F.col("label").alias("reviewed_type"), ((F.col("id") % 10) / 10).alias("confidence"))), f"""
 SELECT id AS topic_id, truth AS rule_type, before AS reviewed_type, {R("(id % 10) / 10.0", "confidence")}, (id % 10) / 10.0 < 0.8 AS needs_review FROM labelled WHERE truth <> before""", IDENTIFIED, LABELS)
 add("decision_stats", lambda f: G.decision_stats(_typed(f).select(F.col("topic_type").alias("label"), "source", ((F.col("topic_id") % 10) / 10).alias("confidence"))), f"SELECT topic_type AS label, source, count(*) AS decisions, {R('avg((topic_id % 10) / 10.0)', 'confidence')}, count(*) FILTER (topic_id % 10 < 5) AS low FROM typed GROUP BY ALL", IDENTIFIED)
-add("direct_actions", lambda f: G.direct_actions(f(E)), f"SELECT event_id, update_id, choice, {T('effective_at')} FROM ev WHERE event_type = 'exercised' AND consuming AND {IS('DsoRules')} AND update_id NOT IN (SELECT update_id FROM ev WHERE event_type = 'created' AND {IS('VoteRequest')})")
+#: Two traces of every third item; the later one holds.
+_TRACES = """SELECT id AS item_id, concat('t', CAST(id AS STRING), '-', CAST(n AS STRING)) AS trace_id, CASE WHEN (id + n) % 4 = 0 THEN 'cip' WHEN (id + n) % 4 = 1 THEN 'featured-app' WHEN (id + n) % 4 = 2 THEN 'validator' ELSE 'other' END AS final_type,
+  (id + n) % 3 = 0 AS consulted, CAST(((id * 7 + n) % 10) / 10.0 AS DOUBLE) AS confidence, day + n * INTERVAL 1 DAY AS decided_at FROM t, (VALUES (0), (1)) AS v(n) WHERE n = 0 OR id % 3 = 0"""
+_decisions = lambda f: G.latest_decisions(f("topics").sparkSession.sql(_TRACES.replace("FROM t,", "FROM {t},"), t=f("topics").select(F.col("topic_id").alias("id"), F.col("date").cast("timestamp").alias("day"))))
+DECIDED = "decided AS (SELECT * FROM (" + _TRACES.replace("FROM t,", "FROM (SELECT topic_id AS id, CAST(date AS TIMESTAMP) AS day FROM topics) t,") + ") QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY decided_at DESC, trace_id DESC) = 1)"
+_SHOWN = "item_id, trace_id, final_type, consulted, " + R("confidence", "confidence") + ", " + T("decided_at")
+add("latest_decisions", _decisions, f"SELECT {_SHOWN} FROM decided", DECIDED)
+add("query_decisions", lambda f: G.query_decisions(_decisions(f), "featured-app", "2024-02-01", "2024-08-01", False, 0.3), f"SELECT * FROM (SELECT {_SHOWN} FROM decided WHERE final_type = 'featured-app' AND decided_at BETWEEN TIMESTAMP '2024-02-01' AND TIMESTAMP '2024-08-01' AND NOT consulted AND confidence >= 0.3) ORDER BY decided_at DESC, item_id LIMIT 100", DECIDED)
+add("decision_totals", lambda f: G.decision_totals(_decisions(f)), f"SELECT final_type, count(*) AS items, count(*) FILTER (consulted) AS consulted, {R('round(avg(confidence) FILTER (confidence > 0), 2)', 'confidence')} FROM decided GROUP BY ROLLUP (final_type)", DECIDED)
+add("accuracy_by_category", lambda f: G.accuracy_by_category(_gold(f).join(f("topics").select(F.col("topic_id").alias("id"), F.when(F.col("topic_id") % 7 > 0, F.col("source")).alias("category")), "id"), _label(f, 4, "other")), f"SELECT category, count(*) AS items, count(*) FILTER (now = truth) AS correct, {R('avg(CASE WHEN now = truth THEN 1.0 ELSE 0.0 END)', 'accuracy')} FROM (SELECT l.*, coalesce(CASE WHEN id % 7 > 0 THEN source END, 'standard') AS category FROM labelled l JOIN topics ON topic_id = id) GROUP BY ROLLUP (category)", IDENTIFIED, LABELS)
+#: Updates of four contracts each, so that some hold a rule exercise and no vote request.
+_few = lambda f: f(E).withColumn("update_id", F.expr("concat('w', cast((cast(substring(contract_id, 2) as bigint) + 3) div 4 as string))"))
+FEW = "few AS MATERIALIZED (SELECT * REPLACE ('w' || ((CAST(substr(contract_id, 2) AS BIGINT) + 3) // 4) AS update_id) FROM ev)"
+add("direct_actions", lambda f: G.direct_actions(_few(f)), f"SELECT event_id, update_id, contract_id, choice, regexp_replace(choice, '^[A-Za-z]+_', '') AS action_subject, 'executed' AS status, {T('effective_at')} FROM few WHERE event_type = 'exercised' AND consuming AND {IS('DsoRules')} AND update_id NOT IN (SELECT update_id FROM few WHERE event_type = 'created' AND {IS('VoteRequest')})", FEW)
+_results = lambda f: template_view(f(E), "vote_request").select(F.col("tracking_cid"), "contract_id", F.expr("element_at(array('VRO_Accepted', 'VRO_Rejected', 'VRO_Expired', null), cast(substring(contract_id, 2) % 4 as int) + 1)").alias("outcome_tag"), F.col("effective_at").alias("completed_at")).where("substring(contract_id, 2) % 3 > 0")
+CLOSED = f"""closed AS MATERIALIZED (SELECT proposal_id, CASE coalesce(tag, '') WHEN 'VRO_Accepted' THEN 'accepted' WHEN 'VRO_Rejected' THEN 'rejected' ELSE 'expired' END AS status, effective_at AS completed_at
+FROM (SELECT coalesce(nullif({J("trackingCid")}, ''), contract_id) AS proposal_id, contract_id, effective_at, (['VRO_Accepted', 'VRO_Rejected', 'VRO_Expired', NULL])[CAST(CAST(substr(contract_id, 2) AS BIGINT) % 4 AS INTEGER) + 1] AS tag FROM ev WHERE event_type = 'created' AND {IS("VoteRequest")} AND CAST(substr(contract_id, 2) AS BIGINT) % 3 > 0)
+QUALIFY row_number() OVER (PARTITION BY proposal_id ORDER BY effective_at DESC, contract_id DESC) = 1)"""
+add("closed_votes", lambda f: L.closed_votes(_results(f)), f"SELECT proposal_id, status, {T('completed_at')} FROM closed", CLOSED)
+add("proposal_states", lambda f: L.proposal_states(_few(f), L.closed_votes(_results(f)), F.lit(AS_OF_TEXT).cast("timestamp")), f"""
+SELECT proposal_id, contract_id, status, status <> 'in_progress' AS is_closed, status = 'accepted' AND ruled AS is_executed, is_human, requests FROM (
+  SELECT r.proposal_id, r.contract_id, coalesce(c.status, CASE WHEN coalesce(until < TIMESTAMP '{AS_OF_TEXT}', false) THEN 'expired' ELSE 'in_progress' END) AS status, is_human, requests,
+    EXISTS (SELECT 1 FROM few a JOIN few d ON d.update_id = a.update_id WHERE a.contract_id = r.contract_id AND a.event_type = 'archived' AND d.event_type = 'exercised' AND d.consuming AND d.template_id LIKE '%:DsoRules') AS ruled
+  FROM (SELECT coalesce(nullif({J("trackingCid")}, ''), contract_id) AS proposal_id, contract_id, TRY_CAST({J("voteBefore")} AS TIMESTAMP) AS until, coalesce({J("reason.body")}, {J("reason.url")}, '') <> '' OR coalesce(len(json_keys(payload, '$.votes')), 0) > 0 AS is_human,
+          count(*) OVER (PARTITION BY coalesce(nullif({J("trackingCid")}, ''), contract_id)) AS requests FROM few WHERE event_type = 'created' AND {IS("VoteRequest")}
+        QUALIFY row_number() OVER (PARTITION BY coalesce(nullif({J("trackingCid")}, ''), contract_id) ORDER BY effective_at DESC, contract_id DESC) = 1) r LEFT JOIN closed c USING (proposal_id))""", FEW, CLOSED)
 CANON = f"""canon AS (SELECT {J("trackingCid")} AS proposal_id, arg_max(CASE WHEN TRY_CAST({J("expiresAt")} AS TIMESTAMP) < TIMESTAMP '{AS_OF_TEXT}' THEN 'closed' ELSE 'open' END, {{'a': effective_at, 'b': contract_id}}) AS status, count(*) AS related, min(effective_at) AS first_seen, max(effective_at) AS last_seen FROM ev WHERE event_type = 'created' AND {IS("VoteRequest")} GROUP BY 1)"""
 _canon = lambda f: G.canonical_proposals(template_view(f(E), "vote_request").select(F.col("tracking_cid").alias("proposal_id"), "contract_id", F.col("effective_at").alias("at"), F.expr(f"case when expires_at < timestamp '{AS_OF_TEXT}' then 'closed' else 'open' end").alias("status")))
 add("canonical_proposals", _canon, f"SELECT proposal_id, status, related, {T('first_seen')}, {T('last_seen')} FROM canon", CANON)
+add("status_breakdown", lambda f: G.status_breakdown(_canon(f)), f"SELECT status, count(*) AS proposals, CAST(sum(related) AS BIGINT) AS requests, {R('count(*) * 100.0 / sum(count(*)) OVER ()', 'share')} FROM canon GROUP BY status", CANON)
 add("proposal_dedupe_stats", lambda f: G.proposal_dedupe_stats(_canon(f)), f"SELECT CAST(sum(related) AS BIGINT) AS requests, count(*) AS proposals, {R('(sum(related) - count(*)) * 100.0 / sum(related)', 'duplicate_pct')} FROM canon", CANON)
 add("parse_actions", lambda f: f(E).where("event_type = 'created' and template_id like '%:VoteRequest'").select("contract_id", action_tag(F.col("payload")).alias("action_type"), action_title(action_tag(F.col("payload"))).alias("title")), f"""
 SELECT contract_id, {J("action.value.dsoAction.tag")} AS action_type, regexp_replace({J("action.value.dsoAction.tag")}, '^[A-Z]+_', '') AS title FROM ev WHERE event_type = 'created' AND {IS("VoteRequest")}""")

@@ -9,10 +9,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerloom.functions.columns import entity_of
 from ledgerloom.operators.bronze import utc_partition
 from ledgerloom.sources.scratch import work_folder as work_folder
 
 PARTS = ("migration", "year", "month", "day")
+#: How reports write times.
+TIMES = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -73,6 +76,14 @@ def write_partitioned(df: DataFrame, root: str, kind: str, at: str = "effective_
     good.repartition("migration", "year", "month", "day").write.mode(mode).option("compression", "zstd").partitionBy(*PARTS).parquet(f"{root}/{kind}")
 
 
+def store_events(events: DataFrame, path: str, day: str = "event_date", mode: str = "append") -> None:
+    """Typed events with their entity as a column, in files that each hold a range of (entity, day): a view of one entity,
+    and a day of it, then reads few files and row groups. Large entities are cut into several ranges by their days and ids."""
+    keyed = events.withColumn("entity", entity_of(F.col("template_id")))
+    order = ["entity", day, *[c for c in ("event_id",) if c in events.columns]]
+    keyed.repartitionByRange(*order).sortWithinPartitions(*order).write.mode(mode).option("compression", "zstd").parquet(path)
+
+
 def rejected_rows(df: DataFrame, at: str = "effective_at") -> DataFrame:
     """The rows that ``write_partitioned`` leaves out."""
     return utc_partition(df, at).where("not partition_ok").drop("year", "month", "day", "partition_ok")
@@ -131,9 +142,9 @@ def upsert(current: DataFrame, new: DataFrame, key: str, update: Sequence[str])
 
 
 def export(df: DataFrame, path: str, kind: str = "json") -> None:
-    """Report rows as JSON lines or CSV with a header."""
-    writer = df.write.mode("overwrite")
-    writer.json(path) if kind == "json" else writer.option("header", "true").csv(path)
+    """Report rows as JSON lines or CSV with a header; times keep microseconds."""
+    writer = df.write.mode("overwrite").option("timestampFormat", TIMES)
+    writer.json(path) if kind == "json" else writer.option("header", "true").option("escape", '"').csv(path)
 
 
 def file_stats(df: DataFrame, at: str) -> DataFrame:
@@ -142,6 +153,22 @@ def file_stats(df: DataFrame, at: str) -> DataFrame:
     return df.select(meta["file_path"].alias("file"), meta["file_size"].alias("bytes"), F.col(at).alias("at")).groupBy("file", "bytes").agg(F.count("*").alias("rows"), F.min("at").alias("first"), F.max("at").alias("last"))
 
 
+def read_candles(spark: SparkSession, path: str) -> DataFrame:
+    """Candles of JSON-lines files: pair, time (ISO text or milliseconds since 1970), prices and volume as text or numbers. The
+    price is the close where none is given; rows without pair or time, and texts that are no JSON, drop out."""
+    names = ("open", "high", "low", "close", "price", "volume", "count")
+    rows = spark.read.schema("pair string, ts string, " + ", ".join(f"{n} string" for n in names)).option("mode", "DROPMALFORMED").json(path)
+    at = F.when(F.col("ts").rlike("^[0-9]+$"), F.timestamp_millis(F.col("ts").try_cast("long"))).otherwise(F.try_to_timestamp("ts"))
+    number = lambda n: F.col(n).try_cast("double")
+    out = rows.select("pair", at.alias("ts"), *[number(n).alias(n) for n in ("open", "high", "low", "close")], F.coalesce(number("price"), number("close")).alias("price"), number("volume").alias("volume"), F.col("count").try_cast("long").alias("count"))
+    return out.where("pair is not null and ts is not null")
+
+
+def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """A report that ``export`` wrote as CSV."""
+    return spark.read.schema(schema).option("header", "true").option("timestampFormat", TIMES).option("escape", '"').option("multiLine", "true").csv(path)
+
+
 def tiny_files(stats: DataFrame, under: int = 1024) -> DataFrame:
     return stats.where(F.col("bytes") < under)
 
