@@ -6,6 +6,10 @@ import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import HashingTF, NGram, RegexTokenizer, SQLTransformer, StringIndexer
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -444,6 +448,30 @@ def score_topics(topics: DataFrame, load: Callable[[], Callable[[pd.Series], pd.
     return topics.select("topic_id", F.col(text_col).alias("text")).mapInPandas(run, "topic_id long, label string, score double")
 
 
+def fit_topic_model(labelled: DataFrame, path: str, text_col: str = "text", label_col: str = "label", features: int = 1 << 16, rounds: int = 40) -> None:
+    """Fit a linear model of labels on the words and word pairs of whole texts, hashed to ``features`` cells, and store it under
+    ``path`` (a folder that all executors share). Rows without a label or text don't train. The fit is distributed; what the
+    driver holds are the weights, of a fixed size for each label."""
+    rows = labelled.select(F.col(text_col).alias("text"), F.col(label_col).cast("string").alias("label")).where("text is not null and label is not null")
+    steps = [
+        StringIndexer(inputCol="label", outputCol="target", stringOrderType="alphabetAsc"), RegexTokenizer(inputCol="text", outputCol="words", pattern=r"[^\p{L}\p{N}]+"), NGram(inputCol="words", outputCol="pairs"),
+        SQLTransformer(statement="SELECT *, concat(words, pairs) AS terms FROM __THIS__"), HashingTF(inputCol="terms", outputCol="cells", numFeatures=features, binary=True), LogisticRegression(featuresCol="cells", labelCol="target", maxIter=rounds, regParam=0.01),
+    ]
+    Pipeline(stages=steps).fit(rows).write().overwrite().save(path)
+
+
+def score_fitted(topics: DataFrame, path: str, id_col: str = "topic_id", text_col: str = "body") -> DataFrame:
+    """(id_col, label, score): the likeliest label of every text and its probability, by a model that ``fit_topic_model`` stored.
+    Scoring is vectorised in the JVM; a null text counts as empty."""
+    model = PipelineModel.load(path)
+    labels = model.stages[0].labels
+    scored = PipelineModel(model.stages[1:]).transform(topics.select(id_col, F.coalesce(text_col, F.lit("")).alias("text")))
+    chances = vector_to_array("probability")
+    best = F.array_max(F.transform(chances, lambda p, k: F.struct(p.alias("p"), (-k).alias("k"))))
+    picked = scored.select(id_col, best.alias("best"))
+    return picked.select(id_col, F.array(*[F.lit(x) for x in labels])[-F.col("best.k")].alias("label"), F.col("best.p").alias("score"))
+
+
 def keyword_model() -> Callable[[pd.Series], pd.DataFrame]:
     """A small scorer for tests and defaults: share of each stage's marker words found in a text."""
     marks = {"vote": ("vote", "fee"), "app": ("featured", "app"), "validator": ("validator", "node")}

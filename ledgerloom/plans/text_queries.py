@@ -15,7 +15,7 @@ from ledgerloom.plans.digest import plain
 from ledgerloom.plans.metric_queries import AS_OF_TEXT, D, IS, J, R, T
 from ledgerloom.plans.oracles import sql
 from ledgerloom.sources import derive
-from ledgerloom.sources.scratch import cut
+from ledgerloom.sources.scratch import cut, work_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -171,6 +171,18 @@ add("keyword_classify", lambda f: G.keyword_classify(f("topics"), _patterns(f)),
 add("score_topics", lambda f: G.score_topics(f("topics"), G.keyword_model), """
 SELECT topic_id, CASE WHEN a > 0 OR v > 0 OR n > 0 THEN CASE WHEN v >= a AND v >= n THEN 'vote' WHEN a >= n THEN 'app' ELSE 'validator' END ELSE 'other' END AS label, greatest(a, v, n) AS score
 FROM (SELECT topic_id, (CAST(regexp_matches(subject, '(?i)\\bvote') AS DOUBLE) + CAST(regexp_matches(subject, '(?i)\\bfee') AS DOUBLE)) / 2 AS v, (CAST(regexp_matches(subject, '(?i)\\bfeatured') AS DOUBLE) + CAST(regexp_matches(subject, '(?i)\\bapp') AS DOUBLE)) / 2 AS a, (CAST(regexp_matches(subject, '(?i)\\bvalidator') AS DOUBLE) + CAST(regexp_matches(subject, '(?i)\\bnode') AS DOUBLE)) / 2 AS n FROM topics)""")
+
+
+def _fitted(f: Callable[[str], DataFrame], spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all topics' whole bodies by a model fitted on ``labels`` of every document that isn't held out (one in five)."""
+    path = work_folder(spark)
+    gold = derive.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("topic_id"), F.when(F.col("quality") == 1, "good").when(F.col("quality") == 0, "poor").alias("label"))
+    rows = f("topics").join(gold.where("crc32(cast(topic_id as string)) % 5 <> 0"), "topic_id").select(F.col("body").alias("text"), "label")
+    G.fit_topic_model(rows, path)
+    return G.score_fitted(f("topics"), path)
+
+
+QUERIES["fitted_scores"] = lambda spark, sf_dir: plain(_fitted(lambda frame: getattr(derive, frame)(spark, sf_dir), spark, sf_dir))
 LABELS = "labelled AS (SELECT topic_id AS id, topic_type AS truth, CASE WHEN topic_id % 4 = 0 THEN 'other' ELSE topic_type END AS now, CASE WHEN topic_id % 6 = 0 THEN 'vote' ELSE topic_type END AS before FROM typed)"
 _gold = lambda f: _typed(f).select(F.col("topic_id").alias("id"), F.col("topic_type").alias("truth"))
 _label = lambda f, n, other: _gold(f).select("id", F.when(F.col("id") % n == 0, other).otherwise(F.col("truth")).alias("label"))

@@ -130,3 +130,19 @@ def test_claims_along_a_chain(spark):
     df = spark.createDataFrame(rows, "topic_id long, topic_type string, cip string, entity string, many_entities boolean, date date, stage string")
     assert {r["topic_id"]: r["item_id"] for r in governance.correlate_topics(df).collect()} == {0: 0, 1: 0, 2: 2, 3: 2, 4: 4, 5: 4, 6: 6, 7: 6}
     assert governance.correlate_topics(df.where("false")).count() == 0
+
+
+def test_fitted_model_on_held_out_labels(spark):
+    """Fitted on four fifths of the labels over whole texts, stored, loaded, and measured on the rest."""
+    import zlib
+
+    from ledgerloom.plans import registry
+
+    data = "/root/testdata/sf0.01"
+    gold = {r["doc_id"]: "good" if r["quality"] == 1 else "poor" for r in spark.read.parquet(f"{data}/labels.parquet").where("quality is not null").collect()}
+    rows = registry.QUERIES["fitted_scores"](spark, data).collect()
+    assert len(rows) == spark.read.parquet(f"{data}/documents.parquet").count() and all(0 <= r["score"] <= 1 for r in rows)
+    held = [r["label"] == gold[r["topic_id"]] for r in rows if r["topic_id"] in gold and zlib.crc32(str(r["topic_id"]).encode()) % 5 == 0]
+    print("held-out accuracy", sum(held) / len(held), "of", len(held))
+    assert len(held) > 20 and sum(held) / len(held) > 0.8
+    assert governance.score_topics(spark.createDataFrame([(1, None), (2, "vote on fee")], "topic_id long, subject string"), governance.keyword_model).count() == 2
