@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.ragged import HashMap64, hash_spans, mix64, ranges, row_chunks, run_starts, utf8, word_spans
+from ledgerloom.llm.ragged import HashMap64, hash_spans, mix64, owners, ranges, row_chunks, run_starts, utf8, word_spans
 from ledgerloom.llm.sketch import key_filter, passes, summed_cells
 from ledgerloom.llm.store import Written
 
@@ -147,7 +147,7 @@ def _first_places(rows: DataFrame, ranks: np.ndarray, threshold: float, seed: in
         for batch in batches:
             for part, bounds, doc, sub, number, starts, ends in _lines(batch):
                 begin, stop, _ = word_spans(part, bounds)
-                line = np.searchsorted(starts, begin, side="right") - 1
+                line = owners(begin, np.r_[starts, len(part) + 1])
                 words = hash_spans(part, begin, stop, seed)
                 if not len(words):
                     continue

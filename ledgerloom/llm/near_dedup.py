@@ -209,7 +209,7 @@ def text_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     a group of near copies is mostly joined through its middle. Buckets whose texts then still lie in several components
     are resolved: each text outside the bucket's largest component may link with all texts of other components that can
     reach the threshold by their sizes and by the parities of their words in two tables of 1024 cells (each word of one
-    text only changes at most one parity). Of these the nearest one is verified first, then, for what is still apart, all.
+    text only changes at most one parity). All of these are verified.
     """
     seed = secrets.randbits(63)  # of the second half of the keys, which decides what is one text, never of what is found
     ids = F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID))
@@ -257,14 +257,17 @@ def text_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     tried = Written(stars.select(F.col("key").alias("a"), F.col("pivot").alias("b")).distinct(), "near-pairs").df
     links = _alike(tried, nodes, rows, threshold)
     grouped = Written(components(links), "near-components").df
-    # step two: what is left between the components of a bucket, the nearest texts first
-    for nearest in (True, False):
-        pairs = Written(_open_pairs(shared.df, grouped, read, tried, threshold, nearest), "near-pairs").df
-        if not pairs.take(1):
-            break
-        links = Written(links.unionByName(_alike(pairs, nodes, rows, threshold)), "near-links").df
-        grouped = Written(components(links), "near-components").df
-        tried = tried.unionByName(pairs)
+    # step two: what is left between the components of a bucket
+    pairs = Written(_open_pairs(shared.df, grouped, read, tried, threshold), "near-pairs").df
+    if pairs.take(1):
+        more = _alike(pairs, nodes, rows, threshold)
+        # components of the components found so far, joined by the new links
+        of = lambda end: grouped.select(F.col("node").alias(end), F.col("component").alias(f"{end}_in"))
+        lifted = more.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_in", "a").alias("a"), F.coalesce("b_in", "b").alias("b"))
+        united = Written(components(lifted), "near-united").df.select(F.col("node").alias("component"), F.col("component").alias("whole"))
+        ends = more.select(F.col("a").alias("node")).unionByName(more.select(F.col("b").alias("node"))).distinct().join(grouped.select("node"), "node", "left_anti")
+        every = grouped.unionByName(ends.select("node", F.col("node").alias("component")))
+        grouped = Written(every.join(united, "component", "left").select("node", F.coalesce("whole", "component").alias("component")), "near-components").df
     shared.drop()
     return read.select("doc", "sub", "key").join(grouped.withColumnRenamed("node", "key"), "key", "left").select("doc", "sub", F.coalesce("component", "key").alias("component"))
 
@@ -273,9 +276,8 @@ def _sizes_fit(threshold: float, n: Column, o: Column) -> Column:
     return F.least(n, o) >= F.ceil(F.lit(threshold) / (1 + threshold) * (n + o) - 1e-9)
 
 
-def _open_pairs(shared: DataFrame, grouped: DataFrame, read: DataFrame, tried: DataFrame, threshold: float, nearest: bool) -> DataFrame:
-    """(a, b): texts of one bucket and different components that may be linked and haven't been tried. nearest: for each
-    text outside its bucket's largest component only the one with the fewest differing parities."""
+def _open_pairs(shared: DataFrame, grouped: DataFrame, read: DataFrame, tried: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): texts of one bucket and different components that may be linked and haven't been tried."""
     placed = shared.select("bucket", "place", "key", "n").join(grouped.withColumnRenamed("node", "key"), "key", "left").select("bucket", "place", "key", "n", F.coalesce("component", "key").alias("component"))
     parts = placed.groupBy("bucket", "component").agg(F.count("*").alias("n"))
     open_ = parts.groupBy("bucket").agg(F.count("*").alias("parts"), F.max(F.struct("n", "component")).alias("most")).where("parts > 1")
@@ -293,12 +295,9 @@ def _open_pairs(shared: DataFrame, grouped: DataFrame, read: DataFrame, tried: D
     # of the buckets that two texts share, the first one gives the pair
     first = F.array_position(F.zip_with("sketches", "o_sketches", lambda x, y: x == y), True) == F.col("place") + 1
     found = rated.where("component <> main").join(other, "bucket").where((F.col("component") != F.col("o_component")) & once & enough & first)
-    pairs = found.select(F.least("key", "o_key").alias("a"), F.greatest("key", "o_key").alias("b"), F.col("key").alias("of"), F.greatest(*apart).alias("apart"))
+    pairs = found.select(F.least("key", "o_key").alias("a"), F.greatest("key", "o_key").alias("b"))
     known = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    pairs = pairs.join(known.distinct(), ["a", "b"], "left_anti")
-    if nearest:
-        pairs = pairs.groupBy("of").agg(F.min(F.struct("apart", "a", "b")).alias("best")).select("best.a", "best.b")
-    return pairs.select("a", "b").distinct()
+    return pairs.join(known.distinct(), ["a", "b"], "left_anti").select("a", "b").distinct()
 
 
 def _numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -150,7 +150,12 @@ def word_spans(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     lasts = offsets[1:][offsets[:-1] < offsets[1:]] - 1
     stop[lasts] = inside[lasts]
     starts, ends = np.flatnonzero(begin), np.flatnonzero(stop) + 1
-    return starts, ends, np.searchsorted(offsets, starts, side="right") - 1
+    return starts, ends, owners(starts, offsets)
+
+
+def owners(starts: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The row that each of the sorted ``starts`` lies in; searching the few bounds among the starts is the cheap way."""
+    return np.repeat(np.arange(len(offsets) - 1), np.diff(np.searchsorted(starts, offsets)))
 
 
 def lower_ascii(flat: np.ndarray) -> np.ndarray:
