@@ -330,6 +330,77 @@ def attach_votes(votes: DataFrame, topics: DataFrame, urls: DataFrame) -> DataFr
     return joined.select("vote_id", F.coalesce("t_url", "t_cip", "t_name").alias("topic_id"), how.alias("how"))
 
 
+#: Patterns of actions and texts in the order in which they tell the type of a vote, and those of milestone votes.
+ACTION_TYPES = (
+    (r"(?i)OffboardSv|OnboardSv|GrantSvStatus", "validator"), (r"(?i)OnboardValidator|OffboardValidator|ValidatorOnboard", "validator"),
+    (r"(?i)GrantFeaturedAppRight|RevokeFeaturedAppRight|SetFeaturedAppRight|FeaturedApp", "featured-app"), (r"(?i)ScheduleDomainMigration|ProtocolUpgrade|Synchronizer", "protocol-upgrade"),
+    (r"(?i)MintUnclaimed|MintRewards|DistributeRewards|Coupon", "featured-app"),
+)
+TEXT_TYPES = ((r"(?i)validator", "validator"), (r"(?i)migration|splice\s*\d+\.\d+", "protocol-upgrade"))
+KEY_TYPES = ((r"(?i)^cip-\d+$", "cip"), (r"(?i)validator|offboard|onboard", "validator"), (r"(?i)migration|upgrade", "protocol-upgrade"))
+MILESTONE_ACTION, MILESTONE_TEXT = r"(?i)MintUnclaimedRewards|SRARC_MintUnclaimed|MintRewards|DistributeRewards|Reward|Coupon", r"(?i)\bmilestone(?:s|\(s\))?\b"
+#: Keys of votes that name nothing.
+EMPTY_KEYS = ("provider", "validator", "sv", "beneficiary", "partyid", "name")
+
+
+def _first_type(text: Column, patterns: tuple[tuple[str, str], ...]) -> list[Column]:
+    return [F.when(text.rlike(pattern), kind) for pattern, kind in patterns]
+
+
+def normal_url(url: Column) -> Column:
+    """Lower case, without query, fragment and a last slash."""
+    return F.regexp_replace(F.regexp_replace(F.lower(F.trim(url)), r"[?#].*$", ""), r"/$", "")
+
+
+def normal_party(party: Column) -> Column:
+    """A party or name in lower case without its network and its fingerprint."""
+    return F.lower(F.regexp_replace(F.regexp_replace(F.trim(party), r"(?i)^(mainnet|testnet):\s*", ""), r"(?i)::[0-9a-f]{6,}$", ""))
+
+
+def lifecycle_keys(items: DataFrame) -> DataFrame:
+    """(item_id, key) of items (item_id, topic_type, cip, entity, subject): the number of a CIP, the party of an app or
+    validator by its name (else its subject), the subject of others."""
+    primary = F.coalesce("cip", "entity", "subject")
+    number = F.concat(F.lit("CIP-"), F.lpad(F.regexp_extract("cip", r"^0*(\d+)$", 1), 4, "0"))
+    key = F.when((F.col("topic_type") == "cip") & F.col("cip").rlike(r"^\d+$"), number).when(F.col("topic_type").isin("featured-app", "validator"), normal_party(F.coalesce("entity", primary))).otherwise(F.lower(primary))
+    return items.select("item_id", key.alias("key"))
+
+
+def resolve_votes(votes: DataFrame, keys: DataFrame, urls: DataFrame) -> DataFrame:
+    """(vote_id, key, how, item_id, vote_type, milestone, at, closed) of votes (vote_id, url, body, action_tag, party, at, closed).
+
+    The key of a vote is, in this order, that of the item that its URL leads to (urls: item_id, url; of several the smallest
+    item), the number of a CIP in its reason, the party that its action names, a name in its reason. item_id: the smallest
+    item of that key, null if there is none. ``how`` is null where nothing was found.
+    """
+    text = F.concat_ws(" ", F.coalesce("body", F.lit("")), F.coalesce("url", F.lit("")))
+    first = keys.groupBy("key").agg(F.min("item_id").alias("item_id"))
+    by_url = urls.select(normal_url(F.col("url")).alias("spot"), "item_id").where("spot <> ''").groupBy("spot").agg(F.min("item_id").alias("item_id")).join(keys, "item_id").select("spot", F.col("key").alias("url_key"))
+    number = F.regexp_extract(text, r"(?i)CIP[#\-\s]?0*(\d+)", 1)
+    cip = F.when(number != "", F.concat(F.lit("CIP-"), F.when(F.length(number) < 4, F.lpad(number, 4, "0")).otherwise(number)))
+    said = F.coalesce(F.nullif(F.regexp_extract(text, r"(?i)(?:mainnet|testnet):\s*([^\s,\n]+)", 1), F.lit("")), F.nullif(F.regexp_extract(text, r"(?i)app[:\s]+([^\s,\n]+)", 1), F.lit("")))
+    party, name = F.nullif(normal_party(F.col("party")), F.lit("")), normal_party(said)
+    rows = votes.withColumn("spot", normal_url(F.col("url"))).join(by_url, "spot", "left")
+    rows = rows.select("*", cip.alias("cip_key"), party.alias("party_key"), F.when(F.length(name) > 2, name).alias("name_key"), text.alias("reason"))
+    how = F.when(F.col("url_key").isNotNull(), "url").when(F.col("cip_key").isNotNull(), "cip-number").when(F.col("party_key").isNotNull(), "party-id").when(F.col("name_key").isNotNull(), "base-name")
+    tag = F.coalesce("action_tag", F.lit(""))
+    by_action = F.coalesce(*_first_type(tag, ACTION_TYPES), *_first_type(F.col("reason"), TEXT_TYPES), F.lit("other"))
+    kind = F.when(how == "url", F.coalesce(*_first_type(F.col("url_key"), KEY_TYPES), F.lit("featured-app"))).when(how == "cip-number", "cip").when(how.isNotNull(), by_action)
+    found = rows.select("vote_id", F.coalesce("url_key", "cip_key", "party_key", "name_key").alias("key"), how.alias("how"), kind.alias("vote_type"), (tag.rlike(MILESTONE_ACTION) | F.col("reason").rlike(MILESTONE_TEXT)).alias("milestone"), "at", "closed")
+    return found.join(first, "key", "left").select("vote_id", "key", "how", "item_id", "vote_type", "milestone", "at", "closed")
+
+
+def synthetic_items(resolved: DataFrame) -> DataFrame:
+    """(item_id, key, item_type, votes, active, first_date, last_date): items for the keys of resolved votes that no item has,
+    so that votes nobody discussed are seen. Keys that name nothing, of under four signs, or bare hashes give none. The type
+    is that of the key's first vote, closed ones before open ones."""
+    key = F.col("key")
+    open_ = resolved.where(key.isNotNull() & F.col("item_id").isNull() & ~key.isin(*EMPTY_KEYS) & (F.length("key") >= 4) & ~key.rlike(r"(?i)^[0-9a-f]{40,}$"))
+    first = F.min_by("vote_type", F.struct((~F.col("closed")).alias("open"), "at", "vote_id"))
+    by = open_.groupBy("key").agg(first.alias("item_type"), F.count_if("closed").alias("votes"), F.count_if(~F.col("closed")).alias("active"), F.min("at").alias("first_date"), F.max("at").alias("last_date"))
+    return by.select(F.concat(F.lit("synthetic-"), "key").alias("item_id"), "key", "item_type", "votes", "active", "first_date", "last_date")
+
+
 def resolve_chains(edges: DataFrame) -> DataFrame:
     """(id, root): where each id ends that is led on by edges (id, into, seq), one edge an id. Of the edges of a cycle the
     last one (by seq) is void, as if they had been followed in their order and it had led back to its start.

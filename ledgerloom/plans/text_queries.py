@@ -118,6 +118,34 @@ LEFT JOIN (SELECT cip, min(topic_id) AS t_cip FROM ident WHERE cip IS NOT NULL G
 LEFT JOIN (SELECT {_NAME.format("entity")} AS name, min(topic_id) AS t_name FROM ident WHERE entity IS NOT NULL GROUP BY 1) USING (name)""", IDENTIFIED)
 
 
+#: Votes on vote requests with reasons of every kind: forum links in odd spellings, numbers, parties with fingerprints, names.
+_VOTE = """SELECT contract_id AS vote_id, CASE WHEN n % 3 = 0 THEN concat(' HTTPS://Forum/t/', CAST(n % 1500 AS STRING), '/?page=1') ELSE 'https://other' END AS url,
+  CASE WHEN n % 5 = 0 THEN concat('fees of CIP#', CAST(n % 90 AS STRING), ' now') WHEN n % 5 = 1 THEN concat('MainNet: App', {w}, ', and more') WHEN n % 5 = 2 THEN 'validator milestone(s)' ELSE 'x' END AS body,
+  CASE n % 6 WHEN 0 THEN 'SRARC_GrantFeaturedAppRight' WHEN 1 THEN 'SRARC_OffboardSv' WHEN 2 THEN 'CRARC_MintUnclaimedRewards' WHEN 3 THEN 'ScheduleDomainMigration' ELSE 'SetConfig' END AS action_tag,
+  CASE WHEN n % 7 = 0 THEN concat('testnet: Node', {w}, '::1220abcdef') WHEN n % 7 = 1 THEN 'provider' END AS party, effective_at AS {at}, n % 2 = 0 AS closed"""
+_VOTE = _VOTE.replace("{w}", derive.WORD.format("n % 60"))
+
+
+def _resolved(f: Callable[[str], DataFrame]) -> DataFrame:
+    asked = template_view(f(E), "vote_request").select("contract_id", "effective_at", F.expr("cast(substring(contract_id, 2) as bigint)").alias("n"))
+    typed = cut(_typed(f).select(F.col("topic_id").alias("item_id"), "topic_type", "cip", "entity", "subject"))
+    links = f("topics").select(F.col("topic_id").alias("item_id"), F.concat(F.lit("https://forum/t/"), F.col("topic_id").cast("string")).alias("url"))
+    return G.resolve_votes(asked.sparkSession.sql(_VOTE.replace("{at}", "at") + " FROM {asked}", asked=asked), G.lifecycle_keys(typed), links)
+
+
+_PARTY_OF = lambda c: f"lower(regexp_replace(regexp_replace(trim({c}), '(?i)^(mainnet|testnet):\\s*', ''), '(?i)::[0-9a-f]{{6,}}$', ''))"
+RESOLVED = f"""vkeys AS MATERIALIZED (SELECT topic_id AS item_id, CASE WHEN topic_type = 'cip' AND regexp_full_match(cip, '[0-9]+') THEN 'CIP-' || cip WHEN topic_type IN ('featured-app', 'validator') THEN {_PARTY_OF("coalesce(entity, cip, subject)")} ELSE lower(coalesce(cip, entity, subject)) END AS key FROM typed),
+vraw AS MATERIALIZED ({_VOTE.replace('{at}', chr(34) + 'at' + chr(34))} FROM (SELECT *, CAST(substr(contract_id, 2) AS BIGINT) AS n FROM ev WHERE event_type = 'created' AND {IS("VoteRequest")})),
+vread AS (SELECT *, body || ' ' || url AS reason, TRY_CAST(regexp_extract(lower(trim(url)), '^https://forum/t/([0-9]+)/\\?', 1) AS BIGINT) AS topic FROM vraw),
+vfound AS (SELECT v.*, k.key AS url_key, CASE WHEN regexp_extract(reason, 'CIP#0*([0-9]+)', 1) <> '' THEN 'CIP-' || lpad(regexp_extract(reason, 'CIP#0*([0-9]+)', 1), 4, '0') END AS cip_key, {_PARTY_OF("party")} AS party_key, nullif(lower(regexp_extract(reason, 'MainNet: ([^ ,]+)', 1)), '') AS name_key FROM vread v LEFT JOIN vkeys k ON k.item_id = v.topic),
+vres AS MATERIALIZED (SELECT vote_id, key, how, item_id, CASE how WHEN 'url' THEN CASE WHEN key LIKE 'CIP-%' THEN 'cip' WHEN regexp_matches(key, 'validator|offboard|onboard') THEN 'validator' WHEN regexp_matches(key, 'migration|upgrade') THEN 'protocol-upgrade' ELSE 'featured-app' END WHEN 'cip-number' THEN 'cip' ELSE CASE WHEN how IS NULL THEN NULL ELSE
+    CASE action_tag WHEN 'SRARC_GrantFeaturedAppRight' THEN 'featured-app' WHEN 'SRARC_OffboardSv' THEN 'validator' WHEN 'CRARC_MintUnclaimedRewards' THEN 'featured-app' WHEN 'ScheduleDomainMigration' THEN 'protocol-upgrade' ELSE CASE WHEN contains(body, 'validator') THEN 'validator' ELSE 'other' END END END END AS vote_type,
+  action_tag LIKE '%Reward%' OR contains(body, 'milestone') AS milestone, "at", closed FROM (
+  SELECT *, coalesce(url_key, cip_key, party_key, name_key) AS key, CASE WHEN url_key IS NOT NULL THEN 'url' WHEN cip_key IS NOT NULL THEN 'cip-number' WHEN party_key IS NOT NULL THEN 'party-id' WHEN name_key IS NOT NULL THEN 'base-name' END AS how FROM vfound) LEFT JOIN (SELECT key, min(item_id) AS item_id FROM vkeys GROUP BY key) USING (key))"""
+add("resolved_votes", _resolved, f"SELECT vote_id, key, how, item_id, vote_type, milestone, {T('"at"', 'at')}, closed FROM vres", IDENTIFIED, RESOLVED)
+add("synthetic_items", lambda f: G.synthetic_items(_resolved(f)), f"""
+SELECT 'synthetic-' || key AS item_id, key, arg_min(vote_type, {{'o': NOT closed, 'a': "at", 'v': vote_id}}) AS item_type, count(*) FILTER (closed) AS votes, count(*) FILTER (NOT closed) AS active, {T("min(\"at\")", "first_date")}, {T("max(\"at\")", "last_date")}
+FROM vres WHERE key IS NOT NULL AND item_id IS NULL AND key NOT IN ('provider', 'validator', 'sv', 'beneficiary', 'partyid', 'name') AND len(key) >= 4 GROUP BY key""", IDENTIFIED, RESOLVED)
 #: Overrides of every kind, from topic ids: chains of merges of up to thirty items, a cycle in every fortieth, repeats of one key.
 _LOG = """SELECT id AS seq, 'item' AS level, id AS key, 'type' AS action, 'outcome' AS value FROM t WHERE id % 35 = 0
 UNION ALL SELECT id, 'item', id, 'merge', CAST(CASE WHEN {0} % 40 = 29 THEN id - 50 ELSE id + 5 END AS STRING) FROM t WHERE id % 5 = 0 AND {0} % 40 < 30 AND {0} % 7 <> 3

@@ -146,3 +146,25 @@ def test_fitted_model_on_held_out_labels(spark):
     print("held-out accuracy", sum(held) / len(held), "of", len(held))
     assert len(held) > 20 and sum(held) / len(held) > 0.8
     assert governance.score_topics(spark.createDataFrame([(1, None), (2, "vote on fee")], "topic_id long, subject string"), governance.keyword_model).count() == 2
+
+
+def test_votes_find_their_items(spark):
+    """Each of the four ways to a key in its order, types, milestones, and items for keys that none has."""
+    at = dt.datetime(2024, 1, 1)
+    items = spark.createDataFrame([(1, "cip", "0042", None, "CIP-42: fees"), (2, "featured-app", None, "Nova", "Nova app"), (3, "validator", None, "MainNet: Stone::1220abcdef", "x"), (4, "other", None, None, "Splice Upgrade")], "item_id long, topic_type string, cip string, entity string, subject string")
+    keys = governance.lifecycle_keys(items)
+    assert {r["item_id"]: r["key"] for r in keys.collect()} == {1: "CIP-0042", 2: "nova", 3: "stone", 4: "splice upgrade"}
+    urls = spark.createDataFrame([(2, "https://forum/t/2"), (4, "https://forum/t/2/"), (4, "https://forum/t/9"), (1, None)], "item_id long, url string")
+    rows = [
+        ("a", "HTTPS://Forum/t/2/?p=1#x", "CIP-0042", None, None), ("b", "https://forum/t/9", None, "X", None), ("c", "", "on cip-42", "SRARC_OffboardSv", "stone"), ("d", None, None, "SRARC_GrantFeaturedAppRight", "mainnet:stone::1220abcdef"),
+        ("e", None, "TestNet: Nova, please", "Set", None), ("f", None, "app: zz", None, None), ("g", None, None, "CRARC_MintUnclaimedRewards", "New-Party::1220abcdef"), ("h", None, "the milestones", "OnboardValidator", "New-Party"), ("i", None, "x", None, "sv"), ("j", None, None, None, None),
+    ]
+    votes = spark.createDataFrame([(*r, at + dt.timedelta(days=k), k % 2 == 0) for k, r in enumerate(rows)], "vote_id string, url string, body string, action_tag string, party string, at timestamp, closed boolean")
+    resolved = governance.resolve_votes(votes, keys, urls)
+    got = {r["vote_id"]: (r["key"], r["how"], r["item_id"], r["vote_type"], r["milestone"]) for r in resolved.collect()}
+    assert got == {
+        "a": ("nova", "url", 2, "featured-app", False), "b": ("splice upgrade", "url", 4, "protocol-upgrade", False), "c": ("CIP-0042", "cip-number", 1, "cip", False), "d": ("stone", "party-id", 3, "featured-app", False),
+        "e": ("nova", "base-name", 2, "other", False), "f": (None, None, None, None, False), "g": ("new-party", "party-id", None, "featured-app", True), "h": ("new-party", "party-id", None, "validator", True), "i": ("sv", "party-id", None, "other", False), "j": (None, None, None, None, False),
+    }
+    made = [tuple(r) for r in governance.synthetic_items(resolved).collect()]
+    assert made == [("synthetic-new-party", "new-party", "featured-app", 1, 1, at + dt.timedelta(days=6), at + dt.timedelta(days=7))]
