@@ -14,7 +14,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from ledgerloom.llm import language, queries, runs, spelling
+from ledgerloom.llm import language, quality, queries, runs, spelling
 from ledgerloom.llm.ragged import utf8
 
 EXTRA = "doc_id long, text string, lang string, word string, runs string, score string"
@@ -289,3 +289,84 @@ def test_held_out_accuracy(spark):
     truth = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "lang").collect()}
     rows = [r for r in queries.op11_language(spark, data).collect() if r["held_out"]]
     assert np.mean([r["lang_pred"] == truth[r["doc_id"]] for r in rows]) > 0.97
+
+# ---- quality ----------------------------------------------------------------------------------------------------------------
+
+
+def plain_features(text):
+    """The features of one text, a word and a character at a time."""
+    data = text.encode()
+    words = data.split()
+    if not words:
+        return [0.0] * len(quality.FEATURES)
+    n, size = len(words), len(data)
+    lines = data.split(b"\n")
+    lines = lines[:-1] if lines[-1] == b"" else lines  # nothing stands behind the last break
+    share = lambda keep: sum(keep(b) for b in data)
+    letters = share(lambda b: 65 <= b <= 90 or 97 <= b <= 122 or b >= 128)
+    triples = [tuple(words[k : k + 3]) for k in range(n - 2)]
+    return [
+        np.log1p(n), sum(map(len, words)) / n, share(lambda b: 65 <= b <= 90) / max(letters, 1), share(lambda b: b in b"#$%&*+=<>@^_~`\\/") / size, share(lambda b: 48 <= b <= 57) / size,
+        share(lambda b: b in b"\t\n\v\f\r ") / size, len(set(words)) / n, sum(a == b for a, b in zip(words, words[1:], strict=False)) / n, max(collections.Counter(words).values()) / n, len(lines) / n,
+        1 - len(set(lines)) / max(len(lines), 1), data.count(b"|") / size, sum(w[-1] in b"!?" for w in words) / n, sum(w[-1] in b".,;:" for w in words) / n, share(lambda b: b >= 128) / size,
+        len(set(triples)) / max(len(triples), 1), np.log1p(max(map(len, words))), share(lambda b: b in b"[]{}()") / size,
+    ]
+
+
+def plain_tree(g, h, depth):
+    """The shallow tree by trying every cut."""
+    def worth(gs, hs):
+        return sum(gs) ** 2 / (sum(hs) + 1)
+
+    best, at = worth(g, h) + 1e-9, 0
+    for k in range(1, len(g)):
+        if depth and sum(h[:k]) >= quality.LEAF and sum(h[k:]) >= quality.LEAF:
+            gain = worth(g[:k], h[:k]) + worth(g[k:], h[k:])
+            if gain > best:
+                best, at = gain, k
+    if not at:
+        return [sum(g) / (sum(h) + 1)] * len(g)
+    return plain_tree(g[:at], h[:at], depth - 1) + plain_tree(g[at:], h[at:], depth - 1)
+
+
+def test_quality_features_equal_plain_ones():
+    texts = ["", " \n", "One two, two THREE! [x] a|b 12 é\n\nsame line\nsame line\n", "a", "a a a a a a a", "x\n", "\nlast", "w" * 300 + "? " + "é" * 40, "a b c a b c a b c d"]
+    flat, offsets = utf8(pa.array(texts))
+    np.testing.assert_allclose(quality.features(flat, offsets), [plain_features(t) for t in texts], atol=1e-12)
+
+
+def test_quality_model_equals_a_plain_boosting(monkeypatch):
+    """The single-feature part of the model, boosted by exhaustive cuts over plain lists, and scores by plain table look-ups."""
+    monkeypatch.setattr(quality, "ROUNDS", 6)
+    monkeypatch.setattr(quality, "PAIR_ROUNDS", 3)
+    random = np.random.default_rng(4)
+    x = random.normal(size=(90, len(quality.FEATURES)))
+    y = (x[:, 0] + x[:, 3] * x[:, 5] + random.normal(size=90) * 0.3 > 0).astype(float)
+    model = quality.fit(x, y)
+    edges = [sorted({float(np.quantile(x[:, k], q)) for q in np.linspace(0, 1, quality.BINS + 1)[1:-1]}) for k in range(x.shape[1])]
+    own = [[sum(v >= e for e in edges[k]) for v in x[:, k]] for k in range(x.shape[1])]
+    base = float(np.log(y.mean() / (1 - y.mean())))
+    total, tables = [base] * 90, [[0.0] * quality.BINS for _ in edges]
+    for _ in range(6):
+        for k in range(len(edges)):
+            g, h = [0.0] * quality.BINS, [0.0] * quality.BINS
+            for i in range(90):
+                p = 1 / (1 + np.exp(-total[i]))
+                g[own[k][i]] += y[i] - p
+                h[own[k][i]] += p * (1 - p)
+            step = plain_tree(g, h, 2)
+            for b in range(quality.BINS):
+                tables[k][b] += quality.STEP * step[b]
+            total = [t + quality.STEP * step[own[k][i]] for i, t in enumerate(total)]
+    for k in range(len(edges)):
+        shift = sum(tables[k][own[k][i]] for i in range(90)) / 90
+        np.testing.assert_allclose(model.tables[k], np.array(tables[k]) - shift, atol=1e-9)
+        base += shift
+    assert model.base == pytest.approx(base, abs=1e-9) and len(model.pairs) == quality.PAIRS
+    want = []
+    for row in x:
+        s = model.base + sum(model.tables[k][sum(row[k] >= e for e in model.edges[k])] for k in range(len(row)))
+        for (a, b), grid in zip(model.pairs, model.pair_tables, strict=True):
+            s += grid[sum(row[a] >= e for e in model.coarse[a]) * quality.PAIR_BINS + sum(row[b] >= e for e in model.coarse[b])]
+        want.append(1 / (1 + np.exp(-s)))
+    np.testing.assert_allclose(model.score(x), want, atol=1e-9)
