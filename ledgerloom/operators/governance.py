@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from functools import reduce
+from operator import or_
 
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
@@ -121,16 +123,25 @@ def keywords(text: Column) -> Column:
     return F.array_sort(F.array_distinct(kept))
 
 
-def extract_identifiers(topics: DataFrame) -> DataFrame:
-    """Topics with CIP number, entity name, network, flags and keywords of the subject. An app or validator is one of
-    which the name is known and the flag is set (``is_app`` or ``is_validator`` beside ``entity``)."""
+def first_keywords(text: Column, most: int = 10) -> Column:
+    """The first distinct words of at least four letters that are no stopwords, in text order."""
+    words = F.split(F.trim(F.regexp_replace(F.lower(text), r"[^a-z0-9]+", " ")), " ")
+    return F.slice(F.array_distinct(F.filter(words, lambda w: (F.length(w) >= 4) & ~w.isin(*STOPWORDS))), 1, most)
+
+
+def extract_identifiers(topics: DataFrame, learned: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
+    """Topics with CIP number, entity name, network, flags and the first keywords of the subject. An app or validator is one
+    of which the name is known and the flag is set (``is_app`` or ``is_validator`` beside ``entity``). learned: keywords of
+    corrections by kind (featured-app, validator, cip), found anywhere in a subject, that set the flags too."""
     s = F.col("subject")
+    known = learned or {}
+    has = lambda kind: reduce(or_, [F.contains(F.lower(s), F.lit(w.lower())) for w in known.get(kind, ())], F.lit(False))
     vote, talk = s.rlike(VOTE), s.rlike(CIP_TALK)
     app_vote, validator_vote = vote & (s.rlike(APP_VOTE) | s.rlike(NETWORK_COLON)), vote & s.rlike(VALIDATOR_VOTE)
     return topics.select(
         "*", extract_cip(s).alias("cip"), entity_name(s).alias("entity"), many_entities(s).alias("many_entities"), network_of(s).alias("network"), vote.alias("is_vote"),
-        talk.alias("is_cip_discussion"), (vote & s.rlike(CIP_VOTE)).alias("is_cip_vote"), app_vote.alias("is_app_vote"), validator_vote.alias("is_validator_vote"),
-        (~talk & (s.rlike(APP) | app_vote)).alias("is_app"), (s.rlike(VALIDATOR) | validator_vote).alias("is_validator"), keywords(s).alias("keywords"),
+        (talk | has("cip")).alias("is_cip_discussion"), (vote & s.rlike(CIP_VOTE)).alias("is_cip_vote"), app_vote.alias("is_app_vote"), validator_vote.alias("is_validator_vote"),
+        (~talk & (s.rlike(APP) | app_vote | has("featured-app"))).alias("is_app"), (s.rlike(VALIDATOR) | validator_vote | has("validator")).alias("is_validator"), first_keywords(s).alias("keywords"),
     )
 
 

@@ -59,7 +59,14 @@ corr AS MATERIALIZED (SELECT p.topic_id, a.topic_id AS item_id FROM owned o JOIN
 _ident = lambda f: G.extract_identifiers(f("topics"))
 _typed = lambda f: G.classify_topic(_ident(f))
 
-add("topic_identifiers", lambda f: _ident(f).drop("body", "source"), f"SELECT topic_id, subject, {D('date')}, stage, cip, entity, many_entities, network, is_vote, is_cip_discussion, is_cip_vote, is_app_vote, is_validator_vote, is_app, is_validator, array_to_string(keywords, ',') AS keywords FROM ident", IDENTIFIED)
+add("topic_identifiers", lambda f: _ident(f).drop("body", "source"), f"SELECT topic_id, subject, {D('date')}, stage, cip, entity, many_entities, network, is_vote, is_cip_discussion, is_cip_vote, is_app_vote, is_validator_vote, is_app, is_validator, array_to_string(list_filter(ordered, lambda w, i: list_position(ordered, w) = i)[:10], ',') AS keywords FROM (SELECT *, " + _KEYS.format("subject").replace("list_sort(list_distinct(", "", 1)[:-2] + " AS ordered FROM ident)", IDENTIFIED)
+#: Keywords learned from corrections, and types learned for one topic in nine.
+LEARNED = {"featured-app": ("Wallet", "grant"), "validator": ("node", "bolt"), "cip": ("fee",)}
+_said = lambda kind: "(" + " OR ".join(f"contains(lower(subject), '{w.lower()}')" for w in LEARNED[kind]) + ")"
+add("learned_types", lambda f: G.classify_topic(G.extract_identifiers(f("topics").withColumn("learned", F.when(F.col("topic_id") % 9 == 0, "outcome")), LEARNED), "learned").select("topic_id", "is_cip_discussion", "is_app", "is_validator", "topic_type"), f"""
+SELECT topic_id, talk AS is_cip_discussion, app AS is_app, validator AS is_validator, CASE WHEN topic_id % 9 = 0 THEN 'outcome' WHEN subject LIKE 'Tokenomics Outcomes%' THEN 'outcome' WHEN subject LIKE 'Splice %' THEN 'protocol-upgrade' WHEN stage = 'tokenomics-announce' THEN CASE WHEN subject LIKE 'Validator Approved%' OR subject LIKE 'Validators Approved%' THEN 'validator' ELSE 'featured-app' END
+  WHEN cip IS NOT NULL THEN 'cip' WHEN validator THEN 'validator' WHEN stage LIKE 'cip-%' AND NOT (app AND entity IS NOT NULL) THEN 'other' ELSE 'featured-app' END AS topic_type
+FROM (SELECT *, is_cip_discussion OR {_said("cip")} AS talk, NOT is_cip_discussion AND (is_app OR {_said("featured-app")}) AS app, is_validator OR {_said("validator")} AS validator FROM ident)""", IDENTIFIED)
 add("topic_urls", lambda f: G.extract_urls(f("topics"), "topic_id", "body"), r"""SELECT topic_id, unnest(list_distinct(regexp_extract_all(body, '(https?://[^\s<>"'')]+)', 1))) AS url FROM topics""")
 add("topic_types", lambda f: _typed(f).select("topic_id", "topic_type"), "SELECT topic_id, topic_type FROM typed", IDENTIFIED)
 add("topic_correlation", lambda f: G.correlate_topics(_typed(f)), "SELECT * FROM corr", IDENTIFIED, CLAIMS)
