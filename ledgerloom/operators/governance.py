@@ -305,7 +305,7 @@ def correlate_topics(typed: DataFrame) -> DataFrame:
         free = F.col("newest").isNull() | (F.col("newest.top") <= F.col("top"))
         decided = F.when(F.col("state").isNotNull(), F.col("state")).when(free, "anchor").when(F.col("newest.anchor"), "claimed")
         item = F.when(F.col("state").isNotNull(), F.col("item_id")).when(free, F.col("top.topic_id")).when(F.col("newest.anchor"), F.col("newest.top.topic_id"))
-        state = cut(state.join(found, "node", "left").select("node", "top", decided.alias("state"), item.alias("item_id")))
+        state = cut(state.join(found, "node", "left").select("node", "top", decided.alias("state"), item.alias("item_id")), instead_of=state)
         if not state.where("state is null").take(1):
             break
     return rows.select("topic_id", "node").join(state.select("node", "item_id"), "node").select("topic_id", "item_id")
@@ -425,7 +425,7 @@ def resolve_chains(edges: DataFrame) -> DataFrame:
         way = own.select("id", F.col("into").alias("at"), F.col("seq").alias("last"))
         for _ in range(rounds):
             on = way.select(F.col("id").alias("at"), F.col("at").alias("next"), F.col("last").alias("next_last"))
-            way = cut(way.join(on, "at", "left").select("id", F.coalesce("next", "at").alias("at"), F.greatest("last", "next_last").alias("last")))
+            way = cut(way.join(on, "at", "left").select("id", F.coalesce("next", "at").alias("at"), F.greatest("last", "next_last").alias("last")), instead_of=way)
         return way
 
     rounds = max(1, edges.count().bit_length())

@@ -13,9 +13,15 @@ def work_folder(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/ledgerloom-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, instead_of: DataFrame | None = None) -> DataFrame:
     """The frame written and read back: later steps neither repeat its work nor carry its plan, and lost executors cost a
-    retry only."""
-    path = work_folder(df.sparkSession)
+    retry only. instead_of: a frame of an earlier step that nothing reads any more; if ``cut`` wrote it, its files go."""
+    spark, path = df.sparkSession, work_folder(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    old = getattr(instead_of, "_written", None)
+    if old is not None:
+        target = spark._jvm.org.apache.hadoop.fs.Path(old)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    return out

@@ -147,7 +147,7 @@ def test_schema_diff(spark):
 
 
 def test_entity_matching_equals_all_pairs(spark):
-    names = ["Figment", "Figmint Inc", "Five North", "FiveNorth", "Digital Asset", "Digital Assets Ltd", "Obsidian", "Obsidian Systems", "Cumberland", "Cumbrland", "SBI", "Sbl", ""]
+    names = ["Figment", "Figmint Inc", "Five North", "FiveNorth", "Digital Harbor", "Digital Harbors Ltd", "Obsidian", "Obsidian Systems", "Cumberland", "Cumbrland", "SBI", "Sbl", ""]
     df = spark.createDataFrame(list(enumerate(names)), "id int, name string")
     got = {(r["left_id"], r["right_id"]) for r in governance.match_entities(df, df).collect()}
     norm = [r["n"] for r in df.orderBy("id").select(governance.normal_name(F.col("name")).alias("n")).collect()]
