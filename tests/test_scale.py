@@ -147,3 +147,20 @@ def test_overrides_in_order(spark):
     got = {r["topic_id"]: (r["card"], r["topic_type"]) for r in governance.apply_overrides(cards, spark.createDataFrame(log, "seq long, level string, key long, action string, value string")).collect()}
     merged = ("lifecycle-4", "outcome")
     assert got == {0: merged, 1: merged, 2: merged, 3: merged, 4: merged, 5: merged, 6: merged, 7: ("lifecycle-6", "other"), 8: ("topic-extracted-8", "other"), 9: ("topic-reclassified-9", "cip")}
+
+
+def test_names_with_a_common_start_meet_seldom_and_on_no_driver(spark):
+    """Short names that share whole parts (a start, an end) meet under selective keys, in a join that isn't broadcast."""
+    pick = random.Random(3)
+    word = lambda: "".join(pick.choice("abcdefghjkpqruvw") for _ in range(9))
+    own = [f"node{word()}" for _ in range(600)] + [f"x{word()} wallet" for _ in range(600)]
+    own += [own[0][:-1], own[600].replace(" wallet", "s walle")]
+    df = spark.createDataFrame(list(enumerate(own)), "id long, name string")
+    found = governance.match_entities(df, df)
+    got = {(r["left_id"], r["right_id"]): r["how"] for r in found.collect()}
+    assert len(got) < 1300 and got[0, 1200] == "contained" and got[600, 1201] == "edit"
+    node = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert re.search(r"SortMergeJoin \[key#", node) and not re.search(r"BroadcastHashJoin \[key#", node)
+    keys = df.withColumn("n", F.length("name")).select("name", F.expr(f"explode(array_distinct(concat({governance._segment_keys('e')}, {governance._remainder_keys('r')})))").alias("key"))
+    assert keys.join(keys.withColumnRenamed("name", "other"), "key").where("name <> other").count() < 2000
+    assert "key" not in "".join(re.findall(r"Broadcast\w*Join \[([^]]*)\]", node))
