@@ -164,3 +164,14 @@ def test_names_with_a_common_start_meet_seldom_and_on_no_driver(spark):
     keys = df.withColumn("n", F.length("name")).select("name", F.expr(f"explode(array_distinct(concat({governance._segment_keys('e')}, {governance._remainder_keys('r')})))").alias("key"))
     assert keys.join(keys.withColumnRenamed("name", "other"), "key").where("name <> other").count() < 2000
     assert "key" not in "".join(re.findall(r"Broadcast\w*Join \[([^]]*)\]", node))
+
+
+def test_whole_rows_are_moved_and_sorted_once(spark):
+    """Rows with payloads are sorted after they were dealt out, in many small tasks, and of ties the same row is taken."""
+    rows = spark.createDataFrame([(f"c{k % 40}", "p:Splice.Amulet:Amulet", T0, f"{k:03d}", T0 + dt.timedelta(days=1)) for k in range(120)], "contract_id string, template_id string, record_time timestamp, payload string, snapshot_time timestamp")
+    found = {"latest_snapshot": metrics.latest_snapshot(rows), "dedup_latest": quality.dedup_latest(rows, "contract_id", "record_time")}
+    for df in found.values():
+        assert sorted((r["contract_id"], r["payload"]) for r in df.collect()) == sorted((f"c{k}", f"{k + 80:03d}") for k in range(40))
+        plan = plan_of(df).split("Initial Plan")[0]
+        assert int(re.search(r"hashpartitioning\(contract_id#\d+, (\d+)\), REPARTITION_BY_NUM", plan)[1]) >= 200
+        assert "Sort" not in plan.split("REPARTITION_BY_NUM")[1].split("Subqueries")[0]
