@@ -175,3 +175,35 @@ def test_whole_rows_are_moved_and_sorted_once(spark):
         plan = plan_of(df).split("Initial Plan")[0]
         assert int(re.search(r"hashpartitioning\(contract_id#\d+, (\d+)\), REPARTITION_BY_NUM", plan)[1]) >= 200
         assert "Sort" not in plan.split("REPARTITION_BY_NUM")[1].split("Subqueries")[0]
+
+
+def test_long_names_with_a_common_start_are_dealt_out_and_looked_at_once(spark):
+    """Names of 38 letters that share 29 stand under six common keys: each pair is looked at once, in tasks dealt by key and lot."""
+    pick = random.Random(8)
+    own = ["validator onboarding for bolt" + "".join(pick.choice("abcdefgh") for _ in range(9)) for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate(own)), "id long, name string")
+    found = governance.match_entities(df, df)
+    plan = plan_of(found).split("Initial Plan")[0]
+    assert re.search(r"SortMergeJoin \[key#\d+L, lot#\d+", plan) and re.search(r"hashpartitioning\(key#\d+L, lot#\d+, \d{3,}\), REPARTITION_BY_NUM", plan)
+    left, right = df.selectExpr("id as left_id", "name as l"), df.selectExpr("id as right_id", "name as r")
+    want = left.crossJoin(right).where("left_id <> right_id and levenshtein(l, r) <= 7").select("left_id", "right_id")
+    got = [tuple(r)[:2] for r in found.where("how = 'edit'").collect()]
+    assert sorted(got) == sorted(tuple(r) for r in want.collect()) and len(got) > 1000
+    names = df.select("name", F.length("name").alias("n"))
+    met = governance._near_long(names, names).where("longer < shorter and key = array_min(array_intersect(longer_keys, shorter_keys))")
+    assert met.count() == met.select("longer", "shorter").distinct().count()
+
+
+def test_claims_take_a_round_for_each_step_and_no_broadcast(spark, monkeypatch):
+    """In a chain of names of which each matches its neighbours every second one is an anchor: a round for each, not two."""
+    names = ["a" * k + "b" * (60 - k) for k in range(0, 60, 10)]
+    rows = [(k, "featured-app", None, name, False, dt.date(2024, 1, 30 - k)) for k, name in enumerate(names)] + [(100 + k, "outcome", None, None, False, T0.date()) for k in range(30)]
+    typed = spark.createDataFrame(rows, "topic_id long, topic_type string, cip string, entity string, many_entities boolean, date date")
+    steps, plain_cut = [], governance.cut
+    monkeypatch.setattr(governance, "cut", lambda df, instead_of=None: steps.append((df.columns, df.count())) or plain_cut(df, instead_of))
+    found = governance.correlate_topics(typed)
+    got = {r["topic_id"]: r["item_id"] for r in found.collect()}
+    assert got == {0: 0, 1: 0, 2: 2, 3: 2, 4: 4, 5: 4} | {100 + k: 100 + k for k in range(30)}
+    states = [n for columns, n in steps if columns == ["node", "top", "state", "item_id"]]
+    assert states == [6] * 4  # the first one and a round for each anchor; outcomes stand outside
+    assert "Broadcast" not in plan_of(found).split("Initial Plan")[0]
