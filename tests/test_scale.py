@@ -207,3 +207,10 @@ def test_claims_take_a_round_for_each_step_and_no_broadcast(spark, monkeypatch):
     states = [n for columns, n in steps if columns == ["node", "top", "state", "item_id"]]
     assert states == [6] * 4  # the first one and a round for each anchor; outcomes stand outside
     assert "Broadcast" not in plan_of(found).split("Initial Plan")[0]
+
+
+def test_pending_items_are_found_out_once(spark):
+    items = spark.range(30).select("id", F.concat(F.lit("app"), F.col("id") + 100).alias("name"))
+    pending = governance.pending_apps(items, spark.createDataFrame([("App105 Wallet",), ("app11",)], "name string"))
+    assert "Range" not in plan_of(pending)
+    assert sorted(r["id"] for r in pending.collect()) == [k for k in range(30) if k != 5 and not 10 <= k < 20]
