@@ -214,3 +214,28 @@ def test_pending_items_are_found_out_once(spark):
     pending = governance.pending_apps(items, spark.createDataFrame([("App105 Wallet",), ("app11",)], "name string"))
     assert "Range" not in plan_of(pending)
     assert sorted(r["id"] for r in pending.collect()) == [k for k in range(30) if k != 5 and not 10 <= k < 20]
+
+
+def test_fields_read_in_one_pass_equal_single_reads(spark):
+    """Odd and damaged texts give what one read for each field gives."""
+    from ledgerloom.operators import bronze
+
+    texts = [None, "", "not json", "[]", '"a"', '{"a":null,"b":1}', '{"a":"x\\"y\\u00e9é","b":""}', '{"a":{"b":[1,2.50,1e5,"q"],"c":null},"b":[ ]}', '{"a":1', '{"a":1,"b":}', '{"a":1} more', '[{"a":1}]', '{"c":{"a":1},"b":-0.10}', "{'a':'single','b':true}", '{"A":1,"b":12345678901234567890.123}', '{"a":"{\\"b\\":1}"}']
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    rows = bronze._fields(df, "t", "a", "b").withColumns({f"own_{n}": F.get_json_object("t", f"$.{n}") for n in "ab"}).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        assert (r["t_a"], r["t_b"]) == (r["own_a"], r["own_b"]), r["t"]
+
+
+def test_events_are_extracted_in_one_pass_over_the_updates(spark):
+    from ledgerloom.operators import bronze
+
+    tx = '{"transaction":{"update_id":"u","events_by_id":{"e1":{"createdEvent":{"contractId":"c1"}},"e2":{"event_type":"exercised","contract_id":"c2"}}}}'
+    moves = ['{"reassignment":{"update_id":"m1","event":{"created_event":{"event_id":"x","contract_id":"c3"}}}}', '{"update_id":"m2","event":{"archived_event":{"contract_id":"c4"}}}', '{"reassignment":{"update_id":"m3"}}', '{"transaction":{"update_id":"none"}}']
+    df = spark.range(5).select(F.element_at(F.array(*[F.lit(t) for t in (tx, *moves)]), (F.col("id") + 1).cast("int")).alias("json"))
+    found = bronze.normalize_event(bronze.extract_events(bronze.normalize_update(df)))
+    assert plan_of(found).split("Initial Plan")[0].count("Range (") == 1
+    assert sorted((r["event_id"], r["update_id"], r["event_type"], r["contract_id"]) for r in found.collect()) == [
+        ("e1", "u", "created", "c1"), ("e2", "u", "exercised", "c2"), ("m2:reassign", "m2", "reassign_archive", "c4"), ("m3:reassign", "m3", "reassign_archive", None), ("x", "m1", "reassign_create", "c3"),
+    ]
