@@ -46,17 +46,17 @@ def start_normalize(raw: DataFrame, target: str, checkpoint: str, pace: str | No
     """Normalise a stream of raw JSON records (column json) into updates, events and dead letters under ``target``.
 
     Each batch is written under its batch id; with the checkpoint a replayed batch overwrites its own slice, so every
-    record counts once. pace: a processing interval; none: all files there are, then end.
+    record counts once. pace: a processing interval; none: all files there are, then end. A batch of a few files is dealt out
+    to all slots of the cluster, and its records are parsed once for the three outputs.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.persist()
-        updates = normalize_update(batch)
+        updates = normalize_update(batch.repartition(batch.sparkSession.sparkContext.defaultParallelism)).persist()
         known, rejected = split_unknown(updates)
         write_batch_idempotent(known, f"{target}/updates", batch_id)
         write_batch_idempotent(normalize_event(extract_events(known)), f"{target}/events", batch_id)
         write_batch_idempotent(rejected.select("update_data"), f"{target}/dead", batch_id)
-        batch.unpersist()
+        updates.unpersist()
 
     writer = raw.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=pace) if pace else writer.trigger(availableNow=True)).start()

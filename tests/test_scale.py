@@ -239,3 +239,13 @@ def test_events_are_extracted_in_one_pass_over_the_updates(spark):
     assert sorted((r["event_id"], r["update_id"], r["event_type"], r["contract_id"]) for r in found.collect()) == [
         ("e1", "u", "created", "c1"), ("e2", "u", "exercised", "c2"), ("m2:reassign", "m2", "reassign_archive", "c4"), ("m3:reassign", "m3", "reassign_archive", None), ("x", "m1", "reassign_create", "c3"),
     ]
+
+
+def test_a_batch_of_one_file_is_dealt_to_all_slots(spark, tmp_path):
+    from ledgerloom.streaming import jobs
+
+    spark.range(400).coalesce(1).select(F.format_string('{"transaction":{"update_id":"u%d","events_by_id":{"e%d":{}}}}', "id", "id").alias("json")).write.parquet(str(tmp_path / "in"))
+    stream = jobs.stream_files(spark, str(tmp_path / "in"), spark.read.parquet(str(tmp_path / "in")).schema, files_per_batch=3)
+    jobs.start_normalize(stream, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "out/events")).select("event_id").distinct().count() == 400
+    assert len(list((tmp_path / "out/events/batch=0").glob("part-*"))) == spark.sparkContext.defaultParallelism > 1
