@@ -102,42 +102,49 @@ def freshness(rows: DataFrame, at: str, as_of: Column, *keys: str) -> DataFrame:
     return latest.select(*keys, "rows", age.alias("age_seconds"), F.when(age < 60, "live").when(age < 300, "idle").otherwise("stale").alias("state"))
 
 
-#: What a key has behind it: the last migration that is complete, the one that is open, its next place, the records given out,
-#: and the records that came too early.
-ORDER_STATE = "done long, open long, place long, given long, early string"
+#: What the keys of a bucket have behind them, as JSON: for each key the last migration that is complete, the one that is open, its next
+#: place, the records given out, and the records that came too early.
+ORDER_STATE = "keys string"
 
 
-def ordered_migrations(stream: DataFrame) -> DataFrame:
+def ordered_migrations(stream: DataFrame, buckets: int = 4096) -> DataFrame:
     """(key, migration, place, position, record): the records of every key in order, whatever the order of their arrival.
 
     stream: key string, migration long, after long (the key's migration before it, null for its first), place long (0, 1, ...
     within the migration), closing boolean (the migration's last record), record string. A record is given out when all
     before it have been; a migration opens when the one before it is complete. ``position`` counts the records of a key.
     Repeats of a record that is given out or waits are dropped. The state of a key holds only the records that came too
-    early; it lives in the checkpoint, so that a restarted stream goes on where it stood.
+    early; it lives in the checkpoint, so that a restarted stream goes on where it stood. Keys are dealt to ``buckets`` groups by
+    hash, because a group costs far more than a record; a checkpoint is for one number of buckets.
     """
 
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        done, open_, place, given, early = state.get if state.exists else (None, None, 0, 0, "[]")
-        waiting = {(r[0], r[2]): r for r in json.loads(early)}
+    def run(_: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        behind = {key: (done, open_, place, given, {(r[0], r[2]): r for r in early}) for key, done, open_, place, given, early in json.loads(state.get[0] if state.exists else "[]")}
+        arrived: dict[str | None, list[tuple]] = {}
         for frame in frames:
-            for migration, after, at, closing, record in zip(frame["migration"], frame["after"], frame["place"], frame["closing"], frame["record"], strict=True):
+            for row in zip(*[frame[c].tolist() for c in ("key", "migration", "after", "place", "closing", "record")], strict=True):
+                arrived.setdefault(row[0], []).append(row[1:])
+        out = []
+        for key, rows in arrived.items():
+            done, open_, place, given, waiting = behind.get(key, (None, None, 0, 0, {}))
+            for migration, after, at, closing, record in rows:
                 passed = (done is not None and migration <= done) or (migration == open_ and at < place)
                 if not passed:
                     waiting.setdefault((int(migration), int(at)), [int(migration), None if pd.isna(after) else int(after), int(at), bool(closing), record])
-        out = []
-        while True:
-            if open_ is None:
-                open_ = next((r[0] for r in waiting.values() if r[1] == done), None)
-                place = 0
-            found = waiting.pop((open_, place), None)
-            if found is None:
-                break
-            out.append((key[0], found[0], found[2], given, found[4]))
-            given, place = given + 1, place + 1
-            if found[3]:
-                done, open_ = found[0], None
-        state.update((done, open_, place, given, json.dumps(list(waiting.values()))))
+            while True:
+                if open_ is None:
+                    open_ = next((r[0] for r in waiting.values() if r[1] == done), None)
+                    place = 0
+                found = waiting.pop((open_, place), None)
+                if found is None:
+                    break
+                out.append((key, found[0], found[2], given, found[4]))
+                given, place = given + 1, place + 1
+                if found[3]:
+                    done, open_ = found[0], None
+            behind[key] = (done, open_, place, given, waiting)
+        state.update((json.dumps([[key, *own[:4], list(own[4].values())] for key, own in behind.items()]),))
         yield pd.DataFrame(out, columns=["key", "migration", "place", "position", "record"])
 
-    return stream.groupBy("key").applyInPandasWithState(run, "key string, migration long, place long, position long, record string", ORDER_STATE, "append", GroupStateTimeout.NoTimeout)
+    grouped = stream.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets))).groupBy("bucket")
+    return grouped.applyInPandasWithState(run, "key string, migration long, place long, position long, record string", ORDER_STATE, "append", GroupStateTimeout.NoTimeout)

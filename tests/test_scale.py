@@ -249,3 +249,17 @@ def test_a_batch_of_one_file_is_dealt_to_all_slots(spark, tmp_path):
     jobs.start_normalize(stream, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out/events")).select("event_id").distinct().count() == 400
     assert len(list((tmp_path / "out/events/batch=0").glob("part-*"))) == spark.sparkContext.defaultParallelism > 1
+
+
+def test_keys_of_a_stream_share_groups(spark, tmp_path):
+    """Six thousand keys (and none) lie in at most 4096 groups of state, and each key's records are in order."""
+    from ledgerloom.streaming import jobs
+
+    rows = spark.range(18_000).selectExpr("nullif(concat('k', id % 6000), 'k7') as key", "0L as migration", "cast(null as long) as after", "2 - id div 6000 as place", "id div 6000 = 0 as closing", "cast(id as string) as record")
+    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
+    ordered = jobs.ordered_migrations(jobs.stream_files(spark, str(tmp_path / "in"), rows.schema))
+    query = ordered.writeStream.format("memory").queryName("shared_groups").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert 2000 < query.lastProgress["stateOperators"][0]["numRowsTotal"] <= 4096
+    found = spark.table("shared_groups")
+    assert found.count() == 18_000 and found.where("position <> place or cast(record as long) <> (2 - place) * 6000 + coalesce(cast(substring(key, 2) as long), 7)").count() == 0
