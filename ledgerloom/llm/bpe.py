@@ -30,12 +30,12 @@ _NEVER = np.int64(1) << 40
 def char_classes() -> np.ndarray:
     """Class of every code point."""
     out = np.full(0x110000, OTHER, dtype=np.uint8)
-    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
-    text = "".join(map(chr, points))
-    at = np.array(points)
-    for kind, pattern in ((SPACE, r"\s+"), (LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+")):
-        for found in regex.finditer(pattern, text):
-            out[at[found.start() : found.end()]] = kind
+    for first in range(0, 0x110000, 0x800):  # by blocks, as all of them at once take as much memory as the rest of a worker
+        if not 0xD800 <= first < 0xE000:
+            text = "".join(map(chr, range(first, first + 0x800)))
+            for kind, pattern in ((SPACE, r"\s+"), (LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+")):
+                for found in regex.finditer(pattern, text):
+                    out[first + found.start() : first + found.end()] = kind
     return out
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.store import Written
+from ledgerloom.llm.worker import giving_back
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -41,7 +42,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     longest chain. Hubs are joined as plain equi-joins, which adaptive execution splits.
     """
     start = links.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).where("a is not null and b is not null and a <> b")
-    pairs = Written(start.mapInArrow(_forest, "a long, b long").distinct(), "links")
+    pairs = Written(start.mapInArrow(giving_back(_forest), "a long, b long").distinct(), "links")
     while True:
         both = pairs.df.unionByName(pairs.df.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))

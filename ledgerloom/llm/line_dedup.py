@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ledgerloom.llm.ragged import HashMap64, hash_spans, mix64, owners, ranges, row_chunks, run_starts, utf8, word_spans
 from ledgerloom.llm.sketch import key_filter, passes, summed_cells
 from ledgerloom.llm.store import Written
+from ledgerloom.llm.worker import giving_back
 
 #: Cells of the table of token counts by which tokens are ordered; a fixed size, the order only steers the work.
 CELLS = 1 << 19
@@ -216,8 +217,8 @@ def _first_places(rows: DataFrame, ranks: np.ndarray, threshold: float, seed: in
         if held is not None:
             yield from held.select([*_PLACE, *_SET]).to_batches()
 
-    dealt = rows.mapInArrow(read, "k1 long, k2 long, " + _SETS).repartition("k1").sortWithinPartitions("k1")
-    return dealt.mapInArrow(merge, _SETS)
+    dealt = rows.mapInArrow(giving_back(read), "k1 long, k2 long, " + _SETS).repartition("k1").sortWithinPartitions("k1")
+    return dealt.mapInArrow(giving_back(merge), _SETS)
 
 
 def _prefix_cells(sets: DataFrame) -> np.ndarray:
@@ -259,14 +260,14 @@ def _first_pairs(sets: DataFrame, threshold: float) -> DataFrame:
             part = _part(batch, row) % number.astype(np.uint64)
             yield _dealt(batch, np.where(number > 1, _mixed(tokens, part), tokens), row, np.where(number > 1, pos | _DEALT, pos))
 
-    return _compared(sets.select(*_PLACE, *_SET).mapInArrow(run, _GROUPED), threshold, TRIED)
+    return _compared(sets.select(*_PLACE, *_SET).mapInArrow(giving_back(run), _GROUPED), threshold, TRIED)
 
 
 def _rest_pairs(sets: DataFrame, open_lines: DataFrame, threshold: float, tried: int) -> DataFrame:
     """As ``_first_pairs`` for ``open_lines`` alone, against all earlier lines: the rows of a hot token are dealt to a grid
     of tasks, so that each open line meets each other line in one of them."""
     own = Written(sets.join(open_lines.select(*_PLACE), [*_PLACE], "left_semi"), "line-open")
-    tokens = own.df.select("prefix").mapInArrow(_each_token, "token long").distinct()
+    tokens = own.df.select("prefix").mapInArrow(giving_back(_each_token), "token long").distinct()
     bits = key_filter(tokens, "token", tokens.count())
     theirs, mine = _blocks(_prefix_cells(sets)), _blocks(_prefix_cells(own.df))
 
@@ -289,7 +290,7 @@ def _rest_pairs(sets: DataFrame, open_lines: DataFrame, threshold: float, tried:
         return deal
 
     columns = [*_PLACE, *_SET]
-    every = sets.select(*columns).mapInArrow(run(False), _GROUPED).unionByName(own.df.select(*columns).mapInArrow(run(True), _GROUPED))
+    every = sets.select(*columns).mapInArrow(giving_back(run(False)), _GROUPED).unionByName(own.df.select(*columns).mapInArrow(giving_back(run(True)), _GROUPED))
     return _compared(every, threshold, tried)
 
 
@@ -360,7 +361,7 @@ def _compared(grouped: DataFrame, threshold: float, tried: int) -> DataFrame:
             table = pa.Table.from_batches(held).combine_chunks()
             yield from _pairs_of(table.column("token").to_numpy(), table.column("row"), threshold, tried)
 
-    return grouped.repartition("token").sortWithinPartitions("token").mapInArrow(run, _PAIRS).distinct()
+    return grouped.repartition("token").sortWithinPartitions("token").mapInArrow(giving_back(run), _PAIRS).distinct()
 
 
 class _Wide:
@@ -496,11 +497,11 @@ def _similar(pairs: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
             good = pa.array([_reached(set(x.split()), set(y.split()), threshold) for x, y in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(k).filter(good) for k in range(3)], names=list(_PLACE))
 
-    found = rows.mapInArrow(read, _PLACES + ", text binary").join(wanted.df.select(*_PLACE), [*_PLACE], "left_semi")
+    found = rows.mapInArrow(giving_back(read), _PLACES + ", text binary").join(wanted.df.select(*_PLACE), [*_PLACE], "left_semi")
     found = Written(found.dropDuplicates([*_PLACE]), "line-found")  # rows equal in id and text: one of them
     other = found.df.select(*[F.col(c).alias(f"o_{c}") for c in _PLACE], F.col("text").alias("theirs"))
     joined = pairs.join(found.df, [*_PLACE]).join(other, [f"o_{c}" for c in _PLACE]).select(*_PLACE, "text", "theirs")
-    out = Written(joined.mapInArrow(verify, _PLACES).distinct(), "line-matches")
+    out = Written(joined.mapInArrow(giving_back(verify), _PLACES).distinct(), "line-matches")
     wanted.drop()
     found.drop()
     return out.df

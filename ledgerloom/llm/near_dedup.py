@@ -18,6 +18,7 @@ from ledgerloom.llm.components import components
 from ledgerloom.llm.ragged import hash_runs, hash_spans, lower_ascii, mix64, ranges, row_chunks, utf8, word_spans
 from ledgerloom.llm.sketch import key_filter, passes
 from ledgerloom.llm.store import Written
+from ledgerloom.llm.worker import giving_back
 
 #: Words of a shingle, minima kept by a sketch, and sketches of a document.
 SHINGLE, MINIMA, SKETCHES = 5, 2, 64
@@ -165,10 +166,10 @@ def _alike(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, threshold: float
             chosen = batch.filter(pa.array(good, pa.bool_()))
             yield pa.RecordBatch.from_arrays([chosen.column("a"), chosen.column("b")], names=["a", "b"])
 
-    passed = rows.select("doc", "sub", F.col("text").cast("binary").alias("text")).mapInArrow(texts, "doc long, sub long, text binary")
+    passed = rows.select("doc", "sub", F.col("text").cast("binary").alias("text")).mapInArrow(giving_back(texts), "doc long, sub long, text binary")
     found = Written(passed.join(wanted.df.select("key", "doc", "sub"), ["doc", "sub"]).select("key", "text").dropDuplicates(["key"]), "near-texts")
     joined = pairs.join(found.df.select(F.col("key").alias("a"), F.col("text").alias("one")), "a").join(found.df.select(F.col("key").alias("b"), F.col("text").alias("two")), "b")
-    links = Written(joined.select("a", "b", "one", "two").mapInArrow(verify, "a long, b long"), "near-links").df
+    links = Written(joined.select("a", "b", "one", "two").mapInArrow(giving_back(verify), "a long, b long"), "near-links").df
     wanted.drop()
     found.drop()
     return links
@@ -241,13 +242,13 @@ def text_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             row, at = np.divmod(np.arange(len(data)), SKETCHES)
             yield pa.RecordBatch.from_arrays([pa.array(data), pa.array(at.astype(np.int32)), *[batch.column(c).take(pa.array(row)) for c in ("key", "n")]], names=["bucket", "place", "key", "n"])
 
-    read = Written(rows.mapInArrow(sketch, "doc long, sub long, key long, second long, n long, sketches binary, parity binary"), "near-sketches").df
+    read = Written(rows.mapInArrow(giving_back(sketch), "doc long, sub long, key long, second long, n long, sketches binary, parity binary"), "near-sketches").df
     twice = read.groupBy("key").agg(F.min("second").alias("least"), F.max("second").alias("most")).where("least <> most")
     if twice.take(1):  # different texts of one key: all but one text take the other half of the hash
         read = Written(read.join(twice, "key", "left").withColumn("key", F.when(F.col("second") > F.col("least"), F.col("second")).otherwise(F.col("key"))).drop("least", "most"), "near-sketches").df
     texts = read.where("n > 0").groupBy("key").agg(F.first("n").alias("n"), F.first("sketches").alias("sketches"))
     nodes = read.where("n > 0").groupBy("key").agg(F.min(F.struct("doc", "sub")).alias("at")).select("key", "at.doc", "at.sub")
-    dealt = texts.select("key", "n", "sketches").mapInArrow(buckets, "bucket long, place int, key long, n long")
+    dealt = texts.select("key", "n", "sketches").mapInArrow(giving_back(buckets), "bucket long, place int, key long, n long")
     sizes = dealt.groupBy("bucket").agg(F.count("*").alias("texts")).where("texts > 1")
     shared = Written(dealt.join(sizes, "bucket"), "near-buckets")
     # step one: every text against the pivot of each of its buckets
@@ -285,7 +286,7 @@ def _open_pairs(shared: DataFrame, grouped: DataFrame, read: DataFrame, tried: D
     words = TABLES * CELLS // 64
     columns = [f"p{w}" for w in range(words)]
     own = read.join(contested.select("key").distinct(), "key", "left_semi").select("key", "parity", "sketches").dropDuplicates(["key"])
-    marks = own.mapInArrow(_numbers, "key long, " + ", ".join(f"{c} long" for c in columns) + ", sketches array<long>")
+    marks = own.mapInArrow(giving_back(_numbers), "key long, " + ", ".join(f"{c} long" for c in columns) + ", sketches array<long>")
     rated = Written(contested.join(marks, "key"), "near-contested").df
     other = rated.select("bucket", *[F.col(c).alias(f"o_{c}") for c in ("key", "n", "component", "sketches", *columns)])
     apart = [reduce(add, [F.bit_count(F.col(c).bitwiseXOR(F.col(f"o_{c}"))) for c in columns[k * words // TABLES : (k + 1) * words // TABLES]]) for k in range(TABLES)]

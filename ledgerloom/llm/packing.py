@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm import bpe
 from ledgerloom.llm.ragged import ranges, row_chunks, utf8
+from ledgerloom.llm.worker import give_back, giving_back
 
 #: Share of the remainders that fill what the bins of the others leave, at first; a worker adapts it as it goes.
 FILL_SHARE = 0.2
@@ -166,9 +167,10 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = 1024, end_id: int = 0
                 table = pa.table({"id": batch.column(0).slice(a, b - a).take(pa.array(doc)), "start": pa.array(start), "length": pa.array(size), "doc_tokens": pa.array(counts[doc]), "ids": stored})
                 for done in bins.add(table):
                     yield from done.combine_chunks().to_batches()
+            give_back()  # the arrays of a batch leave gaps between what lasts
         for done in bins.close():
             yield from done.combine_chunks().to_batches()
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"id {kind}, start long, length long, doc_tokens long, ids binary, sequence_id long, offset long").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(giving_back(run), f"id {kind}, start long, length long, doc_tokens long, ids binary, sequence_id long, offset long").withColumnRenamed("id", id_col)

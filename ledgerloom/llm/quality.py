@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm.ragged import hash_spans, row_chunks, utf8, word_spans
 from ledgerloom.llm.store import Written
+from ledgerloom.llm.worker import giving_back
 
 FEATURES = (
     "log_words", "word_bytes", "upper", "marks", "digits", "white", "distinct_words", "repeats_before", "top_word", "lines",
@@ -106,7 +107,7 @@ def feature_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("text_hash"))
-    return rows.mapInArrow(run, f"id {kind}, text_hash long, features array<double>").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(giving_back(run), f"id {kind}, text_hash long, features array<double>").withColumnRenamed("id", id_col)
 
 
 @dataclass
@@ -272,7 +273,7 @@ def _scored(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, labe
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(model.score(x))], names=["id", "text_hash", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    scored = table.select(F.col(id_col).alias("id"), "text_hash", "features").mapInArrow(run, f"id {kind}, text_hash long, score double")
+    scored = table.select(F.col(id_col).alias("id"), "text_hash", "features").mapInArrow(giving_back(run), f"id {kind}, text_hash long, score double")
     return scored.select(F.col("id").alias(id_col), "text_hash", held_out("id").alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm.ragged import mix64
 from ledgerloom.llm.store import freed_shuffles
+from ledgerloom.llm.worker import giving_back
 
 #: Partial tables that one group of the first two of three reducing steps adds up.
 FAN_IN = 32
@@ -43,7 +44,7 @@ def summed_cells(df: DataFrame, cells: int, fill: Callable[[pa.RecordBatch, np.n
         return pa.table({"slice": pa.array([key[0].as_py()], pa.int32()), "part": pa.array([key[1].as_py()], pa.int32()), "cells": pa.array([total.tobytes()], pa.binary())})
 
     schema = "slice int, part int, cells binary"
-    partial = df.mapInArrow(local, schema)
+    partial = df.mapInArrow(giving_back(local), schema)
     for group in (f"part div {FAN_IN}", f"part div {FAN_IN}", "0"):
         partial = partial.withColumn("part", F.expr(f"cast({group} as int)")).groupBy("slice", "part").applyInArrow(reduce, schema)
     with freed_shuffles(df.sparkSession):
