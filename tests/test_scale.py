@@ -263,3 +263,12 @@ def test_keys_of_a_stream_share_groups(spark, tmp_path):
     assert 2000 < query.lastProgress["stateOperators"][0]["numRowsTotal"] <= 4096
     found = spark.table("shared_groups")
     assert found.count() == 18_000 and found.where("position <> place or cast(record as long) <> (2 - place) * 6000 + coalesce(cast(substring(key, 2) as long), 7)").count() == 0
+
+
+def test_transform_verification_makes_texts_once(spark):
+    """Dear columns of the raw frame are made once where the typed frame has their texts beside it; a lost row still shows."""
+    raw = spark.range(60).select(F.col("id"), F.when(F.col("id") % 7 > 0, F.repeat(F.col("id").cast("string"), 3)).alias("text"))
+    typed = raw.select("id", F.col("text").alias("raw_text"), F.when(F.col("id") % 10 > 0, F.col("text")).alias("text")).where("id <> 1")
+    found = quality.transform_verification(raw, typed, ("text",), "raw_")
+    assert {r["detail"]: r["affected"] for r in found.collect()} == {"row difference": 1, "parse loss: text": 5}
+    assert plan_of(found).split("Initial Plan")[0].count("repeat(") == 1
